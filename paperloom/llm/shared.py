@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,9 +24,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def kept(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    spark, path, schema = df.sparkSession, fresh_path(df.sparkSession, name), df.schema
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def ordered(df: DataFrame, keys: list[str], name: str = "ordered") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import flat
 from .shared import kept
 
-LENGTH, Q = 100, 24
+LENGTH, Q = 100, 32
 #: A bucket with more unlike runs than this is split by a salt; a task refines about so many runs at once.
 SALT_RUNS, REFINE_ROWS = 2_000, 12_000
 _CHUNK = 1 << 19
@@ -146,7 +146,7 @@ def _anchors(texts: DataFrame, length: int, q: int, keyed: bool) -> DataFrame:
 
 
 def shared_runs(texts: DataFrame, length: int, q: int) -> DataFrame:
-    """anchor, h1, h2 (of the run's bytes), k1, k2, first, more, bytes: all runs whose anchor the corpus repeats."""
+    """anchor, h (of the run's bytes), k1, k2, first, more: all runs whose anchor the corpus repeats."""
     shared = _anchors(texts, length, q, False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     held = _anchors(texts, length, q, True).join(shared, "anchor", "left_semi")
     held = kept(held.groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors")), "suffix-held")
@@ -160,32 +160,51 @@ def shared_runs(texts: DataFrame, length: int, q: int) -> DataFrame:
             for i, j in flat.chunks(offs, _CHUNK):
                 part = raw[offs[i] : offs[j]]
                 h, d, first, more = anchored_runs(part, offs[i : j + 1] - offs[i], length, q)
-                h = h.view(np.int64)
                 # membership in the text's own list, for all texts of the chunk at once
                 owner = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
                 have = np.sort(flat.mix(wanted[at[i] : at[j]].view(np.uint64)) + owner.astype(np.uint64) * flat.SHINGLE_KEYS[0])
-                probe = flat.mix(h.view(np.uint64)) + d.astype(np.uint64) * flat.SHINGLE_KEYS[0]
+                probe = flat.mix(h) + d.astype(np.uint64) * flat.SHINGLE_KEYS[0]
                 if not len(have) or not len(probe):
                     continue
                 hit = have[np.minimum(np.searchsorted(have, probe), len(have) - 1)] == probe
                 h, d, first, more = h[hit], d[hit], first[hit], more[hit]
-                size = more + length
-                lanes = [flat.span_hash(flat.prefix_hash(part, lane), first, first + size).view(np.int64) for lane in (0, 1)]
-                got = part[flat.ragged(first, size)]
-                cuts = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(got))])
+                whole = flat.span_hash(flat.prefix_hash(part, 1), first, first + more + length)
                 own = first - (offs[i + d] - offs[i])
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (h, *lanes, k1[i + d], k2[i + d], own, more)), data], names=["anchor", "h1", "h2", "k1", "k2", "first", "more", "bytes"])
+                columns = (h.view(np.int64), whole.view(np.int64), k1[i + d], k2[i + d], own, more)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["anchor", "h", "k1", "k2", "first", "more"])
+
+    return texts.join(held, ["k1", "k2"]).mapInArrow(run, "anchor long, h long, k1 long, k2 long, first long, more long")
 
-    return texts.join(held, ["k1", "k2"]).mapInArrow(run, "anchor long, h1 long, h2 long, k1 long, k2 long, first long, more long, bytes binary")
 
+def with_bytes(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """anchor, salts, h, k1, k2, first and the bytes of the runs, from the texts that hold them."""
+    packed = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "salts", "h", "first", "more")).alias("runs"))
 
-def refined_ranges(least: DataFrame, length: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            raw, offs = flat.flat_bytes(b.column(2))
+            lists = b.column(3)
+            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            items = lists.flatten()
+            anchor, salts, h, first, more = (items.field(k) for k in range(5))
+            begin, size = offs[owner] + first.to_numpy(), more.to_numpy() + length
+            k1, k2 = b.column(0).to_numpy()[owner], b.column(1).to_numpy()[owner]
+            for i in range(0, len(owner), 10_000):
+                c = slice(i, i + 10_000)
+                cuts = np.concatenate(([0], np.cumsum(size[c]))).astype(np.int32)
+                got = np.ascontiguousarray(raw[flat.ragged(begin[c], size[c])])
+                data = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(got)])
+                yield pa.RecordBatch.from_arrays([*(x.slice(i, 10_000) for x in (anchor, salts, h)), pa.array(k1[c]), pa.array(k2[c]), first.slice(i, 10_000), data], names=["anchor", "salts", "h", "k1", "k2", "first", "bytes"])
+
+    return texts.join(packed, ["k1", "k2"]).mapInArrow(run, "anchor long, salts int, h long, k1 long, k2 long, first long, bytes binary")
+
+
+def refined_ranges(texts: DataFrame, least: DataFrame, length: int) -> DataFrame:
     """k1, k2, first, last, digest from the earliest runs: without a digest, a range of starts that repeat within a task;
     with one, the first start of its class in a bucket that several tasks share."""
     sizes = least.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1")
-    rows = least.join(sizes, "anchor").select("anchor", "place.k1", "place.k2", "place.first", "bytes", F.ceil(F.col("runs") / SALT_RUNS).cast("int").alias("salts"), "h1")
-    rows = rows.withColumn("salt", F.pmod("h1", "salts").cast("int")).drop("h1")
+    rows = least.join(sizes, "anchor").select("anchor", "h", "place.k1", "place.k2", "place.first", "more", F.ceil(F.col("runs") / SALT_RUNS).cast("int").alias("salts"))
+    rows = with_bytes(texts, rows, length).select("anchor", "k1", "k2", "first", "bytes", "salts", F.pmod("h", "salts").cast("int").alias("salt"))
     rows = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
 
     def run(batches):
@@ -235,18 +254,18 @@ def duplicate_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     texts = _keyed(docs, doc_id, text).select("k1", "k2", F.col("body__").alias("text"))
     found = kept(shared_runs(texts, length, q), "suffix-found", compression="zstd")
     place = F.struct("k1", "k2", "first")
-    least = kept(found.groupBy("anchor", "h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("bytes").alias("bytes")), "suffix-least", compression="zstd")
+    least = kept(found.groupBy("anchor", "h").agg(F.min(place).alias("place"), F.first("more").alias("more"), F.count("*").alias("n")), "suffix-least", compression="zstd")
+    refined = kept(refined_ranges(texts, least, length), "suffix-refined")
     # of equal runs, all but the earliest are covered whole
-    early = least.where("n > 1").select("anchor", "h1", "h2", F.col("place").alias("least"))
-    copies = found.select("anchor", "h1", "h2", "k1", "k2", "first", "more").join(early, ["anchor", "h1", "h2"]).where(place != F.col("least"))
+    early = least.where("n > 1").select("anchor", "h", F.col("place").alias("least"))
+    copies = found.join(early, ["anchor", "h"]).where(place != F.col("least"))
     copies = copies.select("k1", "k2", "first", (F.col("first") + F.col("more")).alias("last"))
-    refined = kept(refined_ranges(least.select("anchor", "h1", "place", "bytes"), length), "suffix-refined")
     ranges = refined.where("digest is null").select("k1", "k2", "first", "last")
     classes = refined.where("digest is not null").select("digest", "k1", "k2", "first")
     firsts = classes.groupBy("digest").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
     split = classes.join(firsts, "digest").where(place != F.col("least")).select("k1", "k2", "first", F.col("first").alias("last"))
     every = copies.unionByName(ranges).unionByName(split)
-    return every.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    return kept(every.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "suffix-ranges", compression="zstd")
 
 
 def covered(ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:
