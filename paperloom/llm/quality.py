@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .shared import kept
 
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOLS = np.zeros(256, bool)
@@ -131,7 +132,8 @@ def judge(counted: DataFrame, host: str = "source", min_words: int = 10, max_rep
     """Rows with counts, with base_failed, host_rate, host_failed and kept: neither the row nor its host fails."""
     counted = counted.drop("base_failed", "kept", "host_rate", "host_failed")
     counted = counted.withColumn("base_failed", base_failed(min_words, max_repeat_percent))
-    of_hosts = host_verdicts(counted, host, **verdicts).select(F.col("host").alias("host__"), F.col("rate").alias("host_rate"), "host_failed")
+    # as a table, so that Spark knows its size before it plans the join: a few hosts are broadcast, many are not
+    of_hosts = kept(host_verdicts(counted, host, **verdicts), "quality-hosts").select(F.col("host").alias("host__"), F.col("rate").alias("host_rate"), "host_failed")
     joined = counted.join(of_hosts, counted[host].eqNullSafe(of_hosts["host__"]), "left").drop("host__")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
