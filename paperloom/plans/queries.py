@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import quality
 from ..functions import text as T
-from ..operators import classify, evaluate, metadata, segment, store
+from ..operators import cascade, classify, evaluate, metadata, pagechain, parties, segment, store, strategies
 from .corpus import PACKETS_SQL, RENDERED_SQL, packets, rendered, table
 
 AS_OF = "2024-06-30"
@@ -216,11 +217,51 @@ def conversation_windows(spark, sf_dir):
     return c.select("conv_id", "turn", F.round(T.jaccard_words(F.col("text"), F.lag("text").over(order)), 6).alias("likeness"))
 
 
+def quality_grades(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", quality.quality_score(F.col("text")).alias("score"), quality.quality_grade(F.col("text")).alias("grade"))
+
+
+def repaired_texts(spark, sf_dir):
+    misread = F.translate("text", "1", "l")
+    return rendered(spark, sf_dir).select("doc_id", F.md5(quality.repair_terms(misread).cast("binary")).alias("text_md5"))
+
+
+def chained_starts(spark, sf_dir):
+    return pagechain.page_starts(packets(spark, sf_dir))
+
+
+def cascade_gates(spark, sf_dir):
+    pages = packets(spark, sf_dir)
+    out = cascade.gates(cascade.with_confidence(_some_ranges(pages)), _totals(pages), cascade.bare_pdfs(pages))
+    return out.withColumn("mean_confidence", F.round("mean_confidence", 6))
+
+
+def merged_ranges(spark, sf_dir):
+    pages = packets(spark, sf_dir)
+    return cascade.merge_llm(cascade.with_confidence(_truth(pages)), cascade.with_confidence(_some_ranges(pages)), merge_adjacent=False)
+
+
+def smart_windows(spark, sf_dir):
+    pages = packets(spark, sf_dir)
+    return cascade.smart_windows(pages.select("pdf_id", "page_num", F.when(F.col("is_first"), 0.9).otherwise(0.5).alias("confidence"), F.lit(False).alias("needs_deep")))
+
+
+def type_strategies(spark, sf_dir):
+    pages = packets(spark, sf_dir).withColumn("type", classify.keyword_type(F.col("text")))
+    return strategies.judge(pages).select("pdf_id", "page_num", "kind", "goes_on.continues", "goes_on.reason", "starts.is_start", F.col("starts.confidence").alias("start_confidence"))
+
+
+def merged_parties(spark, sf_dir):
+    named = rendered(spark, sf_dir).select(F.regexp_replace("party", "0+", "").alias("name"), F.col("type").alias("role"), F.lit(None).cast("string").alias("email"), F.lit("").alias("phone"), F.col("pdf_id").cast("string").alias("company"))
+    return parties.merge_parties(named).select("name", "role", "email", "phone", "company", F.array_join("aliases", "|").alias("aliases"))
+
+
 _FUNCTIONS = (
     flagship, classify_keyword, classify_fraction, classify_phrases, classify_features, extract_dates, extract_references, extract_amounts, extract_emails, extract_keywords,
     extract_metadata, page_kinds, segment_pages, segment_truth, assemble_documents, fill_gaps, coalesce_ranges, merge_pairs, page_windows, range_metrics, best_overlap, page_coverage,
     confusion, boundary_votes, majority_type, adjacent_cosine, search_filtered, token_index, store_stats, facet_counts, upsert, bulk_delete, relationship_lists, normal_names,
-    text_quality, sensitive_docs, documents_by_source, recent_documents, conversation_windows,
+    text_quality, sensitive_docs, documents_by_source, recent_documents, conversation_windows, quality_grades, repaired_texts, chained_starts, cascade_gates, merged_ranges,
+    smart_windows, type_strategies, merged_parties,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -289,4 +330,20 @@ SELECT t.pdf_id, t.start_page AS ts, t.end_page AS te, k.ps, k.pe, k.shared FROM
     "sensitive_docs": rf"{_W} SELECT doc_id, regexp_matches(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}}|\$\s*\d|\b(?:confidential|privileged|attorney|settlement|ssn)\b') AS sensitive FROM rendered",
     "documents_by_source": "SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, max(n_chars) AS longest FROM documents GROUP BY ALL",
     "recent_documents": f"{_W} SELECT doc_id, created, type FROM rendered ORDER BY created DESC, doc_id LIMIT 100",
+    "quality_grades": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, text, length(text) AS n, len(regexp_extract_all(text, '\S+')) AS words, len(list_distinct(string_split(lower(text), ''))) AS kinds,
+  len(regexp_extract_all(text, '[\p{L}\p{N}\s.,;:!?()\-\[\]{}/"'']')) AS fine, len(regexp_extract_all(text, '[^\x00-\x7F]')) AS garbage FROM t),
+m AS (SELECT *, coalesce(kinds::DOUBLE / nullif(n, 0), 0) AS v, coalesce(fine::DOUBLE / nullif(n, 0), 0) AS r, coalesce(garbage::DOUBLE / nullif(n, 0), 0) AS g FROM c),
+s AS (SELECT doc_id, text,
+  CASE WHEN n >= 100 THEN 20 WHEN n >= 50 THEN 15 WHEN n >= 20 THEN 10 ELSE 0 END + CASE WHEN words >= 20 THEN 15 WHEN words >= 10 THEN 10 WHEN words >= 5 THEN 5 ELSE 0 END
+  + CASE WHEN v >= 0.3 THEN 15 WHEN v >= 0.2 THEN 10 WHEN v >= 0.1 THEN 5 ELSE 0 END + CASE WHEN r >= 0.9 THEN 20 WHEN r >= 0.7 THEN 15 WHEN r >= 0.5 THEN 10 WHEN r >= 0.3 THEN 5 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '[A-Z][A-Z\s]{10,}') THEN 15 WHEN regexp_matches(text, '\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}|\$[\d,]+\.?\d*|\d+\.?\d*%') THEN 10 ELSE 0 END
+  + CASE WHEN n = 0 THEN 0 WHEN g < 0.1 THEN 15 WHEN g < 0.3 THEN 10 WHEN g < 0.5 THEN 5 ELSE 0 END AS score FROM m)
+SELECT doc_id, score::INT AS score, CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 20 THEN 'UNUSABLE' WHEN score >= 85 THEN 'EXCELLENT' WHEN score >= 65 THEN 'GOOD' WHEN score >= 40 THEN 'POOR' ELSE 'UNUSABLE' END AS grade FROM s""",
+    "cascade_gates": f"""WITH {_TRUTH}, c AS (SELECT pdf_id, count(*) AS n, sum(CASE WHEN end_page > start_page THEN 0.8 ELSE 0.6 END::DOUBLE * (end_page - start_page + 1)) / sum(end_page - start_page + 1) AS mean FROM kept_ranges GROUP BY 1),
+b AS (SELECT pdf_id, count(*) FILTER (WHERE length(trim(text)) < 50) >= count(*) * 0.6 AS bare FROM packets WHERE page_num < 5 GROUP BY 1),
+j AS (SELECT t.pdf_id, n_pages::INT AS n_pages, coalesce(n, 0) AS n_docs, mean, coalesce(mean < 0.7, true) OR (n_pages >= 10 AND coalesce(n, 0) > n_pages / 1.5) AS odd, bare FROM totals t LEFT JOIN c USING (pdf_id) LEFT JOIN b USING (pdf_id)),
+k AS (SELECT *, n_pages >= 10 AND (odd OR bare) AS needs_visual FROM j)
+SELECT pdf_id, n_pages, n_docs, round(mean, 6) AS mean_confidence, needs_visual, n_pages >= 5 AND (odd OR NOT needs_visual) AS needs_llm FROM k""",
+    "merged_parties": f"{_W}, p AS (SELECT regexp_replace(c_name, '0+', '', 'g') AS name, type, pdf_id::VARCHAR AS company FROM (SELECT party AS c_name, type, pdf_id FROM rendered)) SELECT name, string_agg(DISTINCT type, ', ' ORDER BY type) AS role, NULL::VARCHAR AS email, NULL::VARCHAR AS phone, min(company) AS company, '' AS aliases FROM p GROUP BY name",
 }
