@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import quality
-from paperloom.operators import cascade, pagechain, parties, strategies
+from paperloom.operators import cascade, pagechain, parties, strategies, visual
 
 
 def value(spark, column, text=None):
@@ -84,3 +84,27 @@ def test_party_merge(spark):
     rows = [("ABC Const.", "owner", "b@x.org", None, ""), ("ABC Construction", "architect", "a@x.org", "1", "ABC"), (None, "owner", "z", None, None)]
     got = parties.merge_parties(spark.createDataFrame(rows, "name string, role string, email string, phone string, company string")).collect()
     assert [tuple(r) for r in got] == [("ABC Construction", "architect, owner", "a@x.org", "1", "ABC", ["ABC Const."])]
+
+
+def test_visual_scores(spark):
+    row = lambda page, kinds=None, e=None, density=100.0, blocks=10, orientation="p", letterhead=False: ("a", page, kinds, density, 0.5, blocks, orientation, letterhead, False, 0, e)
+    rows = [row(0, e=[1.0, 0.0]), row(1, e=[1.0, 0.0]), row(2, e=[0.25, 0.9682458365518543]), row(3, e=[0.25, 0.9682458365518543]), row(4, ["RFI"], None, 10.0, 30, "l", True), row(5, None, None, None, None, None, None)]
+    schema = "pdf_id string, page_num int, kinds array<string>, text_density double, whitespace_ratio double, n_blocks int, orientation string, has_letterhead boolean, has_forms boolean, n_drawings int, embedding array<double>"
+    got = [(r.page_num, round(r.score, 6), round(r.confidence, 6), r.is_boundary) for r in visual.boundary_scores(spark.createDataFrame(rows, schema)).orderBy("page_num").collect()]
+    # page 2 is a spike of 0.6 * 0.75 between pages of 0; page 4 adds layout 0.8, pattern 1 and letterhead 0.4, times 1.2
+    assert got == [(0, 1.0, 1.0, True), (1, 0.0, 0.0, False), (2, 0.45, 0.175, True), (3, 0.0, 0.0, False), (4, 0.396, 0.75, True), (5, 0.0, 0.0, False)]
+
+
+def test_readings_and_longest(spark):
+    row = spark.sql("select array(named_struct('text', 'a', 'confidence', 0.95D), named_struct('text', 'b', 'confidence', 0.99D)) r, array(named_struct('text', 'a', 'confidence', 0.5D), named_struct('text', 'b', 'confidence', 0.5D)) q")
+    got = row.select(quality.best_reading(F.col("r")).alias("r"), quality.best_reading(F.col("q")).alias("q"), quality.longest(F.lit(None).cast("string"), F.lit("ab "), F.lit("cde")).alias("t")).first()
+    assert (got.r.text, got.q.text, got.t) == ("a", "a", "ab")
+
+
+def test_ambiguity_and_fragments(spark):
+    scores = spark.createDataFrame([("a", 0.5), ("a", 0.9), ("b", 0.1)], "pdf_id string, score double")
+    assert {tuple(r) for r in cascade.ambiguous(scores).collect()} == {("a", True), ("b", False)}
+    pages = spark.createDataFrame([("a", 0, "RFI #: 1", "rfi"), ("a", 1, "RFI #: 1", "rfi"), ("a", 2, "RFI #: 2", "rfi")], "pdf_id string, page_num int, text string, type string")
+    ranges = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("a", 2, 2)], "pdf_id string, start_page int, end_page int")
+    joined = strategies.fragment_joins(ranges, strategies.judge(pages))
+    assert {(r.start_page, r.joins_next) for r in joined.collect()} == {(0, True), (1, False), (2, False)}
