@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -46,19 +47,37 @@ class SearchFilter:
         return reduce(lambda a, b: a & b, tests)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(token, doc_id, tf) of lower-cased words."""
-    words = docs.select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), TOKEN)).alias("token")).where("token != ''")
-    return words.groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+    """(token, doc_id, tf) of lower-cased words of text; with fields, (field, token, doc_id, tf) of the words of each of these columns."""
+    tokens = lambda c: F.split(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), TOKEN)
+    if fields:
+        docs = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), tokens(c).alias("tokens")) for c in fields))).alias("of")).select("doc_id", "of.*")
+    else:
+        docs = docs.select("doc_id", tokens("text").alias("tokens"))
+    words = docs.withColumn("token", F.explode("tokens")).where("token != ''")
+    return words.groupBy(*["field"] * bool(fields), "token", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def matching(index: DataFrame, query: str) -> DataFrame:
-    """doc_id of documents with all words of the query; word* stands for all words that start so, -word for none."""
+    """doc_id of documents with all words of the query, or of one of its parts between ORs.
+
+    word* stands for all words that start so, field:word for a word of that field alone (of an index with fields), a minus
+    before any of these for none. A part without a wanted word finds nothing.
+    """
+    found = [_all_of(index, part) for part in re.split(r"\s+OR\s+", query.strip())]
+    return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).distinct()
+
+
+def _all_of(index: DataFrame, query: str) -> DataFrame:
     wanted = [w for w in query.lower().split() if not w.startswith("-")]
     banned = [w[1:] for w in query.lower().split() if w.startswith("-") and len(w) > 1]
 
     def one(w: str) -> Column:
-        return F.startswith(F.col("token"), F.lit(w[:-1])) if w.endswith("*") else F.col("token") == w
+        name, colon, word = w.rpartition(":")
+        if colon and "field" not in index.columns:
+            raise ValueError(f"{w!r} names a field, but the index has none")
+        test = F.startswith(F.col("token"), F.lit(word[:-1])) if word.endswith("*") else F.col("token") == word
+        return test & (F.lower("field") == name) if colon else test
 
     hit = index.where(reduce(lambda a, b: a | b, map(one, wanted or [""])))
     n = reduce(lambda a, b: a + b, (F.max(one(w).cast("int")) for w in wanted)) if wanted else F.lit(0)

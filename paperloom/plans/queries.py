@@ -155,6 +155,11 @@ def search_filtered(spark, sf_dir):
     return store.search(rendered(spark, sf_dir), f).select("doc_id", "type", "created", "amount")
 
 
+def search_fields(spark, sf_dir):
+    index = store.postings(rendered(spark, sf_dir), ("type", "party", "text"))
+    return store.matching(index, "type:invoice party:00000001* payment OR type:contract party:customer")
+
+
 def token_index(spark, sf_dir):
     index = store.postings(rendered(spark, sf_dir))
     return index.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
@@ -259,7 +264,7 @@ def merged_parties(spark, sf_dir):
 _FUNCTIONS = (
     flagship, classify_keyword, classify_fraction, classify_phrases, classify_features, extract_dates, extract_references, extract_amounts, extract_emails, extract_keywords,
     extract_metadata, page_kinds, segment_pages, segment_truth, assemble_documents, fill_gaps, coalesce_ranges, merge_pairs, page_windows, range_metrics, best_overlap, page_coverage,
-    confusion, boundary_votes, majority_type, adjacent_cosine, search_filtered, token_index, store_stats, facet_counts, upsert, bulk_delete, relationship_lists, normal_names,
+    confusion, boundary_votes, majority_type, adjacent_cosine, search_filtered, search_fields, token_index, store_stats, facet_counts, upsert, bulk_delete, relationship_lists, normal_names,
     text_quality, sensitive_docs, documents_by_source, recent_documents, conversation_windows, quality_grades, repaired_texts, chained_starts, cascade_gates, merged_ranges,
     smart_windows, type_strategies, merged_parties,
 )
@@ -320,6 +325,8 @@ SELECT t.pdf_id, t.start_page AS ts, t.end_page AS te, k.ps, k.pe, k.shared FROM
     "majority_type": "WITH p AS (SELECT user_id, event_type AS label, count(*) AS votes, min(event_id) AS first_seen FROM events GROUP BY ALL) SELECT user_id, label, votes FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, first_seen) = 1",
     "adjacent_cosine": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1",
     "search_filtered": f"{_TOKENS}, m AS (SELECT doc_id FROM postings WHERE token IN ('payment', 'due') GROUP BY doc_id HAVING count(DISTINCT token) = 2) SELECT doc_id, type, created, amount FROM rendered WHERE type IN ('invoice', 'contract') AND created >= DATE '1995-01-01' AND amount >= 1000 AND doc_id IN (SELECT doc_id FROM m) AND doc_id NOT IN (SELECT doc_id FROM postings WHERE token = 'rfi') ORDER BY amount DESC, doc_id LIMIT 50",
+    "search_fields": f"""{_TOKENS}, f AS (SELECT doc_id, type, regexp_split_to_array(lower(party), '[^\\p{{L}}\\p{{N}}]+') AS names FROM rendered)
+SELECT doc_id FROM f WHERE type = 'invoice' AND len(list_filter(names, lambda x: starts_with(x, '00000001'))) > 0 AND doc_id IN (SELECT doc_id FROM postings WHERE token = 'payment') OR type = 'contract' AND list_contains(names, 'customer')""",
     "token_index": f"{_TOKENS} SELECT token, count(*) AS df, sum(tf)::BIGINT AS tf FROM postings GROUP BY token",
     "store_stats": f"{_W} SELECT count(*) AS n_docs, count(DISTINCT pdf_id) AS n_pdfs, round(sum(amount) / count(*), 2) AS mean_amount, min(created) AS first, max(created) AS last FROM rendered",
     "facet_counts": f"{_W}, y AS (SELECT *, year(created)::VARCHAR AS year FROM rendered) SELECT CASE grouping(type, year) WHEN 1 THEN 'type' WHEN 2 THEN 'year' ELSE 'type_year' END AS facet, concat_ws('/', type, year) AS value, count(*) AS n FROM y GROUP BY GROUPING SETS ((type), (year), (type, year))",

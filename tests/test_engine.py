@@ -96,6 +96,16 @@ def test_search_prefix_merge_and_dangling_edges(spark):
         store.search(docs, store.SearchFilter(sort_by="1; drop"))
 
 
+def test_index_with_fields(spark):
+    docs = spark.createDataFrame([(1, "Pump room", "the valve or pump"), (2, "Valve", "a pump"), (3, None, "x"), (4, "x", None)], "doc_id long, title string, text string")
+    index = store.postings(docs, ("title", "text"))
+    found = lambda q: sorted(r.doc_id for r in store.matching(index, q).collect())
+    assert found("title:pump") == [1] and found("pump") == [1, 2] and found("pump -title:val*") == [1]
+    assert found("title:valve text:pump OR title:x OR x") == [2, 3, 4] and found("") == found("-pump") == []
+    with pytest.raises(ValueError):
+        store.matching(store.postings(docs), "title:x")
+
+
 def test_metrics_of_empty_predictions(spark):
     none = spark.createDataFrame([], "pdf_id string, start_page int, end_page int")
     truth = spark.createDataFrame([("a", 0, 1)], "pdf_id string, start_page int, end_page int")
