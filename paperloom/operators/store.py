@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stem import porter, stem
+
 SORTABLE = {"doc_id", "type", "created", "party", "amount"}
 TOKEN = r"[^\p{L}\p{N}]+"
 
@@ -58,17 +60,24 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
     return words.groupBy(*["field"] * bool(fields), "token", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def matching(index: DataFrame, query: str) -> DataFrame:
+def stemmed(index: DataFrame) -> DataFrame:
+    """The index by stems: tokens of one stem become one. Only distinct (token, document) rows pass through Python."""
+    keys = [c for c in index.columns if c not in ("token", "tf")]
+    return index.withColumn("token", stem(F.col("token"))).groupBy("token", *keys).agg(F.sum("tf").alias("tf"))
+
+
+def matching(index: DataFrame, query: str, stems: bool = False) -> DataFrame:
     """doc_id of documents with all words of the query, or of one of its parts between ORs.
 
     word* stands for all words that start so, field:word for a word of that field alone (of an index with fields), a minus
-    before any of these for none. A part without a wanted word finds nothing.
+    before any of these for none. A part without a wanted word finds nothing. stems: the index is a stemmed one, and so
+    are whole words of the query; word* then stands for stems that start so.
     """
-    found = [_all_of(index, part) for part in re.split(r"\s+OR\s+", query.strip())]
+    found = [_all_of(index, part, stems) for part in re.split(r"\s+OR\s+", query.strip())]
     return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).distinct()
 
 
-def _all_of(index: DataFrame, query: str) -> DataFrame:
+def _all_of(index: DataFrame, query: str, stems: bool) -> DataFrame:
     wanted = [w for w in query.lower().split() if not w.startswith("-")]
     banned = [w[1:] for w in query.lower().split() if w.startswith("-") and len(w) > 1]
 
@@ -76,7 +85,7 @@ def _all_of(index: DataFrame, query: str) -> DataFrame:
         name, colon, word = w.rpartition(":")
         if colon and "field" not in index.columns:
             raise ValueError(f"{w!r} names a field, but the index has none")
-        test = F.startswith(F.col("token"), F.lit(word[:-1])) if word.endswith("*") else F.col("token") == word
+        test = F.startswith(F.col("token"), F.lit(word[:-1])) if word.endswith("*") else F.col("token") == (porter(word) if stems else word)
         return test & (F.lower("field") == name) if colon else test
 
     hit = index.where(reduce(lambda a, b: a | b, map(one, wanted or [""])))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.functions.stem import porter
 from paperloom.operators import classify, evaluate, metadata, segment, store
 from paperloom.plans import queries as Q
 
@@ -106,6 +107,27 @@ def test_index_with_fields(spark):
         store.matching(store.postings(docs), "title:x")
 
 
+# Examples of Porter's paper: fixed values.
+STEMS = """caresses:caress ponies:poni ties:ti caress:caress cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing
+conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan falling:fall hissing:hiss fizzed:fizz failing:fail filing:file happy:happi sky:sky
+relational:relat conditional:condit rational:ration valenci:valenc digitizer:digit radically:radic vietnamization:vietnam predication:predic operator:oper
+feudalism:feudal decisiveness:decis hopefulness:hope triplicate:triplic formative:form formalize:formal electrical:electr goodness:good revival:reviv
+allowance:allow adjustable:adjust replacement:replac adjustment:adjust adoption:adopt probate:probat rate:rate cease:ceas controll:control roll:roll"""
+
+
+def test_porter():
+    pairs = [x.split(":") for x in STEMS.split()]
+    assert [(w, porter(w)) for w, _ in pairs] == [(w, s) for w, s in pairs]
+    assert [porter(w) for w in ("", "is", "été", "a1b2s")] == ["", "is", "été", "a1b2s"]
+
+
+def test_stemmed_index(spark):
+    docs = spark.createDataFrame([(1, "delays and delayed work"), (2, "Delay"), (3, None)], "doc_id long, text string")
+    index = store.stemmed(store.postings(docs))
+    assert {(r.doc_id, r.tf) for r in index.where("token = 'delai'").collect()} | {(r.doc_id, r.tf) for r in index.where("token = 'delay'").collect()} == {(1, 2), (2, 1)}
+    assert sorted(r.doc_id for r in store.matching(index, "delaying", stems=True).collect()) == [1, 2]
+
+
 def test_metrics_of_empty_predictions(spark):
     none = spark.createDataFrame([], "pdf_id string, start_page int, end_page int")
     truth = spark.createDataFrame([("a", 0, 1)], "pdf_id string, start_page int, end_page int")
