@@ -58,3 +58,47 @@ def coverage(ranges: DataFrame, totals: DataFrame) -> DataFrame:
 def confusion(labels: DataFrame) -> DataFrame:
     """(expected, actual, n) counts."""
     return labels.groupBy("expected", "actual").agg(F.count("*").alias("n"))
+
+
+def greedy_matches(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(pdf_id, ps, pe, ts, te, iou): each predicted range in page order takes the free true range of highest IoU from the threshold on.
+
+    Ties go to the earlier true range. What is taken depends on the order, so the overlapping pairs of one PDF are folded
+    inside a row; ranges of a PDF that do not overlap make no pairs, so the row grows with its pages only.
+    """
+    pairs = overlaps(pred.distinct(), truth.distinct()).where(F.col("iou") >= threshold)
+    pair = F.struct("ps", "pe", (-F.col("iou")).alias("minus"), "ts", "te", "iou")
+    packed = pairs.groupBy("pdf_id").agg(F.array_sort(F.collect_list(pair)).alias("pairs"), F.slice(F.collect_list(pair), 1, 0).alias("none"))
+
+    def step(done: F.Column, x: F.Column) -> F.Column:
+        used = F.exists(done, lambda d: ((d["ps"] == x["ps"]) & (d["pe"] == x["pe"])) | ((d["ts"] == x["ts"]) & (d["te"] == x["te"])))
+        return F.when(used, done).otherwise(F.concat(done, F.array(x)))
+
+    return packed.select("pdf_id", F.explode(F.aggregate("pairs", F.col("none"), step)).alias("m")).select("pdf_id", "m.ps", "m.pe", "m.ts", "m.te", "m.iou")
+
+
+def first_overlap(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per PDF of truth: n_pred, n_true, exact, partial, missed, extra and accuracy in percent, each true range judged by the first predicted range that touches it."""
+    first = overlaps(pred, truth).groupBy("pdf_id", "ts", "te").agg(F.min_by("iou", F.struct("ps", "pe")).alias("iou"))
+    t = truth.select("pdf_id", F.col("start_page").alias("ts"), F.col("end_page").alias("te")).join(first, ["pdf_id", "ts", "te"], "left")
+    per = t.groupBy("pdf_id").agg(F.count("*").alias("n_true"), F.count_if(F.col("iou") == 1).alias("exact"), F.count_if(F.col("iou") < 1).alias("partial"), F.count_if(F.col("iou").isNull()).alias("missed"))
+    n = pred.groupBy("pdf_id").agg(F.count("*").alias("n_pred"))
+    out = per.join(n, "pdf_id", "left").withColumn("n_pred", F.coalesce("n_pred", F.lit(0)))
+    extra = F.greatest(F.col("n_pred") - F.col("n_true"), F.lit(0))
+    return out.select("pdf_id", "n_pred", "n_true", "exact", "partial", "missed", extra.alias("extra"), (F.col("exact") / F.col("n_true") * 100).alias("accuracy"))
+
+
+def label_errors(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """(expected, actual, n, correct) over predicted ranges with a label and the true range of most shared pages (the earlier of equals)."""
+    p = pred.select("pdf_id", F.col("start_page").alias("ps"), F.col("end_page").alias("pe"), F.col("label").alias("actual"))
+    t = truth.select("pdf_id", F.col("start_page").alias("ts"), F.col("end_page").alias("te"), F.col("label").alias("expected"))
+    best = overlaps(pred, truth).groupBy("pdf_id", "ps", "pe").agg(F.max_by(F.struct("ts", "te"), F.struct("shared", -F.col("ts"))).alias("b")).select("pdf_id", "ps", "pe", "b.ts", "b.te")
+    joined = p.join(best, ["pdf_id", "ps", "pe"]).join(t, ["pdf_id", "ts", "te"])
+    return joined.groupBy("expected", "actual").agg(F.count("*").alias("n")).withColumn("correct", F.col("expected").eqNullSafe(F.col("actual")))
+
+
+def compare_methods(metrics: DataFrame) -> DataFrame:
+    """range_metrics with a column method, as one row per method: sums over PDFs and the ratios of the sums."""
+    s = metrics.groupBy("method").agg(*(F.sum(c).alias(c) for c in ("n_pred", "n_true", "exact")), F.avg("mean_iou").alias("mean_iou"))
+    p, r = F.coalesce(F.try_divide("exact", "n_pred"), F.lit(0.0)), F.coalesce(F.try_divide("exact", "n_true"), F.lit(0.0))
+    return s.withColumns({"precision": p, "recall": r}).withColumn("f1", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))

@@ -1,12 +1,20 @@
-"""Parties: what different sources say of one normalised name as one row."""
+"""Parties: what different sources say of one normalised name as one row, and groups of similar names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from difflib import SequenceMatcher
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import kept
 from ..functions.text import normal_name
 
+# Last words that do not tell two names apart.
+SUFFIXES = ("inc", "incorporated", "corp", "corporation", "llc", "company", "co")
+
 
 def merge_parties(parties: DataFrame) -> DataFrame:
     """(name, role, email, phone, company, aliases) per normalised name of (name, role, email, phone, company).
@@ -19,3 +27,92 @@ def merge_parties(parties: DataFrame) -> DataFrame:
     grouped = named.groupBy("key").agg(F.array_sort(F.collect_set("role")).alias("roles"), *(F.min(c).alias(c) for c in ("email", "phone", "company")), F.array_sort(F.collect_set("name")).alias("names"))
     roles = F.nullif(F.array_join("roles", ", "), F.lit(""))
     return grouped.select(F.col("key").alias("name"), roles.alias("role"), "email", "phone", "company", F.array_except("names", F.array("key")).alias("aliases"))
+
+
+def base_name(normal: Column) -> Column:
+    """A normalised name in lower case without a company suffix as its last word."""
+    words = F.split(F.lower(normal), " ")
+    short = F.array_join(F.slice(words, 1, F.size(words) - 1), " ")
+    return F.when(F.element_at(words, -1).isin(*SUFFIXES), short).otherwise(F.lower(normal))
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return run(a, b)
+
+
+def _grams(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(key, ord, base, n, gram): the rarest character pairs of each base, as many as any partner has to share one of.
+
+    Bases of n and m characters and ratio t share at least (1.5 t - 1)(n + m) - 1 pairs, and m is at least n t / (2 - t).
+    Repeated pairs are numbered, so that shared ones are counted as in bags.
+    """
+    pairs = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring(F.col("base"), i, F.lit(2)))
+    each = nodes.where("n > 1").select("key", "ord", "base", "n", F.posexplode(pairs).alias("at", "pair"))
+    nth = F.row_number().over(Window.partitionBy("key", "ord", "pair").orderBy("at"))
+    each = each.withColumn("gram", F.concat("pair", F.lit("#"), nth))
+    rarity = each.groupBy("key", "gram").agg(F.count("*").alias("df"))
+    share = (1.5 * threshold - 1) * (1 + threshold / (2 - threshold))
+    shared = F.greatest(F.ceil(F.col("n") * share - 1 - 1e-9), F.lit(1))
+    place = F.row_number().over(Window.partitionBy("key", "ord").orderBy("df", "gram"))
+    return each.join(rarity, ["key", "gram"]).withColumn("place", place).where(F.col("place") <= F.col("n") - shared).select("key", "ord", "base", "n", "gram")
+
+
+def similar_links(nodes: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(key, u, v): pairs u < v of (key, ord, base) with different bases that are as similar as the threshold asks.
+
+    0.9 for names with equally many words, each equal to its partner or a beginning of it of at most 4 characters; else the
+    matcher's ratio. Candidates share the first letters of all words, or one of their rarest character pairs; no pair that
+    passes is missed from a threshold of 0.82 on.
+    """
+    if not 0.82 <= threshold <= 0.95:
+        raise ValueError("the threshold lies between 0.82 and 0.95")
+    sized = nodes.select("key", "ord", "base", F.char_length("base").alias("n"))
+    a, b = _grams(sized, threshold).alias("a"), _grams(sized, threshold).alias("b")
+    near = (F.col("a.ord") < F.col("b.ord")) & (2 * F.least("a.n", "b.n") >= threshold * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.gram") == F.col("b.gram")) & near)
+    pairs = met.select("a.key", F.col("a.ord").alias("u"), F.col("b.ord").alias("v"), F.col("a.base").alias("x"), F.col("b.base").alias("y")).distinct()
+    links = pairs.where(_ratio(F.col("x"), F.col("y")) >= threshold).select("key", "u", "v")
+    if threshold > 0.9:
+        return links
+    words = F.split("base", " ")
+    lettered = sized.where("n > 0").select("key", "ord", words.alias("words"), F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), " ").alias("letters"))
+    short = lettered.where(F.exists("words", lambda w: F.length(w) <= 4)).alias("s")
+    long = lettered.alias("l")
+    begins = F.forall(F.arrays_zip(F.col("s.words").alias("p"), F.col("l.words").alias("q")), lambda z: (z["p"] == z["q"]) | ((F.length(z["p"]) <= 4) & F.startswith(z["q"], z["p"])))
+    met = short.join(long, (F.col("s.key") == F.col("l.key")) & (F.col("s.letters") == F.col("l.letters")) & (F.col("s.ord") != F.col("l.ord")) & begins)
+    return links.unionByName(met.select("s.key", F.least("s.ord", "l.ord").alias("u"), F.greatest("s.ord", "l.ord").alias("v"))).distinct()
+
+
+def similar_groups(names: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(key, canonical, members) of groups of two or more similar names among (key, ord, name); ord is distinct in a key.
+
+    In the order of ord each name that no earlier group took opens one and takes all later names similar to it. Of equal
+    normalised names only the first counts. canonical is the normalised longest member, the first of equals; members keep
+    their spelling and order. Null names go. Which names open groups is settled in rounds: a name without an undecided
+    earlier partner opens one, and its partners are taken. Each round is a few joins on links, none of names or in the driver.
+    """
+    normal = names.where(F.col("name").isNotNull()).select("key", "ord", "name", normal_name(F.col("name")).alias("normal"))
+    first = normal.groupBy("key", "normal").agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name")).withColumn("base", base_name(F.col("normal")))
+    first = kept(first.withColumn("head", F.min("ord").over(Window.partitionBy("key", "base"))), "party-names")
+    # equally based names are alike to any other name, so their first stands for them
+    links = kept(similar_links(first.where("ord = head").select("key", "ord", "base"), threshold), "party-links")
+    live, taken = links, []
+    while not live.isEmpty():
+        openers = live.select("key", "u").distinct().join(live.select("key", F.col("v").alias("u")).distinct(), ["key", "u"], "left_anti")
+        now = kept(live.join(openers, ["key", "u"], "left_semi").select("key", "v").distinct(), "party-taken")
+        taken.append(now)
+        live = live.join(now, ["key", "v"], "left_anti").join(now.withColumnRenamed("v", "u"), ["key", "u"], "left_anti")
+        live = kept(live, "party-live")
+    joined = links
+    if taken:
+        gone = reduce(DataFrame.unionByName, taken).distinct()
+        joined = links.join(gone.withColumnRenamed("v", "u"), ["key", "u"], "left_anti")
+    opener = joined.groupBy("key", F.col("v").alias("head")).agg(F.min("u").alias("opener"))
+    placed = first.join(opener, ["key", "head"], "left").withColumn("opener", F.coalesce("opener", "head"))
+    longest = F.max_by("normal", F.struct(F.char_length("name"), -F.col("ord")))
+    grouped = placed.groupBy("key", "opener").agg(longest.alias("canonical"), F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("m"))
+    return grouped.where(F.size("m") > 1).select("key", "canonical", F.transform("m", lambda x: x["name"]).alias("members"))
