@@ -27,6 +27,10 @@ REFERENCES = {
 }
 DOLLARS = r"\$\s*(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)\b"
 USD = r"(?i)\bUSD\s*(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)\b"
+NUMBER_WORDS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion and"
+).split()
 EMAIL = r"\b([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b"
 ROLES = ("Contractor", "Owner", "Architect", "Engineer", "Subcontractor")
 DATE_SIGNS = ("date:", "dated:", "date of", "as of", "effective date", "issued:", "prepared:", "submitted:")
@@ -79,11 +83,25 @@ def flat_references(refs: Column) -> Column:
     return F.flatten(F.transform(F.map_entries(refs), one))
 
 
+def written_amounts(text: Column) -> Column:
+    """Amounts in words before "dollars" (up to 40 words): a million with one or two, a thousand with a hundred or fifty; others are unknown."""
+    words = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
+    found = _all(F.lower(text), rf"\b((?:(?:{words})\s*){{1,40}}+)(?<=\s)dollars?\b", 1)
+    has = F.contains
+
+    def value(s: Column) -> Column:
+        million = F.when(has(s, F.lit("one")), 1000000.0).when(has(s, F.lit("two")), 2000000.0)
+        thousand = F.when(has(s, F.lit("hundred")), 100000.0).when(has(s, F.lit("fifty")), 50000.0)
+        return F.when(has(s, F.lit("million")), million).when(has(s, F.lit("thousand")), thousand)
+
+    return F.array_compact(F.transform(found, value))
+
+
 def amounts(text: Column) -> Column:
-    """Distinct positive amounts, descending."""
+    """Distinct positive amounts in digits or words, descending."""
     found = F.concat(_all(text, DOLLARS, 1), _all(text, USD, 1))
     numbers = F.filter(F.transform(found, lambda s: F.replace(s, F.lit(","), F.lit("")).cast("double")), lambda a: a > 0)
-    return F.reverse(F.array_sort(F.array_distinct(numbers)))
+    return F.reverse(F.array_sort(F.array_distinct(F.concat(numbers, written_amounts(text)))))
 
 
 def emails(text: Column) -> Column:

@@ -134,3 +134,10 @@ def assemble(pages: DataFrame, ranges: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(":", "pdf_id", "start_page", "end_page"), 256).alias("id"), "pdf_id", (F.col("start_page") + 1).alias("page_start"), (F.col("end_page") + 1).alias("page_end"),
         F.size("pages").alias("page_count"), F.array_join(F.transform("pages", lambda x: x["text"]), "\n\n").alias("text"),
     )
+
+
+def merge_fragments(ranges: DataFrame, most_pages: int = 3) -> DataFrame:
+    """Single pages joined with a next range of at most most_pages pages."""
+    order = Window.partitionBy("pdf_id").orderBy("start_page")
+    next_pages = F.lead("end_page").over(order) - F.lead("start_page").over(order) + 1
+    return merge_pairs(ranges.withColumn("joins_next", (F.col("start_page") == F.col("end_page")) & (next_pages <= most_pages)))

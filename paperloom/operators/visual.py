@@ -57,3 +57,18 @@ def boundary_scores(pages: DataFrame, threshold: float = 0.2) -> DataFrame:
     raised = F.arrays_overlap("kinds", F.array(*map(F.lit, RAISING)))
     scored = scored.withColumns({"confidence": F.when(alone, F.col("sure") * 0.7).otherwise(F.col("sure")), "score": F.when(raised, F.least(F.col("raw") * 1.2, F.lit(1.0))).otherwise(F.col("raw"))})
     return scored.select("pdf_id", "page_num", "score", "confidence", (F.col("score") > threshold).alias("is_boundary"))
+
+
+def layout_scores(pages: DataFrame) -> DataFrame:
+    """(pdf_id, page_num, score, confidence) from a layout model's probability and mean_activation, kinds and has_letterhead.
+
+    A jump of over 0.5 in activation counts 1.2 times, kinds lift the score to 0.4 and 0.6 of it, a letterhead to 0.8 at least;
+    at most 1. Confidence is 0.9 above 0.9 and below 0.1, else 0.7. A missing probability is 0.5; the first page has no row.
+    """
+    order = Window.partitionBy("pdf_id").orderBy("page_num")
+    seen = pages.withColumns({"before": F.lag("mean_activation").over(order), "place": F.row_number().over(order)}).where("place > 1")
+    score = F.coalesce("probability", F.lit(0.5))
+    score = F.when(F.abs(F.col("mean_activation") - F.col("before")) > 0.5, score * 1.2).otherwise(score)
+    score = F.when(F.coalesce(F.size("kinds"), F.lit(0)) > 0, score * 0.6 + 0.4).otherwise(score)
+    score = F.when(F.col("has_letterhead"), F.greatest(score, F.lit(0.8))).otherwise(score)
+    return seen.select("pdf_id", "page_num", F.least(score, F.lit(1.0)).alias("score"), F.when((score > 0.9) | (score < 0.1), 0.9).otherwise(0.7).alias("confidence"))
