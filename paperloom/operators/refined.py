@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quality import strip
+from ..functions.quality import let, strip
 from . import segment
 
 # Signs of a new document with their labels, of a page that goes on, of quoted mail, weak signs and carriers.
@@ -39,17 +39,22 @@ def _found(s: Column, pattern: str) -> Column:
 
 
 def facts(text: Column) -> Column:
-    """struct of what the rules ask of a page: kinds, kind (the first of them), strong (label of the first start sign), signs, mail fields, numbers."""
-    t = F.coalesce(text, F.lit(""))
+    """struct of what the rules ask of a page: kind (the first that hits), strong (label of the first start sign), signs, mail fields, numbers.
+
+    The struct is built inside one expression, so that no rule makes the optimizer copy its patterns.
+    """
+    return let(F.coalesce(text, F.lit("")), lambda t: let(segment.first_kind(t), lambda kind: _facts(t, kind)))
+
+
+def _facts(t: Column, kind: Column) -> Column:
     head = lambda n: F.substring(t, 1, n)
-    kinds = segment.page_kinds(t)
     subject = F.regexp_replace(_found(head(1000), r"Subject:\s*(.+?)(?:\n|$)"), r"(?i)^(RE:|FW:|Fwd:)\s*", "")
     low, carrier = F.lower(head(500)), F.lit(None).cast("string")
     for name in CARRIERS:
         carrier = F.when(F.contains(low, F.lit(name.lower())), F.lit(name)).otherwise(carrier)
-    again = reduce(lambda a, b: a | b, ((F.get(kinds, F.lit(0)) == k) & _has(head(300), (p,), "id") for k, p in INSTANCES.items()))
+    again = reduce(lambda a, b: a | b, ((kind == k) & _has(head(300), (p,), "id") for k, p in INSTANCES.items()))
     asked = {
-        "blank": F.length(strip(t)) < 50, "kinds": kinds, "kind": F.get(kinds, F.lit(0)), "strong": F.coalesce(*(F.when(_has(head(1000), (p,)), F.lit(k)) for p, k in START_SIGNS)),
+        "blank": F.length(strip(t)) < 50, "kind": kind, "strong": F.coalesce(*(F.when(_has(head(1000), (p,)), F.lit(k)) for p, k in START_SIGNS)),
         "goes_on": _has(t, GOES_ON, "id"), "quoted": _has(t, QUOTES), "page_no": F.regexp_extract(t, r"(?id)Page\s+(\d+)\s+of\s+(\d+)", 1).try_cast("bigint"),
         "subject": F.lower(strip(subject)), "sent": F.coalesce(_found(head(500), r"Sent:\s*([^\n]+)"), _found(head(500), r"Date:\s*([^\n]+)")),
         "carrier": carrier, "order_no": _found(head(500), r"Order\s*#?\s*(\d+)"), "slip": _has(head(200), (r"^\s*PACKING\s+SLIP",)), "again": F.coalesce(again, F.lit(False)),

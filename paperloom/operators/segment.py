@@ -25,8 +25,8 @@ AGGRESSIVE = (
 )
 
 
-def page_kinds(text: Column) -> Column:
-    """The pattern groups with a hit in the first 1500 characters, in order of the groups."""
+def _kind_tests(text: Column) -> list[Column]:
+    """For each pattern group its name, or null without a hit in the first 1500 characters."""
     head = F.substring(F.coalesce(text, F.lit("")), 1, 1500)
     tests = []
     for kind, patterns in GROUPS.items():
@@ -34,7 +34,17 @@ def page_kinds(text: Column) -> Column:
         if kind == "DRAWING":
             hit = hit | head.rlike(DRAWING_NUMBER)
         tests.append(F.when(hit, F.lit(kind)))
-    return F.array_compact(F.array(*tests))
+    return tests
+
+
+def page_kinds(text: Column) -> Column:
+    """The pattern groups with a hit in the first 1500 characters, in order of the groups."""
+    return F.array_compact(F.array(*_kind_tests(text)))
+
+
+def first_kind(text: Column) -> Column:
+    """The first of page_kinds, null if there is none; groups after it are not tried."""
+    return F.coalesce(*_kind_tests(text))
 
 
 def title_line(text: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import quality
+from ..functions import quality, replies
 from ..functions import text as T
-from ..operators import cascade, classify, evaluate, metadata, pagechain, parties, segment, store, strategies
+from ..operators import cascade, classify, context, evaluate, library, metadata, pagechain, parties, people, refined, segment, store, strategies
 from .corpus import PACKETS_SQL, RENDERED_SQL, packets, rendered, table
 
 AS_OF = "2024-06-30"
@@ -261,12 +261,93 @@ def merged_parties(spark, sf_dir):
     return parties.merge_parties(named).select("name", "role", "email", "phone", "company", F.array_join("aliases", "|").alias("aliases"))
 
 
+def refined_starts(spark, sf_dir):
+    return refined.page_starts(packets(spark, sf_dir)).select("pdf_id", "page_num", "is_start", "chain")
+
+
+def refined_ranges(spark, sf_dir):
+    return refined.ranges(packets(spark, sf_dir))
+
+
+def similar_parties(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    names = s.select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("name"))
+    return parties.similar_groups(names).select("key", "canonical", F.array_join("members", "|").alias("members"))
+
+
+def greedy_matches(spark, sf_dir):
+    pages = packets(spark, sf_dir)
+    return evaluate.greedy_matches(segment.coalesce_ranges(_some_ranges(pages)), _truth(pages), 0.51).withColumn("iou", F.round("iou", 6))
+
+
+def first_overlap(spark, sf_dir):
+    pages = packets(spark, sf_dir)
+    return evaluate.first_overlap(segment.coalesce_ranges(_some_ranges(pages)), _truth(pages)).withColumn("accuracy", F.round("accuracy", 4))
+
+
+def merge_fragments(spark, sf_dir):
+    return segment.merge_fragments(_truth(packets(spark, sf_dir)))
+
+
+def label_replies(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    name = F.element_at(F.array(*map(F.lit, replies.CATEGORIES)), (F.col("event_id") % len(replies.CATEGORIES) + 1).cast("int"))
+    reply = F.when(F.col("event_id") % 7 == 0, "no idea").otherwise(F.concat(name, F.lit(" | "), (F.col("event_id") % 101).cast("string"), F.lit(" | as it says | so")))
+    return e.select("event_id", replies.label_reply(reply).alias("r")).select("event_id", "r.category", "r.label", F.round("r.confidence", 6).alias("confidence"), "r.reason")
+
+
+def screening_facts(spark, sf_dir):
+    facts = replies.screening_facts(F.col("text"))
+    return packets(spark, sf_dir).select("pdf_id", "page_num", *(v.alias(k) for k, v in facts.items()))
+
+
+def document_chunks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(replies.chunks(F.col("text"), 500)).alias("place", "chunk"))
+    return d.select("doc_id", "place", F.char_length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+def word_windows(spark, sf_dir):
+    d = rendered(spark, sf_dir).select("doc_id", "text", F.floor(F.char_length("text") / 2).cast("int").alias("position"))
+    return context.windows(d).select("doc_id", "position", "before", "after")
+
+
+def boundary_indicators(spark, sf_dir):
+    p = packets(spark, sf_dir)
+    before = F.lag("text").over(Window.partitionBy("pdf_id").orderBy("page_num"))
+    pairs = p.select("pdf_id", "page_num", before.alias("before"), F.col("text").alias("after")).where(F.col("before").isNotNull())
+    found = context.indicators(F.col("before"), F.col("after"))
+    return pairs.select("pdf_id", "page_num", F.array_join(found, ";").alias("indicators"), F.round(context.overall_quality(F.col("before"), F.col("after")), 6).alias("quality"))
+
+
+def document_parties(spark, sf_dir):
+    return people.document_parties(rendered(spark, sf_dir).select("doc_id", F.concat("text", F.lit("\nOwner: Lincoln School District\nJohn Smith <js@x.org>")).alias("text")), "doc_id")
+
+
+def stored_documents(spark, sf_dir):
+    docs = library.stored(metadata.extract(rendered(spark, sf_dir), F.lit(AS_OF).cast("date")))
+    refs = F.array_join(F.transform(F.map_entries("metadata.reference_numbers"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
+    return docs.select("doc_id", "title", "status", refs.alias("refs"))
+
+
+def pdf_summaries(spark, sf_dir):
+    d = rendered(spark, sf_dir).select("pdf_id", "type", (F.col("doc_id") % 3).alias("n_scanned"), ((F.col("doc_id") % 100) / 100).alias("ocr_confidence"))
+    out = library.pdf_summary(d)
+    return out.select("pdf_id", "documents_found", F.map_values("page_classification")[0].alias("n_first_type"), "ocr_pages", F.round(F.col("average_confidence") * F.col("documents_found") * 100).cast("long").alias("confidence_sum"))
+
+
+def cached_pages(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", library.cache_key(F.col("html"), F.array("url"), 300, "eng", ("minimal",)).alias("cache_key"))
+    hits, misses = library.cached(p, p.where("page_id % 2 = 0").select("cache_key"))
+    return hits.select("page_id", F.lit(True).alias("hit")).unionByName(misses.select("page_id", F.lit(False).alias("hit")))
+
+
 _FUNCTIONS = (
     flagship, classify_keyword, classify_fraction, classify_phrases, classify_features, extract_dates, extract_references, extract_amounts, extract_emails, extract_keywords,
     extract_metadata, page_kinds, segment_pages, segment_truth, assemble_documents, fill_gaps, coalesce_ranges, merge_pairs, page_windows, range_metrics, best_overlap, page_coverage,
     confusion, boundary_votes, majority_type, adjacent_cosine, search_filtered, search_fields, token_index, store_stats, facet_counts, upsert, bulk_delete, relationship_lists, normal_names,
     text_quality, sensitive_docs, documents_by_source, recent_documents, conversation_windows, quality_grades, repaired_texts, chained_starts, cascade_gates, merged_ranges,
-    smart_windows, type_strategies, merged_parties,
+    smart_windows, type_strategies, merged_parties, refined_starts, refined_ranges, similar_parties, greedy_matches, first_overlap, merge_fragments, label_replies, screening_facts,
+    document_chunks, word_windows, boundary_indicators, document_parties, stored_documents, pdf_summaries, cached_pages,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -352,5 +433,31 @@ b AS (SELECT pdf_id, count(*) FILTER (WHERE length(trim(text)) < 50) >= count(*)
 j AS (SELECT t.pdf_id, n_pages::INT AS n_pages, coalesce(n, 0) AS n_docs, mean, coalesce(mean < 0.7, true) OR (n_pages >= 10 AND coalesce(n, 0) > n_pages / 1.5) AS odd, bare FROM totals t LEFT JOIN c USING (pdf_id) LEFT JOIN b USING (pdf_id)),
 k AS (SELECT *, n_pages >= 10 AND (odd OR bare) AS needs_visual FROM j)
 SELECT pdf_id, n_pages, n_docs, round(mean, 6) AS mean_confidence, needs_visual, n_pages >= 5 AND (odd OR NOT needs_visual) AS needs_llm FROM k""",
+    "greedy_matches": f"WITH {_TRUTH} SELECT pdf_id, ps, pe, ts, te, round(iou, 6) AS iou FROM met WHERE iou >= 0.51",
+    "first_overlap": f"""WITH {_TRUTH}, k AS (SELECT *, row_number() OVER (PARTITION BY pdf_id, ts, te ORDER BY ps, pe) AS n FROM met),
+j AS (SELECT t.pdf_id, k.iou FROM truth t LEFT JOIN k ON t.pdf_id = k.pdf_id AND t.start_page = k.ts AND t.end_page = k.te AND k.n = 1),
+g AS (SELECT pdf_id, count(*) AS n_true, count(*) FILTER (WHERE iou = 1) AS exact, count(*) FILTER (WHERE iou < 1) AS partial, count(*) FILTER (WHERE iou IS NULL) AS missed FROM j GROUP BY 1)
+SELECT g.pdf_id, coalesce(n, 0) AS n_pred, n_true, exact, partial, missed, greatest(coalesce(n, 0) - n_true, 0) AS extra, round(exact / n_true * 100, 4) AS accuracy FROM g LEFT JOIN (SELECT pdf_id, count(*) AS n FROM pred GROUP BY 1) p ON g.pdf_id = p.pdf_id""",
+    "merge_fragments": f"""WITH RECURSIVE {_TRUTH}, o AS (SELECT *, row_number() OVER (PARTITION BY pdf_id ORDER BY start_page) AS n, lead(start_page) OVER (PARTITION BY pdf_id ORDER BY start_page) AS ns, lead(end_page) OVER (PARTITION BY pdf_id ORDER BY start_page) AS ne FROM truth),
+f AS (SELECT *, start_page = end_page AND ns IS NOT NULL AND ne - ns <= 2 AS m FROM o),
+w AS (SELECT pdf_id, n, start_page, CASE WHEN m THEN ne ELSE end_page END AS end_page, n + 1 + m::INT AS follow FROM f WHERE n = 1
+  UNION ALL SELECT f.pdf_id, f.n, f.start_page, CASE WHEN f.m THEN f.ne ELSE f.end_page END, f.n + 1 + f.m::INT FROM w JOIN f ON f.pdf_id = w.pdf_id AND f.n = w.follow)
+SELECT pdf_id, start_page, end_page FROM w""",
+    "label_replies": f"""WITH c AS (SELECT event_id, event_id % 7 = 0 AS none, [{", ".join(f"'{c}'" for c in replies.CATEGORIES)}][event_id % {len(replies.CATEGORIES)} + 1] AS category,
+  [{", ".join(f"'{c}'" for c in replies.CATEGORIES.values())}][event_id % {len(replies.CATEGORIES)} + 1] AS label FROM events)
+SELECT event_id, CASE WHEN none THEN 'Other' ELSE category END AS category, CASE WHEN none THEN 'other' ELSE label END AS label, CASE WHEN none THEN 0 ELSE round((event_id % 101) / 100, 6) END::DOUBLE AS confidence,
+  CASE WHEN none THEN 'Could not parse response: no idea' ELSE 'as it says | so' END AS reason FROM c""",
+    "screening_facts": f"""WITH {PACKETS_SQL}, h AS (SELECT *, lower(text[1:500]) AS low, string_split(text, chr(10))[1:20] AS lines FROM packets)
+SELECT pdf_id, page_num::INT AS page_num, length(text)::INT AS text_length, len(list_filter(lines, lambda x: contains(x, '|'))) > 3 OR len(list_filter(lines, lambda x: contains(x, chr(9)))) > 5 AS has_table,
+  regexp_matches(low, 'from:|to:|subject:|sent:') AS has_email_header, regexp_matches(low, 'invoice|rfi|submittal|change order|daily report|notice') AS has_doc_header FROM h""",
+    "word_windows": f"""{_W}, w AS (SELECT doc_id, text, (length(text) // 2)::INT AS position, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x != '') AS words FROM rendered),
+a AS (SELECT *, least(len(regexp_extract_all(text[1:position], '\\S+')), len(words) - 1) AS k FROM w), s AS (SELECT *, least(k, len(words) - k) AS size FROM a)
+SELECT doc_id, position, array_to_string(words[k - size + 1:k], ' ') AS before, array_to_string(words[k + 1:k + size], ' ') AS after FROM s""",
+    "stored_documents": f"""{_W} SELECT doc_id, CASE type WHEN 'rfi' THEN 'RFI #' || doc_id WHEN 'change_order' THEN 'Change Order #' || doc_id WHEN 'invoice' THEN 'Invoice #' || doc_id
+    WHEN 'email' THEN 'Delay notice ' || doc_id WHEN 'letter' THEN 'Substantial completion of lot ' || doc_id ELSE 'Daily Report' END AS title, 'pending' AS status,
+  CASE type WHEN 'rfi' THEN 'RFI=' || doc_id || ';Project=P-' || doc_id WHEN 'change_order' THEN 'Change=Order ' || doc_id || ';Contract=C-' || doc_id WHEN 'invoice' THEN 'Invoice=' || doc_id ELSE '' END AS refs FROM rendered""",
+    "pdf_summaries": f"""{_W}, g AS (SELECT pdf_id, count(*) AS documents_found, sum(doc_id % 3)::BIGINT AS ocr_pages, sum(doc_id % 100)::BIGINT AS confidence_sum, min(type) AS t FROM rendered GROUP BY 1)
+SELECT pdf_id, documents_found, (SELECT count(*) FROM rendered r WHERE r.pdf_id = g.pdf_id AND r.type = g.t) AS n_first_type, ocr_pages, confidence_sum FROM g""",
+    "cached_pages": "WITH k AS (SELECT page_id, coalesce(html, '~null') AS h, coalesce(url, '~null') AS u FROM pages) SELECT page_id, (h, u) IN (SELECT (h, u) FROM k WHERE page_id % 2 = 0) AS hit FROM k",
     "merged_parties": f"{_W}, p AS (SELECT regexp_replace(c_name, '0+', '', 'g') AS name, type, pdf_id::VARCHAR AS company FROM (SELECT party AS c_name, type, pdf_id FROM rendered)) SELECT name, string_agg(DISTINCT type, ', ' ORDER BY type) AS role, NULL::VARCHAR AS email, NULL::VARCHAR AS phone, min(company) AS company, '' AS aliases FROM p GROUP BY name",
 }
