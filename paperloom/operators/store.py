@@ -25,6 +25,10 @@ class SearchFilter:
     amount_min: float | None = None
     amount_max: float | None = None
     title_part: str | None = None
+    reference_numbers: list[str] = field(default_factory=list)
+    has_tables: bool | None = None
+    has_images: bool | None = None
+    is_ocr: bool | None = None
     sort_by: str = "created"
     descending: bool = True
     offset: int = 0
@@ -44,6 +48,11 @@ class SearchFilter:
             tests.append(F.col("amount") >= self.amount_min)
         if self.amount_max is not None:
             tests.append(F.col("amount") <= self.amount_max)
+        if self.reference_numbers:
+            tests.append(F.arrays_overlap("reference_numbers", F.array(*map(F.lit, self.reference_numbers))))
+        for flag in ("has_tables", "has_images", "is_ocr"):
+            if getattr(self, flag) is not None:
+                tests.append(F.coalesce(F.col(flag), F.lit(False)) == getattr(self, flag))
         if self.title_part:
             tests.append(F.contains(F.lower("text"), F.lit(self.title_part.lower())))
         return reduce(lambda a, b: a & b, tests)
@@ -107,6 +116,12 @@ def search(docs: DataFrame, f: SearchFilter, index: DataFrame | None = None) ->
     return found.orderBy(key.desc() if f.descending else key.asc(), "doc_id").offset(f.offset).limit(f.limit)
 
 
+def with_page_flags(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """docs with has_tables, has_images, is_ocr: whether one of a document's pages (doc_id, has_tables, has_images, is_scanned) is such."""
+    flags = pages.groupBy("doc_id").agg(F.bool_or("has_tables").alias("has_tables"), F.bool_or("has_images").alias("has_images"), F.bool_or("is_scanned").alias("is_ocr"))
+    return docs.join(flags, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_tables", "has_images", "is_ocr")})
+
+
 def stats(docs: DataFrame) -> DataFrame:
     """One row: counts, distinct PDFs, mean amount, first and last dates."""
     return docs.agg(F.count("*").alias("n_docs"), F.count_distinct("pdf_id").alias("n_pdfs"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total"), F.try_divide(F.sum("amount"), F.count("*")).alias("mean_amount"), F.min("created").alias("first"), F.max("created").alias("last"))

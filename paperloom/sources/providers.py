@@ -18,8 +18,8 @@ def routed(prompts: DataFrame, mode: str, local_up: bool, cloud_up: bool, text:
     return prompts.withColumn("route", T.route(F.lit(mode), T.sensitive(F.col(text)), F.lit(local_up), F.lit(cloud_up)))
 
 
-def ask(prompts: DataFrame, models: dict[str, Model], batch: int = 16) -> DataFrame:
-    """(id, route, content): replies of models[route] to the prompts of (id, prompt, route), in batches of at most `batch` prompts.
+def ask(prompts: DataFrame, models: dict[str, Model], batch: int = 16, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, route, content): replies of models[route] to the prompts of (keys, prompt, route), in batches of at most `batch` prompts.
 
     A null prompt, a route without a model and a batch that fails have a null reply, so that the fallback can tell them apart.
     Models are called in the executors; repartition prompts first where calls are slow.
@@ -27,7 +27,7 @@ def ask(prompts: DataFrame, models: dict[str, Model], batch: int = 16) -> DataFr
 
     def run(frames: Iterator) -> Iterator:
         for frame in frames:
-            out = frame[["id", "route"]].copy()
+            out = frame[[*keys, "route"]].copy()
             out["content"] = None
             for route, model in models.items():
                 rows = frame.index[(frame["route"] == route) & frame["prompt"].notna()]
@@ -39,8 +39,8 @@ def ask(prompts: DataFrame, models: dict[str, Model], batch: int = 16) -> DataFr
                         continue
             yield out
 
-    kind = prompts.schema["id"].dataType.simpleString()
-    return prompts.select("id", "prompt", "route").mapInPandas(run, f"id {kind}, route string, content string")
+    kinds = ", ".join(f"`{k}` {prompts.schema[k].dataType.simpleString()}" for k in keys)
+    return prompts.select(*keys, "prompt", "route").mapInPandas(run, f"{kinds}, route string, content string")
 
 
 def read_images(images: DataFrame, readers: dict[str, Reader], enough: float = 0.9) -> DataFrame:
