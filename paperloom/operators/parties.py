@@ -39,7 +39,15 @@ def base_name(normal: Column) -> Column:
 def _ratio(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+        out, matcher, last = [0.0] * len(x), SequenceMatcher(None), None
+        # the matcher prepares its second text; pairs in order of it prepare each once
+        for i, p, q in sorted(zip(range(len(x)), x, y, strict=True), key=lambda t: t[2]):
+            if q != last:
+                matcher.set_seq2(q)
+                last = q
+            matcher.set_seq1(p)
+            out[i] = matcher.ratio()
+        return pd.Series(out, dtype="float64")
 
     return run(a, b)
 
@@ -71,10 +79,13 @@ def similar_links(nodes: DataFrame, threshold: float = 0.85) -> DataFrame:
     if not 0.82 <= threshold <= 0.95:
         raise ValueError("the threshold lies between 0.82 and 0.95")
     sized = nodes.select("key", "ord", "base", F.char_length("base").alias("n"))
-    a, b = _grams(sized, threshold).alias("a"), _grams(sized, threshold).alias("b")
+    grams = kept(_grams(sized, threshold), "party-grams")
+    a, b = grams.alias("a"), grams.alias("b")
     near = (F.col("a.ord") < F.col("b.ord")) & (2 * F.least("a.n", "b.n") >= threshold * (F.col("a.n") + F.col("b.n")) - 1e-9)
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.gram") == F.col("b.gram")) & near)
-    pairs = met.select("a.key", F.col("a.ord").alias("u"), F.col("b.ord").alias("v"), F.col("a.base").alias("x"), F.col("b.base").alias("y")).distinct()
+    pairs = met.select("a.key", F.col("a.ord").alias("u"), F.col("b.ord").alias("v"), F.col("a.base").alias("x"), F.col("b.base").alias("y"))
+    # the matcher is the costly part: as many partitions as there are, also where the pairs take few bytes
+    pairs = pairs.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "u", "v").dropDuplicates(["key", "u", "v"])
     links = pairs.where(_ratio(F.col("x"), F.col("y")) >= threshold).select("key", "u", "v")
     if threshold > 0.9:
         return links
