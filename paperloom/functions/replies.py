@@ -110,11 +110,13 @@ def needs_chunks(text: Column, most_tokens: int = 6000) -> Column:
     return F.coalesce(F.char_length(text) / 4, F.lit(0.0)) > most_tokens
 
 
-def chunks(text: Column, most_tokens: int = 6000, overlap: int = 5) -> Column:
+def chunks(text: Column, most_tokens: int = 6000, overlap: int = 5, whole: bool = False) -> Column:
     """A text in pieces of about most_tokens (4 characters each), cut at ". "; each begins with the last sentences of the one before.
 
-    A sentence that is too long by itself is clipped where a piece would begin with it. One text is one row, so the fold stays in it.
+    A sentence that is too long by itself is clipped where a piece would begin with it; with whole, nothing is clipped and
+    pieces over most_tokens are cut into several. One text is one row, so the fold stays in it.
     """
+    limit = most_tokens * 4
     fits = lambda s: F.char_length(s) * 0.25 <= most_tokens
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
@@ -123,14 +125,19 @@ def chunks(text: Column, most_tokens: int = 6000, overlap: int = 5) -> Column:
         pieces = F.split(now, r"\. ")
         tail = F.array_join(F.slice(pieces, F.greatest(F.size(pieces) - overlap + 1, F.lit(1)), overlap), ". ")
         more = F.struct(done.alias("done"), F.concat(now, sentence, F.lit(". ")).alias("now"))
-        alone = F.struct(F.concat(done, F.array(F.substring(sentence, 1, most_tokens * 4))).alias("done"), F.lit("").alias("now"))
+        alone = F.struct(F.concat(done, F.array(sentence if whole else F.substring(sentence, 1, limit))).alias("done"), F.lit("").alias("now"))
         following = F.struct(F.concat(done, F.array(strip(now))).alias("done"), F.concat(tail, F.lit(". "), sentence).alias("now"))
         return F.when(fits(F.concat(now, sentence)), more).when(now == "", alone).otherwise(following)
 
     def close(state: Column) -> Column:
         return F.when(strip(state["now"]) == "", state["done"]).otherwise(F.concat(state["done"], F.array(strip(state["now"]))))
 
-    return F.aggregate(F.split(F.coalesce(text, F.lit("")), r"\. "), start, step, close)
+    def cut(piece: Column) -> Column:
+        last = F.floor(F.greatest(F.char_length(piece) - 1, F.lit(0)) / limit).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: piece.substr(k * limit + 1, F.lit(limit)))
+
+    pieces = F.aggregate(F.split(F.coalesce(text, F.lit("")), r"\. "), start, step, close)
+    return F.flatten(F.transform(pieces, cut)) if whole else pieces
 
 
 def cost(prompt_tokens: Column, reply_tokens: Column, price_in: Column, price_out: Column) -> Column:

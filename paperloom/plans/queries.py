@@ -302,7 +302,7 @@ def screening_facts(spark, sf_dir):
 
 
 def document_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(replies.chunks(F.col("text"), 500)).alias("place", "chunk"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(replies.chunks(F.col("text"), 500, whole=True)).alias("place", "chunk"))
     return d.select("doc_id", "place", F.char_length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
