@@ -2,7 +2,8 @@
 
 Each record is a gzip member of its own. This writer notes the member's length in the member's extra field,
 so its reader goes from header to header without inflating what no predicate lets through; members without
-the note (other writers' files) and plain WARC files are read through.
+the note (other writers' files, of one record or many, which then share the member's position) and plain WARC
+files are read through. Headers have any length; what is no whole record is an error.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ _FROM_HEADER = {
     "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest",
 }
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_HEAD_BYTES = 64 << 10
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -192,22 +192,21 @@ class WarcReader(DataSourceReader):
     def _records(self, path: str, raw):
         """Headers first; of a record that no predicate lets through, nothing else is decoded."""
         buffer = Buffer(raw)
-        position = 0
         while head := buffer.peek(4):
-            gz = head[:2] == b"\x1f\x8b"
-            source = Member(buffer) if gz else Plain(buffer)
-            headers = parse_headers(source)
-            if headers is None:
-                if not gz:
-                    return
-                position = source.finish()
-                continue
-            at, length = position, int(headers.get("content-length") or 0)
-            if self._wants(headers):
-                yield self._row(path, at, headers, source, length)
-            else:
-                source.skip(length)
-            position = source.finish()
+            at = buffer.at
+            source = Member(buffer) if head[:2] == b"\x1f\x8b" else Plain(buffer)
+            while source.more():
+                headers = parse_headers(source)
+                if headers is None:
+                    raise ValueError(f"no whole WARC record in {path} at {at}")
+                length = int(headers.get("content-length") or 0)
+                if self._wants(headers):
+                    yield self._row(path, at, headers, source, length)
+                else:
+                    source.skip(length)
+                if source.single:
+                    break
+            source.finish()
 
     def _row(self, path, at, headers, source, length):
         block, digest, size = None, None, None
@@ -245,9 +244,16 @@ class Buffer:
 
 
 class Plain:
+    """One record of a file without compression."""
+
+    single = True
+
     def __init__(self, buffer: Buffer):
         self.buffer = buffer
 
+    def more(self) -> bool:
+        return bool(self.peek(1))
+
     def peek(self, n: int) -> bytes:
         return self.buffer.peek(n)
 
@@ -257,14 +263,13 @@ class Plain:
     def skip(self, n: int) -> None:
         self.buffer.skip(n)
 
-    def finish(self) -> int:
+    def finish(self) -> None:
         while self.buffer.peek(1) in (b"\r", b"\n"):
             self.buffer.take(1)
-        return self.buffer.at
 
 
 class Member:
-    """One gzip member, inflated as far as it is read."""
+    """One gzip member, inflated as far as it is read; one that notes its length holds a single record."""
 
     def __init__(self, buffer: Buffer):
         self.buffer, self.start = buffer, buffer.at
@@ -272,9 +277,15 @@ class Member:
         head = buffer.peek(32)
         if len(head) == 32 and head[3] == 4 and head[12:14] == b"sl":
             self.length = struct.unpack("<Q", head[16:24])[0]
+        self.single = self.length is not None
         self.inflate = zlib.decompressobj(31)
         self.held = b""
 
+    def more(self) -> bool:
+        while self.peek(1) in (b"\r", b"\n"):
+            self.read(1)
+        return bool(self.held)
+
     def _more(self) -> bool:
         if self.inflate.eof:
             return False
@@ -302,28 +313,27 @@ class Member:
             while n > 0 and (got := self.read(min(n, 1 << 20))):
                 n -= len(got)
 
-    def finish(self) -> int:
+    def finish(self) -> None:
         if self.length is not None and not self.inflate.eof:
             self.buffer.skip(self.start + self.length - self.buffer.at)
         else:
             while self._more():
                 self.held = b""
-        return self.buffer.at
 
 
 def parse_headers(source) -> dict[str, str] | None:
-    """Header names in lower case with their values, or None at what is no record."""
+    """Header names in lower case with their values, or None at what is no record or ends before its blank line."""
     size = 1024
+    if source.peek(5) != b"WARC/":
+        return None
     while True:
         head = source.peek(size)
         end = head.find(b"\r\n\r\n")
         if end >= 0:
             break
-        if len(head) < size or size >= 16 * _HEAD_BYTES:
+        if len(head) < size:
             return None
         size *= 4
-    if not head.startswith(b"WARC/"):
-        return None
     source.read(end + 4)
     out = {}
     for line in head[:end].decode("utf-8", "replace").split("\r\n")[1:]:

@@ -1,0 +1,38 @@
+"""Whole jobs: nothing of the input is left out."""
+
+import gzip
+
+import pytest
+
+from paperloom.llm import warc
+
+
+def _record(k, kind="response", url="u", size=50):
+    return warc.record([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{k}>"), ("WARC-Target-URI", url)], bytes([97 + k % 26]) * size)
+
+
+def test_one_gzip_stream_of_many_records(spark, tmp_path):
+    records = [_record(k, "revisit" if k % 3 == 0 else "response", size=40_000 * (k % 2) + k) for k in range(12)]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(records[:9])) + gzip.compress(records[9]) + gzip.compress(b"") + warc.member(records[10]) + warc.member(records[11]))
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted((warc_id(r), r.payload_bytes, r.payload[:1]) for r in rows) == [(k, 40_000 * (k % 2) + k, bytes([97 + k]) if k else b"") for k in range(12)]
+    assert sorted(map(warc_id, warc.read(spark, str(tmp_path)).where("record_type = 'revisit'").collect())) == [0, 3, 6, 9]
+    assert sorted(map(warc_id, warc.read(spark, str(tmp_path), payload=False).collect())) == list(range(12))
+
+
+def warc_id(row):
+    return int(row.record_id[10:-1])
+
+
+@pytest.mark.parametrize("packed", ["plain", "gzip", "own"])
+def test_headers_of_any_length(spark, tmp_path, packed):
+    records = [_record(0), _record(1, url="u" * 3_000_000), _record(2)]
+    data = {"plain": b"".join(records), "gzip": b"".join(map(gzip.compress, records)), "own": b"".join(map(warc.member, records))}[packed]
+    (tmp_path / ("a.warc" if packed == "plain" else "a.warc.gz")).write_bytes(data)
+    assert sorted((warc_id(r), len(r.target_uri), r.payload_bytes) for r in warc.read(spark, str(tmp_path)).collect()) == [(0, 1, 50), (1, 3_000_000, 50), (2, 1, 50)]
+
+
+def test_what_is_no_record_is_an_error(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(_record(0) + b"junk\r\n\r\n" + _record(1))
+    with pytest.raises(Exception, match="no whole WARC record"):
+        warc.read(spark, str(tmp_path)).collect()
