@@ -21,13 +21,21 @@ from . import flat
 from .shared import kept
 
 WIDTH, THRESHOLD = 5, 0.8
-BANDS, ROWS = 25, 4
+#: MinHash values, the most of them in a band, and the most probable miss of a pair at the threshold.
+_K, ROWS, MISS = 100, 4, 2e-6
 STEP, BLOCK = 20, 256
-_K = BANDS * ROWS
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, _K, dtype=np.uint64)
-_BAND_KEYS = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_KEYS = _rng.integers(1, 1 << 63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_rows(threshold: float) -> int:
+    """The most values in a band, up to ROWS, at which a pair at the threshold shares none with probability of at most MISS."""
+    for rows in range(ROWS, 0, -1):
+        if 0 < threshold <= 1 and (1 - threshold**rows) ** (_K // rows) <= MISS:
+            return rows
+    raise ValueError(f"{_K} MinHash values find no links at a threshold of {threshold} with a miss of at most {MISS}")
 
 
 @lru_cache(16)
@@ -62,10 +70,11 @@ def signatures(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def band_hashes(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band, the band's number taken in."""
-    parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
-    return flat.mix((parts * _BAND_KEYS).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def band_hashes(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A 64-bit key of each band of so many values, the band's number taken in."""
+    bands = _K // rows
+    parts = sig[:, : bands * rows].reshape(len(sig), bands, rows).astype(np.uint64)
+    return flat.mix((parts * _BAND_KEYS[: bands * rows].reshape(bands, rows)).sum(axis=2) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _set_keys(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,27 +110,27 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     return slim.mapInArrow(run, "id long, row_hash long, h1 long, h2 long, size long, sig binary")
 
 
-def _bands(classes: DataFrame, extra: str = "") -> DataFrame:
+def _bands(classes: DataFrame, rows: int) -> DataFrame:
     """band, key, h1, h2 of every class."""
-    slim = classes.select("h1", "h2", "sig")
+    slim, bands = classes.select("h1", "h2", "sig"), _K // rows
 
     def run(batches):
-        band = np.tile(np.arange(BANDS, dtype=np.int32), 4096)
+        band = np.tile(np.arange(bands, dtype=np.int32), 4096)
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 c = b.slice(i, 4096)
                 sig = np.frombuffer(b"".join(c.column(2).to_pylist()), np.uint32).reshape(-1, _K)
-                keys = band_hashes(sig).ravel().view(np.int64)
-                h1, h2 = (np.repeat(c.column(k).to_numpy(), BANDS) for k in (0, 1))
+                keys = band_hashes(sig, rows).ravel().view(np.int64)
+                h1, h2 = (np.repeat(c.column(k).to_numpy(), bands) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, (band[: len(keys)], keys, h1, h2))), names=["band", "key", "h1", "h2"])
 
     return slim.mapInArrow(run, "band int, key long, h1 long, h2 long")
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
+def _buckets(classes: DataFrame, rows: int) -> DataFrame:
     """key, band, members of the buckets of two or more classes; of buckets with the same members, that of the first band."""
     who = F.xxhash64("h1", "h2")
-    found = _bands(classes).groupBy("key").agg(F.min("band").alias("band"), F.count("*").alias("members"), F.bit_xor(who).alias("x"), F.sum(who.cast("decimal(20,0)")).alias("s"))
+    found = _bands(classes, rows).groupBy("key").agg(F.min("band").alias("band"), F.count("*").alias("members"), F.bit_xor(who).alias("x"), F.sum(who.cast("decimal(20,0)")).alias("s"))
     found = found.where("members > 1")
     firsts = found.groupBy("members", "x", "s").agg(F.min(F.struct("band", "key")).alias("first"))
     return firsts.select("first.key", "first.band", "members")
@@ -189,7 +198,7 @@ def _compare_block(b: pa.Table, threshold: float, tolerance: float):
     if not len(left):
         return None
     # bands before this bucket's must differ: else the pair belongs to an earlier bucket
-    parts = band_hashes(sig)
+    parts = band_hashes(sig, band_rows(threshold))
     for k in range(band):
         stay = parts[left, k] != parts[right, k]
         left, right = left[stay], right[stay]
@@ -251,13 +260,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     rows that links of at least `threshold` join, directly or through others; n_links: rows with a similarity of at
     least `threshold` to this one, copies taken in. Texts of 1 to width - 1 words have one n-gram; null texts and
     texts without words have none, no links, and themselves as class. Null ids are skipped in least ids.
+    A pair at the threshold is missed with a probability of at most MISS: below 0.8 bands hold fewer values, so buckets
+    and candidates grow, and a threshold too low for any band is an error.
     """
+    per_band = band_rows(threshold)
     rows = kept(signed(docs, doc_id, text, width), "ngram-rows")
     worded = rows.where("size > 0")
     classes = worded.groupBy("h1", "h2").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.min("row_hash").alias("row_hash"), F.first("sig").alias("sig"))
     classes = kept(classes, "ngram-classes")
-    buckets = kept(_buckets(classes), "ngram-buckets")
-    members = kept(_bands(classes).join(buckets, ["key", "band"]), "ngram-members")
+    buckets = kept(_buckets(classes, per_band), "ngram-buckets")
+    members = kept(_bands(classes, per_band).join(buckets, ["key", "band"]), "ngram-members")
     wanted = kept(members.select("h1", "h2").distinct().join(classes, ["h1", "h2"]), "ngram-wanted")
     sets = kept(_sets(docs, wanted, doc_id, text, width), "ngram-sets")
     verified = kept(_verified(members, sets, threshold, tolerance), "ngram-links")

@@ -1,10 +1,13 @@
 """Whole jobs: nothing of the input is left out."""
 
 import gzip
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from paperloom.llm import warc
+from paperloom.llm import ngram_join, warc
 
 
 def _record(k, kind="response", url="u", size=50):
@@ -36,3 +39,32 @@ def test_what_is_no_record_is_an_error(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(_record(0) + b"junk\r\n\r\n" + _record(1))
     with pytest.raises(Exception, match="no whole WARC record"):
         warc.read(spark, str(tmp_path)).collect()
+
+
+def test_bands_fit_the_threshold():
+    assert ngram_join.band_rows(0.8) == ngram_join.band_rows(0.95) == 4
+    for t in (0.2, 0.5, 0.6, 0.7, 0.79):
+        rows = ngram_join.band_rows(t)
+        assert (1 - t**rows) ** (100 // rows) <= 2e-6
+    for t in (0.0, 0.1, 1.5):
+        with pytest.raises(ValueError, match="threshold"):
+            ngram_join.band_rows(t)
+    sig = np.arange(300, dtype=np.uint32).reshape(3, 100)
+    assert [ngram_join.band_hashes(sig, r).shape[1] for r in (4, 3, 2, 1)] == [25, 33, 50, 100]
+
+
+def test_links_at_a_low_threshold_by_brute_force(spark):
+    rng = random.Random(11)
+    texts = []
+    for k in range(60):
+        base = [f"w{k}x{i}" for i in range(24)]
+        # 20 n-grams, and 13, 12 or 11 of which all but one are shared: similarities of 12, 11 or 10 of 21
+        texts += [" ".join(base), " ".join(base[: 16 - rng.randint(0, 2)] + [f"z{k}"])]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = Counter()
+    for i in range(len(grams)):
+        for j in range(len(grams)):
+            want[i] += i != j and len(grams[i] & grams[j]) >= 0.5 * len(grams[i] | grams[j])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.n_links for r in ngram_join.join(rows, threshold=0.5).collect()}
+    assert got == dict(want) and sum(got.values()) > 60
