@@ -271,7 +271,7 @@ def refined_ranges(spark, sf_dir):
 
 def similar_parties(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    names = s.select((F.col("s_nationkey") % 5).alias("key"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("name"))
+    names = s.select(F.lit(0).alias("key"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("name"))
     return parties.similar_groups(names).select("key", "canonical", F.array_join("members", "|").alias("members"))
 
 

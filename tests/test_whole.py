@@ -33,3 +33,11 @@ def test_document_chunks_hold_the_whole_text(spark, tmp_path):
 
     spark.createDataFrame([(1, "x" * 7001)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [(r.place, r.n_chars) for r in queries.document_chunks(spark, str(tmp_path)).orderBy("place").collect()] == [(0, 2000), (1, 2000), (2, 2000), (3, 1001)]
+
+
+def test_similar_parties_of_all_nations(spark, tmp_path):
+    from paperloom.plans import queries
+
+    rows = [(1, "Harbor Lights Marina", 0), (2, "Granite Peak Masonry", 1), (3, "Harbor Light Marina", 1), (4, "Harbour Lights Marina", 7)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert [r.members for r in queries.similar_parties(spark, str(tmp_path)).collect()] == ["Harbor Lights Marina|Harbor Light Marina|Harbour Lights Marina"]
