@@ -104,31 +104,29 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 FORMATTED_SCHEMA = "formatted string, loss_starts array<int>, loss_ends array<int>, attachments string, attachment_tokens long"
 
 
-def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", typed: bool = False) -> DataFrame:
+def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", typed: bool = False, visitor: PartVisitor | None = None) -> DataFrame:
     """One row per conversation: conv, n_turns and FORMATTED_SCHEMA.
 
     Rows go by turn (null first; ties by role, then text). A null text or role is empty. Rows without a
-    conversation id form one of their own. With typed, texts that are JSON lists hold content parts.
+    conversation id form one of their own. Every turn goes through the visitor: with typed, texts that are JSON lists
+    hold content parts; all others are a text part.
     The one string of a conversation has to fit a task, as any row has to; no more than its turns meet there.
     """
     kind = turns.schema[conv].dataType.simpleString()
     packed = turns.groupBy(F.col(conv).alias("conv__")).agg(
         F.sort_array(F.collect_list(F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t")))).alias("turns__")
     )
+    visitor = visitor or PartVisitor()
     packed = packed.select("conv__", F.transform("turns__", lambda x: x.r).alias("roles"), F.transform("turns__", lambda x: x.t).alias("texts"))
 
     def run(batches):
-        visitor = PartVisitor()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 rows = []
                 for roles, texts in zip(b.column(1).slice(i, 256).to_pylist(), b.column(2).slice(i, 256).to_pylist(), strict=True):
-                    found: list[dict] = []
-                    if typed:
-                        flat = [visitor.flatten(_parts(t)) for t in texts]
-                        found = [{"turn": k, **a} for k, f in enumerate(flat) for a in f.attachments]
-                        texts = [f.text for f in flat]
-                    out, spans = format_turns(list(zip(roles, texts, strict=True)))
+                    flat = [visitor.flatten(_parts(t) if typed else t) for t in texts]
+                    found = [{"turn": k, **a} for k, f in enumerate(flat) for a in f.attachments]
+                    out, spans = format_turns(list(zip(roles, (f.text for f in flat), strict=True)))
                     rows.append((len(roles), out, [s for s, _ in spans], [e for _, e in spans], json.dumps(found), sum(a["tokens"] for a in found)))
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.int64()]
@@ -150,8 +148,8 @@ def _parts(text: str):
 
 
 def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Digests of each formatted conversation, from its string and loss ranges alone."""
-    rows = formatted.select(conv, "formatted", "loss_starts", "loss_ends")
+    """Digests of each formatted conversation, from its string and loss ranges alone, and its attachments with their tokens."""
+    rows = formatted.select(conv, "formatted", "loss_starts", "loss_ends", "attachments", "attachment_tokens")
     kind = rows.schema[conv].dataType.simpleString()
 
     def run(batches):
@@ -164,6 +162,7 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
                     whole = "".join(f"{r}\n{t}\n" for r, t in turns)
                     out.append((len(turns), sha256(whole.encode()).hexdigest(), len(loss), sha256(loss.encode()).hexdigest(), len(text)))
                 columns = zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 256), *(pa.array(c, k) for c, k in columns)], names=[conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                names = [conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "attachments", "attachment_tokens"]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 256), *(pa.array(c, k) for c, k in columns), *(b.column(k).slice(i, 256) for k in (4, 5))], names=names)
 
-    return rows.mapInArrow(run, f"`{conv}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(run, f"`{conv}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachments string, attachment_tokens long")

@@ -34,7 +34,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     formatted = kept(chat.format_conversations(turns.unionByName(extra)), "chat-formatted")
-    return chat.read_back(formatted)
+    return chat.read_back(formatted).drop("attachments", "attachment_tokens")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Whole jobs: nothing of the input is left out."""
 
 import gzip
+import json
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from paperloom.llm import ngram_join, warc
+from paperloom.llm import chat, ngram_join, warc
 
 
 def _record(k, kind="response", url="u", size=50):
@@ -68,3 +69,19 @@ def test_links_at_a_low_threshold_by_brute_force(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.id: r.n_links for r in ngram_join.join(rows, threshold=0.5).collect()}
     assert got == dict(want) and sum(got.values()) > 60
+
+
+def test_every_turn_goes_through_the_visitor(spark):
+    class Loud(chat.PartVisitor):
+        def visit_text(self, part, out):
+            out.text += part["text"].upper()
+
+    parts = json.dumps([{"type": "text", "text": "see "}, {"type": "image", "ref": "a.png", "width": 1000, "height": 500}, {"type": "audio", "seconds": 2}])
+    turns = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", "[a]"), (2, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
+    plain = {r.conv_id: r for r in chat.format_conversations(turns, visitor=Loud()).collect()}
+    assert chat.read_turns(plain[1].formatted) == [("user", parts.upper()), ("assistant", "[A]")] and plain[1].attachments == "[]"
+    typed = {r.conv_id: r for r in chat.read_back(chat.format_conversations(turns, typed=True)).collect()}
+    assert [(a["turn"], a["number"], a["kind"], a["tokens"]) for a in json.loads(typed[1].attachments)] == [(0, 0, "image", 425), (0, 1, "audio", 50)]
+    assert (typed[1].attachment_tokens, typed[2].attachments, typed[2].attachment_tokens, typed[1].loss_chars) == (475, "[]", 0, 3)
+    text = {r.conv_id: chat.read_turns(r.formatted) for r in chat.format_conversations(turns, typed=True).collect()}
+    assert text[1] == [("user", "see {{image:0}}{{audio:1}}"), ("assistant", "[a]")]
