@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import flat
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, COMMA = range(8)
 #: Function words of the grammar, in English, German, French and Spanish.
 FUNCTION_WORDS = {
     THREAT: "kill hurt destroy beat smash burn töten schlagen vernichten tuer tuerai frapper détruire matar mataré golpear destruir",
@@ -33,9 +33,11 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: Outcomes of a clause, in order of the features.
 OUTCOMES = ("aimed", "plain", "negated", "reported", "threat")
 _INSIDE = np.zeros(256, bool)
-_INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256), 39]] = True
+_INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _CLOSES = np.zeros(256, bool)
-_CLOSES[list(b".!?;:\n|,")] = True
+_CLOSES[list(b".!?;:\n|")] = True
+#: Curly quotation marks and apostrophes as plain ones.
+_QUOTES = (("\u2018", "'"), ("\u2019", "'"), ("\u201c", '"'), ("\u201d", '"'))
 
 
 # transducers -----------------------------------------------------------------------------------------------------
@@ -69,13 +71,15 @@ class Transducer:
 _NEGATED, _REPORTED, _AIMED = 8, 16, 32
 
 
-def scope(opener: int, mark: int, reach: int) -> Transducer:
-    """Marks insults and threats up to `reach` words after the opener in its clause."""
+def scope(opener: int, mark: int, reach: int, passes: bool = False) -> Transducer:
+    """Marks insults and threats up to `reach` words after the opener in its clause, or with passes over commas too."""
 
     def step(state, symbol):
         kind = symbol & 7
         if kind == END:
             return 0, symbol
+        if kind == COMMA:
+            return state if passes else 0, symbol
         if kind == opener:
             return reach, symbol
         if kind in (INSULT, THREAT) and state:
@@ -86,8 +90,8 @@ def scope(opener: int, mark: int, reach: int) -> Transducer:
 
 
 def grammar() -> Transducer:
-    """Negation within four words, a target within six, reported speech to the end of the clause (60 words)."""
-    return scope(NEGATION, _NEGATED, 4).compose(scope(REPORT, _REPORTED, 60)).compose(scope(TARGET, _AIMED, 6))
+    """Negation within four words, a target within six, reported speech over commas to the end of the sentence (60 words)."""
+    return scope(NEGATION, _NEGATED, 4).compose(scope(REPORT, _REPORTED, 60, passes=True)).compose(scope(TARGET, _AIMED, 6))
 
 
 def outcome(symbol: int) -> int:
@@ -113,11 +117,17 @@ def _stem_keys(prefix: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return flat.flat_bytes(pa.array([(t or "").lower() for t in texts.to_pylist()], pa.large_string()))
+    def one(text: str) -> str:
+        text = text.lower()
+        for curly, plain in _QUOTES:
+            text = text.replace(curly, plain)
+        return text
+
+    return flat.flat_bytes(pa.array([one(t or "") for t in texts.to_pylist()], pa.large_string()))
 
 
 def spans(raw: np.ndarray, offs: np.ndarray):
-    """Words (runs of letters, digits, apostrophes) as starts, ends, text numbers."""
+    """Words (runs of letters and digits; apostrophes part them) as starts, ends, text numbers."""
     inside = _INSIDE[raw]
     if not len(raw):
         z = np.zeros(0, np.int64)
@@ -195,21 +205,28 @@ def features(raw: np.ndarray, offs: np.ndarray, model: Model, machine: Transduce
     core = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
     if not len(core):
         return out
-    closes = np.concatenate(([0], np.cumsum(_CLOSES[raw])))
-    clause = closes[starts]  # clause number of each word in the flat array; texts never share one with a match below
-    edge = np.concatenate(([True], (clause[1:] != clause[:-1]) | (doc[1:] != doc[:-1])))
+    closes, commas = (np.concatenate(([0], np.cumsum(x))) for x in (_CLOSES[raw], raw == 44))
+    sentence, clause = closes[starts], commas[starts]  # numbers in the flat array; texts never share one with a match below
+    edge = np.concatenate(([True], (sentence[1:] != sentence[:-1]) | (doc[1:] != doc[:-1])))
     number = np.cumsum(edge) - 1
     heads = np.append(np.flatnonzero(edge), len(starts))
+    # what an apostrophe parts from its word (don't, you're) takes no place in a scope
+    rest = np.zeros(len(starts), bool)
+    rest[1:] = (starts[1:] == ends[:-1] + 1) & (raw[ends[:-1]] == 39) & (symbol[1:] == OTHER) & ~edge[1:]
     for c in np.unique(number[core]).tolist():
         i, j = heads[c], heads[c + 1]
-        left = machine.run(symbol[i:j].tolist())
+        at = i + np.flatnonzero(~rest[i:j])
+        turns = np.flatnonzero(np.diff(clause[at])) + 1
+        left = machine.run(np.insert(symbol[at], turns, COMMA).tolist())
         best: dict[int, float] = {}
-        for s, w in zip(left, weight[i:j].tolist(), strict=True):
+        for s, w in zip([*left, COMMA], [*np.insert(weight[at], turns, 0.0).tolist(), 0.0], strict=True):
             if s & 7 in (INSULT, THREAT):
                 k = outcome(s)
                 best[k] = max(best.get(k, 0.0), w)
-        for k, w in best.items():
-            out[doc[i], k] += w
+            elif s & 7 == COMMA:
+                for k, v in best.items():
+                    out[doc[i], k] += v
+                best = {}
     out[:, len(OUTCOMES) :] = out[:, : len(OUTCOMES)] > 0
     out[:, : len(OUTCOMES)] = np.log1p(out[:, : len(OUTCOMES)])
     return out

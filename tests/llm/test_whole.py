@@ -6,9 +6,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from paperloom.llm import chat, ngram_join, warc
+from paperloom.llm import chat, ngram_join, toxicity, warc
 
 
 def _record(k, kind="response", url="u", size=50):
@@ -85,3 +86,16 @@ def test_every_turn_goes_through_the_visitor(spark):
     assert (typed[1].attachment_tokens, typed[2].attachments, typed[2].attachment_tokens, typed[1].loss_chars) == (475, "[]", 0, 3)
     text = {r.conv_id: chat.read_turns(r.formatted) for r in chat.format_conversations(turns, typed=True).collect()}
     assert text[1] == [("user", "see {{image:0}}{{audio:1}}"), ("assistant", "[a]")]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("you are an idiot", {"aimed"}), ("you're an idiot", {"aimed"}), ("it isn't a big old idiot", {"negated"}), ("they don\u2019t like the idiot", {"negated"}),
+    ("she said, you are an idiot", {"reported"}), ("she said, well, you are an idiot. you idiot", {"reported", "aimed"}), ("you, what an idiot", {"plain"}), ("not so, you idiot", {"aimed"}),
+    ("what an 'idiot'", {"plain"}), ("what an \u201cidiot\u201d", {"plain"}), ("l'idiot", {"plain"}), ("'you' idiots'", {"aimed"}), ("the clock's hand", set()), ("", set()),
+])
+def test_apostrophes_and_commas_in_the_grammar(text, want):
+    keys = sorted(toxicity.word_keys(w) for w in ("idiot", "idiots"))
+    model = toxicity.Model(np.array(keys, np.uint64), np.ones(2), np.zeros(2 * len(toxicity.OUTCOMES) + 1))
+    raw, offs = toxicity.lowered(pa.array([text, "an idiot"]))
+    row = toxicity.features(raw, offs, model, toxicity.grammar())
+    assert {o for o, x in zip(toxicity.OUTCOMES, row[0], strict=False) if x > 0} == want and row[1, 1] > 0
