@@ -119,6 +119,12 @@ def range_metrics(spark, sf_dir):
     return out.select("pdf_id", "n_pred", "n_true", "exact", "missed", "extra", "partial", F.round("mean_iou", 4).alias("mean_iou"), F.round("f1", 6).alias("f1"))
 
 
+def detector_metrics(spark, sf_dir):
+    """The ranges of segment_pages, a detector's output, against the true ones."""
+    out = evaluate.range_metrics(segment_pages(spark, sf_dir), _truth(packets(spark, sf_dir)))
+    return out.select("pdf_id", "n_pred", "n_true", "exact", "missed", "extra", "partial", F.round("mean_iou", 4).alias("mean_iou"), F.round("f1", 6).alias("f1"))
+
+
 def best_overlap(spark, sf_dir):
     pages = packets(spark, sf_dir)
     return evaluate.best_overlap(_truth(pages), segment.coalesce_ranges(_some_ranges(pages)))
@@ -243,7 +249,7 @@ def cascade_gates(spark, sf_dir):
 
 def merged_ranges(spark, sf_dir):
     pages = packets(spark, sf_dir)
-    return cascade.merge_llm(cascade.with_confidence(_truth(pages)), cascade.with_confidence(_some_ranges(pages)), merge_adjacent=False)
+    return cascade.merge_llm(cascade.with_confidence(_truth(pages)), cascade.with_confidence(segment_pages(spark, sf_dir)), merge_adjacent=False)
 
 
 def smart_windows(spark, sf_dir):
@@ -343,7 +349,7 @@ def cached_pages(spark, sf_dir):
 
 _FUNCTIONS = (
     flagship, classify_keyword, classify_fraction, classify_phrases, classify_features, extract_dates, extract_references, extract_amounts, extract_emails, extract_keywords,
-    extract_metadata, page_kinds, segment_pages, segment_truth, assemble_documents, fill_gaps, coalesce_ranges, merge_pairs, page_windows, range_metrics, best_overlap, page_coverage,
+    extract_metadata, page_kinds, segment_pages, segment_truth, assemble_documents, fill_gaps, coalesce_ranges, merge_pairs, page_windows, range_metrics, detector_metrics, best_overlap, page_coverage,
     confusion, boundary_votes, majority_type, adjacent_cosine, search_filtered, search_fields, token_index, store_stats, facet_counts, upsert, bulk_delete, relationship_lists, normal_names,
     text_quality, sensitive_docs, documents_by_source, recent_documents, conversation_windows, quality_grades, repaired_texts, chained_starts, cascade_gates, merged_ranges,
     smart_windows, type_strategies, merged_parties, refined_starts, refined_ranges, similar_parties, greedy_matches, first_overlap, merge_fragments, label_replies, screening_facts,

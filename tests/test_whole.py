@@ -41,3 +41,13 @@ def test_similar_parties_of_all_nations(spark, tmp_path):
     rows = [(1, "Harbor Lights Marina", 0), (2, "Granite Peak Masonry", 1), (3, "Harbor Light Marina", 1), (4, "Harbour Lights Marina", 7)]
     spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
     assert [r.members for r in queries.similar_parties(spark, str(tmp_path)).collect()] == ["Harbor Lights Marina|Harbor Light Marina|Harbour Lights Marina"]
+
+
+def test_evaluation_scores_a_detector(spark):
+    from paperloom.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    true, found = ({(r.pdf_id, r.start_page, r.end_page) for r in queries.QUERIES[n](spark, sf).collect()} for n in ("segment_truth", "segment_pages"))
+    got = queries.QUERIES["detector_metrics"](spark, sf).collect()
+    assert sum(r.n_pred for r in got) == len(found) and sum(r.n_true for r in got) == len(true)
+    assert sum(r.exact for r in got) == len(true & found)
