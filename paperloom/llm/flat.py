@@ -6,10 +6,15 @@ memory follows CHUNK_BYTES (or one longer text), never the partition.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
+#: A polynomial modulo 2**64 tells spans of up to so many bytes apart; longer ones (of which Thue-Morse words collide
+#: for any base) are hashed by blake2b.
+POLYNOMIAL_BYTES = 64
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -96,6 +101,31 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * q[starts] + (ends - starts).astype(np.uint64) * _U(_P))
 
 
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes in each span, which may be of any length and kind."""
+    out = span_hash(prefix_hash(buf), starts, ends)
+    for k in np.flatnonzero(ends - starts > POLYNOMIAL_BYTES).tolist():
+        out[k] = int.from_bytes(blake2b(buf[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
+def equal_spans(one: np.ndarray, a: np.ndarray, a_end: np.ndarray, two: np.ndarray, b: np.ndarray, b_end: np.ndarray, limit: int = CHUNK_BYTES) -> np.ndarray:
+    """Whether the items of one from a to a_end and those of two from b to b_end are the same, span by span."""
+    size = a_end - a
+    same = size == b_end - b
+    at = np.flatnonzero(same & (size > 0))
+    ends = np.cumsum(size[at])
+    i = 0
+    while i < len(at):  # about `limit` items at a time
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        k = at[i:j]
+        n = size[k]
+        differ = one[ragged(a[k], n)] != two[ragged(b[k], n)]
+        same[k] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        i = j
+    return same
+
+
 def shingles(words: np.ndarray, doc: np.ndarray, n_docs: int, width: int = 5):
     """Distinct word n-grams of each text: (hashes, text numbers), sorted by both.
 

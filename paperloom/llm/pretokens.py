@@ -101,9 +101,11 @@ def piece_hash(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 class PieceCache:
-    """Ids of pieces by their hash; encode(bytes, lengths) -> (ids, lengths) runs once for each new piece.
+    """Ids of pieces; encode(bytes, lengths) -> (ids, lengths) runs once for each new piece.
 
-    It forgets all once it holds `most` pieces, so its memory is bounded; results never depend on it.
+    Pieces are found by a hash and then compared, code point by code point, with the piece remembered under it: one that
+    only shares its hash is encoded by itself. The cache forgets all once it holds `most` pieces or 8 * most code
+    points, so its memory is bounded; results never depend on it.
     """
 
     def __init__(self, mode: str, encode, most: int = 400_000):
@@ -111,9 +113,27 @@ class PieceCache:
         self._clear()
 
     def _clear(self):
+        none = np.zeros(0, np.int64)
         self.hashes = np.zeros(0, np.uint64)
-        self.at = self.len = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
+        self.at = self.len = self.begin = self.end = none
+        self.pool, self.spelled = np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _encoded(self, chosen: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces given as their code points end to end."""
+        wide = 1 + (chosen >= 0x80).astype(np.int64) + (chosen >= 0x800) + (chosen >= 0x10000)
+        heads = np.cumsum(lengths) - lengths
+        raw = np.frombuffer(chosen.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+        return self.encode(raw, np.add.reduceat(wide, heads))
+
+    def _learn(self, hashes: np.ndarray, chosen: np.ndarray, lengths: np.ndarray) -> None:
+        got, got_len = self._encoded(chosen, lengths)
+        order = np.searchsorted(self.hashes, hashes)
+        ends = len(self.spelled) + np.cumsum(lengths)
+        self.at = np.insert(self.at, order, len(self.pool) + np.cumsum(got_len) - got_len)
+        self.len = np.insert(self.len, order, got_len)
+        self.begin, self.end = np.insert(self.begin, order, ends - lengths), np.insert(self.end, order, ends)
+        self.hashes = np.insert(self.hashes, order, hashes)
+        self.pool, self.spelled = np.concatenate((self.pool, got)), np.concatenate((self.spelled, chosen))
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text."""
@@ -128,24 +148,21 @@ class PieceCache:
             known = self.hashes[np.minimum(slot, len(self.hashes) - 1)] == uniq
         if not known.all():
             fresh = np.flatnonzero(~known)
-            s, e = starts[index[fresh]], ends[index[fresh]]
-            chosen = cp[flat.ragged(s, e - s)]
-            wide = 1 + (chosen >= 0x80).astype(np.int64) + (chosen >= 0x800) + (chosen >= 0x10000)
-            heads = np.concatenate(([0], np.cumsum(e - s)[:-1]))
-            lengths = np.add.reduceat(wide, heads)
-            raw = np.frombuffer(chosen.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
-            got, got_len = self.encode(raw, lengths)
-            if len(self.hashes) + len(fresh) > self.most and len(self.hashes):
+            s = starts[index[fresh]]
+            n = ends[index[fresh]] - s
+            if len(self.hashes) and (len(self.hashes) + len(fresh) > self.most or len(self.spelled) + int(n.sum()) > 8 * self.most):
                 self._clear()
                 # what this call needs of the forgotten ones is encoded again
                 return self.ids(texts)
-            at = len(self.pool) + np.concatenate(([0], np.cumsum(got_len)[:-1]))
-            self.pool = np.concatenate((self.pool, got))
-            order = np.searchsorted(self.hashes, uniq[fresh])
-            self.hashes = np.insert(self.hashes, order, uniq[fresh])
-            self.at, self.len = np.insert(self.at, order, at), np.insert(self.len, order, got_len)
+            self._learn(uniq[fresh], cp[flat.ragged(s, n)], n)
             slot = np.searchsorted(self.hashes, uniq)
         slot = slot[inverse]
-        lengths = self.len[slot]
-        ids = self.pool[flat.ragged(self.at[slot], lengths)]
+        at, lengths, pool = self.at[slot], self.len[slot], self.pool
+        odd = np.flatnonzero(~flat.equal_spans(cp, starts, ends, self.spelled, self.begin[slot], self.end[slot]))
+        if len(odd):
+            n = ends[odd] - starts[odd]
+            got, got_len = self._encoded(cp[flat.ragged(starts[odd], n)], n)
+            at[odd], lengths[odd] = len(pool) + np.cumsum(got_len) - got_len, got_len
+            pool = np.concatenate((pool, got))
+        ids = pool[flat.ragged(at, lengths)]
         return ids, np.bincount(doc, weights=lengths, minlength=len(texts)).astype(np.int64)
