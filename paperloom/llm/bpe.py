@@ -1,14 +1,16 @@
 """BPE encoding and decoding by batched merge rounds.
 
 The symbols of many words lie in one flat array. Each neighbouring pair has a rank, found by binary
-search over the sorted keys left * size + right; in each round every unfinished word merges the
-leftmost of its lowest-ranked pairs, all words at once, and only the pairs beside a merge are looked
-up again. This gives what merging one pair at a time gives, as one merge of a word is one round.
+search over the sorted keys left * size + right; in each round every unfinished word merges all pairs
+of its lowest rank (of overlapping ones the leftmost), all words at once, and only the pairs beside a
+merge are looked up again. A word so takes no more rounds than it has unlike merges, however long it is.
+This gives what merging the leftmost pair of lowest rank, one at a time, gives wherever no pair with the
+merged symbol has a lower rank than the merge; at the few ranks where one has, a round merges the
+leftmost pair of a word alone.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import unicodedata
@@ -17,13 +19,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import flat
 from .pretokens import PieceCache
 
 _NONE = np.int64(1) << np.int64(30)
-#: Longer words than this go through a heap, one by one: rounds over them would cost their length squared.
-LONG_WORD = 512
 
 
 def byte_chars() -> list[str]:
@@ -53,6 +55,11 @@ class WordBPE:
         self.keys, self.ranks = keys[order], np.arange(len(pairs), dtype=np.int64)[order]
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.made = made  # by rank
+        # the least rank of all pairs that hold a symbol; a merge is alone in its round where it makes a symbol of lower ranks
+        least = np.full(int(self.size), _NONE, np.int64)
+        for side in (self.keys // self.size, self.keys % self.size):
+            np.minimum.at(least, side, self.ranks)
+        self.alone = least[made] < np.arange(len(pairs))
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.decimal = [str(i) for i in range(int(self.size))]
         self.names = [self.tokens.get(i, "") for i in range(int(self.size))]
@@ -68,36 +75,25 @@ class WordBPE:
         ends = np.cumsum(lengths)
         sym = self.inner[raw]
         sym[ends - 1] = self.final[raw[ends - 1]]
-        long = np.flatnonzero(lengths > LONG_WORD)
         word = np.repeat(np.arange(len(lengths)), lengths)
         done_sym, done_word = [], []
-        if len(long):
-            is_long = np.isin(word, long)
-            for w in long.tolist():
-                ids = self._one_long(sym[ends[w] - lengths[w] : ends[w]].tolist())
-                done_sym.append(np.array(ids, np.int64))
-                done_word.append(np.full(len(ids), w))
-            sym, word = sym[~is_long], word[~is_long]
         rank = np.full(len(sym), _NONE, np.int64)
         inside = np.flatnonzero(word[1:] == word[:-1]) if len(sym) else np.zeros(0, np.int64)
         rank[inside] = self.rank_of(sym[inside], sym[inside + 1])
         while len(sym):
             heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            best = np.minimum.reduceat((rank << np.int64(32)) | np.arange(len(sym)), heads)
-            open_ = (best >> np.int64(32)) < _NONE
+            best = np.minimum.reduceat(rank, heads)
+            counts = np.diff(np.append(heads, len(sym)))
+            open_ = best < _NONE
             if not open_.all():
-                counts = np.diff(np.append(heads, len(sym)))
                 live = np.repeat(open_, counts)
                 done_sym.append(sym[~live])
                 done_word.append(word[~live])
-                shift = np.cumsum(~live)
-                pos = best[open_] & np.int64(0xFFFFFFFF)
-                pos = pos - shift[pos]
                 sym, word, rank = sym[live], word[live], rank[live]
-            else:
-                pos = best & np.int64(0xFFFFFFFF)
+                best, counts = best[open_], counts[open_]
             if not len(sym):
                 break
+            pos = self._merges(rank, best, counts)
             sym[pos] = self.made[rank[pos]]
             keep = np.ones(len(sym), bool)
             keep[pos + 1] = False
@@ -113,26 +109,21 @@ class WordBPE:
         order = np.argsort(all_word, kind="stable")
         return all_sym[order].astype(np.int32), np.bincount(all_word, minlength=len(lengths))
 
-    def _one_long(self, ids: list[int]) -> list[int]:
-        n = len(ids)
-        ranks = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True)) if not hasattr(self, "_ranks") else self._ranks
-        self._ranks, size = ranks, int(self.size)
-        right, left = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get(ids[i] * size + ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = right[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j] = int(self.made[r]), -1
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for k in (left[i], i):
-                if k >= 0 and right[k] >= 0 and (q := ranks.get(ids[k] * size + ids[right[k]])) is not None:
-                    heapq.heappush(heap, (q, k, ids[k], ids[right[k]]))
-        return [x for x in ids if x >= 0]
+    def _merges(self, rank: np.ndarray, best: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Positions of the pairs that this round merges: of each word those of its lowest rank that do not overlap."""
+        hits = np.flatnonzero(rank == np.repeat(best, counts))
+        # pairs of equal symbols overlap in runs: of a run, every second one is merged
+        new = np.ones(len(hits), bool)
+        new[1:] = (hits[1:] != hits[:-1] + 1) | (rank[hits[1:]] != rank[hits[:-1]])
+        run = np.flatnonzero(new)
+        nth = np.arange(len(hits)) - run[np.cumsum(new) - 1]
+        stay = nth % 2 == 0
+        if self.alone[best].any():
+            owner = np.searchsorted(np.cumsum(counts), hits, "right")
+            first = np.ones(len(hits), bool)
+            first[1:] = owner[1:] != owner[:-1]
+            stay &= first | ~self.alone[best[owner]]
+        return hits[stay]
 
     @staticmethod
     def normal(text: str) -> str:
@@ -176,9 +167,9 @@ def _text_chunks(texts, limit: int = flat.CHUNK_BYTES):
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with an array of token ids for each whole text; a null text has an empty array."""
+    """docs with an array of token ids for each whole text; a null text has an empty array; a column of that name is replaced."""
     docs = docs.drop(ids)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids}` array<int>"
+    schema = StructType([*docs.schema, StructField(ids, ArrayType(IntegerType()))])
 
     def run(batches):
         bpe = word_bpe(path)
@@ -195,7 +186,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """tokens with the decoded string of each id array; a null array decodes to an empty string."""
     tokens = tokens.drop(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + f", `{text}` string"
+    schema = StructType([*tokens.schema, StructField(text, StringType())])
 
     def run(batches):
         bpe = word_bpe(path)
@@ -209,10 +200,15 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
 
 
 def encode_decode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", others: tuple[str, ...] = (), keep_ids: bool = False) -> DataFrame:
-    """doc_id, the other columns named, n_tokens, ids_sha256, decoded_sha256 (and ids): encodes and decodes in one pass over the texts."""
+    """doc_id, the other columns named, n_tokens, ids_sha256, decoded_sha256 (and ids): encodes and decodes in one pass over the texts.
+
+    A row for each row of docs, repeated ones and null ids taken in; a null text is empty: no tokens, digests of the empty
+    string. Others that have the name of a result are left out; columns not named are, too. An empty table stays empty.
+    """
     from hashlib import sha256
 
-    docs = docs.select(text, doc_id, *others)
+    made = {doc_id, "n_tokens", "ids_sha256", "decoded_sha256", "ids"}
+    docs = docs.select(F.col(f"`{text}`").alias("text__"), f"`{doc_id}`", *(f"`{c}`" for c in others if c not in made))
     fields = docs.schema.fields[1:]
     names = [*(f.name for f in fields), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
@@ -232,5 +228,5 @@ def encode_decode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", te
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(got, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    results = StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return docs.mapInArrow(run, StructType([*fields, *results]))
