@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import flat
-from .shared import kept
+from .shared import col, kept, spare
 
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOLS = np.zeros(256, bool)
@@ -51,7 +52,11 @@ def _chunk_counts(raw: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         worded = np.searchsorted(starts, stop, "left") > np.searchsorted(starts, begin, "left")
         begin, stop = begin[worded], stop[worded]
     owner = np.searchsorted(offs, begin, "right") - 1
-    again = _repeats(flat.span_hash(prefix, begin, stop), owner, later_only=True)
+
+    def same_line(i, j):
+        return flat.equal_spans(raw, begin[i], stop[i], raw, begin[j], stop[j])
+
+    again = _repeats(flat.span_hash(prefix, begin, stop), owner, True, same_line, lambda i: raw[begin[i] : stop[i]].tobytes())
     out["n_dup_lines"] = np.bincount(owner[again], minlength=n)
     words = flat.span_hash(prefix, starts, ends)
     count = out["n_words"]
@@ -60,7 +65,18 @@ def _chunk_counts(raw: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     h = np.zeros(len(full), np.uint64)
     for k in range(WINDOW):
         h += words[full + k] * flat.SHINGLE_KEYS[k]
-    seen = full[_repeats(flat.mix(h), doc[full], later_only=False)]
+
+    def same_window(i, j):
+        same = np.ones(len(i), bool)
+        for k in range(WINDOW):
+            a, b = full[i] + k, full[j] + k
+            same &= flat.equal_spans(raw, starts[a], ends[a], raw, starts[b], ends[b])
+        return same
+
+    def window(i):
+        return tuple(raw[starts[k] : ends[k]].tobytes() for k in range(full[i], full[i] + WINDOW))
+
+    seen = full[_repeats(flat.mix(h), doc[full], False, same_window, window)]
     step = np.zeros(len(words) + 1, np.int64)
     np.add.at(step, seen, 1)
     np.add.at(step, seen + WINDOW, -1)
@@ -69,15 +85,24 @@ def _chunk_counts(raw: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _repeats(h: np.ndarray, owner: np.ndarray, later_only: bool) -> np.ndarray:
-    """Positions whose hash stands in their text twice or more; later_only leaves out the first."""
+def _repeats(h: np.ndarray, owner: np.ndarray, later_only: bool, same, content) -> np.ndarray:
+    """Positions of what stands in its text twice or more; later_only leaves out the first.
+
+    Equal hashes propose neighbours, same(i, j) compares what they stand for. Should any differ, the contents
+    themselves take the place of the hashes.
+    """
     order = np.lexsort((h, owner))
     a, b = h[order], owner[order]
-    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    alike = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    at = np.flatnonzero(alike)
+    if len(at) and same is not None and not same(order[at], order[at + 1]).all():
+        known: dict = {}
+        exact = np.array([known.setdefault((o, content(i)), len(known)) for i, o in enumerate(owner.tolist())], np.uint64)
+        return _repeats(exact, owner, later_only, None, None)
     flag = np.zeros(len(h), bool)
-    flag[1:] |= same
+    flag[1:] |= alike
     if not later_only:
-        flag[:-1] |= same
+        flag[:-1] |= alike
     return order[flag]
 
 
@@ -86,7 +111,7 @@ def with_counts(docs: DataFrame, text: str = "text", drop_text: bool = False) ->
     names = [x.split()[0] for x in BASE_SCHEMA.split(", ")]
     docs = docs.drop(*names)
     left = [f for f in docs.schema if not (drop_text and f.name == text)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in left), BASE_SCHEMA])
+    schema = StructType([*left, *StructType.fromDDL(BASE_SCHEMA)])
 
     def run(batches):
         for b in batches:
@@ -110,7 +135,7 @@ def host_verdicts(counted: DataFrame, host: str = "source", prior_hosts_min: int
     are a host of their own (null). With fewer than prior_hosts_min hosts, or no variance beyond chance,
     the prior is as heavy as all documents together. Only sums over hosts reach the prior's single row.
     """
-    hosts = counted.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
+    hosts = counted.groupBy(col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     p = F.col("n_failed") / F.col("n_docs")
     sums = hosts.agg(
         F.count("*").alias("k"), F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"),
@@ -129,12 +154,16 @@ def host_verdicts(counted: DataFrame, host: str = "source", prior_hosts_min: int
 
 
 def judge(counted: DataFrame, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, **verdicts) -> DataFrame:
-    """Rows with counts, with base_failed, host_rate, host_failed and kept: neither the row nor its host fails."""
+    """Rows with counts, with base_failed, host_rate, host_failed and kept (columns of these names are replaced).
+
+    kept: neither the row nor its host fails.
+    """
     counted = counted.drop("base_failed", "kept", "host_rate", "host_failed")
     counted = counted.withColumn("base_failed", base_failed(min_words, max_repeat_percent))
+    own = spare("host", counted)
     # as a table, so that Spark knows its size before it plans the join: a few hosts are broadcast, many are not
-    of_hosts = kept(host_verdicts(counted, host, **verdicts), "quality-hosts").select(F.col("host").alias("host__"), F.col("rate").alias("host_rate"), "host_failed")
-    joined = counted.join(of_hosts, counted[host].eqNullSafe(of_hosts["host__"]), "left").drop("host__")
+    of_hosts = kept(host_verdicts(counted, host, **verdicts), "quality-hosts").select(F.col("host").alias(own), F.col("rate").alias("host_rate"), "host_failed")
+    joined = counted.join(of_hosts, col(host).eqNullSafe(col(own)), "left").drop(own)
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
@@ -142,5 +171,6 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", **limits)
     """docs with counts, base_failed, the host's shrunk rate and kept.
 
     Null and empty texts have no words, so they fail; repeated rows are judged alike; an empty table stays empty.
+    Columns with the name of a result are replaced, all others stay.
     """
     return judge(with_counts(docs, text), host, **limits)

@@ -5,19 +5,45 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder in /tmp only where none is set."""
+    """The cluster's shared folder, spark.checkpoint.dir; without one it is an error, as no machine's own folder is shared."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = set_dir.get() if set_dir.isDefined() else "file:///tmp/checkpoints"
+        if not set_dir.isDefined():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = set_dir.get()
     return at.rstrip("/")
 
 
+def spare(name: str, *frames: DataFrame) -> str:
+    """The name, or the name with underscores behind it, that is no column of the frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def col(name: str) -> Column:
+    """The column of exactly that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits that rows share just where they are equal in all columns; maps count by their entries in order."""
+
+    def plain(f: StructField) -> Column:
+        return F.to_json(F.struct(col(f.name))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else col(f.name)
+
+    columns = [plain(f) for f in df.schema]
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("row"), *columns).alias("b"))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -27,14 +53,9 @@ def kept(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark, path, schema = df.sparkSession, fresh_path(df.sparkSession, name), df.schema
     df.write.options(**options).parquet(path)
     del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of steps that nothing refers to any more."""
+    # plans that nothing refers to any more are collected, so that Spark's cleaner deletes their shuffle files
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def ordered(df: DataFrame, keys: list[str], name: str = "ordered") -> DataFrame:
