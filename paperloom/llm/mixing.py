@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept, ordered
+from .shared import col, kept, ordered, spare
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,7 +21,7 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(head, 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, max_rounds: int = 200) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> DataFrame:
     """(source, source_size, target, rate) from per-document (source, size).
 
     Sources in code-point order, null last, take the weights in turn and share the total of all sizes.
@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
     limit = cap * F.col("source_size")
     total = float(per.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     share = 0.0
-    for _ in range(max_rounds):
+    while True:  # the share rises in each round, and with it the sources at their cap, or it is final
         full = F.lit(share) * F.col("weight") >= limit
         row = per.agg(
             F.coalesce(F.sum(F.when(full, limit)), F.lit(0.0)).cast("double").alias("fixed"),
@@ -49,30 +49,37 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
         if following <= share:
             break
         share = following
-    else:
-        raise ArithmeticError("targets did not settle")
     target = F.least(F.lit(share) * F.col("weight"), limit).cast("double")
     rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0))
     return per.select("source", "source_size", target.alias("target"), F.least(rate, F.lit(float(cap))).alias("rate"))
 
 
-def with_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **shares) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target, mix_rate and mix_copies.
+def with_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, prefix: str = "mix_", **shares) -> DataFrame:
+    """docs with size, source_size, target, rate and copies, each with the prefix; a clash with docs's columns is an error.
 
     Copies: floor(rate), and one more where the draw lies below the rate's fraction. Rows with equal ids draw
-    alike; a null id draws as the word null. Null texts have size 0.
+    alike; a null id draws as the word null. Null texts have size 0, a null source is one of its own.
     """
-    sized = docs.withColumn("mix_size", size_of(F.col(text)))
-    targets = source_targets(sized.select(F.col(source).alias("source"), F.col("mix_size").alias("size")), **shares)
-    targets = targets.select(F.col("source").alias("mix_source__"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
+    made = [prefix + c for c in ("size", "source_size", "target", "rate", "copies")]
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in made}:
+        raise ValueError(f"columns of the table have names of results, choose another prefix: {sorted(clash)}")
+    size, source_size, target, rate, copies = made
+    sized = docs.withColumn(size, size_of(col(text)))
+    targets = source_targets(sized.select(col(source).alias("source"), col(size).alias("size")), **shares)
+    own = spare("source", docs)
+    targets = targets.select(F.col("source").alias(own), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate))
     # a row for each source: Spark broadcasts it below the session's threshold, else splits the hot source
-    joined = sized.join(targets, sized[source].eqNullSafe(targets["mix_source__"]), "left").drop("mix_source__")
-    whole = F.floor("mix_rate")
-    extra = (draw(F.col(doc_id), seed) < F.col("mix_rate") - whole).cast("long")
-    return joined.withColumn("mix_copies", whole + extra)
+    joined = sized.join(targets, col(source).eqNullSafe(col(own)), "left").drop(own)
+    whole = F.floor(col(rate))
+    extra = (draw(col(doc_id), seed) < col(rate) - whole).cast("long")
+    return joined.withColumn(copies, whole + extra)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as its copies say, columns as before."""
-    repeated = with_copies(docs, **options).withColumn("mix_copy__", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))))
-    return repeated.select(*(f"`{c}`" for c in docs.columns))
+    """docs with each row as often as its copies say; columns as before, whatever their names."""
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    copies = F.array_repeat(F.lit(1), col(prefix + "copies").cast("int"))
+    repeated = with_copies(docs, prefix=prefix, **options).withColumn(prefix + "copy", F.explode(copies))
+    return repeated.select(*map(col, docs.columns))
