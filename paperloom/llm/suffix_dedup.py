@@ -8,7 +8,8 @@ sorted only as deep as `length`, and only where they share a bucket:
    a text fall into runs, one for each anchor. Buckets of a single suffix are final at once, as in the plain method:
    anchors that occur once in the corpus drop out after a count by hash.
 2. What is left is pre-aggregated: runs with equal bytes collapse to their earliest, the others are covered whole.
-   A run of copies therefore never meets in one task, however often it repeats.
+   A run of copies therefore never meets in one task, however often it repeats. Runs are known by their anchor's hash
+   and a blake2b digest of their bytes.
 3. Refinement, in each task. The earliest runs of a bucket lie end to end in one text; a start's bucket pointer is
    the rank of its first 8 bytes; pointers are then refined by the pointers of later offsets, 8 to 16 to 32 to 64
    bytes, the new pointers being used for the next step, and last to `length` by an overlapping offset. Starts that
@@ -21,15 +22,15 @@ the same key and an earlier start. Rows that repeat an id and a text are one doc
 
 from __future__ import annotations
 
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import kept
+from .shared import col, kept
 
 LENGTH, Q = 100, 32
 #: A bucket with more unlike runs than this is split by a salt; a task refines about so many runs at once.
@@ -115,9 +116,10 @@ def _refined(pointer: np.ndarray, later: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"k1": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "k2": F.xxhash64(body), "body__": body})
+def _keyed(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
+    """k1, k2, the text (null as empty) and what more is asked for; no other column of docs."""
+    body = F.coalesce(col(text), F.lit(""))
+    return docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(body).alias("k2"), body.alias("text"), *more)
 
 
 def _anchors(texts: DataFrame, length: int, q: int, keyed: bool) -> DataFrame:
@@ -145,6 +147,12 @@ def _anchors(texts: DataFrame, length: int, q: int, keyed: bool) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, k1 long, k2 long")
 
 
+def _digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of blake2b of each run of bytes; together with the anchor's hash they stand for the run."""
+    data = raw.tobytes()
+    return np.frombuffer(b"".join([blake2b(data[s:e], digest_size=8).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64)
+
+
 def shared_runs(texts: DataFrame, length: int, q: int) -> DataFrame:
     """anchor, h (of the run's bytes), k1, k2, first, more: all runs whose anchor the corpus repeats."""
     shared = _anchors(texts, length, q, False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
@@ -168,9 +176,9 @@ def shared_runs(texts: DataFrame, length: int, q: int) -> DataFrame:
                     continue
                 hit = have[np.minimum(np.searchsorted(have, probe), len(have) - 1)] == probe
                 h, d, first, more = h[hit], d[hit], first[hit], more[hit]
-                whole = flat.span_hash(flat.prefix_hash(part, 1), first, first + more + length)
+                whole = _digests(part, first, first + more + length)
                 own = first - (offs[i + d] - offs[i])
-                columns = (h.view(np.int64), whole.view(np.int64), k1[i + d], k2[i + d], own, more)
+                columns = (h.view(np.int64), whole, k1[i + d], k2[i + d], own, more)
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["anchor", "h", "k1", "k2", "first", "more"])
 
     return texts.join(held, ["k1", "k2"]).mapInArrow(run, "anchor long, h long, k1 long, k2 long, first long, more long")
@@ -251,7 +259,7 @@ def duplicate_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """k1, k2, ranges: for each document with repeats, an array of (first, last) starts of strings that start earlier too."""
     if not q + 8 <= length <= 255:
         raise ValueError("length must lie between q + 8 and 255")
-    texts = _keyed(docs, doc_id, text).select("k1", "k2", F.col("body__").alias("text"))
+    texts = _keyed(docs, doc_id, text)
     found = kept(shared_runs(texts, length, q), "suffix-found", compression="zstd")
     place = F.struct("k1", "k2", "first")
     least = kept(found.groupBy("anchor", "h").agg(F.min(place).alias("place"), F.first("more").alias("more"), F.count("*").alias("n")), "suffix-least", compression="zstd")
@@ -287,11 +295,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     null. Null and empty texts have no bytes; texts under `length` bytes keep all.
     """
     ranges = duplicate_ranges(docs, doc_id, text, length, q)
-    keyed = _keyed(docs, doc_id, text)
     others = [] if digests else [c for c in docs.columns if c != text]
-    slim = keyed.select("k1", "k2", F.col(doc_id).alias("id__"), F.col("body__").alias("text__"), F.col(text).isNull().alias("null__"), F.struct(*(f"`{c}`" for c in others) or [F.lit(0).alias("none")]).alias("rest__"))
-    joined = slim.join(ranges, ["k1", "k2"], "left").drop("k1", "k2")
-    kind = slim.schema["id__"].dataType.simpleString()
+    # the caller's columns travel in a struct, by number: no name of theirs meets one of this module
+    rest = F.struct(*(col(c).alias(f"c{i}") for i, c in enumerate(others)), F.lit(0).alias("none"))
+    slim = _keyed(docs, doc_id, text, col(doc_id).alias("id"), col(text).isNull().alias("is_null"), rest.alias("rest"))
+    joined = slim.join(ranges, ["k1", "k2"], "left").select("id", "text", "is_null", "rest", "ranges")
+    kind, packed = slim.schema["id"].dataType.simpleString(), slim.schema["rest"].dataType.simpleString()
 
     def cut(batches):
         for b in batches:
@@ -308,13 +317,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
                     rows.append((data, b"".join(left), len(spans)))
                 if digests:
                     columns = [[len(x) for x, _, _ in rows], [len(x) - len(y) for x, y, _ in rows], [n for _, _, n in rows], [sha256(y).hexdigest() for _, y, _ in rows]]
-                    yield pa.RecordBatch.from_arrays([c.column(0), *(pa.array(x) for x in columns)], names=["id__", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    yield pa.RecordBatch.from_arrays([c.column(0), *(pa.array(x) for x in columns)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
                 else:
                     texts = [None if null else y.decode("utf-8", "ignore") for (_, y, _), null in zip(rows, c.column(2).to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([c.column(3), pa.array(texts, pa.string())], names=["rest__", "text__"])
+                    yield pa.RecordBatch.from_arrays([c.column(3), pa.array(texts, pa.string())], names=["rest", "text"])
 
     if digests:
-        out = joined.mapInArrow(cut, f"id__ {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-        return out.withColumnRenamed("id__", doc_id)
-    out = joined.mapInArrow(cut, f"rest__ {slim.schema['rest__'].dataType.simpleString()}, text__ string")
-    return out.select(*(F.col("text__").alias(c) if c == text else F.col(f"rest__.`{c}`").alias(c) for c in docs.columns))
+        out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return out.select(F.col("id").alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = joined.mapInArrow(cut, f"rest {packed}, text string")
+    return out.select(*(F.col("text").alias(c) if c == text else F.col(f"rest.c{others.index(c)}").alias(c) for c in docs.columns))
