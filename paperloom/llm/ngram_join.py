@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import kept
+from .shared import col, kept, row_key, spare
 
 WIDTH, THRESHOLD = 5, 0.8
 #: MinHash values, the most of them in a band, and the most probable miss of a pair at the threshold.
@@ -90,12 +90,12 @@ def _set_keys(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 def text_shingles(raw: np.ndarray, offs: np.ndarray, width: int = WIDTH):
     starts, ends, doc = flat.word_spans(raw, offs)
-    return flat.shingles(flat.span_hash(flat.prefix_hash(raw), starts, ends), doc, len(offs) - 1, width)
+    return flat.shingles(flat.word_hash(raw, starts, ends), doc, len(offs) - 1, width)
 
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """id, row_hash, h1, h2, size, sig of every row of docs."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(*docs.columns).alias("row_hash"), F.col(text).alias("text"))
+    """id, row (its key), h1, h2, size, sig of every row of docs."""
+    slim = docs.select(col(doc_id).cast("long").alias("id"), row_key(docs).alias("row"), col(text).alias("text"))
 
     def run(batches):
         for b in batches:
@@ -105,9 +105,9 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
                 h1, h2, size = _set_keys(h, owner, j - i)
                 sig = signatures(h, owner, j - i)
                 data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * _K), j - i, [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *map(pa.array, (h1, h2, size)), data], names=["id", "row_hash", "h1", "h2", "size", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *map(pa.array, (h1, h2, size)), data], names=["id", "row", "h1", "h2", "size", "sig"])
 
-    return slim.mapInArrow(run, "id long, row_hash long, h1 long, h2 long, size long, sig binary")
+    return slim.mapInArrow(run, "id long, row struct<a: long, b: long>, h1 long, h2 long, size long, sig binary")
 
 
 def _bands(classes: DataFrame, rows: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _compare_block(b: pa.Table, threshold: float, tolerance: float):
     return pa.RecordBatch.from_arrays([pa.array(h1[node]), pa.array(h2[node]), value, *(pa.array(empty + h[tree[:, 1]].tolist(), pa.int64()) for h in (h1, h2))], names=["h1", "h2", "links", "r1", "r2"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node) of every node with an edge (a, b); nodes are structs, all in files between rounds.
 
     Each round points every node at the least neighbour of its neighbourhood (a large step, then a small one), so
@@ -238,23 +238,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     current = kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
-    for _ in range(most_rounds):
-        row = current.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.count_distinct("a").alias("d")).first()
+    while True:  # each round lowers what edges point at, so the rounds come to an end, after about log n of them
+        row = current.agg(F.count("*").alias("n"), F.count_distinct("a").alias("d")).first()
         # every node has one edge and no root has any: a forest of stars
         if row.n == row.d and not current.join(current.select(F.col("a").alias("b")), "b", "left_semi").take(1):
             break
-        if (row.n, row.x) == seen:
-            break
-        seen = (row.n, row.x)
         current = kept(star(star(current, True), False), "links")
-    else:
-        raise RuntimeError("components did not settle")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = 1e-6, width: int = WIDTH) -> DataFrame:
-    """id, row_hash, class_id, copy_id, n_links, n_copies of every row of docs.
+    """id, row (its key), class_id, copy_id, n_links, n_copies of every row of docs.
 
     copy_id: least id of the rows with the same n-gram set; n_copies: how many rows have it; class_id: least id of all
     rows that links of at least `threshold` join, directly or through others; n_links: rows with a similarity of at
@@ -266,7 +260,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     per_band = band_rows(threshold)
     rows = kept(signed(docs, doc_id, text, width), "ngram-rows")
     worded = rows.where("size > 0")
-    classes = worded.groupBy("h1", "h2").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.min("row_hash").alias("row_hash"), F.first("sig").alias("sig"))
+    classes = worded.groupBy("h1", "h2").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.min("row").alias("row"), F.first("sig").alias("sig"))
     classes = kept(classes, "ngram-classes")
     buckets = kept(_buckets(classes, per_band), "ngram-buckets")
     members = kept(_bands(classes, per_band).join(buckets, ["key", "band"]), "ngram-members")
@@ -283,9 +277,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     placed = placed.select("h1", "h2", "copy_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2"))
     ids = placed.groupBy("r1", "r2").agg(F.min("copy_id").alias("class_id"))
     placed = placed.join(ids, ["r1", "r2"])
-    of = rows.select("id", "row_hash", "h1", "h2", "size").join(placed, ["h1", "h2"], "left")
+    of = rows.select("id", "row", "h1", "h2", "size").join(placed, ["h1", "h2"], "left")
     return of.select(
-        "id", "row_hash", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.when(F.col("size") > 0, F.col("copy_id")).otherwise(F.col("id")).alias("copy_id"),
+        "id", "row", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.when(F.col("size") > 0, F.col("copy_id")).otherwise(F.col("id")).alias("copy_id"),
         F.when(F.col("size") > 0, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("long").alias("n_copies"),
         "r1", "r2", (F.col("size") > 0).alias("worded"),
     )
@@ -293,8 +287,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """h1, h2, copies, sig, shingles of the wanted classes, from one row of each."""
-    rows = docs.select(F.xxhash64(*docs.columns).alias("row_hash"), F.col(text).alias("text"))
-    met = rows.join(wanted.select("row_hash", "h1", "h2"), "row_hash").select("h1", "h2", "text")
+    rows = docs.select(row_key(docs).alias("row"), col(text).alias("text"))
+    met = rows.join(wanted.select("row", "h1", "h2"), "row").select("h1", "h2", "text")
 
     def run(batches):
         for b in batches:
@@ -330,17 +324,18 @@ def _verified(members: DataFrame, sets: DataFrame, threshold: float, tolerance:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each class: that with the least id (null ids last), then the least hash of the row.
+    """docs with one row of each class: that with the least id (null ids last), then the least key of the row.
 
-    Rows without words stay. Of rows that repeat one another in all columns, one stays if any does.
+    Rows without words stay. Of rows that repeat one another in all columns, one stays if any does. The columns of docs,
+    whatever their names and types, are those of the result.
     """
     found = join(docs, doc_id, text, **options)
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row_hash")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     worded = found.where("worded")
-    chosen = worded.groupBy("r1", "r2").agg(F.min(rank).alias("least")).select("least.row_hash")
-    same = worded.groupBy("row_hash").agg(F.count("*").alias("rows__"))
-    keepers = kept(chosen.join(same, "row_hash").unionByName(found.where("not worded").select("row_hash", F.lit(1).cast("long").alias("rows__")).distinct()), "ngram-keepers")
-    hashed = docs.withColumn("row_hash__", F.xxhash64(*docs.columns))
-    stay = hashed.join(keepers.withColumnRenamed("row_hash", "row_hash__"), "row_hash__")
-    names = [f"`{c}`" for c in docs.columns]
-    return stay.where("rows__ = 1").select(*names).unionByName(stay.where("rows__ > 1").select(*names).distinct())
+    chosen = worded.groupBy("r1", "r2").agg(F.min(rank).alias("least")).select("least.row")
+    same = worded.groupBy("row").agg(F.count("*").alias("rows"))
+    keepers = kept(chosen.join(same, "row").unionByName(found.where("not worded").select("row", F.lit(1).cast("long").alias("rows")).distinct()), "ngram-keepers")
+    key, count = spare("row", docs), spare("rows", docs)
+    stay = docs.withColumn(key, row_key(docs)).join(keepers.select(F.col("row").alias(key), F.col("rows").alias(count)), key)
+    once = stay.where(col(count) == 1).drop(key, count)
+    return once.unionByName(stay.where(col(count) > 1).dropDuplicates([key]).drop(key, count)).select(*map(col, docs.columns))
