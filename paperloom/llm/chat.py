@@ -6,6 +6,7 @@ import json
 import re
 from dataclasses import dataclass, field
 from hashlib import sha256
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,11 +35,28 @@ class Flattened:
     attachments: list[dict] = field(default_factory=list)
 
 
+def _number(value, otherwise: float) -> float:
+    """A finite number of at least 0, or `otherwise` where the value is none."""
+    try:
+        found = float(value)
+    except (TypeError, ValueError, OverflowError):
+        return otherwise
+    return found if 0 <= found < 1e12 else otherwise
+
+
+def _text(value) -> str:
+    """A string as it is, null as none, any other value as its JSON."""
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+
+
 class PartVisitor:
     """Flattens typed parts into text with ordered placeholders; each kind has a visit_ method.
 
-    An attachment's record holds its number, kind, reference and the tokens it expands to: images by tiles of
-    tile x tile pixels, audio by seconds, documents by pages. Unknown kinds are attachments of zero tokens.
+    An attachment's record holds its number, its kind, its reference, `at` (the code point of the flattened text at which
+    its placeholder starts, which tells it from text that only looks like one) and the tokens it expands to: images by
+    tiles of tile x tile pixels, audio by seconds, documents by pages. Measures that are no finite numbers of at least 0
+    count as absent: one tile, no seconds, one page. Unknown kinds are attachments of zero tokens; parts that are no
+    objects are text, and so is what a text part holds, by its JSON where it is no string.
     """
 
     def __init__(self, tile: int = 512, tokens_per_tile: int = 170, base_image_tokens: int = 85, tokens_per_second: int = 25, tokens_per_page: int = 600):
@@ -48,32 +66,48 @@ class PartVisitor:
     def flatten(self, content) -> Flattened:
         out = Flattened()
         for part in content if isinstance(content, list) else [content]:
-            if isinstance(part, str) or part is None:
+            if not isinstance(part, dict):
                 part = {"type": "text", "text": part}
             getattr(self, f"visit_{part.get('type')}", self.visit_other)(part, out)
         return out
 
     def visit_text(self, part: dict, out: Flattened) -> None:
-        out.text += part.get("text") or ""
+        out.text += _text(part.get("text"))
 
     def visit_image(self, part: dict, out: Flattened) -> None:
-        across = -(-int(part.get("width") or self.tile) // self.tile)
-        down = -(-int(part.get("height") or self.tile) // self.tile)
+        across, down = (max(1, ceil(_number(part.get(k), self.tile) / self.tile)) for k in ("width", "height"))
         self._attach("image", part, self.base + self.per_tile * across * down, out)
 
     def visit_audio(self, part: dict, out: Flattened) -> None:
-        self._attach("audio", part, -(-int(float(part.get("seconds") or 0) * 1000) * self.per_second // 1000), out)
+        self._attach("audio", part, ceil(int(_number(part.get("seconds"), 0) * 1000) * self.per_second / 1000), out)
 
     def visit_document(self, part: dict, out: Flattened) -> None:
-        self._attach("document", part, int(part.get("pages") or 1) * self.per_page, out)
+        self._attach("document", part, int(_number(part.get("pages"), 1)) * self.per_page, out)
 
     def visit_other(self, part: dict, out: Flattened) -> None:
-        self._attach(str(part.get("type")), part, 0, out)
+        self._attach(_text(part.get("type")), part, 0, out)
 
     def _attach(self, kind: str, part: dict, tokens: int, out: Flattened) -> None:
         number = len(out.attachments)
-        out.attachments.append({"number": number, "kind": kind, "ref": part.get("ref") or part.get("url") or "", "tokens": max(0, tokens)})
-        out.text += f"{{{{{kind}:{number}}}}}"
+        ref = _text(part.get("ref")) or _text(part.get("url"))
+        out.attachments.append({"number": number, "kind": kind, "ref": ref, "at": len(out.text), "tokens": tokens})
+        out.text += placeholder(kind, number)
+
+
+def placeholder(kind: str, number: int) -> str:
+    return f"{{{{{kind}:{number}}}}}"
+
+
+def parts_of(text: str, attachments: list[dict]) -> list[str | dict]:
+    """The texts and attachments of a flattened turn, in order: what lies outside the recorded placeholders is text."""
+    out: list[str | dict] = []
+    end = 0
+    for a in sorted(attachments, key=lambda a: a["at"]):
+        if a["at"] > end:
+            out.append(text[end : a["at"]])
+        out.append(a)
+        end = a["at"] + len(placeholder(a["kind"], a["number"]))
+    return [*out, text[end:]] if end < len(text) else out
 
 
 def format_turns(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -140,9 +174,9 @@ def _parts(text: str):
     if text[:1] == "[":
         try:
             parts = json.loads(text)
-        except ValueError:
+        except (ValueError, RecursionError):
             return text
-        if isinstance(parts, list) and all(isinstance(p, (dict, str)) for p in parts):
+        if isinstance(parts, list) and all(isinstance(p, (dict, str)) or p is None for p in parts):
             return parts
     return text
 

@@ -1,12 +1,14 @@
 """Merkle fingerprints of documents, with DataFrame functions only.
 
-A paragraph is a line; its leaves are its clauses, cut after . , ; : ! ? and |. A leaf's digest has 24 bits
-(four base64 letters), a paragraph's node is a 48-bit hash of its leaves' digests, a section is a run of
-paragraphs that ends after a node whose first letter is A to P (so an insertion moves no section but its own),
-a section's node is a hash of its paragraphs' nodes, and the root is the hash of all sections' nodes.
+A paragraph is a line; its leaves are its clauses, cut after punctuation, and where a clause is longer than LONG code
+points, further after the words and particles of CUT, and last after each PIECE code points. A leaf's node is the md5 of
+its text, a paragraph's that of its leaves' nodes, a section's that of its paragraphs' nodes and the root that of its
+sections' nodes, all of 128 bits: unlike texts differ up to the root. A section is a run of paragraphs that ends after a
+node whose first hex digit is below 4, so an insertion moves no section but its own.
+
 The fingerprint spells the tree: root|section;section, a section as node:paragraph,paragraph, a paragraph as
-node=leaves. Equal texts have equal fingerprints; roots test equality, and where they differ, only sections and
-paragraphs with unlike nodes need a look.
+node=leaves. To stay short it spells nodes of sections and paragraphs by 8 hex digits and leaves by 6, as a sketch:
+roots test equality, the sketch tells how much is alike and where unlike branches are.
 """
 
 from __future__ import annotations
@@ -14,25 +16,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept, ordered
+from .shared import col, kept, ordered
+
+LONG, PIECE = 160, 400
+_CLAUSE = r"(?s)(?<=[.,;:!?|\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=.)"
+#: Places inside long clauses depend on what stands before them alone, so that an edit moves none but its own.
+_CUT = r"(?s)(?<=[dgkmpy] |[\u306f\u3092\u306b\u7684\u4e86\u662f])(?=.)"
+_PIECE = f"(?s).{{1,{PIECE}}}"
+NODE, LEAF = 8, 6
+
+
+def clauses(paragraph: Column) -> Column:
+    """The leaves' texts of a paragraph; together they are the paragraph."""
+
+    def refined(parts: Column, most: int, finer) -> Column:
+        return F.flatten(F.transform(parts, lambda c: F.when(F.char_length(c) > most, finer(c)).otherwise(F.array(c))))
 
-_CLAUSE = r"(?s)(?<=[.,;:!?|])(?=.)"
-_LETTER = "[A-Za-z0-9+/]"
+    parts = F.split(paragraph, _CLAUSE)
+    cut = refined(parts, LONG, lambda c: F.split(c, _CUT))
+    short = refined(cut, PIECE, lambda c: F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0)))
+    return F.when(F.char_length(paragraph) > LONG, short).otherwise(parts)
 
 
-def _digest(text: Column, n_bytes: int) -> Column:
-    return F.base64(F.unhex(F.substring(F.md5(text.cast("binary")), 1, 2 * n_bytes)))
+def _node(children: Column) -> Column:
+    return F.md5(children.cast("binary"))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; null and empty texts are one empty paragraph."""
-    text = F.coalesce(text, F.lit(""))
-    paragraphs = F.transform(F.split(text, "\n"), lambda p: F.array_join(F.transform(F.split(p, _CLAUSE), lambda c: _digest(c, 3)), ""))
-    noded = F.array_join(F.transform(paragraphs, lambda x: F.concat(_digest(x, 6), F.lit("="), x)), ",")
-    marked = F.regexp_replace(noded, f"((?:^|,)[A-P]{_LETTER}{{7}}={_LETTER}*),", "$1;")
-    sections = F.transform(F.split(marked, ";"), lambda s: F.concat(_digest(F.regexp_replace(s, f"={_LETTER}*", ""), 6), F.lit(":"), s))
-    body = F.array_join(sections, ";")
-    return F.concat(F.md5(F.regexp_replace(body, ":[^;]*", "").cast("binary")), F.lit("|"), body)
+    leaf_nodes = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.transform(clauses(p), _node))
+    spelled = F.transform(leaf_nodes, lambda x: F.concat(_node(F.array_join(x, "")), F.lit("="), F.array_join(F.transform(x, lambda n: F.substring(n, 1, LEAF)), "")))
+    marked = F.regexp_replace(F.array_join(spelled, ","), "(?<=^|,)([0-3][0-9a-f]{31}=[0-9a-f]*),", "$1;")
+    # each section with the whole node of itself in front; paragraphs' nodes are cut once their parents have read them
+    sections = F.transform(F.split(marked, ";"), lambda s: F.concat(_node(F.regexp_replace(s, "=[0-9a-f]*,?", "")), F.lit(":"), F.regexp_replace(s, f"(?<=^|,)([0-9a-f]{{{NODE}}})[0-9a-f]{{{32 - NODE}}}=", "$1=")))
+    whole = F.array_join(sections, ";")
+    top = _node(F.regexp_replace(whole, ":[^;]*;?", ""))
+    return F.concat(top, F.lit("|"), F.regexp_replace(whole, f"(?<=^|;)([0-9a-f]{{{NODE}}})[0-9a-f]{{{32 - NODE}}}:", "$1:"))
 
 
 def root(fp: Column) -> Column:
@@ -41,35 +60,37 @@ def root(fp: Column) -> Column:
 
 def leaves(fp: Column) -> Column:
     """The distinct leaf digests below a fingerprint's root."""
-    spelled = F.regexp_replace(F.substring_index(fp, "|", -1), f"{_LETTER}{{8}}[:=]|[;,]", "")
-    return F.array_distinct(F.regexp_extract_all(spelled, F.lit(f"{_LETTER}{{4}}"), 0))
+    spelled = F.regexp_replace(F.substring_index(fp, "|", -1), f"[0-9a-f]{{{NODE}}}[:=]|[;,]", "")
+    return F.array_distinct(F.regexp_extract_all(spelled, F.lit(f"[0-9a-f]{{{LEAF}}}"), 0))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared leaves over all leaves of two fingerprints; 1 at once where the roots are equal."""
+    """Shared leaves over all leaves of two fingerprints: 1 where the roots are equal, and nowhere else."""
     x, y = leaves(a), leaves(b)
     shared = F.size(F.array_intersect(x, y))
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(shared / F.greatest(F.size(x) + F.size(y) - shared, F.lit(1)).cast("double"))
+    alike = shared / F.greatest(F.size(x) + F.size(y) - shared, F.lit(1)).cast("double")
+    # texts of the same set of leaves in another order, or with others that look like them in the sketch, are unlike still
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.least(alike, 1 - 1 / (F.size(x) + F.size(y) + 1).cast("double")))
 
 
 def changed_sections(a: Column, b: Column) -> Column:
     """Numbers of a's sections that b does not have, each with the numbers of its changed paragraphs; null if equal."""
     body_a, body_b = F.substring_index(a, "|", -1), F.substring_index(b, "|", -1)
-    nodes_b = F.transform(F.split(body_b, ";"), lambda s: F.substring(s, 1, 8))
-    paragraphs_b = F.transform(F.split(F.regexp_replace(body_b, f"(^|;){_LETTER}{{8}}:", "$1"), "[;,]"), lambda p: F.substring(p, 1, 8))
+    nodes_b = F.transform(F.split(body_b, ";"), lambda s: F.substring(s, 1, NODE))
+    paragraphs_b = F.transform(F.split(F.regexp_replace(body_b, f"(^|;)[0-9a-f]{{{NODE}}}:", "$1"), "[;,]"), lambda p: F.substring(p, 1, NODE))
 
     def one(s: Column, i: Column) -> Column:
         own = F.split(F.substring_index(s, ":", -1), ",")
-        flagged = F.transform(own, lambda p, k: F.when(~F.array_contains(paragraphs_b, F.substring(p, 1, 8)), k))
+        flagged = F.transform(own, lambda p, k: F.when(~F.array_contains(paragraphs_b, F.substring(p, 1, NODE)), k))
         return F.struct(i.alias("section"), F.array_compact(flagged).alias("paragraphs"))
 
-    noted = F.transform(F.split(body_a, ";"), lambda s, i: F.when(~F.array_contains(nodes_b, F.substring(s, 1, 8)), one(s, i)))
+    noted = F.transform(F.split(body_a, ";"), lambda s, i: F.when(~F.array_contains(nodes_b, F.substring(s, 1, NODE)), one(s, i)))
     return F.when(root(a) == root(b), F.lit(None)).otherwise(F.array_compact(noted))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """docs with their fingerprint."""
-    return docs.withColumn(name, fingerprint(F.col(text)))
+    """docs with their fingerprint; a column of that name is replaced."""
+    return docs.withColumn(name, fingerprint(col(text)))
 
 
 _NULL_ID = -(1 << 63)
@@ -85,8 +106,8 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     Ids, hashes and lengths alone are sorted. Texts and fingerprints go through one exchange, by id and hash, which
     both sides of the last join read; the side of next documents passes on only the head that is needed.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("k1"), F.xxhash64(body).alias("k2")
+    body = F.coalesce(col(text), F.lit(""))
+    key = F.coalesce(col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("k1"), F.xxhash64(body).alias("k2")
     slim = docs.select(*key, F.char_length(body).cast("long").alias("n_chars"))
     ranks = kept(ordered(slim.groupBy("k1", "k2").agg(F.max("n_chars").alias("n_chars"), F.count("*").alias("copies")), ["k1", "k2"], "merkle-order"), "merkle-ranks")
     n = max(ranks.count(), 1)
@@ -94,7 +115,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     before = ranks.select(((F.col("rank") + 1) % n).alias("rank"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), half.alias("need"))
     places = kept(ranks.join(before, "rank").drop("rank"), "merkle-places")
 
-    texts = docs.select(*key, body.alias("text"), fingerprint(F.col(text)).alias("fp"))
+    texts = docs.select(*key, body.alias("text"), fingerprint(col(text)).alias("fp"))
     own = texts.join(places.select("k1", "k2", "n_chars", half.alias("half")), ["k1", "k2"])
     follows = texts.join(places.select("k1", "k2", "p1", "p2", "need", "copies"), ["k1", "k2"])
     follows = follows.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.expr("substring(text, 1, need)").alias("head"), F.col("fp").alias("next_fp"), "copies")
