@@ -1,9 +1,11 @@
-"""WARC archives as a Python data source: planned file partitions, pushed-down header predicates, lazy payloads.
-
-Each record is a gzip member of its own. This writer notes the member's length in the member's extra field,
-so its reader goes from header to header without inflating what no predicate lets through; members without
-the note (other writers' files, of one record or many, which then share the member's position) and plain WARC
-files are read through. Headers have any length; what is no whole record is an error.
+"""WARC archives as a Python data source: planned partitions, pushed-down header predicates, lazy payloads.
+
+Each record is a gzip member of its own. This writer notes the member's length and a number of its file in the member's
+extra field, so its reader goes from header to header without inflating what no predicate lets through, and starts at any
+byte of a large file: at the first member after it with the file's number. Members without the note (other writers'
+files, of one record or many, which then share the member's position) and plain WARC files are read through, by one task
+each. Headers have any length. What is no whole record gives a row with `error` and the position, and reading goes on at
+the next record (mode PERMISSIVE) or ends there (mode FAILFAST).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 SCHEMA = (
     "path string, position long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, "
-    "content_type string, payload_digest string, content_length long, header_payload_bytes long, payload_bytes long, computed_digest string, payload binary"
+    "content_type string, payload_digest string, content_length long, header_payload_bytes long, payload_bytes long, computed_digest string, error string, payload binary"
 )
 _COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 #: Columns that a header alone decides, and the header they come from.
@@ -45,13 +47,16 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
-def member(data: bytes, level: int = 1) -> bytes:
-    """One gzip member whose extra field `sl` holds its own length and the inflated length."""
+#: The first bytes of a member that notes its length: gzip's, and an extra field `sl` of the file's number and the length.
+_NOTED = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H2sH", 20, b"sl", 16)
+_HEAD = len(_NOTED) + 16
+
+
+def member(data: bytes, level: int = 1, number: int = 0) -> bytes:
+    """One gzip member whose extra field `sl` holds the number of its file and its own length."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
-    total = 10 + 2 + 4 + 16 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H2sHQQ", 20, b"sl", 16, total, len(data))
-    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    return _NOTED + struct.pack("<QQ", number, _HEAD + len(body) + 8) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 def clean(value) -> str:
@@ -99,11 +104,12 @@ class WarcWriter(DataSourceWriter):
             if out is None or size >= self.file_bytes:
                 if out is not None:
                     out.close()
-                name = f"{uuid.uuid4().hex}.warc.gz"
+                own = uuid.uuid4()
+                name, number = f"{own.hex}.warc.gz", own.int & 0xFFFFFFFFFFFFFFFF
                 files.append((posixpath.join(root, f"_{name}.part"), posixpath.join(root, name)))
                 out = fs.open_output_stream(files[-1][0], compression=None)
-                size = out.write(member(info, self.level)) or 0
-            data = member(page_record(row.page_id, row.url, (row.html or "").encode("utf-8"), row.digest, row.refers_to), self.level)
+                size = out.write(member(info, self.level, number)) or 0
+            data = member(page_record(row.page_id, row.url, (row.html or "").encode("utf-8"), row.digest, row.refers_to), self.level, number)
             out.write(data)
             size += len(data)
         if out is not None:
@@ -124,14 +130,20 @@ class WarcWriter(DataSourceWriter):
                 fs.delete_file(part)
 
 
-class _Files(InputPartition):
-    def __init__(self, files: list[str]):
-        self.files = files
+class _Parts(InputPartition):
+    """Byte ranges (path, begin, end, size of the file)."""
+
+    def __init__(self, parts: list[tuple[str, int, int, int]]):
+        self.parts = parts
+
+
+class Unreadable(Exception):
+    """What stands here is no whole record."""
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool, partition_bytes: int):
-        self.path, self.payload, self.partition_bytes = path, payload, partition_bytes
+    def __init__(self, path: str, payload: str, partition_bytes: int, permissive: bool):
+        self.path, self.payload, self.partition_bytes, self.permissive = path, payload, partition_bytes, permissive
         self.wanted: list[tuple[str, list]] = []
 
     def pushFilters(self, filters):
@@ -148,27 +160,44 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        """Whole files, packed up to partition_bytes, largest first: a file is the unit that can be lost and read again."""
+        """Ranges of files, packed to a size, large files first.
+
+        The size is partition_bytes, or less where that gives under 256 partitions, but no less than 4 MB. Every task
+        that gets a range of a large file looks at the file's first member: if it notes no length, the task at the
+        file's start reads all of it.
+        """
         fs, root = file_system(self.path)
         info = fs.get_file_info(root)
         found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
         files = sorted(((f.size, f.path) for f in found if f.is_file and re.search(r"\.warc(\.gz)?$", f.path)), reverse=True)
-        groups: list[list[str]] = []
+        size = min(self.partition_bytes, max(4 << 20, sum(n for n, _ in files) // 256))
+        packed: list[list[tuple[str, int, int, int]]] = []
         room = 0
-        for size, path in files:
-            if not groups or room < size:
-                groups.append([])
-                room = self.partition_bytes
-            groups[-1].append(path)
-            room -= size
-        return [_Files(g) for g in groups] or [_Files([])]
+        for n, path in files:
+            for begin in range(0, n, size):
+                end = min(n, begin + size)
+                if not packed or room < end - begin:
+                    packed.append([])
+                    room = size
+                packed[-1].append((path, begin, end, n))
+                room -= end - begin
+        return [_Parts(p) for p in packed] or [_Parts([])]
 
     def read(self, partition):
         fs, _ = file_system(self.path)
         rows, held = [], 0
-        for path in partition.files:
-            with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as raw:
-                for row in self._records(path, raw):
+        for path, begin, end, size in partition.parts:
+            with fs.open_input_file(path) as raw:
+                signature = None
+                if end - begin < size:
+                    head = raw.read(_HEAD)
+                    if head.startswith(_NOTED):
+                        signature = head[: len(_NOTED) + 8]
+                        begin = next_member(raw, begin, end, signature)
+                    if begin is None or begin and not signature:
+                        continue
+                    raw.seek(begin)
+                for row in self._records(path, raw, begin, end, signature):
                     rows.append(row)
                     held += len(row[-1] or b"") + 500
                     if held > 8 << 20:
@@ -189,58 +218,120 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def _records(self, path: str, raw):
-        """Headers first; of a record that no predicate lets through, nothing else is decoded."""
-        buffer = Buffer(raw)
-        while head := buffer.peek(4):
+    def _records(self, path: str, raw, begin: int, end: int, signature: bytes | None):
+        """Rows of the records from begin on, up to the first member with the signature from end on, where the next range starts.
+
+        Headers first; of a record that no predicate lets through, nothing else is decoded.
+        """
+        buffer = Buffer(raw, begin)
+        while (head := buffer.peek(4)) and not (signature and buffer.at >= end and buffer.peek(len(signature)) == signature):
             at = buffer.at
             source = Member(buffer) if head[:2] == b"\x1f\x8b" else Plain(buffer)
-            while source.more():
-                headers = parse_headers(source)
-                if headers is None:
-                    raise ValueError(f"no whole WARC record in {path} at {at}")
-                length = int(headers.get("content-length") or 0)
-                if self._wants(headers):
-                    yield self._row(path, at, headers, source, length)
-                else:
-                    source.skip(length)
-                if source.single:
+            while True:
+                try:
+                    while source.more():
+                        headers = parse_headers(source)
+                        length = content_length(headers)
+                        if self._wants(headers):
+                            yield self._row(path, at, headers, source, length)
+                        else:
+                            source.skip(length)
+                        if source.single:
+                            break
+                    source.finish()
                     break
-            source.finish()
+                except (Unreadable, zlib.error) as e:
+                    if not self.permissive:
+                        raise ValueError(f"no whole WARC record in {path} at {at}: {e}") from e
+                    if not self.wanted:
+                        yield (path, at, *[None] * (len(_COLUMNS) - 4), str(e), None)
+                    if not source.resume():
+                        source.recover()
+                        break
 
     def _row(self, path, at, headers, source, length):
         block, digest, size = None, None, None
-        if self.payload:
+        if self.payload != "false":
             block = source.read(length)
             if (headers.get("content-type") or "").startswith("application/http"):
                 block = block.partition(b"\r\n\r\n")[2]
             size, digest = len(block), base64.b32encode(sha1(block).digest()).decode()
+            if self.payload == "digest":
+                block = None
         else:
             source.skip(length)
-        own = headers.get("x-payload-bytes")
-        return (path, at, *(headers.get(_FROM_HEADER[c].lower()) for c in ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest")), length, int(own) if own else None, size, digest, block)
+        own = headers.get("x-payload-bytes") or ""
+        declared = int(own) if re.fullmatch("[0-9]{1,18}", own) else None
+        return (path, at, *(headers.get(_FROM_HEADER[c].lower()) for c in ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest")), length, declared, size, digest, None, block)
+
+
+def next_member(raw, begin: int, end: int, signature: bytes) -> int | None:
+    """Offset of the first member of this file that starts in the range, by the signature that all its members share."""
+    at, tail = begin, b""
+    raw.seek(begin)
+    while at - len(tail) < end and (got := raw.read(1 << 20)):
+        data = tail + got
+        found = data.find(signature)
+        if found >= 0:
+            place = at - len(tail) + found
+            return place if place < end else None
+        at += len(got)
+        tail = data[-(len(signature) - 1) :]
+    return None
+
+
+def content_length(headers: dict[str, str]) -> int:
+    """The length of a record's block; a header without one, or with what is no length, is unreadable."""
+    value = headers.get("content-length")
+    if value is None or not re.fullmatch("[0-9]{1,18}", value):
+        raise Unreadable(f"Content-Length {value!r}"[:200])
+    return int(value)
 
 
 class Buffer:
-    """Bytes of a stream with a look ahead; skipping reads and forgets piece by piece."""
+    """Bytes of a file from an offset on with a look ahead; skipping forgets what is held and seeks over the rest."""
 
-    def __init__(self, raw):
-        self.raw, self.held, self.at = raw, b"", 0
+    def __init__(self, raw, at: int):
+        self.raw, self.held, self.at = raw, bytearray(), at
 
     def peek(self, n: int) -> bytes:
         while len(self.held) < n and (more := self.raw.read(max(n - len(self.held), 1 << 20))):
             self.held += more
-        return self.held[:n]
+        return bytes(self.held[:n])
 
     def take(self, n: int) -> bytes:
         out = self.peek(n)
-        self.held = self.held[len(out) :]
+        del self.held[: len(out)]
         self.at += len(out)
         return out
 
-    def skip(self, n: int) -> None:
-        while n > 0 and (got := self.take(min(n, 1 << 20))):
-            n -= len(got)
+    def skip(self, n: int) -> int:
+        """Leaves out n bytes, or those there are; how many there were."""
+        kept = min(n, len(self.held))
+        del self.held[:kept]
+        gone = min(n - kept, self.raw.size() - self.raw.tell())
+        if gone:
+            self.raw.seek(self.raw.tell() + gone)
+        self.at += kept + gone
+        return kept + gone
+
+    def go_to(self, at: int) -> None:
+        self.held, self.at = bytearray(), at
+        self.raw.seek(at)
+
+    def seek_next(self, pattern: re.Pattern, after: int) -> None:
+        """To the first match of a pattern of up to 16 bytes from the offset on, or to the end."""
+        self.go_to(after)
+        while True:
+            data = self.peek(1 << 20)
+            found = pattern.search(data)
+            if found and (found.end() < len(data) or len(data) < 1 << 20):
+                self.take(found.start())
+                return
+            if len(data) < 1 << 20:
+                self.take(len(data))
+                return
+            self.take(len(data) - 16)
 
 
 class Plain:
@@ -249,7 +340,7 @@ class Plain:
     single = True
 
     def __init__(self, buffer: Buffer):
-        self.buffer = buffer
+        self.buffer, self.start = buffer, buffer.at
 
     def more(self) -> bool:
         return bool(self.peek(1))
@@ -258,81 +349,131 @@ class Plain:
         return self.buffer.peek(n)
 
     def read(self, n: int) -> bytes:
-        return self.buffer.take(n)
+        out = self.buffer.take(n)
+        if len(out) < n:
+            raise Unreadable("ends before its Content-Length")
+        return out
 
     def skip(self, n: int) -> None:
-        self.buffer.skip(n)
+        if self.buffer.skip(n) < n:
+            raise Unreadable("ends before its Content-Length")
 
     def finish(self) -> None:
         while self.buffer.peek(1) in (b"\r", b"\n"):
             self.buffer.take(1)
 
+    def resume(self) -> bool:
+        return False
+
+    def recover(self) -> None:
+        """To the next line that starts as a record does."""
+        self.buffer.seek_next(re.compile(rb"(?<=\n)WARC/[0-9]"), self.start + 1)
+
 
 class Member:
     """One gzip member, inflated as far as it is read; one that notes its length holds a single record."""
 
     def __init__(self, buffer: Buffer):
         self.buffer, self.start = buffer, buffer.at
-        self.length = None
-        head = buffer.peek(32)
-        if len(head) == 32 and head[3] == 4 and head[12:14] == b"sl":
-            self.length = struct.unpack("<Q", head[16:24])[0]
+        head = buffer.peek(_HEAD)
+        self.length = struct.unpack("<Q", head[-8:])[0] if len(head) == _HEAD and head.startswith(_NOTED) else None
         self.single = self.length is not None
         self.inflate = zlib.decompressobj(31)
-        self.held = b""
+        self.held = bytearray()
 
     def more(self) -> bool:
         while self.peek(1) in (b"\r", b"\n"):
-            self.read(1)
+            del self.held[:1]
         return bool(self.held)
 
     def _more(self) -> bool:
         if self.inflate.eof:
             return False
-        raw = self.buffer.take(32 << 10)
+        raw = self.buffer.peek(32 << 10)
         if not raw:
-            return False
+            raise Unreadable("the gzip member has no end")
         self.held += self.inflate.decompress(raw)
-        if self.inflate.eof:
-            self.buffer.held = self.inflate.unused_data + self.buffer.held
-            self.buffer.at -= len(self.inflate.unused_data)
+        self.buffer.skip(len(raw) - len(self.inflate.unused_data))
         return True
 
     def peek(self, n: int) -> bytes:
         while len(self.held) < n and self._more():
             pass
-        return self.held[:n]
+        return bytes(self.held[:n])
 
     def read(self, n: int) -> bytes:
         out = self.peek(n)
-        self.held = self.held[len(out) :]
+        if len(out) < n:
+            raise Unreadable("ends before its Content-Length")
+        del self.held[:n]
         return out
 
     def skip(self, n: int) -> None:
-        if self.length is None:
-            while n > 0 and (got := self.read(min(n, 1 << 20))):
-                n -= len(got)
+        if self.length is not None:
+            return
+        while n > 0:
+            self.peek(1)
+            gone = min(n, len(self.held))
+            if not gone:
+                raise Unreadable("ends before its Content-Length")
+            del self.held[:gone]
+            n -= gone
 
     def finish(self) -> None:
         if self.length is not None and not self.inflate.eof:
-            self.buffer.skip(self.start + self.length - self.buffer.at)
+            rest = self.start + self.length - self.buffer.at
+            if rest < 0 or self.buffer.skip(rest) < rest:
+                raise Unreadable("the gzip member has no end")
         else:
             while self._more():
-                self.held = b""
-
+                self.held.clear()
+
+    def resume(self) -> bool:
+        """Goes on at the next line of this member that starts as a record does, if there is one."""
+        try:
+            while not self.single:
+                if found := re.compile(rb"\nWARC/[0-9]").search(self.held):
+                    del self.held[: found.start() + 1]
+                    return True
+                del self.held[:-7]
+                if not self._more():
+                    break
+        except (Unreadable, zlib.error):
+            pass
+        return False
 
-def parse_headers(source) -> dict[str, str] | None:
-    """Header names in lower case with their values, or None at what is no record or ends before its blank line."""
+    def recover(self) -> None:
+        """To the next member that starts as a record does: right behind this one if its end is known, else by search."""
+        search, at = re.compile(rb"\x1f\x8b\x08"), self.start + 1
+        if self.inflate.eof:
+            return
+        if self.length is not None:
+            self.buffer.go_to(self.start + self.length)
+            if self.buffer.peek(3) in (b"\x1f\x8b\x08", b""):
+                return
+        while True:
+            self.buffer.seek_next(search, at)
+            at = self.buffer.at + 1
+            head = self.buffer.peek(64 << 10)
+            try:
+                if not head or zlib.decompressobj(31).decompress(head, 5) == b"WARC/":
+                    return
+            except zlib.error:
+                pass
+
+
+def parse_headers(source) -> dict[str, str]:
+    """Header names in lower case with their values; what is no record, or ends before its blank line, is unreadable."""
     size = 1024
     if source.peek(5) != b"WARC/":
-        return None
+        raise Unreadable("no record starts here")
     while True:
         head = source.peek(size)
         end = head.find(b"\r\n\r\n")
         if end >= 0:
             break
         if len(head) < size:
-            return None
+            raise Unreadable("headers without an end")
         size *= 4
     source.read(end + 4)
     out = {}
@@ -343,7 +484,7 @@ def parse_headers(source) -> dict[str, str] | None:
 
 
 class WarcSource(DataSource):
-    """format("warc"): options path, payload (true: decode payloads), partitionBytes, fileBytes, level."""
+    """format("warc"): options path, payload (true, or digest: sizes and digests alone, or false: neither), mode (PERMISSIVE or FAILFAST), partitionBytes, fileBytes, level."""
 
     @classmethod
     def name(cls) -> str:
@@ -353,7 +494,10 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() == "true", int(self.options.get("partitionBytes", 128 << 20)))
+        mode, payload = self.options.get("mode", "PERMISSIVE").upper(), self.options.get("payload", "true").lower()
+        if mode not in ("PERMISSIVE", "FAILFAST") or payload not in ("true", "digest", "false"):
+            raise ValueError(f"mode {mode}, payload {payload}")
+        return WarcReader(self.options["path"], payload, int(self.options.get("partitionBytes", 128 << 20)), mode == "PERMISSIVE")
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], int(self.options.get("fileBytes", 1 << 30)), int(self.options.get("level", 1)))
@@ -396,9 +540,14 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: i
     with_revisits(pages, least_bytes).write.format("warc").option("fileBytes", file_bytes).mode("append").save(path)
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, payload: bool | str = True, mode: str = "PERMISSIVE", partition_bytes: int = 128 << 20) -> DataFrame:
+    """The records of all .warc and .warc.gz files below the path, in the columns of SCHEMA.
+
+    Headers that a record lacks, and payloads that are not asked for, are null. What is no whole record is a row with
+    `error`, unless a predicate on a header leaves it out. An empty folder, or a file without bytes, has no records.
+    """
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("mode", mode).option("partitionBytes", partition_bytes).load(path)
 
 
 def page_number(urn) -> F.Column:
@@ -408,9 +557,10 @@ def page_number(urn) -> F.Column:
 def page_index(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to from the archives.
 
-    A response's figures are computed from its payload; a revisit has none, so its header's stand in.
+    A response's figures are computed from its payload; a revisit has none, so its header's stand in. A record that cannot
+    be read is an error here, as an index without it would be wrong.
     """
-    rows = read(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    rows = read(spark, path, payload="digest", mode="FAILFAST").where(F.col("record_type").isin("response", "revisit"))
     answers = F.col("record_type") == "response"
     return rows.select(
         page_number(F.col("record_id")).alias("page_id"),

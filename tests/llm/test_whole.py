@@ -40,7 +40,7 @@ def test_headers_of_any_length(spark, tmp_path, packed):
 def test_what_is_no_record_is_an_error(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(_record(0) + b"junk\r\n\r\n" + _record(1))
     with pytest.raises(Exception, match="no whole WARC record"):
-        warc.read(spark, str(tmp_path)).collect()
+        warc.read(spark, str(tmp_path), mode="FAILFAST").collect()
 
 
 def test_bands_fit_the_threshold():
