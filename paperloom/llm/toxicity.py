@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-The lexical transducer reads words and writes class symbols with weights: insult, threat, target, negation, report
-or other. Target, negation and reported-speech transducers then read class symbols and pass them on, marking the
-insults and threats in their scope; their composition is one deterministic machine over class symbols. A clause's
-outcome is how its insults and threats left the cascade, and a text's score is a logistic function of its matched
-clauses by outcome, so an isolated word counts only as the clause it stands in.
-
-Function words are fixed values below; insult words and stems, and all weights, are learned from labelled texts.
+The lexical transducer reads words and writes class symbols with weights: insult, threat, intent, target, negation,
+report or other. Five transducers then read class symbols and pass them on with marks and weights: insult (insults that
+follow one another weigh more), threat (violent words behind a word of intent are threats that weigh more), negation,
+reported speech and target, each of which marks the insults and threats in its scope. Their composition is compiled to
+one table of states and symbols, through which all sentences with a match run at once. A clause's outcome is how its
+insults and threats left the cascade, its weight what the arcs on their way add up to, and a text's score is a logistic
+function of its matched clauses by outcome, so an isolated word counts only as the clause it stands in.
+
+Function words are fixed values below; insult words and stems, and all coefficients, are learned from labelled texts.
 """
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,12 @@ from pyspark.sql import functions as F
 
 from . import flat
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, COMMA = range(8)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, COMMA, INTENT = range(9)
+KINDS = 9
 #: Function words of the grammar, in English, German, French and Spanish.
 FUNCTION_WORDS = {
     THREAT: "kill hurt destroy beat smash burn töten schlagen vernichten tuer tuerai frapper détruire matar mataré golpear destruir",
+    INTENT: "will shall ll gonna going must should werde werden wird soll vais va vas vamos voy doit debe",
     TARGET: "you your yourself u they he she him them those these people du dich dir ihr euch sie er tu te toi vous ils elle ti vos usted ustedes ellos ella",
     NEGATION: "not no never none isn aren don doesn nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún ninguna sin",
     REPORT: "said says say called calls wrote writes quoted sagte sagt nannte schrieb zitierte dit disait appelé écrit dijo dice llamó escribió",
@@ -44,64 +49,130 @@ _QUOTES = (("\u2018", "'"), ("\u2019", "'"), ("\u201c", '"'), ("\u201d", '"'))
 
 
 class Transducer:
-    """A deterministic letter transducer: step[state][symbol] = (next state, written symbol); symbols carry marks as bits."""
+    """A deterministic weighted letter transducer: step(state, symbol) = (next state, written symbol, weight).
+
+    A symbol is a kind (its low four bits) with marks.
+    """
 
     def __init__(self, states: int, step):
         self.states, self.step = states, step
 
     def compose(self, then: Transducer) -> Transducer:
-        """The machine that feeds what this one writes to `then`."""
+        """The machine that feeds what this one writes to `then`; weights add up."""
 
         def step(state, symbol):
             a, b = divmod(state, then.states)
-            a, written = self.step(a, symbol)
-            b, written = then.step(b, written)
-            return a * then.states + b, written
+            a, written, one = self.step(a, symbol)
+            b, written, two = then.step(b, written)
+            return a * then.states + b, written, one + two
 
         return Transducer(self.states * then.states, step)
 
     def run(self, symbols):
         state, out = 0, []
         for s in symbols:
-            state, w = self.step(state, s)
+            state, w, _ = self.step(state, s)
             out.append(w)
         return out
 
 
-_NEGATED, _REPORTED, _AIMED = 8, 16, 32
+_NEGATED, _REPORTED, _AIMED, _INTENDED = 16, 32, 64, 128
+#: Words over which the scopes of the transducers reach, and the weights of a second insult and of a threat with intent.
+REACH = {"insult": 2, "threat": 4, "negation": 4, "target": 6}
+PILED, INTENDED = 1.0, 1.0
 
 
-def scope(opener: int, mark: int, reach: int, passes: bool = False) -> Transducer:
-    """Marks insults and threats up to `reach` words after the opener in its clause, or with passes over commas too."""
+def insults(reach: int = REACH["insult"], weight: float = PILED) -> Transducer:
+    """An insult within `reach` words of another one in its clause weighs more."""
 
     def step(state, symbol):
-        kind = symbol & 7
-        if kind == END:
-            return 0, symbol
-        if kind == COMMA:
-            return state if passes else 0, symbol
+        kind = symbol & 15
+        if kind in (END, COMMA):
+            return 0, symbol, 0.0
+        if kind == INSULT:
+            return reach, symbol, weight if state else 0.0
+        return max(0, state - 1), symbol, 0.0
+
+    return Transducer(reach + 1, step)
+
+
+def scope(opener: int, mark: int, reach: int, marked: tuple[int, ...] = (INSULT, THREAT), weight: float = 0.0) -> Transducer:
+    """Marks (and weighs) what stands up to `reach` words after the opener in its clause."""
+
+    def step(state, symbol):
+        kind = symbol & 15
+        if kind in (END, COMMA):
+            return 0, symbol, 0.0
         if kind == opener:
-            return reach, symbol
-        if kind in (INSULT, THREAT) and state:
-            symbol |= mark
-        return max(0, state - 1), symbol
+            return reach, symbol, 0.0
+        if kind in marked and state:
+            return state - 1, symbol | mark, weight
+        return max(0, state - 1), symbol, 0.0
 
     return Transducer(reach + 1, step)
 
 
+def reported() -> Transducer:
+    """Marks all insults and threats from a reporting verb to the end of the sentence, over commas."""
+
+    def step(state, symbol):
+        kind = symbol & 15
+        if kind == END:
+            return 0, symbol, 0.0
+        if kind == REPORT:
+            return 1, symbol, 0.0
+        return state, symbol | _REPORTED if state and kind in (INSULT, THREAT) else symbol, 0.0
+
+    return Transducer(2, step)
+
+
+def cascade() -> list[Transducer]:
+    threats = scope(INTENT, _INTENDED, REACH["threat"], (THREAT,), INTENDED)
+    return [insults(), threats, scope(NEGATION, _NEGATED, REACH["negation"]), reported(), scope(TARGET, _AIMED, REACH["target"])]
+
+
 def grammar() -> Transducer:
-    """Negation within four words, a target within six, reported speech over commas to the end of the sentence (60 words)."""
-    return scope(NEGATION, _NEGATED, 4).compose(scope(REPORT, _REPORTED, 60, passes=True)).compose(scope(TARGET, _AIMED, 6))
+    first, *others = cascade()
+    for then in others:
+        first = first.compose(then)
+    return first
 
 
-def outcome(symbol: int) -> int:
-    if symbol & _REPORTED:
-        return 3
-    if symbol & _NEGATED:
-        return 2
-    if symbol & 7 == THREAT:
-        return 4
-    return 0 if symbol & _AIMED else 1
+@dataclass
+class Compiled:
+    """A composed machine as tables of (state, kind): next state, written symbol, weight."""
+
+    after: np.ndarray
+    written: np.ndarray
+    weight: np.ndarray
+
+    def run(self, kinds: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Written symbols and weights of many sequences that start at the heads, a step of all of them at once."""
+        written, weight = np.zeros(len(kinds), np.int64), np.zeros(len(kinds))
+        size = np.diff(np.append(heads, len(kinds)))
+        order = np.argsort(-size, kind="stable")
+        at, left = heads[order], -size[order]
+        state = np.zeros(len(heads), np.int64)
+        for k in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(left, -k, "left"))  # those longer than k
+            at, state = at[:n], state[:n]
+            kind = kinds[at + k]
+            written[at + k], weight[at + k] = self.written[state, kind], self.weight[state, kind]
+            state = self.after[state, kind]
+        return written, weight
+
+
+@lru_cache(1)
+def compiled() -> Compiled:
+    machine = grammar()
+    rows = [[machine.step(state, kind) for kind in range(KINDS)] for state in range(machine.states)]
+    return Compiled(*(np.array([[arc[k] for arc in row] for row in rows], t) for k, t in enumerate((np.int64, np.int64, float))))
+
+
+def outcome(symbol):
+    """The number in OUTCOMES of insults and threats as they left the cascade."""
+    aimed = np.where(symbol & _AIMED, 0, 1)
+    return np.where(symbol & _REPORTED, 3, np.where(symbol & _NEGATED, 2, np.where(symbol & 15 == THREAT, 4, aimed)))
 
 
 # lexicon ---------------------------------------------------------------------------------------------------------
@@ -184,8 +255,11 @@ def _look_up(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def features(raw: np.ndarray, offs: np.ndarray, model: Model, machine: Transducer) -> np.ndarray:
-    """For each text: by outcome, the summed weights of its matched clauses (logs), and whether there is any."""
+def features(raw: np.ndarray, offs: np.ndarray, model: Model, machine: Compiled) -> np.ndarray:
+    """For each text: by outcome, the summed weights of its matched clauses (logs), and whether there is any.
+
+    A clause counts once for an outcome, with the largest weight of its words: that of the word plus that of its arcs.
+    """
     n = len(offs) - 1
     out = np.zeros((n, 2 * len(OUTCOMES)))
     starts, ends, doc = spans(raw, offs)
@@ -206,27 +280,34 @@ def features(raw: np.ndarray, offs: np.ndarray, model: Model, machine: Transduce
     if not len(core):
         return out
     closes, commas = (np.concatenate(([0], np.cumsum(x))) for x in (_CLOSES[raw], raw == 44))
-    sentence, clause = closes[starts], commas[starts]  # numbers in the flat array; texts never share one with a match below
+    sentence, clause = closes[starts], commas[starts]
     edge = np.concatenate(([True], (sentence[1:] != sentence[:-1]) | (doc[1:] != doc[:-1])))
     number = np.cumsum(edge) - 1
-    heads = np.append(np.flatnonzero(edge), len(starts))
     # what an apostrophe parts from its word (don't, you're) takes no place in a scope
     rest = np.zeros(len(starts), bool)
     rest[1:] = (starts[1:] == ends[:-1] + 1) & (raw[ends[:-1]] == 39) & (symbol[1:] == OTHER) & ~edge[1:]
-    for c in np.unique(number[core]).tolist():
-        i, j = heads[c], heads[c + 1]
-        at = i + np.flatnonzero(~rest[i:j])
-        turns = np.flatnonzero(np.diff(clause[at])) + 1
-        left = machine.run(np.insert(symbol[at], turns, COMMA).tolist())
-        best: dict[int, float] = {}
-        for s, w in zip([*left, COMMA], [*np.insert(weight[at], turns, 0.0).tolist(), 0.0], strict=True):
-            if s & 7 in (INSULT, THREAT):
-                k = outcome(s)
-                best[k] = max(best.get(k, 0.0), w)
-            elif s & 7 == COMMA:
-                for k, v in best.items():
-                    out[doc[i], k] += v
-                best = {}
+    matched = np.zeros(number[-1] + 1, bool)
+    matched[number[core]] = True
+    at = np.flatnonzero(matched[number] & ~rest)
+    # a comma symbol between words with a comma between them
+    turns = np.flatnonzero((number[at][1:] == number[at][:-1]) & (clause[at][1:] != clause[at][:-1])) + 1
+    kind, of = np.insert(symbol[at], turns, COMMA), np.insert(number[at], turns, number[at][turns])
+    heavy, owner = np.insert(weight[at], turns, 0.0), np.insert(doc[at], turns, doc[at][turns])
+    # other words beyond the reach of every scope change no state
+    place = np.arange(len(kind))
+    head = np.concatenate(([True], of[1:] != of[:-1]))
+    keep = place - np.maximum.accumulate(np.where((kind != OTHER) | head, place, 0)) <= max(REACH.values()) + 1
+    kind, of, heavy, owner, head = kind[keep], of[keep], heavy[keep], owner[keep], head[keep]
+    written, added = machine.run(kind, np.flatnonzero(head))
+    number = np.cumsum(head | (kind == COMMA)) - 1  # of the clause
+    hits = np.flatnonzero((kind == INSULT) | (kind == THREAT))
+    cell = number[hits] * len(OUTCOMES) + outcome(written[hits])
+    cells, inverse = np.unique(cell, return_inverse=True)
+    best = np.zeros(len(cells))
+    np.maximum.at(best, inverse, heavy[hits] + added[hits])
+    text = np.zeros(len(cells), np.int64)
+    text[inverse] = owner[hits]
+    np.add.at(out, (text, cells % len(OUTCOMES)), best)
     out[:, len(OUTCOMES) :] = out[:, : len(OUTCOMES)] > 0
     out[:, : len(OUTCOMES)] = np.log1p(out[:, : len(OUTCOMES)])
     return out
@@ -247,11 +328,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFra
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, least_texts: int = 4, least_share: float = 0.01, least_odds: float = 5.5, most_entries: int = 5_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, least_texts: int = 4, least_share: float = 0.01, least_odds: float = 5.5) -> Model:
     """A model from at most most_rows labelled texts.
 
     An entry is a word or stem of at least least_texts, and least_share of all, toxic texts whose smoothed log odds of being toxic exceed the
-    overall ones by least_odds; at most most_entries of the strongest are kept, so the model's size is bounded.
+    overall ones by least_odds. Their number is bounded by the sample: the words and stems of its toxic texts over least_texts.
     Without any labels, or with one class only, the lexicon is empty and all texts score alike.
     """
     rows = training_rows(docs, labels, most_rows)
@@ -277,13 +358,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, least_texts
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.append(np.zeros(width - 1), base))
     counted = rows.mapInArrow(count, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.1) / (F.col("clean") + 0.1)) - F.lit(base)
-    entries = counted.where(F.col("toxic") >= max(least_texts, least_share * n1)).withColumn("odds", odds).where(F.col("odds") >= least_odds).orderBy(F.desc("odds"), "key").limit(most_entries).collect()
+    entries = counted.where(F.col("toxic") >= max(least_texts, least_share * n1)).withColumn("odds", odds).where(F.col("odds") >= least_odds).collect()
     keys = np.array([r.key for r in entries], np.int64).view(np.uint64)
     order = np.argsort(keys)
     model = Model(keys[order], np.array([r.odds for r in entries])[order], np.zeros(width))
 
     def measure(batches):
-        machine = grammar()
+        machine = compiled()
         for b in batches:
             raw, offs = lowered(b.column(0))
             x = np.concatenate([features(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], model, machine) for i, j in flat.chunks(offs)]) if b.num_rows else np.zeros((0, width - 1))
@@ -317,7 +398,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        machine = grammar()
+        machine = compiled()
         for b in batches:
             raw, offs = lowered(b.column(2))
             for i, j in flat.chunks(offs):

@@ -196,7 +196,7 @@ def test_toxicity(spark):
 
 
 def test_toxicity_grammar():
-    run = lambda *s: [toxicity.outcome(x) for x in toxicity.grammar().run(s) if x & 7 in (toxicity.INSULT, toxicity.THREAT)]
+    run = lambda *s: [toxicity.outcome(x) for x in toxicity.grammar().run(s) if x & 15 in (toxicity.INSULT, toxicity.THREAT)]
     t = toxicity
     assert run(t.TARGET, t.OTHER, t.INSULT) == [0] and run(t.INSULT) == [1] and run(t.NEGATION, t.INSULT) == [2]
     assert run(t.REPORT, t.TARGET, t.INSULT) == [3] and run(t.THREAT) == [4] and run(t.TARGET, t.END, t.INSULT) == [1]

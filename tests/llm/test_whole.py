@@ -97,5 +97,5 @@ def test_apostrophes_and_commas_in_the_grammar(text, want):
     keys = sorted(toxicity.word_keys(w) for w in ("idiot", "idiots"))
     model = toxicity.Model(np.array(keys, np.uint64), np.ones(2), np.zeros(2 * len(toxicity.OUTCOMES) + 1))
     raw, offs = toxicity.lowered(pa.array([text, "an idiot"]))
-    row = toxicity.features(raw, offs, model, toxicity.grammar())
+    row = toxicity.features(raw, offs, model, toxicity.compiled())
     assert {o for o, x in zip(toxicity.OUTCOMES, row[0], strict=False) if x > 0} == want and row[1, 1] > 0
