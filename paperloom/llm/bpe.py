@@ -19,11 +19,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import flat
 from .pretokens import PieceCache
+from .shared import col, map_columns
 
 _NONE = np.int64(1) << np.int64(30)
 
@@ -169,34 +169,32 @@ def _text_chunks(texts, limit: int = flat.CHUNK_BYTES):
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with an array of token ids for each whole text; a null text has an empty array; a column of that name is replaced."""
     docs = docs.drop(ids)
-    schema = StructType([*docs.schema, StructField(ids, ArrayType(IntegerType()))])
+    at = docs.columns.index(text)
 
     def run(batches):
         bpe = word_bpe(path)
         for b in batches:
-            column = b.column(b.schema.get_field_index(text))
-            for i, part in _text_chunks(column):
+            for i, part in _text_chunks(b.column(at)):
                 got, counts = bpe.encode(part)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(got, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.slice(i, len(part)).columns, lists], names=[*b.schema.names, ids])
+                yield [*b.slice(i, len(part)).columns, lists]
 
-    return docs.mapInArrow(run, schema)
+    return map_columns(docs, run, [*docs.schema, StructField(ids, ArrayType(IntegerType()))])
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """tokens with the decoded string of each id array; a null array decodes to an empty string."""
     tokens = tokens.drop(text)
-    schema = StructType([*tokens.schema, StructField(text, StringType())])
+    at = tokens.columns.index(ids)
 
     def run(batches):
         bpe = word_bpe(path)
         for b in batches:
-            column = b.column(b.schema.get_field_index(ids))
             for i in range(0, b.num_rows, 512):
-                part = [bpe.decode(x or []) for x in column.slice(i, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.slice(i, 512).columns, pa.array(part, pa.string())], names=[*b.schema.names, text])
+                part = [bpe.decode(x or []) for x in b.column(at).slice(i, 512).to_pylist()]
+                yield [*b.slice(i, 512).columns, pa.array(part, pa.string())]
 
-    return tokens.mapInArrow(run, schema)
+    return map_columns(tokens, run, [*tokens.schema, StructField(text, StringType())])
 
 
 def encode_decode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", others: tuple[str, ...] = (), keep_ids: bool = False) -> DataFrame:
@@ -208,9 +206,8 @@ def encode_decode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", te
     from hashlib import sha256
 
     made = {doc_id, "n_tokens", "ids_sha256", "decoded_sha256", "ids"}
-    docs = docs.select(F.col(f"`{text}`").alias("text__"), f"`{doc_id}`", *(f"`{c}`" for c in others if c not in made))
+    docs = docs.select(col(text), col(doc_id), *(col(c) for c in others if c not in made))
     fields = docs.schema.fields[1:]
-    names = [*(f.name for f in fields), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
     def run(batches):
         bpe = word_bpe(path)
@@ -226,7 +223,7 @@ def encode_decode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", te
                 columns = [*(b.column(k + 1).slice(i, len(part)) for k in range(len(fields))), pa.array(counts), pa.array(a, pa.string()), pa.array(d, pa.string())]
                 if keep_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(got, pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield columns
 
     results = StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
-    return docs.mapInArrow(run, StructType([*fields, *results]))
+    return map_columns(docs, run, [*fields, *results])

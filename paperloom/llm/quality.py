@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import flat
-from .shared import col, kept, spare
+from .shared import col, kept, map_columns, spare
 
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOLS = np.zeros(256, bool)
@@ -110,16 +110,15 @@ def with_counts(docs: DataFrame, text: str = "text", drop_text: bool = False) ->
     """docs with the five counts; columns of these names are replaced. drop_text leaves out the text."""
     names = [x.split()[0] for x in BASE_SCHEMA.split(", ")]
     docs = docs.drop(*names)
-    left = [f for f in docs.schema if not (drop_text and f.name == text)]
-    schema = StructType([*left, *StructType.fromDDL(BASE_SCHEMA)])
+    at = docs.columns.index(text)
+    left = [k for k, f in enumerate(docs.schema) if not (drop_text and k == at)]
 
     def run(batches):
         for b in batches:
-            counts = text_counts(b.column(b.schema.get_field_index(text)))
-            columns = [b.column(b.schema.get_field_index(f.name)) for f in left]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(counts[k]) for k in names)], names=[*(f.name for f in left), *names])
+            counts = text_counts(b.column(at))
+            yield [*(b.column(k) for k in left), *(pa.array(counts[k]) for k in names)]
 
-    return docs.mapInArrow(run, schema)
+    return map_columns(docs, run, [*(docs.schema[k] for k in left), *StructType.fromDDL(BASE_SCHEMA)])
 
 
 def base_failed(min_words: int = 10, max_repeat_percent: int = 20):

@@ -5,9 +5,10 @@ from __future__ import annotations
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,17 @@ def row_key(df: DataFrame) -> Column:
     return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("row"), *columns).alias("b"))
 
 
+def map_columns(df: DataFrame, run, fields: list[StructField]) -> DataFrame:
+    """df.mapInArrow with columns by number, so that their names may hold any characters: run yields lists of arrays."""
+
+    def numbered(batches):
+        for columns in run(batches):
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(numbered, schema).toDF(*(f.name for f in fields))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
