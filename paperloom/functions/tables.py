@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir.
+
+    Where none is set: a temporary folder in local mode, whose driver and executors are one machine; on a cluster an error,
+    as no machine's own folder is shared.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file://{tempfile.gettempdir()}/checkpoints"
+    return at.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the cluster's shared folder (spark.checkpoint.dir; /tmp only where none is set): its lineage ends there."""
-    spark, schema = df.sparkSession, df.schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost nothing."""
+    spark, schema, path = df.sparkSession, df.schema, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

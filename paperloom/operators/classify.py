@@ -61,15 +61,20 @@ def ranked(scores: dict[str, Column]) -> Column:
     return F.transform(F.array_sort(entries), lambda e: F.struct((-e["minus"]).alias("score"), e["label"].alias("label")))
 
 
-def fraction_scores(text: Column) -> dict[str, Column]:
-    low = F.lower(F.coalesce(text, F.lit("")))
+def _lowered(docs: DataFrame) -> DataFrame:
+    """docs with the text in lower case as a column of its own: a projection below those that search it many times."""
+    return docs.withColumn("low__", F.lower(F.coalesce("text", F.lit(""))))
+
+
+def fraction_scores(low: Column) -> dict[str, Column]:
+    """Scores of a text in lower case."""
     return {k: _hits(low, words) / F.lit(float(len(words))) for k, words in FRACTION_WORDS.items()}
 
 
 def fraction_classifier(docs: DataFrame) -> DataFrame:
     """docs with label, confidence (twice the share of a type's words, at most 1) and the three best alternatives."""
     best = F.col("ranked__")
-    out = docs.withColumn("ranked__", ranked(fraction_scores(F.col("text"))))
+    out = _lowered(docs).withColumn("ranked__", ranked(fraction_scores(F.col("low__")))).drop("low__")
     return out.withColumns({"label": best[0]["label"], "confidence": F.least(best[0]["score"] * 2, F.lit(1.0)), "alternatives": F.slice(F.filter(best, lambda e: e["score"] > 0), 1, 3)}).drop("ranked__")
 
 
@@ -85,10 +90,9 @@ def features(docs: DataFrame) -> DataFrame:
     })
 
 
-def phrase_scores(text: Column) -> dict[str, Column]:
-    """Scores by references, phrases and structure, each one fixed-order expression."""
+def phrase_scores(text: Column, low: Column) -> dict[str, Column]:
+    """Scores by references, phrases and structure of a text and itself in lower case, each one fixed-order expression."""
     text = F.coalesce(text, F.lit(""))
-    low = F.lower(text)
     zero = F.lit(0.0)
     refs = {k: F.regexp_count(text, F.lit(rf"(?i)\b{k}\s*#?\s*(\d+)")) * F.lit(0.4) for k in ("rfi", "invoice", "contract")}
     out = {}
@@ -105,7 +109,7 @@ def phrase_scores(text: Column) -> dict[str, Column]:
 
 def phrase_classifier(docs: DataFrame, min_confidence: float = 0.0) -> DataFrame:
     """docs with label, confidence (at most 1; below min_confidence the label is unknown)."""
-    out = docs.withColumn("ranked__", ranked(phrase_scores(F.col("text"))))
+    out = _lowered(docs).withColumn("ranked__", ranked(phrase_scores(F.col("text"), F.col("low__")))).drop("low__")
     best = F.col("ranked__")[0]
     sure = (best["score"] > 0) & (best["score"] >= min_confidence)
     return out.withColumns({"label": F.when(sure, best["label"]).otherwise(F.lit("unknown")), "confidence": F.when(sure, F.least(best["score"], F.lit(1.0))).otherwise(F.lit(0.0))}).drop("ranked__")
@@ -121,6 +125,29 @@ def ensemble(both: DataFrame) -> DataFrame:
     return both.withColumns({"label": label, "confidence": conf})
 
 
+def fallback(docs: DataFrame, model_label: Column, model_confidence: Column) -> DataFrame:
+    """docs with label, confidence and method: what the model says, where it says nothing the phrase rules, and last unknown with 0.
+
+    The rules judge every row, as they are a projection; a null label or confidence of the model is no answer.
+    """
+    rules = phrase_classifier(docs.withColumns({"model__": model_label, "sure__": model_confidence}))
+    answered = F.col("model__").isNotNull() & F.col("sure__").isNotNull()
+    ruled = F.col("text").isNotNull()
+    return rules.withColumns({
+        "method": F.when(answered, "model").when(ruled, "rules").otherwise("none"),
+        "label": F.when(answered, F.col("model__")).when(ruled, F.col("label")).otherwise("unknown"),
+        "confidence": F.when(answered, F.col("sure__")).when(ruled, F.col("confidence")).otherwise(0.0),
+    }).drop("model__", "sure__")
+
+
+def first_signs(text: Column, n_references: int = 10, n_phrases: int = 20) -> Column:
+    """struct(references, phrases): the first n_references reference mentions and n_phrases listed phrases of a text."""
+    refs = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:rfi|invoice|contract|submittal|change order)\s*#?\s*\d+"), 0)
+    words = list(dict.fromkeys(w for group in PHRASES.values() for w in group))
+    found = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w))
+    return F.struct(F.slice(refs, 1, n_references).alias("references"), F.slice(found, 1, n_phrases).alias("phrases"))
+
+
 def chunk_votes(chunks: DataFrame, key: str) -> DataFrame:
     """From (key, label, confidence) of chunks: the three best labels by summed confidence over the number of chunks."""
     per = chunks.groupBy(key, "label").agg(F.sum("confidence").alias("total"))

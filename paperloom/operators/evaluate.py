@@ -6,29 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Pages in a bucket of the overlap join.
+BUCKET = 32
+
+
 def overlaps(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Pairs of a predicted and a true range of one PDF that share pages, with shared pages and IoU.
 
-    The join is by pdf_id, so it hashes; the range test is what is left of it.
+    Ranges meet by PDF and bucket of pages, so a long PDF is many keys and its ranges are not all compared; a pair that
+    shares several buckets is taken from the first of them.
     """
-    p = pred.select("pdf_id", F.col("start_page").alias("ps"), F.col("end_page").alias("pe"))
-    t = truth.select("pdf_id", F.col("start_page").alias("ts"), F.col("end_page").alias("te"))
-    met = p.join(t, "pdf_id").where("ps <= te AND ts <= pe")
+
+    def bucketed(ranges: DataFrame, first: str, last: str) -> DataFrame:
+        named = ranges.select("pdf_id", F.col("start_page").alias(first), F.col("end_page").alias(last)).where(F.col(first) <= F.col(last))
+        return named.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(first) / BUCKET), F.floor(F.col(last) / BUCKET))))
+
+    met = bucketed(pred, "ps", "pe").join(bucketed(truth, "ts", "te"), ["pdf_id", "bucket"])
+    met = met.where((F.col("ps") <= F.col("te")) & (F.col("ts") <= F.col("pe")) & (F.col("bucket") == F.floor(F.greatest("ps", "ts") / BUCKET)))
     shared = F.least("pe", "te") - F.greatest("ps", "ts") + 1
-    return met.withColumn("shared", shared).withColumn("iou", F.col("shared") / (F.greatest("pe", "te") - F.least("ps", "ts") + 1))
+    return met.drop("bucket").withColumn("shared", shared).withColumn("iou", F.col("shared") / (F.greatest("pe", "te") - F.least("ps", "ts") + 1))
 
 
 def range_metrics(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Per PDF: exact, missed, extra and partial (IoU over 0.5) counts, mean best IoU of predictions, precision, recall, F1."""
-    met = overlaps(pred, truth)
-    exact = met.where("iou = 1").groupBy("pdf_id").agg(F.count("*").alias("exact"))
-    partial = met.where("iou > 0.5").groupBy("pdf_id").agg(F.count("*").alias("partial"))
-    best = met.groupBy("pdf_id", "ps", "pe").agg(F.max("iou").alias("iou")).groupBy("pdf_id").agg(F.sum("iou").alias("iou_sum"))
+    per = overlaps(pred, truth).groupBy("pdf_id", "ps", "pe").agg(F.count_if(F.col("iou") == 1).alias("exact"), F.count_if(F.col("iou") > 0.5).alias("partial"), F.max("iou").alias("iou"))
+    met = per.groupBy("pdf_id").agg(F.sum("exact").alias("exact"), F.sum("partial").alias("partial"), F.sum("iou").alias("iou_sum"))
     n_pred, n_true = pred.groupBy("pdf_id").agg(F.count("*").alias("n_pred")), truth.groupBy("pdf_id").agg(F.count("*").alias("n_true"))
-    joined = n_pred.join(n_true, "pdf_id", "full")
-    for x in (exact, partial, best):
-        joined = joined.join(x, "pdf_id", "left")
-    joined = joined.na.fill(0)
+    joined = n_pred.join(n_true, "pdf_id", "full").join(met, "pdf_id", "left").na.fill(0)
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     out = joined.withColumns({"precision": ratio(F.col("exact"), F.col("n_pred")), "recall": ratio(F.col("exact"), F.col("n_true"))})
     f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))

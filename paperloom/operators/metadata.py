@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The patterns that decide what counts as a date, reference or amount.
+from ..functions.quality import let
+
+# The patterns that decide what counts as a date, reference or amount, number words, roles, date signs and keywords.
 US_DATE = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b"
 ISO_DATE = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
@@ -28,15 +30,15 @@ REFERENCES = {
 DOLLARS = r"\$\s*(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)\b"
 USD = r"(?i)\bUSD\s*(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)\b"
 NUMBER_WORDS = (
-    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
-    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion and"
-).split()
+    "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+    "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "and",
+)
 EMAIL = r"\b([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b"
 ROLES = ("Contractor", "Owner", "Architect", "Engineer", "Subcontractor")
 DATE_SIGNS = ("date:", "dated:", "date of", "as of", "effective date", "issued:", "prepared:", "submitted:")
 KEYWORDS = (
     "delay", "impact", "change", "extra work", "differing conditions", "acceleration", "disruption", "inefficiency", "overtime", "premium time",
-    "notice", "claim", "backcharge", "liquidated damages", "substantial completion", "final completion", "punch list", "warranty", "defect", "nonconforming",
+    "notice", "backcharge", "liquidated damages", "substantial completion", "final completion", "punch list", "warranty", "defect", "nonconforming",
     "rejection", "approval", "submittal", "RFI", "change order", "time extension", "force majeure", "weather", "unforeseen", "concealed conditions",
     "design error", "coordination", "sequence", "milestone", "critical path", "float", "schedule", "baseline", "as-built", "shop drawings", "samples",
     "product data", "safety", "OSHA", "violation", "stop work", "suspension",
@@ -48,14 +50,15 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 
 
 def _dates(text: Column, pattern: str, year: int, month: int, day: int, named: bool = False) -> Column:
-    triples = F.arrays_zip(_all(text, pattern, year), _all(text, pattern, month), _all(text, pattern, day))
+    """The text is searched once; year, month and day come from each match."""
 
-    def one(t: Column) -> Column:
-        m = F.initcap(F.substring(t["1"], 1, 3)) if named else F.lpad(t["1"], 2, "0")
-        spelled = F.concat_ws("-", t["0"], m, F.lpad(t["2"], 2, "0"))
+    def one(match: Column) -> Column:
+        part = lambda k: F.regexp_extract(match, pattern, k)
+        m = F.initcap(F.substring(part(month), 1, 3)) if named else F.lpad(part(month), 2, "0")
+        spelled = F.concat_ws("-", part(year), m, F.lpad(part(day), 2, "0"))
         return F.try_to_date(spelled, "yyyy-MMM-dd" if named else "yyyy-MM-dd")
 
-    return F.transform(triples, one)
+    return F.transform(_all(text, pattern, 0), one)
 
 
 def dates(text: Column) -> Column:
@@ -84,9 +87,9 @@ def flat_references(refs: Column) -> Column:
 
 
 def written_amounts(text: Column) -> Column:
-    """Amounts in words before "dollars" (up to 40 words): a million with one or two, a thousand with a hundred or fifty; others are unknown."""
+    """Amounts in words before "dollars": a million with one or two, a thousand with a hundred or fifty; others are unknown."""
     words = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
-    found = _all(F.lower(text), rf"\b((?:(?:{words})\s*){{1,40}}+)(?<=\s)dollars?\b", 1)
+    found = _all(F.lower(text), rf"\b((?:(?:{words})\s*)++)(?<=\s)dollars?\b", 1)
     has = F.contains
 
     def value(s: Column) -> Column:
@@ -109,31 +112,32 @@ def emails(text: Column) -> Column:
 
 
 def role_parties(text: Column) -> Column:
-    """(role, name) of labelled lines."""
+    """(role, name) of labelled lines, by role and then by place. No name can hold another label, so one search finds all."""
+    name = r"\s*([A-Z][A-Za-z\s&.,]+?)(?:\n|$)"
+    lines = _all(text, rf"(?m)\b(?:{'|'.join(ROLES)}):{name}", 0)
 
     def one(role: str) -> Column:
-        names = _all(text, rf"(?m)\b{role}:\s*([A-Z][A-Za-z\s&.,]+?)(?:\n|$)", 1)
-        return F.transform(names, lambda n: F.struct(F.lit(role.lower()).alias("role"), F.rtrim(n).alias("name")))
+        own = F.filter(lines, lambda x: F.startswith(x, F.lit(f"{role}:")))
+        return F.transform(own, lambda x: F.struct(F.lit(role.lower()).alias("role"), F.rtrim(F.regexp_extract(x, rf"(?m):{name}", 1)).alias("name")))
 
     return F.concat(*map(one, ROLES))
 
 
-def keywords(text: Column) -> Column:
-    low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(k.lower())), F.lit(k)) for k in KEYWORDS)))
+def keywords(text: Column, words: tuple[str, ...] = KEYWORDS) -> Column:
+    """The words that a text holds, in any case, in their order. Callers add words of their own field to KEYWORDS."""
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(k.lower())), F.lit(k)) for k in words))))
 
 
 def document_date(text: Column, found: Column) -> Column:
     """The earliest date with a date sign in the 50 characters before its first mention, else the latest."""
-    low = F.lower(text)
 
-    def signed(d: Column) -> Column:
+    def signed(d: Column, low: Column) -> Column:
         us, long = F.instr(text, F.date_format(d, "MM/dd/yyyy")), F.instr(text, F.date_format(d, "MMMM dd, yyyy"))
         at = F.when(us > 0, us).otherwise(long)
         before = F.substring(low, F.greatest(F.lit(1), at - 50), F.least(F.lit(50), F.greatest(at - 1, F.lit(0))))
         return (at > 0) & reduce(lambda a, b: a | b, (F.contains(before, F.lit(s)) for s in DATE_SIGNS))
 
-    return F.coalesce(F.get(F.filter(found, signed), F.lit(0)), F.array_max(found))
+    return let(F.lower(text), lambda low: F.coalesce(F.get(F.filter(found, lambda d: signed(d, low)), F.lit(0)), F.array_max(found)))
 
 
 def project_name(text: Column) -> Column:
@@ -151,13 +155,13 @@ def subject(text: Column, kind: Column, refs: Column) -> Column:
     return F.coalesce(numbered("rfi", "RFI"), numbered("change_order", "Change Order"), numbered("invoice", "Invoice"), *found, F.initcap(F.replace(kind, F.lit("_"), F.lit(" "))))
 
 
-def extract(docs: DataFrame, as_of: Column) -> DataFrame:
+def extract(docs: DataFrame, as_of: Column, words: tuple[str, ...] = KEYWORDS) -> DataFrame:
     """docs(text, type) with a metadata struct; one projection, no shuffle."""
     text = F.coalesce("text", F.lit(""))
     staged = docs.withColumns({"dates": plausible(dates(text), as_of), "refs": references(text)})
     meta = F.struct(
         subject(text, F.col("type"), F.col("refs")).alias("title"), document_date(text, F.col("dates")).alias("date"), emails(text).alias("emails"), role_parties(text).alias("parties"),
-        flat_references(F.col("refs")).alias("reference_numbers"), amounts(text).alias("amounts"), keywords(text).alias("keywords"),
+        flat_references(F.col("refs")).alias("reference_numbers"), amounts(text).alias("amounts"), keywords(text, words).alias("keywords"),
         F.get(F.try_element_at(F.col("refs"), F.lit("Project")), F.lit(0)).alias("project_number"), project_name(text).alias("project_name"),
     )
     return staged.withColumn("metadata", meta).drop("dates", "refs")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quality import strip
+
 # The pattern groups that mark the kind of a page.
 GROUPS = {
     "EMAIL": [r"From:\s*.*@", r"To:\s*.*@", "Subject:", "Sent:", r"(From|Form|Fram):\s*\w+", r"(To|Ta|lo):\s*\w+", "(Subject|Subjact|Subjet):", "(Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)", r"\d{1,2}/\d{1,2}/\d{2,4}\s+\d{1,2}:\d{2}", "(January|February|March|April|May|June|July|August|September|October|November|December)"],
@@ -135,17 +137,98 @@ def violations(ranges: DataFrame, totals: DataFrame) -> DataFrame:
     return joined.where(bad | (F.col("before") >= F.col("start_page"))).select("pdf_id", "start_page", "end_page")
 
 
+def whole_pdfs(totals: DataFrame) -> DataFrame:
+    """One range for each PDF, of all its pages."""
+    return totals.where("n_pages > 0").select("pdf_id", F.lit(0).alias("start_page"), (F.col("n_pages") - 1).cast("int").alias("end_page"))
+
+
+def first_ranges(ranges: DataFrame, most: int) -> DataFrame:
+    """The first `most` documents of each PDF."""
+    place = F.row_number().over(Window.partitionBy("pdf_id").orderBy("start_page", "end_page"))
+    return ranges.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
+def paged(pages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The pages of each range with start_page, end_page and page_number (1, 2, ... in the range), as in a PDF of that range alone.
+
+    Ranges are spelled out by page, so pages and ranges meet by equal keys; a page of several ranges is in each.
+    """
+    spelled = ranges.select("pdf_id", "start_page", "end_page", F.explode(F.sequence("start_page", "end_page")).alias("page_num"))
+    return pages.join(spelled, ["pdf_id", "page_num"]).withColumn("page_number", (F.col("page_num") - F.col("start_page") + 1).cast("int"))
+
+
 def assemble(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Documents of the ranges: id, 1-based page range, page count and texts joined by an empty line."""
-    p, r = pages.alias("p"), ranges.alias("r")
-    inside = p.join(r, (F.col("p.pdf_id") == F.col("r.pdf_id")) & F.col("p.page_num").between(F.col("r.start_page"), F.col("r.end_page")))
-    packed = inside.groupBy("r.pdf_id", "r.start_page", "r.end_page").agg(F.array_sort(F.collect_list(F.struct("p.page_num", F.coalesce("p.text", F.lit("")).alias("text")))).alias("pages"))
+    """Documents of the ranges, which a detector or a person gave: id, 1-based page range, page count and texts joined by an empty line."""
+    packed = paged(pages, ranges).groupBy("pdf_id", "start_page", "end_page").agg(F.array_sort(F.collect_list(F.struct("page_num", F.coalesce("text", F.lit("")).alias("text")))).alias("pages"))
     return packed.select(
         F.sha2(F.concat_ws(":", "pdf_id", "start_page", "end_page"), 256).alias("id"), "pdf_id", (F.col("start_page") + 1).alias("page_start"), (F.col("end_page") + 1).alias("page_end"),
         F.size("pages").alias("page_count"), F.array_join(F.transform("pages", lambda x: x["text"]), "\n\n").alias("text"),
     )
 
 
+def blank_before(pages: DataFrame) -> DataFrame:
+    """(pdf_id, page_num, blank_before): the page before has under 100 characters and is no page number alone."""
+    text = strip(F.coalesce("text", F.lit("")))
+    blank = (F.char_length(text) < 100) & ~text.rlike(r"^\s*\d+\s*$") & ~text.rlike(r"(?i)Page\s+\d+")
+    flagged = pages.select("pdf_id", "page_num", blank.alias("blank"))
+    return flagged.select("pdf_id", "page_num", F.coalesce(F.lag("blank").over(Window.partitionBy("pdf_id").orderBy("page_num")), F.lit(False)).alias("blank_before"))
+
+
+# The time stamp of a mail, its field names, and the marks of a sheet that goes on.
+TIME_STAMP = (
+    r"(?i)(Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday),\s+(January|February|March|April|May|June|July|August|September|October|November|December)"
+    r"\s+\d{1,2},\s+\d{4}\s+\d{1,2}:\d{2}\s+(AM|PM)"
+)
+MAIL_FIELDS = ("From:", "To:", "Subject:", "@")
+GOES_ON = (r"CONTINUATION\s+SHEET", r"Page\s+\d+\s+of\s+\d+", "Continued from previous", "See attached")
+SUBJECT_LINE = r"(?i)Subject:\s*(.+?)(?:\n|$)"
+
+
+def strong_starts(pages: DataFrame, form: Column) -> DataFrame:
+    """(pdf_id, page_num, is_strong): a mail's time stamp after a page without one, a form after a mail, or a jump in the amount of text.
+
+    form: whether a page's text begins a form. Pages are reduced to facts first, so that texts do not pass through the window.
+    """
+    text = F.coalesce("text", F.lit(""))
+    head = F.substring(text, 1, 500)
+    mail = reduce(lambda a, b: a | b, (F.contains(head, F.lit(m)) for m in MAIL_FIELDS))
+    facts = F.struct(F.char_length(strip(text)).alias("n"), head.rlike(TIME_STAMP).alias("stamp"), mail.alias("mail"), form.alias("form"))
+    seen = pages.select("pdf_id", "page_num", facts.alias("c"))
+    p, c = F.lag("c").over(Window.partitionBy("pdf_id").orderBy("page_num")), F.col("c")
+    seen = seen.withColumn("p", p)
+    p = F.col("p")
+    jump = (p["n"] > 50) & (((p["n"] > 1000) & (c["n"] < 200)) | ((p["n"] < 200) & (c["n"] > 1000)))
+    strong = (c["stamp"] & ~p["stamp"]) | (p["mail"] & c["form"]) | jump
+    return seen.select("pdf_id", "page_num", (p.isNotNull() & strong).alias("is_strong"))
+
+
+def driven(starts: DataFrame, strong: DataFrame) -> DataFrame:
+    """Ranges of a detector: a page that starts a document, or has a strong sign of one, ends the document before."""
+    both = starts.select("pdf_id", "page_num", "is_start").join(strong, ["pdf_id", "page_num"])
+    return islands(both.withColumn("is_start", F.col("is_start") | F.col("is_strong")))
+
+
+def pair_flags(ranges: DataFrame, pages: DataFrame) -> DataFrame:
+    """ranges with joins_next: of one or two pages that say that they go on, or a mail with the subject of the next range.
+
+    Only first pages, and the second ones of short ranges, are read.
+    """
+    short = F.col("end_page") - F.col("start_page") < 2
+    wanted = ranges.select("pdf_id", "start_page", "end_page", short.alias("short"), F.explode(F.array_distinct(F.array("start_page", F.when(short, F.col("end_page")).otherwise(F.col("start_page"))))).alias("page_num"))
+    text = F.coalesce("text", F.lit(""))
+    line = strip(F.regexp_extract(F.substring(text, 1, 1000), SUBJECT_LINE, 1))
+    subject = F.when(F.substring(text, 1, 1000).rlike(SUBJECT_LINE), F.lower(F.regexp_replace(line, r"(?i)^(RE:|FW:|Fwd:)\s*", "")))
+    met = wanted.join(pages.select("pdf_id", "page_num", text.alias("text"), subject.alias("subject")), ["pdf_id", "page_num"])
+    per = met.groupBy("pdf_id", "start_page", "end_page").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("short"), F.struct("page_num", "text")))), lambda x: x["text"]), "").alias("text"), F.max(F.when(F.col("page_num") == F.col("start_page"), F.col("subject"))).alias("subject")
+    )
+    order = Window.partitionBy("pdf_id").orderBy("start_page")
+    goes_on = F.col("text").rlike("(?i)" + "|".join(GOES_ON))
+    flags = per.select("pdf_id", "start_page", "end_page", goes_on.alias("goes_on"), "subject")
+    thread = F.coalesce(F.col("subject") == F.lead("subject").over(order), F.lit(False))
+    return flags.withColumn("joins_next", F.lead("start_page").over(order).isNotNull() & (F.col("goes_on") | thread)).drop("goes_on", "subject")
+
+
 def merge_fragments(ranges: DataFrame, most_pages: int = 3) -> DataFrame:
     """Single pages joined with a next range of at most most_pages pages."""
     order = Window.partitionBy("pdf_id").orderBy("start_page")

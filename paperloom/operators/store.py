@@ -54,17 +54,53 @@ class SearchFilter:
             if getattr(self, flag) is not None:
                 tests.append(F.coalesce(F.col(flag), F.lit(False)) == getattr(self, flag))
         if self.title_part:
-            tests.append(F.contains(F.lower("text"), F.lit(self.title_part.lower())))
+            tests.append(F.contains(F.lower("title"), F.lit(self.title_part.lower())))
         return reduce(lambda a, b: a & b, tests)
 
 
+# Latin letters with diacritical marks, and those without.
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def tokens_of(c: str) -> Column:
+    """The words of a column in lower case, without the marks of Latin letters."""
+    return F.split(F.translate(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), MARKED, PLAIN), TOKEN)
+
+
+def query_test(query: str, fields: tuple[str, ...] = ()) -> Column:
+    """Whether a row matches a query as `matching` reads it, and its phrases ("two words", in double quotes).
+
+    Its words are looked up in those of the row itself, so nothing is exploded or shuffled. field:word looks in a column
+    of fields, other words in text.
+    """
+
+    def one(term: str) -> Column:
+        name, colon, word = term.rpartition(":")
+        if colon and name not in fields:
+            raise ValueError(f"{term!r} names a field that is not searched")
+        word = word.lower().translate(str.maketrans(MARKED, PLAIN))
+        words = tokens_of(name if colon else "text")
+        if word.startswith('"'):
+            spelled = F.concat(F.lit(" "), F.array_join(F.filter(words, lambda w: w != ""), " "), F.lit(" "))
+            return F.contains(spelled, F.lit(" " + " ".join(re.findall(r"[^\W_]+", word)) + " "))
+        return F.exists(words, lambda w: F.startswith(w, F.lit(word[:-1]))) if word.endswith("*") else F.array_contains(words, word)
+
+    def all_of(part: str) -> Column:
+        terms = re.findall(r'-?(?:\w+:)?"[^"]*"|\S+', part)
+        wanted = [one(t) for t in terms if not t.startswith("-")]
+        banned = [~one(t[1:]) for t in terms if t.startswith("-") and len(t) > 1]
+        return reduce(lambda a, b: a & b, wanted + banned) if wanted else F.lit(False)
+
+    return reduce(lambda a, b: a | b, map(all_of, re.split(r"\s+OR\s+", query.strip())))
+
+
 def postings(docs: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
     """(token, doc_id, tf) of lower-cased words of text; with fields, (field, token, doc_id, tf) of the words of each of these columns."""
-    tokens = lambda c: F.split(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), TOKEN)
     if fields:
-        docs = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), tokens(c).alias("tokens")) for c in fields))).alias("of")).select("doc_id", "of.*")
+        docs = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), tokens_of(c).alias("tokens")) for c in fields))).alias("of")).select("doc_id", "of.*")
     else:
-        docs = docs.select("doc_id", tokens("text").alias("tokens"))
+        docs = docs.select("doc_id", tokens_of("text").alias("tokens"))
     words = docs.withColumn("token", F.explode("tokens")).where("token != ''")
     return words.groupBy(*["field"] * bool(fields), "token", "doc_id").agg(F.count("*").alias("tf"))
 
@@ -106,12 +142,16 @@ def _all_of(index: DataFrame, query: str, stems: bool) -> DataFrame:
 
 
 def search(docs: DataFrame, f: SearchFilter, index: DataFrame | None = None) -> DataFrame:
-    """One page of the documents that pass the filter; ties in the sort column go by doc_id."""
+    """One page of the documents that pass the filter; ties in the sort column go by doc_id.
+
+    Without an index the query is a test of each row that passes the other filters; with one, a semi-join with its postings.
+    """
     if f.sort_by not in SORTABLE:
         raise ValueError(f"cannot sort by {f.sort_by!r}")
     found = docs.where(f.predicate())
     if f.query:
-        found = found.join(matching(postings(docs) if index is None else index, f.query), "doc_id", "left_semi")
+        fields = tuple(c for c in ("title", "type", "party", "text") if c in docs.columns)
+        found = found.where(query_test(f.query, fields)) if index is None else found.join(matching(index, f.query), "doc_id", "left_semi")
     key = F.col(f.sort_by)
     return found.orderBy(key.desc() if f.descending else key.asc(), "doc_id").offset(f.offset).limit(f.limit)
 
@@ -136,8 +176,8 @@ def facets(docs: DataFrame) -> DataFrame:
 
 
 def merge(old: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
-    """Last writer wins: new rows replace old ones of the same key; of new rows the one with the greatest seq."""
-    last = new.withColumn("r__", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))).where("r__ = 1").drop("r__")
+    """Last writer wins: new rows replace old ones of the same key; of new rows the one with the greatest seq, of equals that of the greatest hash."""
+    last = new.withColumn("r__", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq), F.desc(F.xxhash64(*new.columns))))).where("r__ = 1").drop("r__")
     return old.join(last, key, "left_anti").unionByName(last)
 
 

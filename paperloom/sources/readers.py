@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGE_SCHEMA = "pdf_id string, page_num int, n_pages int, text string, is_scanned boolean, confidence double, has_tables boolean, has_images boolean"
+PAGE_SCHEMA = "pdf_id string, page_num int, n_pages int, text string, is_scanned boolean, confidence double, has_tables boolean, has_images boolean, status string"
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -15,21 +16,42 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
-def pdf_pages(spark: SparkSession, path: str, extract: Callable[[bytes], Iterator[tuple[str, bool, float]]], most_bytes: int = 100 << 20) -> DataFrame:
-    """Pages of the PDF files below a path by a provider extract(bytes) -> (text, is_scanned, confidence) of each page; files over most_bytes are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).where(F.col("length") <= most_bytes).select("path", "content")
-
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                pages = list(extract(content))
-                rows += [(name, i, len(pages), t, s, c, False, False) for i, (t, s, c) in enumerate(pages)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in PAGE_SCHEMA.split(", ")])
-
-    return files.mapInPandas(run, PAGE_SCHEMA)
+def pdf_pages(spark: SparkSession, path: str, extract: Callable[[bytes], Iterator[tuple]], most_bytes: int = 100 << 20) -> DataFrame:
+    """Pages of the PDF files below a path, .pdf in any case, with status ok.
+
+    extract(bytes), a provider's function, yields (text, is_scanned, confidence) of each page, or these and (has_tables,
+    has_images). A file over most_bytes gives one row with status "too large" and is not read, one that the provider cannot
+    read gives one with status "error: ..." and no page of it, and one without pages has status "empty".
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+    large = files.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("binary").alias("content"))
+    small = files.where(F.col("length") <= most_bytes).select("path", "content")
+    names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
+
+    def rows_of(name: str, content: bytes | None) -> list[tuple]:
+        if content is None:
+            return [(name, None, None, None, None, None, None, None, "too large")]
+        try:
+            pages = [(*p, False, False)[:5] for p in extract(content)]
+        except Exception as e:  # a provider's errors are of any kind, and one file is no reason to lose the others
+            return [(name, None, None, None, None, None, None, None, f"error: {e}")]
+        if not pages:
+            return [(name, None, 0, None, None, None, None, None, "empty")]
+        return [(name, i, len(pages), *p, "ok") for i, p in enumerate(pages)]
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                columns = zip(*rows_of(name, content), strict=True)
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.float64(), pa.bool_(), pa.bool_(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return small.unionByName(large).mapInArrow(run, PAGE_SCHEMA)
+
+
+def import_outcomes(pages: DataFrame) -> DataFrame:
+    """(pdf_id, n_pages, imported, reason) of a bulk import: each file of pdf_pages as imported, or why not."""
+    return pages.groupBy("pdf_id").agg(F.count_if(F.col("status") == "ok").cast("int").alias("n_pages"), F.bool_and(F.col("status") == "ok").alias("imported"), F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("reason"))
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
