@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.functions.stem import porter
 from paperloom.operators import classify, evaluate, metadata, segment, store
-from paperloom.plans import queries as Q
+from paperloom.plans import registry as Q
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "customer", "events", "embeddings", "supplier", "documents", "pages"):
+    for t in ("orders", "customer", "events", "embeddings", "supplier", "documents", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = Q.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
