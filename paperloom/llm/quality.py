@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -125,7 +125,17 @@ def base_failed(min_words: int = 10, max_repeat_percent: int = 20):
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
-def host_verdicts(counted: DataFrame, host: str = "source", prior_hosts_min: int = 2, max_rate: float = 0.5) -> DataFrame:
+def more_rules(max_symbol_share: float = 0.1, max_dup_line_share: float = 0.3, min_word_chars: float = 2, max_word_chars: float = 15) -> dict[str, Column]:
+    """Further rules on the counts, for `judge`: too many symbols or repeated lines for the words, words too short or too long on the whole."""
+    mean = F.col("word_chars") / F.nullif(F.col("n_words"), F.lit(0))
+    return {
+        "symbols": F.col("n_symbols") > max_symbol_share * F.col("n_words"),
+        "dup_lines": F.col("n_dup_lines") * 10 > max_dup_line_share * F.col("n_words"),
+        "word_length": F.coalesce((mean < min_word_chars) | (mean > max_word_chars), F.lit(False)),
+    }
+
+
+def host_verdicts(counted: DataFrame, host: str = "source", prior_hosts_min: int = 2, max_rate: float = 0.5, failed: str = "base_failed") -> DataFrame:
     """(host, n_docs, n_failed, rate, host_failed): the share of failing documents of each host, shrunk.
 
     The prior is a beta distribution fitted by moments to the raw rates of all hosts, weighted by their
@@ -134,9 +144,14 @@ def host_verdicts(counted: DataFrame, host: str = "source", prior_hosts_min: int
     are a host of their own (null). With fewer than prior_hosts_min hosts, or no variance beyond chance,
     the prior is as heavy as all documents together. Only sums over hosts reach the prior's single row.
     """
-    hosts = counted.groupBy(col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
+    hosts = counted.groupBy(col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(col(failed).cast("long")).alias("n_failed"))
+    return _shrunk(hosts, [], prior_hosts_min, max_rate).select("host", "n_docs", "n_failed", "rate", "host_failed")
+
+
+def _shrunk(hosts: DataFrame, keys: list[str], prior_hosts_min: int, max_rate: float) -> DataFrame:
+    """hosts with rate and host_failed; a prior for each value of the keys (none: one for all)."""
     p = F.col("n_failed") / F.col("n_docs")
-    sums = hosts.agg(
+    sums = hosts.groupBy(*keys).agg(
         F.count("*").alias("k"), F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"),
         F.sum(F.col("n_docs") * p * p).alias("npp"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("nn"),
     )
@@ -145,23 +160,39 @@ def host_verdicts(counted: DataFrame, host: str = "source", prior_hosts_min: int
     # E[sum n (p - m)^2] = within * (k - 1) + v * (n - nn / n)
     v = (F.col("npp") - F.col("n") * m * m - within * (F.col("k") - 1)) / F.nullif(F.col("n") - F.col("nn") / F.col("n"), F.lit(0.0))
     weight = F.when((F.col("k") >= prior_hosts_min) & (v > 0), F.greatest(within / v - 1, F.lit(1.0))).otherwise(F.col("n").cast("double"))
-    prior = sums.select(m.alias("prior_rate"), weight.alias("prior_docs"))
+    prior = sums.select(*keys, m.alias("prior_rate"), weight.alias("prior_docs"))
     rate = (F.col("n_failed") + F.col("prior_rate") * F.col("prior_docs")) / (F.col("n_docs") + F.col("prior_docs"))
-    # one row meets each host: the prior is a single row by construction
-    joined = hosts.join(F.broadcast(prior), F.lit(True)).withColumn("rate", rate)
-    return joined.select("host", "n_docs", "n_failed", "rate", (F.col("rate") > max_rate).alias("host_failed"))
+    # a row for each rule meets its hosts: the prior is as small as the list of rules by construction
+    joined = hosts.join(F.broadcast(prior), keys or F.lit(True)).withColumn("rate", rate)
+    return joined.withColumn("host_failed", F.col("rate") > max_rate)
+
+
+def rule_verdicts(counted: DataFrame, rules: dict[str, Column], host: str = "source", prior_hosts_min: int = 2, max_rate: float = 0.5) -> DataFrame:
+    """(host, rule, n_docs, n_failed, rate, host_failed): as host_verdicts for each of several rules, each with a prior of its own.
+
+    One pass over the documents sums the failures of all rules; a null verdict of a rule is no failure.
+    """
+    sums = counted.groupBy(col(host).alias("host")).agg(F.count("*").alias("n_docs"), *(F.count_if(F.coalesce(test, F.lit(False))).alias(name) for name, test in rules.items()))
+    long = sums.select("host", "n_docs", F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), col(name).alias("n_failed")) for name in rules))).alias("r")).select("host", "n_docs", "r.*")
+    return _shrunk(long, ["rule"], prior_hosts_min, max_rate).select("host", "rule", "n_docs", "n_failed", "rate", "host_failed")
 
 
-def judge(counted: DataFrame, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, **verdicts) -> DataFrame:
+def judge(counted: DataFrame, host: str = "source", min_words: int = 10, max_repeat_percent: int = 20, rules: dict[str, Column] | None = None, **verdicts) -> DataFrame:
     """Rows with counts, with base_failed, host_rate, host_failed and kept (columns of these names are replaced).
 
-    kept: neither the row nor its host fails.
+    kept: neither the row nor its host fails. A host fails by the rate of base_failed, or with further rules (as of
+    more_rules) by that of any of these too: host_rate is the largest of its rates. Further rules judge hosts alone.
     """
     counted = counted.drop("base_failed", "kept", "host_rate", "host_failed")
     counted = counted.withColumn("base_failed", base_failed(min_words, max_repeat_percent))
     own = spare("host", counted)
+    if rules:
+        found = rule_verdicts(counted, {"base": F.col("base_failed"), **rules}, host, **verdicts)
+        found = found.groupBy("host").agg(F.max("rate").alias("rate"), F.bool_or("host_failed").alias("host_failed"))
+    else:
+        found = host_verdicts(counted, host, **verdicts)
     # as a table, so that Spark knows its size before it plans the join: a few hosts are broadcast, many are not
-    of_hosts = kept(host_verdicts(counted, host, **verdicts), "quality-hosts").select(F.col("host").alias(own), F.col("rate").alias("host_rate"), "host_failed")
+    of_hosts = kept(found, "quality-hosts").select(F.col("host").alias(own), F.col("rate").alias("host_rate"), "host_failed")
     joined = counted.join(of_hosts, col(host).eqNullSafe(col(own)), "left").drop(own)
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 

@@ -301,3 +301,25 @@ def test_empty_token_files(spark):
     out = fresh_path(spark, "tokens")
     token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), out, tokenizer("byte_bpe_50k.json"), end_id=2)
     assert token_files.document_index(spark, out).count() == 0 and token_files.read_tokens(spark, out).count() == 0
+
+
+# quality ---------------------------------------------------------------------------------------------------------
+
+
+def test_rules_of_hosts_by_brute_force(spark):
+    rng = random.Random(31)
+    texts = {"good": " ".join(f"word{i}" for i in range(30)), "symbols": " ".join(f"wo#{i}" for i in range(30)), "short": "x", "long": " ".join("w" * 20 + str(i) for i in range(30))}
+    rows = [(i, texts[rng.choice(["good"] * 6 + ["symbols", "short", "long"] if h else ["symbols"] * 5 + ["good"])], f"h{h}" if h else None) for i, h in enumerate(rng.choices(range(7), (60, 9, 40, 3, 1, 1, 80), k=400))]
+    counted = quality.with_counts(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    found = {(r.host, r.rule): r for r in quality.rule_verdicts(counted, quality.more_rules()).collect()}
+    fails = {"symbols": lambda t: sum(c in "#*$%&|<>" for c in t) > 0.1 * len(t.split()), "dup_lines": lambda t: False, "word_length": lambda t: not 2 <= len(t.replace(" ", "")) / len(t.split()) <= 15}
+    for rule, test in fails.items():
+        n, f = Counter(r[2] for r in rows), Counter(r[2] for r in rows if test(r[1]))
+        m, total = sum(f.values()) / 400, 400
+        v = (sum(n[h] * (f[h] / n[h] - m) ** 2 for h in n) - m * (1 - m) * (len(n) - 1)) / (total - sum(x * x for x in n.values()) / total)
+        weight = max(m * (1 - m) / v - 1, 1) if v > 0 else total
+        for h in n:
+            want = (f[h] + m * weight) / (n[h] + weight)
+            assert found[h, rule].n_failed == f[h] and math.isclose(found[h, rule].rate, want, abs_tol=1e-9) and found[h, rule].host_failed == (want > 0.5)
+    judged = quality.judge(counted, rules=quality.more_rules()).collect()
+    assert {r.source for r in judged if r.host_failed} == {None} and all(r.kept == (not r.base_failed and not r.host_failed) for r in judged)
