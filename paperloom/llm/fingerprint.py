@@ -7,7 +7,7 @@ sections' nodes, all of 128 bits: unlike texts differ up to the root. A section
 node whose first hex digit is below 4, so an insertion moves no section but its own.
 
 The fingerprint spells the tree: root|section;section, a section as node:paragraph,paragraph, a paragraph as
-node=leaves. To stay short it spells nodes of sections and paragraphs by 8 hex digits and leaves by 6, as a sketch:
+node=leaf leaf. To stay short it spells nodes of sections and paragraphs by 8 hex digits and leaves by 6, as a sketch:
 roots test equality, the sketch tells how much is alike and where unlike branches are.
 """
 
@@ -26,16 +26,24 @@ _PIECE = f"(?s).{{1,{PIECE}}}"
 NODE, LEAF = 8, 6
 
 
-def clauses(paragraph: Column) -> Column:
-    """The leaves' texts of a paragraph; together they are the paragraph."""
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def clauses(text: Column) -> Column:
+    """The leaves' texts of each paragraph of a text (not null): together they are the paragraph. An empty one has an empty leaf."""
 
     def refined(parts: Column, most: int, finer) -> Column:
         return F.flatten(F.transform(parts, lambda c: F.when(F.char_length(c) > most, finer(c)).otherwise(F.array(c))))
 
-    parts = F.split(paragraph, _CLAUSE)
-    cut = refined(parts, LONG, lambda c: F.split(c, _CUT))
-    short = refined(cut, PIECE, lambda c: F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0)))
-    return F.when(F.char_length(paragraph) > LONG, short).otherwise(parts)
+    def cut(parts: Column) -> Column:
+        by_words = refined(parts, LONG, lambda c: F.split(c, _CUT))
+        short = refined(by_words, PIECE, lambda c: F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0)))
+        # a clause has no more code points than bytes, so few paragraphs are looked at again
+        return F.when(F.exists(parts, lambda c: F.octet_length(c) > LONG), short).otherwise(parts)
+
+    return F.transform(F.split(text, "\n"), lambda p: _let(F.split(p, _CLAUSE), cut))
 
 
 def _node(children: Column) -> Column:
@@ -44,14 +52,25 @@ def _node(children: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; null and empty texts are one empty paragraph."""
-    leaf_nodes = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.transform(clauses(p), _node))
-    spelled = F.transform(leaf_nodes, lambda x: F.concat(_node(F.array_join(x, "")), F.lit("="), F.array_join(F.transform(x, lambda n: F.substring(n, 1, LEAF)), "")))
-    marked = F.regexp_replace(F.array_join(spelled, ","), "(?<=^|,)([0-3][0-9a-f]{31}=[0-9a-f]*),", "$1;")
-    # each section with the whole node of itself in front; paragraphs' nodes are cut once their parents have read them
-    sections = F.transform(F.split(marked, ";"), lambda s: F.concat(_node(F.regexp_replace(s, "=[0-9a-f]*,?", "")), F.lit(":"), F.regexp_replace(s, f"(?<=^|,)([0-9a-f]{{{NODE}}})[0-9a-f]{{{32 - NODE}}}=", "$1=")))
-    whole = F.array_join(sections, ";")
-    top = _node(F.regexp_replace(whole, ":[^;]*;?", ""))
-    return F.concat(top, F.lit("|"), F.regexp_replace(whole, f"(?<=^|;)([0-9a-f]{{{NODE}}})[0-9a-f]{{{32 - NODE}}}:", "$1:"))
+
+    def paragraph(leaves: Column) -> Column:
+        sketch = F.array_join(F.transform(leaves, lambda n: F.substring(n, 1, LEAF)), " ")
+        return F.struct(_node(F.array_join(leaves, "")).alias("node"), sketch.alias("sketch"))
+
+    def sections(paragraphs: Column) -> Column:
+        # nodes and spellings side by side, cut at the same places
+        end = lambda p: F.when(p["node"] < "4", ";").otherwise(",")
+        nodes = F.array_join(F.transform(paragraphs, lambda p: F.concat(p["node"], end(p))), "")
+        spelled = F.array_join(F.transform(paragraphs, lambda p: F.concat(F.substring(p["node"], 1, NODE), F.lit("="), p["sketch"], end(p))), "")
+        own = F.transform(F.split(F.substring(nodes, F.lit(1), F.length(nodes) - 1), ";"), lambda s: _node(F.replace(s, F.lit(","), F.lit(""))))
+        return F.arrays_zip(own.alias("node"), F.split(F.substring(spelled, F.lit(1), F.length(spelled) - 1), ";").alias("paragraphs"))
+
+    def spell(found: Column) -> Column:
+        top = _node(F.array_join(F.transform(found, lambda s: s["node"]), ""))
+        return F.concat(top, F.lit("|"), F.array_join(F.transform(found, lambda s: F.concat(F.substring(s["node"], 1, NODE), F.lit(":"), s["paragraphs"])), ";"))
+
+    leaf_nodes = F.transform(clauses(F.coalesce(text, F.lit(""))), lambda p: F.transform(p, _node))
+    return _let(_let(F.transform(leaf_nodes, paragraph), sections), spell)
 
 
 def root(fp: Column) -> Column:
@@ -60,17 +79,19 @@ def root(fp: Column) -> Column:
 
 def leaves(fp: Column) -> Column:
     """The distinct leaf digests below a fingerprint's root."""
-    spelled = F.regexp_replace(F.substring_index(fp, "|", -1), f"[0-9a-f]{{{NODE}}}[:=]|[;,]", "")
-    return F.array_distinct(F.regexp_extract_all(spelled, F.lit(f"[0-9a-f]{{{LEAF}}}"), 0))
+    return F.array_distinct(F.filter(F.split(F.translate(F.substring_index(fp, "|", -1), ",;:=", "    "), " "), lambda x: F.octet_length(x) == LEAF))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Shared leaves over all leaves of two fingerprints: 1 where the roots are equal, and nowhere else."""
-    x, y = leaves(a), leaves(b)
-    shared = F.size(F.array_intersect(x, y))
-    alike = shared / F.greatest(F.size(x) + F.size(y) - shared, F.lit(1)).cast("double")
-    # texts of the same set of leaves in another order, or with others that look like them in the sketch, are unlike still
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.least(alike, 1 - 1 / (F.size(x) + F.size(y) + 1).cast("double")))
+
+    def shared(x: Column) -> Column:
+        n = F.size(x["a"]) + F.size(x["b"])
+        both = F.size(F.array_intersect(x["a"], x["b"]))
+        # texts of the same set of leaves in another order, or with others that look like them in the sketch, are unlike still
+        return F.least(both / F.greatest(n - both, F.lit(1)).cast("double"), 1 - 1 / (n + 1).cast("double"))
+
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(_let(F.struct(leaves(a).alias("a"), leaves(b).alias("b")), shared))
 
 
 def changed_sections(a: Column, b: Column) -> Column:

@@ -150,7 +150,7 @@ def tree(text):
 
 def spell(text):
     root, sections = tree(text)
-    return root + "|" + ";".join(f"{n[:8]}:" + ",".join(f"{m[:8]}={''.join(x[:6] for x in leaves)}" for m, leaves in ps) for n, ps in sections)
+    return root + "|" + ";".join(f"{n[:8]}:" + ",".join(f"{m[:8]}={' '.join(x[:6] for x in leaves)}" for m, leaves in ps) for n, ps in sections)
 
 
 def near(a, b):
@@ -167,7 +167,7 @@ def prose(rng, n):
 
 def test_fingerprints_are_the_trees(spark):
     rng = random.Random(8)
-    texts = ["", None, "\n", "a", "x" * 1000, "😀" * 901, *(prose(rng, n) for n in (3, 20, 100, 400, 400, 400))]
+    texts = ["", None, "\n", "a", "a.\x01b. c", "a.b. c", "..!", "x" * 1000, "😀" * 901, *(prose(rng, n) for n in (3, 20, 100, 400, 400, 400))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs).collect()}
     for i, t in enumerate(texts):
