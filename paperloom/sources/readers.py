@@ -21,7 +21,8 @@ def pdf_pages(spark: SparkSession, path: str, extract: Callable[[bytes], Iterato
 
     extract(bytes), a provider's function, yields (text, is_scanned, confidence) of each page, or these and (has_tables,
     has_images). A file over most_bytes gives one row with status "too large" and is not read, one that the provider cannot
-    read gives one with status "error: ..." and no page of it, and one without pages has status "empty".
+    read gives one with status "error: ..." and no page of it, and one without pages has status "empty". Spark's file
+    sources skip files of no bytes.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
     large = files.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("binary").alias("content"))
