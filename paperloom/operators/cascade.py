@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sums import steady_sum
+
 from . import segment
 
 KEYS = ["pdf_id", "start_page", "end_page"]
@@ -20,7 +22,7 @@ def with_confidence(ranges: DataFrame) -> DataFrame:
 
 def _mean(confidence: str = "confidence") -> Column:
     n = F.col("end_page") - F.col("start_page") + 1
-    return F.try_divide(F.sum(F.col(confidence) * n), F.sum(n))
+    return F.try_divide(steady_sum(F.col(confidence) * n), F.sum(n))
 
 
 def bare_pdfs(pages: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def _shares(both: DataFrame) -> DataFrame:
     length = F.when(F.col("in_a"), F.col("end_page") - F.col("start_page") + 1)
     return both.groupBy("pdf_id").agg(
         n_a.alias("n_a"), (F.count_if(F.col("in_a") & F.col("in_b")) / F.greatest(n_a, F.lit(1))).alias("agreed"),
-        F.coalesce(F.try_divide(F.sum(F.col("a_confidence") * length), F.sum(length)), F.lit(0.0)).alias("mean_a"),
+        F.coalesce(F.try_divide(steady_sum(F.col("a_confidence") * length), F.sum(length)), F.lit(0.0)).alias("mean_a"),
     )
 
 

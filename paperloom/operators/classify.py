@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sums import steady_sum
+
 # Markers of the ordered keyword classifier, and the phrase lists of the scorer.
 MARKERS = (
     ("email", ("from:", "to:", "subject:", "sent:")),
@@ -150,7 +152,7 @@ def first_signs(text: Column, n_references: int = 10, n_phrases: int = 20) -> Co
 
 def chunk_votes(chunks: DataFrame, key: str) -> DataFrame:
     """From (key, label, confidence) of chunks: the three best labels by summed confidence over the number of chunks."""
-    per = chunks.groupBy(key, "label").agg(F.sum("confidence").alias("total"))
+    per = chunks.groupBy(key, "label").agg(steady_sum("confidence").alias("total"))
     n = chunks.groupBy(key).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "label"))
     return per.join(n, key).withColumn("score", F.col("total") / F.col("n")).withColumn("rank", rank).where("rank <= 3").select(key, "rank", "label", "score")
@@ -168,5 +170,5 @@ def boundary_votes(votes: DataFrame, threshold: float = 0.7, weights: dict[str,
     w = F.lit(1.0)
     for source, value in (weights or {"deep": 1.5, "screening": 1.0}).items():
         w = F.when(F.col("source") == source, F.lit(value)).otherwise(w)
-    mean = votes.groupBy("pdf_id", "page_num").agg((F.sum(F.col("confidence") * w) / F.sum(w)).alias("confidence"))
+    mean = votes.groupBy("pdf_id", "page_num").agg((steady_sum(F.col("confidence") * w) / steady_sum(w)).alias("confidence"))
     return mean.where((F.col("confidence") >= threshold) | (F.col("page_num") == 0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sums import steady_sum
 
 #: Pages in a bucket of the overlap join.
 BUCKET = 32
@@ -30,7 +31,7 @@ def overlaps(pred: DataFrame, truth: DataFrame) -> DataFrame:
 def range_metrics(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Per PDF: exact, missed, extra and partial (IoU over 0.5) counts, mean best IoU of predictions, precision, recall, F1."""
     per = overlaps(pred, truth).groupBy("pdf_id", "ps", "pe").agg(F.count_if(F.col("iou") == 1).alias("exact"), F.count_if(F.col("iou") > 0.5).alias("partial"), F.max("iou").alias("iou"))
-    met = per.groupBy("pdf_id").agg(F.sum("exact").alias("exact"), F.sum("partial").alias("partial"), F.sum("iou").alias("iou_sum"))
+    met = per.groupBy("pdf_id").agg(F.sum("exact").alias("exact"), F.sum("partial").alias("partial"), steady_sum("iou").alias("iou_sum"))
     n_pred, n_true = pred.groupBy("pdf_id").agg(F.count("*").alias("n_pred")), truth.groupBy("pdf_id").agg(F.count("*").alias("n_true"))
     joined = n_pred.join(n_true, "pdf_id", "full").join(met, "pdf_id", "left").na.fill(0)
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -103,6 +104,6 @@ def label_errors(pred: DataFrame, truth: DataFrame) -> DataFrame:
 
 def compare_methods(metrics: DataFrame) -> DataFrame:
     """range_metrics with a column method, as one row per method: sums over PDFs and the ratios of the sums."""
-    s = metrics.groupBy("method").agg(*(F.sum(c).alias(c) for c in ("n_pred", "n_true", "exact")), F.avg("mean_iou").alias("mean_iou"))
+    s = metrics.groupBy("method").agg(*(F.sum(c).alias(c) for c in ("n_pred", "n_true", "exact")), F.try_divide(steady_sum("mean_iou"), F.count("mean_iou")).alias("mean_iou"))
     p, r = F.coalesce(F.try_divide("exact", "n_pred"), F.lit(0.0)), F.coalesce(F.try_divide("exact", "n_true"), F.lit(0.0))
     return s.withColumns({"precision": p, "recall": r}).withColumn("f1", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))

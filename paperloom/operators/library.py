@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sums import steady_sum
+
 
 def grouped_references(flat: Column) -> Column:
     """Map of flat references ("RFI 12", "Invoice #7") by what stands before their first space, signs # removed; others go."""
@@ -28,10 +30,10 @@ def stored(docs: DataFrame) -> DataFrame:
 def pdf_summary(docs: DataFrame) -> DataFrame:
     """Per pdf_id of (pdf_id, type, n_scanned, ocr_confidence): documents found, documents by type, scanned pages, mean confidence of documents."""
     per = docs.groupBy("pdf_id", F.coalesce("type", F.lit("unknown")).alias("type")).agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("n_scanned"), F.lit(0)).alias("scanned"), F.sum("ocr_confidence").alias("sum"), F.count("ocr_confidence").alias("known")
+        F.count("*").alias("n"), F.coalesce(F.sum("n_scanned"), F.lit(0)).alias("scanned"), steady_sum("ocr_confidence").alias("sum"), F.count("ocr_confidence").alias("known")
     )
     kinds = F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n"))))
-    return per.groupBy("pdf_id").agg(F.sum("n").alias("documents_found"), kinds.alias("page_classification"), F.sum("scanned").alias("ocr_pages"), F.coalesce(F.try_divide(F.sum("sum"), F.sum("known")), F.lit(0.0)).alias("average_confidence"))
+    return per.groupBy("pdf_id").agg(F.sum("n").alias("documents_found"), kinds.alias("page_classification"), F.sum("scanned").alias("ocr_pages"), F.coalesce(F.try_divide(steady_sum("sum"), F.sum("known")), F.lit(0.0)).alias("average_confidence"))
 
 
 def orphans(files: DataFrame, docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import porter, stem
+from ..functions.sums import steady_sum
 
 SORTABLE = {"doc_id", "type", "created", "party", "amount"}
 TOKEN = r"[^\p{L}\p{N}]+"
@@ -164,7 +165,7 @@ def with_page_flags(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 def stats(docs: DataFrame) -> DataFrame:
     """One row: counts, distinct PDFs, mean amount, first and last dates."""
-    return docs.agg(F.count("*").alias("n_docs"), F.count_distinct("pdf_id").alias("n_pdfs"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total"), F.try_divide(F.sum("amount"), F.count("*")).alias("mean_amount"), F.min("created").alias("first"), F.max("created").alias("last"))
+    return docs.agg(F.count("*").alias("n_docs"), F.count_distinct("pdf_id").alias("n_pdfs"), F.coalesce(steady_sum("amount"), F.lit(0.0)).alias("total"), F.try_divide(steady_sum("amount"), F.count("*")).alias("mean_amount"), F.min("created").alias("first"), F.max("created").alias("last"))
 
 
 def facets(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions.sums import steady_sum
 from paperloom.functions.tables import kept, shared_dir
 from paperloom.operators import catalog, classify, evaluate, metadata, store
 from paperloom.sources import readers
@@ -131,3 +132,15 @@ def test_no_machine_folder_on_a_cluster(spark):
         shared_dir(Session())
     Session.conf = Conf({"spark.master": "local[2]"})
     assert shared_dir(Session()).startswith("file:///") and kept(spark.range(3), "t").count() == 3
+
+
+def test_steady_sums(spark):
+    values = [random.Random(1).random() for _ in range(300)] + [1 / 3, 2 / 3, None, float("nan"), float("inf")]
+    sums = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(values)
+        sums.add(spark.createDataFrame([(v,) for v in values], "v double").repartition(seed + 1).agg(steady_sum("v")).first()[0])
+    assert sums == {round(sum(v for v in values if v is not None and v < 2), 12)}
+    thirds = spark.createDataFrame([(1 / 3,), (2 / 3,), (1 / 3,), (2 / 3,)], "v double")
+    assert thirds.agg(steady_sum("v")).first()[0] == 2.0
+    assert spark.createDataFrame([(None,)], "v double").agg(steady_sum("v")).first()[0] is None
