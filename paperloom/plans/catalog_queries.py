@@ -427,4 +427,15 @@ SELECT doc_id, length(t)::INT AS n, round(coalesce(len(regexp_extract_all(t, '\d
     "conversation_windows": """WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')) AS w, row_number() OVER o AS n FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
 p AS (SELECT a.conv_id, a.turn, a.w, coalesce(b.w, []) AS v FROM w a LEFT JOIN w b ON a.conv_id = b.conv_id AND a.n = b.n + 1)
 SELECT conv_id, turn, round(coalesce(len(list_intersect(w, v))::DOUBLE / nullif(len(list_distinct(list_concat(w, v))), 0), 0), 6)::DOUBLE AS likeness FROM p""",
+    "smart_windows": """WITH RECURSIVE %s, f AS MATERIALIZED (SELECT pdf_id, page_num, NOT is_first AS unsure, count(*) OVER (PARTITION BY pdf_id) AS n FROM packets),
+k AS (SELECT * FROM f WHERE page_num = 0 UNION ALL SELECT f.* FROM k JOIN f ON f.pdf_id = k.pdf_id AND f.page_num = k.page_num + CASE WHEN k.unsure THEN 1 ELSE 2 END)
+SELECT pdf_id, page_num::INT AS window_start, (least(page_num + 3, n) - 1)::INT AS window_end, CASE WHEN unsure THEN 2.0 ELSE 1.0 END::DOUBLE AS priority FROM k""" % PACKETS_SQL,
+    "merged_ranges": f"""WITH {_PAGES}, a AS (SELECT *, CASE WHEN end_page > start_page THEN 0.8 ELSE 0.6 END AS sure FROM truth),
+sides AS (SELECT coalesce(a.pdf_id, p.pdf_id) AS pdf_id, coalesce(a.start_page, p.start_page) AS start_page, coalesce(a.end_page, p.end_page) AS end_page, a.pdf_id IS NOT NULL AS in_a, p.pdf_id IS NOT NULL AS in_b, sure
+  FROM a FULL JOIN pred p ON a.pdf_id = p.pdf_id AND a.start_page = p.start_page AND a.end_page = p.end_page),
+shares AS (SELECT pdf_id, count(*) FILTER (WHERE in_a AND in_b) / greatest(count(*) FILTER (WHERE in_a), 1) AS agreed FROM sides GROUP BY 1),
+held AS (SELECT sides.*, max(end_page) OVER (PARTITION BY pdf_id ORDER BY start_page, end_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sides JOIN shares USING (pdf_id) WHERE in_b OR (agreed > 0.7 AND sure > 0.8)),
+runs AS (SELECT *, sum((before IS NULL OR start_page > before)::INT) OVER (PARTITION BY pdf_id ORDER BY start_page, end_page) AS run FROM held),
+whole AS (SELECT pdf_id, min(start_page) AS start_page, max(end_page) AS end_page FROM runs GROUP BY pdf_id, run)
+SELECT pdf_id, start_page, end_page, CASE WHEN in_a AND in_b THEN 0.9 WHEN in_b THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM whole LEFT JOIN sides USING (pdf_id, start_page, end_page)""",
 }
