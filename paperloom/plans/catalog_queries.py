@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import quality
 from ..functions import text as T
 from ..functions.tables import fresh_path
-from ..operators import cascade, catalog, classify, evaluate, library, pagechain, segment, store
+from ..operators import cascade, catalog, classify, context, evaluate, library, pagechain, segment, store
 from .corpus import PACKETS_SQL, RENDERED_SQL, packets, rendered, table
 from .queries import AS_OF, segment_pages
 
@@ -334,6 +337,32 @@ _LABELS = f"""lowered AS (SELECT *, lower(text) AS low FROM rendered), scored AS
 best AS (SELECT doc_id, label, score FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) = 1)"""
 _LABEL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{k}'" for k, words in classify.MARKERS) + " ELSE 'unknown' END"
 _WORDS = list(dict.fromkeys(w for group in classify.PHRASES.values() for w in group))
+
+
+def _repairs_sql(text: str) -> str:
+    for pairs, flags in ((quality.TERM_REPAIRS, "gi"), (quality.DATE_REPAIRS, "g")):
+        for pattern, by in pairs:
+            text = f"regexp_replace({text}, '{pattern}', '{re.sub(r'\$(\d)', r'\\\1', by)}', '{flags}')"
+    return text
+
+
+def _count_sql(text: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({text}, '{pattern}'))"
+
+
+def _measures_sql(t: str) -> str:
+    words, n, lines = _count_sql(t, r"\S+"), f"length({t})", f"({_count_sql(t, r'\n')} + 1)"
+    capital = rf"len(list_filter(regexp_extract_all({t}, '\S+'), lambda x: regexp_matches(x, '^\p{{Lu}}')))"
+    return f"[({n} - {lines} + 1) / {lines}::DOUBLE, {capital} / nullif({words}, 0)::DOUBLE, {_count_sql(t, '[.!?,:;]')} / nullif({n}, 0)::DOUBLE, {_count_sql(t, r'\d+')} / nullif({words}, 0)::DOUBLE]"
+
+
+def _topics_sql(t: str) -> str:
+    return rf"list_distinct(list_filter(regexp_extract_all(lower({t}), '\b[a-z]{{3,}}\b'), lambda w: length(w) > 3 AND w NOT IN ({', '.join(repr(w) for w in context.STOPWORDS)})))"
+
+
+_SIGNS = ", ".join(
+    [f"CASE WHEN regexp_matches(head, '{p}') THEN 'strong_start: {p}' END" for p in context.STRONG] + [f"CASE WHEN regexp_matches(tail, '{p}') THEN 'weak_end: {p}' END" for p in context.WEAK]
+)
 ORACLE_SQL = {
     "document_lookup": f"""{_W}{_EDGES}, e AS (SELECT kind, string_agg(target_id::VARCHAR, ',' ORDER BY target_id) AS ids FROM edges WHERE source_id = {LOOKED_UP} GROUP BY kind)
 SELECT doc_id, type, created, coalesce((SELECT ids FROM e WHERE kind = 'responds_to'), '') AS responds_to, coalesce((SELECT ids FROM e WHERE kind = 'references'), '') AS "references", coalesce((SELECT ids FROM e WHERE kind = 'related'), '') AS related
@@ -438,4 +467,13 @@ held AS (SELECT sides.*, max(end_page) OVER (PARTITION BY pdf_id ORDER BY start_
 runs AS (SELECT *, sum((before IS NULL OR start_page > before)::INT) OVER (PARTITION BY pdf_id ORDER BY start_page, end_page) AS run FROM held),
 whole AS (SELECT pdf_id, min(start_page) AS start_page, max(end_page) AS end_page FROM runs GROUP BY pdf_id, run)
 SELECT pdf_id, start_page, end_page, CASE WHEN in_a AND in_b THEN 0.9 WHEN in_b THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM whole LEFT JOIN sides USING (pdf_id, start_page, end_page)""",
+    "repaired_texts": rf"{_W} SELECT doc_id, md5(regexp_replace(regexp_replace({_repairs_sql("translate(text, '1', 'l')")}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM rendered",
+    "boundary_indicators": f"""{_P}, pairs AS (SELECT pdf_id, page_num, lag(text) OVER (PARTITION BY pdf_id ORDER BY page_num) AS b, text AS a FROM packets),
+facts AS (SELECT *, left(a, 200) AS head, right(b, 200) AS tail, {_topics_sql('a')} AS ta, {_topics_sql('b')} AS tb, {_measures_sql('a')} AS ma, {_measures_sql('b')} AS mb,
+  {_count_sql('a', r'\S+')} AS na, {_count_sql('b', r'\S+')} AS nb FROM pairs WHERE b IS NOT NULL),
+signs AS (SELECT *, len(ta) > 0 AND len(tb) > 0 AND len(list_intersect(ta, tb)) / greatest(len(list_distinct(list_concat(ta, tb))), 1)::DOUBLE < 0.3 AS topic,
+  {' + '.join(f'coalesce(ma[{i}] > 0 AND mb[{i}] > 0 AND abs(ma[{i}] - mb[{i}]) / greatest(ma[{i}], mb[{i}]) > 0.5, false)::INT' for i in range(1, 5))} >= 2 AS form FROM facts)
+SELECT pdf_id, page_num, concat_ws(';', {_SIGNS}, CASE WHEN topic THEN 'topic_change' END, CASE WHEN form THEN 'format_change' END) AS indicators,
+  round((coalesce(least(na, nb) / nullif(greatest(na, nb), 0)::DOUBLE, 0) + least(1.0, {_count_sql('b', context.SENTENCES)} / 5.0::DOUBLE) + least(1.0, {_count_sql('a', context.SENTENCES)} / 5.0::DOUBLE)
+  + least(1.0, ({_count_sql('b', context.NAMES)} + {_count_sql('a', context.NAMES)}) / 10.0::DOUBLE)) / 4, 6)::DOUBLE AS quality FROM signs""",
 }
