@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import flat
-from .pretokens import PieceCache
+from .pretokens import LETTER, NUMBER, OTHER, SPACE, PieceCache, code_points, kinds
 from .shared import col, map_columns
 
 _NONE = np.int64(1) << np.int64(30)
@@ -41,6 +41,7 @@ class WordBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._set_steps(spec)
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -63,7 +64,28 @@ class WordBPE:
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.decimal = [str(i) for i in range(int(self.size))]
         self.names = [self.tokens.get(i, "") for i in range(int(self.size))]
-        self.cache = PieceCache("word", self.encode_words)
+        self.cache = PieceCache("word", self.encode_words, ask=self._ask)
+
+    def _set_steps(self, spec: dict) -> None:
+        """The file's own normalizer and pre-tokenizer, for characters that they and the interpreter's tables see differently."""
+        from tokenizers import Tokenizer
+
+        steps = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+        self.steps = steps.normalizer, steps.pre_tokenizer
+        # marks whose class only one of them knows are sorted differently
+        self.odd = kinds()[1].copy()
+        overlay = chr(0x334)
+        for c in np.flatnonzero(~self.odd).tolist():
+            if unicodedata.combining(chr(c)) > 1:
+                self.odd[c] = self.steps[0].normalize_str("a" + chr(c) + overlay) != self.normal("a" + chr(c) + overlay)
+
+    def _ask(self, code: list[int]) -> list[int]:
+        """Kinds of code points by how the file's pre-tokenizer cuts them from a letter and a sign."""
+        out = []
+        for c in map(chr, code):
+            cuts = [len(self.steps[1].pre_tokenize_str(x)) for x in ("a" + c, "#" + c, c + c)]
+            out.append(LETTER if cuts[0] == 1 and cuts[2] else OTHER if cuts[1] == 1 and cuts[2] else NUMBER if cuts[2] else SPACE)
+        return out
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -130,6 +152,15 @@ class WordBPE:
         # lower-cased character by character: no form of sigma for word ends
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def normals(self, texts: list[str]) -> list[str]:
+        """Normal forms; texts with characters that the interpreter sees differently go through the file's own normalizer."""
+        cp, offs = code_points(texts)
+        odd = np.unique(np.searchsorted(offs, np.flatnonzero(self.odd[cp]), "right") - 1)
+        out = [self.normal(t) for t in texts]
+        for k in odd.tolist():
+            out[k] = self.steps[0].normalize_str(texts[k])
+        return out
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text. Special tokens' strings become their ids."""
         parts, owner, fixed = [], [], []
@@ -138,9 +169,9 @@ class WordBPE:
                 if x in self.special and "<|" in t:
                     fixed.append((len(parts), self.special[x]))
                     x = ""
-                parts.append(self.normal(x))
+                parts.append(x)
                 owner.append(k)
-        ids, counts = self.cache.ids(parts)
+        ids, counts = self.cache.ids(self.normals(parts))
         if fixed:
             at = np.concatenate(([0], np.cumsum(counts)))
             where = np.array([at[p] for p, _ in fixed])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -13,17 +14,16 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The letters that make a piece of their own with an apostrophe before them.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-_kinds: np.ndarray | None = None
 
 
-def kinds() -> np.ndarray:
-    """The kind of every code point, by its Unicode category."""
-    global _kinds
-    if _kinds is None:
-        named = {"L": LETTER, "N": NUMBER}
-        _kinds = np.fromiter((named.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
-        _kinds[_WHITE] = SPACE
-    return _kinds
+@lru_cache(1)
+def kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of every code point by its Unicode category, and which ones this interpreter's tables do not know yet."""
+    named = {"L": LETTER, "N": NUMBER}
+    categories = [unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)]
+    kind = np.fromiter((named.get(c[0], OTHER) for c in categories), np.uint8, len(categories))
+    kind[_WHITE] = SPACE
+    return kind, np.fromiter((c == "Cn" for c in categories), bool, len(categories))
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,19 +56,24 @@ def brk_at(offs: np.ndarray, n: int) -> np.ndarray:
     return flag
 
 
-def pieces(cp: np.ndarray, offs: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of the pieces.
+def pieces(cp: np.ndarray, offs: np.ndarray, mode: str, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the pieces; kind: that of each code point, where the tokenizer has its own.
 
     mode "word": letter runs, single numbers, runs of other characters; white space is dropped.
     mode "byte": letter, number and other runs with one space before them, and the white space left.
+    mode "spaced": cut before each space that follows something else.
     """
     n = len(cp)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    kind = kinds()[cp]
     first = brk_at(offs, n)
     brk = first.copy()
+    if mode == "spaced":
+        brk[1:] |= (cp[1:] == 32) & (cp[:-1] != 32)
+        starts = np.flatnonzero(brk)
+        return starts, np.append(starts[1:], n), np.searchsorted(offs, starts, "right") - 1
+    kind = kinds()[0][cp] if kind is None else kind
     brk[1:] |= kind[1:] != kind[:-1]
     if mode == "word":
         brk |= kind == NUMBER
@@ -108,10 +113,21 @@ class PieceCache:
     points, so its memory is bounded; results never depend on it.
     """
 
-    def __init__(self, mode: str, encode, most: int = 400_000):
-        self.mode, self.encode, self.most = mode, encode, most
+    def __init__(self, mode: str, encode, most: int = 400_000, ask=None):
+        """ask: kinds of code points that the interpreter does not know, from the tokenizer itself; each is asked for once."""
+        self.mode, self.encode, self.most, self.ask = mode, encode, most, ask
+        if ask:
+            self.kind, self.unsure = (a.copy() for a in kinds())
         self._clear()
 
+    def _kind(self, cp: np.ndarray) -> np.ndarray | None:
+        if not self.ask:
+            return None
+        if (odd := self.unsure[cp]).any():
+            new = np.unique(cp[odd])
+            self.kind[new], self.unsure[new] = self.ask(new.tolist()), False
+        return self.kind[cp]
+
     def _clear(self):
         none = np.zeros(0, np.int64)
         self.hashes = np.zeros(0, np.uint64)
@@ -138,7 +154,7 @@ class PieceCache:
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text."""
         cp, offs = code_points(texts)
-        starts, ends, doc = pieces(cp, offs, self.mode)
+        starts, ends, doc = pieces(cp, offs, self.mode, self._kind(cp))
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         uniq, index, inverse = np.unique(piece_hash(cp, starts, ends), return_index=True, return_inverse=True)

@@ -223,6 +223,12 @@ def refined_ranges(texts: DataFrame, least: DataFrame, length: int) -> DataFrame
 
 
 def _refine_table(b: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    # of rows that repeat a document, each brings its runs: they count once
+    place = np.stack([b.column(k).to_numpy() for k in (1, 2, 3)])
+    order = np.lexsort(place)
+    again = order[1:][(place[:, order[1:]] == place[:, order[:-1]]).all(0)]
+    if len(again):
+        b = b.take(pa.array(np.delete(np.arange(b.num_rows), again)))
     column = b.column(4).cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
