@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, mixing, ngram_join, quality, suffix_dedup, token_files, toxicity, warc
+from . import alignment, bpe, chat, fingerprint, mixing, ngram_join, packing, quality, suffix_dedup, token_files, toxicity, warc
 from .shared import fresh_path, kept
 
 
@@ -78,9 +78,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored_alignments(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, checksums=True)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_quality_rules, op4_bpe, op5_token_files, op6_toxicity, op7_mixing, op8_warc, op9_fingerprints, op10_suffix_dedup)
+    for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_quality_rules, op4_bpe, op5_token_files, op6_toxicity, op7_mixing, op8_warc, op9_fingerprints, op10_suffix_dedup, op11_cross_tokenizer_alignment, op13_packing)
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"

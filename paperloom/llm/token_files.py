@@ -33,7 +33,8 @@ class ByteBPE:
         library = Tokenizer.from_file(path)
         self.model = library.model
         with open(path, encoding="utf-8") as f:
-            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+            spec = json.load(f)
+        self.special, self.vocabulary = {t["content"]: t["id"] for t in spec["added_tokens"]}, spec["model"]["vocab"]
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.chars = dict(enumerate(byte_chars()))
         self.cache = PieceCache("byte", self._encode)
