@@ -70,12 +70,12 @@ def chunks(offs: np.ndarray, limit: int = CHUNK_BYTES):
         i = min(j, n)
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of all runs of bytes other than space, \\t, \\n, \\v, \\f, \\r."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of all runs of bytes other than space, \\t, \\n, \\v, \\f, \\r, or those marked in space."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~_SPACE[buf]
+    inside = ~space[buf]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     at = offs[:-1][np.diff(offs) > 0]

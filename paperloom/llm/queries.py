@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, fingerprint, mixing, ngram_join, packing, quality, suffix_dedup, token_files, toxicity, warc
+from . import alignment, bpe, chat, fingerprint, mixing, ngram_join, packing, phrases, quality, suffix_dedup, token_files, toxicity, warc
 from .shared import fresh_path, kept
 
 
@@ -82,13 +82,17 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.scored_alignments(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, checksums=True)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_quality_rules, op4_bpe, op5_token_files, op6_toxicity, op7_mixing, op8_warc, op9_fingerprints, op10_suffix_dedup, op11_cross_tokenizer_alignment, op13_packing)
+    for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_quality_rules, op4_bpe, op5_token_files, op6_toxicity, op7_mixing, op8_warc, op9_fingerprints, op10_suffix_dedup, op11_cross_tokenizer_alignment, op12_phrase_collocations, op13_packing)
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -142,6 +146,26 @@ r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0)
 SELECT d.doc_id, d.size, r.source_size, r.target,
   (d.size * (floor(r.rate) + (('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0 < r.rate - floor(r.rate))::INT))::BIGINT AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""",
+    "op12_phrase_collocations": r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, unnest(list_transform(range(1, len(w) + 2 - k), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase, k
+  FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, phrase, k, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+s AS (
+  SELECT cuts.lang, cuts.phrase, cuts.k, cuts.a, cuts.j, l.a AS l, r.a AS r, (1000000 * cuts.a * cuts.a) // (l.a * r.a) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = array_to_string(cuts.w[1:cuts.j], ' ')
+  JOIN f r ON r.lang = cuts.lang AND r.phrase = array_to_string(cuts.w[cuts.j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+h AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS held FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3) GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE h.held IS NULL OR 100 * h.held < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n, score::BIGINT AS score
+FROM k JOIN n USING (lang) QUALIFY rank <= 2000""",
     "op8_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS winner FROM p)
