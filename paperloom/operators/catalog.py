@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
+from .search import DELTA_PACKED
 
 # The document types, in order.
 TYPES = (
@@ -87,7 +88,7 @@ def save(docs: DataFrame, pages: DataFrame, edges: DataFrame, path: str) -> None
     written = docs.sparkSession.read.parquet(f"{path}/documents")
     pages.join(written.select("doc_id"), "doc_id", "left_semi").write.mode("overwrite").parquet(f"{path}/pages")
     store.related(edges, written).write.mode("overwrite").parquet(f"{path}/edges")
-    store.postings(written).write.mode("overwrite").parquet(f"{path}/postings")
+    store.postings(written).write.options(**DELTA_PACKED).mode("overwrite").parquet(f"{path}/postings")
 
 
 def saved(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stem import porter, stem
 from ..functions.sums import steady_sum
+from .search import matching, postings, query_test, stemmed
 
-SORTABLE = {"doc_id", "type", "created", "party", "amount"}
-TOKEN = r"[^\p{L}\p{N}]+"
+__all__ = ["SearchFilter", "delete", "delete_outcomes", "facets", "matching", "merge", "neighbours", "postings", "query_test", "related", "search", "stats", "stemmed", "with_page_flags"]
+
+SORTABLE = {"doc_id", "type", "created", "party", "amount", "title", "page_count"}
 
 
 @dataclass
@@ -59,93 +59,11 @@ class SearchFilter:
         return reduce(lambda a, b: a & b, tests)
 
 
-# Latin letters with diacritical marks, and those without.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-
-
-def tokens_of(c: str) -> Column:
-    """The words of a column in lower case, without the marks of Latin letters."""
-    return F.split(F.translate(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), MARKED, PLAIN), TOKEN)
-
-
-def query_test(query: str, fields: tuple[str, ...] = ()) -> Column:
-    """Whether a row matches a query as `matching` reads it, and its phrases ("two words", in double quotes).
-
-    Its words are looked up in those of the row itself, so nothing is exploded or shuffled. field:word looks in a column
-    of fields, other words in text.
-    """
-
-    def one(term: str) -> Column:
-        name, colon, word = term.rpartition(":")
-        if colon and name not in fields:
-            raise ValueError(f"{term!r} names a field that is not searched")
-        word = word.lower().translate(str.maketrans(MARKED, PLAIN))
-        words = tokens_of(name if colon else "text")
-        if word.startswith('"'):
-            spelled = F.concat(F.lit(" "), F.array_join(F.filter(words, lambda w: w != ""), " "), F.lit(" "))
-            return F.contains(spelled, F.lit(" " + " ".join(re.findall(r"[^\W_]+", word)) + " "))
-        return F.exists(words, lambda w: F.startswith(w, F.lit(word[:-1]))) if word.endswith("*") else F.array_contains(words, word)
-
-    def all_of(part: str) -> Column:
-        terms = re.findall(r'-?(?:\w+:)?"[^"]*"|\S+', part)
-        wanted = [one(t) for t in terms if not t.startswith("-")]
-        banned = [~one(t[1:]) for t in terms if t.startswith("-") and len(t) > 1]
-        return reduce(lambda a, b: a & b, wanted + banned) if wanted else F.lit(False)
-
-    return reduce(lambda a, b: a | b, map(all_of, re.split(r"\s+OR\s+", query.strip())))
-
-
-def postings(docs: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
-    """(token, doc_id, tf) of lower-cased words of text; with fields, (field, token, doc_id, tf) of the words of each of these columns."""
-    if fields:
-        docs = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), tokens_of(c).alias("tokens")) for c in fields))).alias("of")).select("doc_id", "of.*")
-    else:
-        docs = docs.select("doc_id", tokens_of("text").alias("tokens"))
-    words = docs.withColumn("token", F.explode("tokens")).where("token != ''")
-    return words.groupBy(*["field"] * bool(fields), "token", "doc_id").agg(F.count("*").alias("tf"))
-
-
-def stemmed(index: DataFrame) -> DataFrame:
-    """The index by stems: tokens of one stem become one. Only distinct (token, document) rows pass through Python."""
-    keys = [c for c in index.columns if c not in ("token", "tf")]
-    return index.withColumn("token", stem(F.col("token"))).groupBy("token", *keys).agg(F.sum("tf").alias("tf"))
-
-
-def matching(index: DataFrame, query: str, stems: bool = False) -> DataFrame:
-    """doc_id of documents with all words of the query, or of one of its parts between ORs.
-
-    word* stands for all words that start so, field:word for a word of that field alone (of an index with fields), a minus
-    before any of these for none. A part without a wanted word finds nothing. stems: the index is a stemmed one, and so
-    are whole words of the query; word* then stands for stems that start so.
-    """
-    found = [_all_of(index, part, stems) for part in re.split(r"\s+OR\s+", query.strip())]
-    return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).distinct()
-
-
-def _all_of(index: DataFrame, query: str, stems: bool) -> DataFrame:
-    wanted = [w for w in query.lower().split() if not w.startswith("-")]
-    banned = [w[1:] for w in query.lower().split() if w.startswith("-") and len(w) > 1]
-
-    def one(w: str) -> Column:
-        name, colon, word = w.rpartition(":")
-        if colon and "field" not in index.columns:
-            raise ValueError(f"{w!r} names a field, but the index has none")
-        test = F.startswith(F.col("token"), F.lit(word[:-1])) if word.endswith("*") else F.col("token") == (porter(word) if stems else word)
-        return test & (F.lower("field") == name) if colon else test
-
-    hit = index.where(reduce(lambda a, b: a | b, map(one, wanted or [""])))
-    n = reduce(lambda a, b: a + b, (F.max(one(w).cast("int")) for w in wanted)) if wanted else F.lit(0)
-    found = hit.groupBy("doc_id").agg(n.alias("n")).where(F.col("n") == len(wanted)).select("doc_id")
-    for w in banned:
-        found = found.join(index.where(one(w)).select("doc_id").distinct(), "doc_id", "left_anti")
-    return found
-
-
 def search(docs: DataFrame, f: SearchFilter, index: DataFrame | None = None) -> DataFrame:
     """One page of the documents that pass the filter; ties in the sort column go by doc_id.
 
-    Without an index the query is a test of each row that passes the other filters; with one, a semi-join with its postings.
+    Without an index the query is a test of each row that passes the other filters, in its columns title, type, party and text; with
+    one, a semi-join with its postings. Both find the same where the index holds the same fields.
     """
     if f.sort_by not in SORTABLE:
         raise ValueError(f"cannot sort by {f.sort_by!r}")
