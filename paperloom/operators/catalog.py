@@ -20,6 +20,12 @@ def document_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(TYPES)), "ordinal int, type string")
 
 
+def type_counts(docs: DataFrame) -> DataFrame:
+    """(ordinal, type, n): all document types and how many documents are of each."""
+    counts = docs.groupBy("type").agg(F.count("*").alias("n"))
+    return document_types(docs.sparkSession).join(counts, "type", "left").select("ordinal", "type", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def by_id(docs: DataFrame, edges: DataFrame, doc_id) -> DataFrame:
     """The document of that id, with the ids it responds to, references or is related to; no row if there is none.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sums import steady_sum
@@ -55,11 +55,27 @@ def best_overlap(truth: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def coverage(ranges: DataFrame, totals: DataFrame) -> DataFrame:
-    """(pdf_id, covered, missing): pages that ranges hold."""
-    held = ranges.select("pdf_id", F.explode(F.sequence("start_page", "end_page")).alias("page")).groupBy("pdf_id").agg(F.count_distinct("page").alias("covered"))
+    """(pdf_id, covered, missing): pages that ranges hold. A range that ends before it starts holds none."""
+    held = ranges.where("start_page <= end_page").select("pdf_id", F.explode(F.sequence("start_page", "end_page")).alias("page")).groupBy("pdf_id").agg(F.count_distinct("page").alias("covered"))
     return totals.join(held, "pdf_id", "left").select("pdf_id", F.coalesce("covered", F.lit(0)).alias("covered"), (F.col("n_pages") - F.coalesce("covered", F.lit(0))).alias("missing"))
 
 
+def missing_pages(ranges: DataFrame, totals: DataFrame) -> DataFrame:
+    """(pdf_id, missing, percent): the pages from 0 to n_pages - 1 that no range holds, ascending, and how many percent of the pages are held.
+
+    What is missing lies between ranges, so only gaps are spelled out: a PDF's ranges pass one window, its pages none.
+    """
+    order = Window.partitionBy("pdf_id").orderBy("start_page", "end_page").rowsBetween(Window.unboundedPreceding, -1)
+    held = ranges.where("start_page <= end_page and end_page >= 0").join(totals, "pdf_id").where("start_page < n_pages")
+    # a range behind the last page closes the last gap
+    closed = held.select("pdf_id", F.greatest("start_page", F.lit(0)).cast("int").alias("start_page"), F.col("end_page").cast("int")).unionByName(totals.select("pdf_id", F.col("n_pages").cast("int").alias("start_page"), F.col("n_pages").cast("int").alias("end_page")))
+    gaps = closed.withColumn("free", F.coalesce(F.max("end_page").over(order) + 1, F.lit(0)))
+    gaps = gaps.select("pdf_id", F.explode_outer(F.when(F.col("free") < F.col("start_page"), F.sequence("free", F.col("start_page") - 1))).alias("page"))
+    found = gaps.groupBy("pdf_id").agg(F.array_sort(F.collect_list("page")).alias("missing"))
+    share = F.try_divide(F.col("n_pages") - F.size("missing"), F.col("n_pages"))
+    return found.join(totals, "pdf_id").select("pdf_id", "missing", F.coalesce(100 * share, F.lit(0.0)).alias("percent"))
+
+
 def confusion(labels: DataFrame) -> DataFrame:
     """(expected, actual, n) counts."""
     return labels.groupBy("expected", "actual").agg(F.count("*").alias("n"))

@@ -51,16 +51,22 @@ def base_letters() -> dict[str, str]:
     return out | {"ς": "σ"}
 
 
+@lru_cache(1)
+def marks() -> str:
+    """All combining marks."""
+    return "".join(c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+
+
 def fold(text: str) -> str:
     """The text in lower case without marks, as `folded` does with a column."""
-    return regex.sub(r"\p{M}+", "", text.lower()).translate(str.maketrans(base_letters()))
+    return text.lower().translate(str.maketrans(base_letters()) | dict.fromkeys(map(ord, marks())))
 
 
 def folded(c: Column) -> Column:
     """Lower case without marks; null is empty. Only texts with characters beyond ASCII are translated."""
     lowered = F.lower(F.coalesce(c.cast("string"), F.lit("")))
     letters = base_letters()
-    plain = F.translate(F.regexp_replace(lowered, r"\p{M}+", ""), "".join(letters), "".join(letters.values()))
+    plain = F.translate(lowered, "".join(letters) + marks(), "".join(letters.values()))  # characters without a partner go
     return F.when(F.octet_length(lowered) == F.char_length(lowered), lowered).otherwise(plain)
 
 
@@ -131,11 +137,11 @@ def _combined(parts: list[Part], test) -> Column:
 def _close(starts: list[Column], sizes: list[int], gap: int) -> Column:
     """Whether occurrences of all phrases, given by where each starts, lie so close: one of them starts last, and every other ends shortly before."""
 
-    def ends_near(s: Column, n: int, x: Column) -> Column:
-        return (s <= x) & (x - s - n <= gap)
+    def one_near(at: Column, n: int, x: Column) -> Column:
+        return F.exists(at, lambda s: (s <= x) & (x - s - n <= gap))
 
     def all_near(x: Column) -> Column:
-        return reduce(and_, (F.exists(starts[k], lambda s, k=k: ends_near(s, n, x)) for k, n in enumerate(sizes)))
+        return reduce(and_, (one_near(at, n, x) for at, n in zip(starts, sizes, strict=True)))
 
     return F.exists(reduce(F.array_union, starts), all_near)
 
@@ -250,9 +256,11 @@ def matching(index: DataFrame, query: str, stems: bool = False, fields: tuple[st
     rows = hits.groupBy("doc_id", *["field"] * apart).agg(*(w.alias(f"s{i}") for i, w in enumerate(wanted)))
     slot = {s: F.col(f"s{i}") for i, s in enumerate(slots)}
 
+    def shifted(at: Column, k: int) -> Column:
+        return F.transform(at, lambda x: x - k)
+
     def starts(p: Phrase) -> Column:
-        shifted = [F.transform(slot[p, k], lambda x, k=k: x - k) for k in range(1, len(p.words))]
-        return reduce(F.array_intersect, shifted, slot[p, 0])
+        return reduce(F.array_intersect, (shifted(slot[p, k], k) for k in range(1, len(p.words))), slot[p, 0])
 
     def here(t: Phrase | Near) -> Column:
         if not positional:

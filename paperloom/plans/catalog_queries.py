@@ -11,7 +11,7 @@ from ..functions import quality
 from ..functions import text as T
 from ..functions.tables import fresh_path
 from ..operators import cascade, catalog, classify, context, evaluate, library, pagechain, segment, store
-from .corpus import PACKETS_SQL, RENDERED_SQL, packets, rendered, table
+from .corpus import PACKETS_SQL, RENDERED_SQL, exact_sum, packets, rendered, table
 from .queries import AS_OF, segment_pages
 
 LOOKED_UP, SOURCE = 12, 7
@@ -61,7 +61,7 @@ def party_list(spark, sf_dir):
 
 
 def document_types(spark, sf_dir):
-    return catalog.document_types(spark)
+    return catalog.type_counts(rendered(spark, sf_dir))
 
 
 def storage_statistics(spark, sf_dir):
@@ -97,6 +97,15 @@ def orphan_files(spark, sf_dir):
     return library.orphans(files, docs)
 
 
+def missing_pages(spark, sf_dir):
+    """Pages that no predicted range holds, some ranges reaching behind the end or ending before they start."""
+    pages = packets(spark, sf_dir)
+    truth = segment.islands(pages, "is_first").where("(start_page + pdf_id) % 3 != 0")
+    moved = truth.select("pdf_id", "start_page", (F.col("end_page") + F.when(F.col("start_page") % 5 == 0, 2).when(F.col("start_page") % 5 == 1, -2).otherwise(0)).alias("end_page"))
+    out = evaluate.missing_pages(moved, pages.groupBy("pdf_id").agg(F.count("*").alias("n_pages")))
+    return out.select("pdf_id", F.array_join("missing", ",").alias("missing"), F.round("percent", 4).alias("percent"))
+
+
 def single_documents(spark, sf_dir):
     return segment.whole_pdfs(packets(spark, sf_dir).groupBy("pdf_id").agg(F.count("*").alias("n_pages")))
 
@@ -206,8 +215,7 @@ def label_errors(spark, sf_dir):
     kinds = rendered(spark, sf_dir).select("doc_id", "type", "text")
     firsts = segment.islands(pages, "is_first").join(pages.select("pdf_id", F.col("page_num").alias("start_page"), "doc_id"), ["pdf_id", "start_page"]).join(kinds, "doc_id")
     truth = firsts.select("pdf_id", "start_page", "end_page", F.col("type").alias("label"))
-    first = segment.first_ranges(firsts.select("pdf_id", "start_page", "end_page", classify.keyword_type(F.col("text")).alias("label")), 3)
-    return evaluate.label_errors(first, truth)
+    return evaluate.label_errors(firsts.select("pdf_id", "start_page", "end_page", classify.keyword_type(F.col("text")).alias("label")), truth)
 
 
 def explained(spark, sf_dir):
@@ -248,7 +256,7 @@ def party_name_forms(spark, sf_dir):
 
 
 _FUNCTIONS = (
-    document_lookup, source_documents, document_list, document_detail, party_list, document_types, storage_statistics, saved_tables, status_updates, orphan_files, single_documents, first_documents,
+    document_lookup, source_documents, document_list, document_detail, party_list, document_types, storage_statistics, saved_tables, status_updates, orphan_files, missing_pages, single_documents, first_documents,
     resegmented, extracted_pages, blank_before, strong_starts, driven_ranges, joined_pairs, density_jumps, scanned_pdfs, damped_scores, range_violations, chunk_votes, micro_metrics, method_comparison,
     contested_matches, label_errors, explained, fallback_types, first_signs, phrase_search, routes, party_name_forms,
 )
@@ -305,10 +313,10 @@ _STRONG = _MIXED + rf""", facts AS (SELECT pdf_id, page_num, length(regexp_repla
   regexp_matches(text[1:500], 'From:|To:|Subject:|@') AS mail, {_FORMS} >= 2 AS form FROM mixed),
 before AS (SELECT *, lag(n) OVER o AS pn, lag(stamp) OVER o AS pstamp, lag(mail) OVER o AS pmail FROM facts WINDOW o AS (PARTITION BY pdf_id ORDER BY page_num)),
 strong AS (SELECT pdf_id, page_num, coalesce((stamp AND NOT pstamp) OR (pmail AND form) OR (pn > 50 AND ((pn > 1000 AND n < 200) OR (pn < 200 AND n > 1000))), false) AS is_strong FROM before)"""
-_METRICS = """b AS (SELECT pdf_id, ps, pe, max(iou) AS iou FROM met GROUP BY ALL),
+_METRICS = f"""b AS (SELECT pdf_id, ps, pe, max(iou) AS iou FROM met GROUP BY ALL),
 m AS (SELECT pdf_id, count(*) FILTER (WHERE iou = 1) AS exact, count(*) FILTER (WHERE iou > 0.5) AS partial FROM met GROUP BY pdf_id),
 n AS (SELECT coalesce(p.pdf_id, t.pdf_id) AS pdf_id, coalesce(p.n, 0) AS n_pred, coalesce(t.n, 0) AS n_true FROM (SELECT pdf_id, count(*) AS n FROM pred GROUP BY 1) p FULL JOIN (SELECT pdf_id, count(*) AS n FROM truth GROUP BY 1) t ON p.pdf_id = t.pdf_id),
-j AS (SELECT n.*, coalesce(exact, 0) AS exact, coalesce(partial, 0) AS partial, coalesce(s.iou, 0) AS iou FROM n LEFT JOIN m USING (pdf_id) LEFT JOIN (SELECT pdf_id, sum(iou) AS iou FROM b GROUP BY 1) s USING (pdf_id))"""
+j AS (SELECT n.*, coalesce(exact, 0) AS exact, coalesce(partial, 0) AS partial, coalesce(s.iou, 0) AS iou FROM n LEFT JOIN m USING (pdf_id) LEFT JOIN (SELECT pdf_id, {exact_sum('iou')} AS iou FROM b GROUP BY 1) s USING (pdf_id))"""
 _PAGES = _TRUTH + f""", starts AS (SELECT pdf_id, page_num, sum(({start_sql('text', 'page_num')} OR page_num = 0)::INT) OVER (PARTITION BY pdf_id ORDER BY page_num) AS seg FROM packets),
 pred AS (SELECT pdf_id, min(page_num)::BIGINT AS start_page, max(page_num)::BIGINT AS end_page FROM starts GROUP BY pdf_id, seg),
 met AS (
@@ -316,7 +324,7 @@ met AS (
     (least(p.end_page, t.end_page) - greatest(p.start_page, t.start_page) + 1)::DOUBLE / (greatest(p.end_page, t.end_page) - least(p.start_page, t.start_page) + 1) AS iou
   FROM pred p JOIN truth t ON p.pdf_id = t.pdf_id AND p.start_page <= t.end_page AND t.start_page <= p.end_page)"""
 _SUM = """SELECT '{m}' AS method, sum(n_pred)::BIGINT AS n_pred, sum(n_true)::BIGINT AS n_true, sum(exact)::BIGINT AS exact, round(sum(exact) / sum(n_pred), 6)::DOUBLE AS precision, round(sum(exact) / sum(n_true), 6)::DOUBLE AS recall,
-  round(2.0 * sum(exact) / (sum(n_pred) + sum(n_true)), 6)::DOUBLE AS f1, round(avg(iou / n_pred), 5)::DOUBLE AS mean_iou FROM j"""
+  round(2.0 * sum(exact) / (sum(n_pred) + sum(n_true)), 6)::DOUBLE AS f1, round(""" + exact_sum("iou / n_pred") + """ / count(*), 5)::DOUBLE AS mean_iou FROM j"""
 
 
 def _phrases_sql() -> str:
@@ -371,7 +379,7 @@ FROM rendered WHERE doc_id = {LOOKED_UP}""",
     "document_list": f"WITH {_STORED} SELECT doc_id, title, type, page_count, created, party AS parties, amount FROM stored WHERE type = 'invoice' ORDER BY created DESC, doc_id LIMIT 20 OFFSET 40",
     "document_detail": f"WITH {_STORED} SELECT doc_id, title, page_start AS first, page_end AS last, created::VARCHAR AS dates, text FROM stored WHERE doc_id = {LOOKED_UP}",
     "party_list": "SELECT DISTINCT c_name AS party FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY party",
-    "document_types": "SELECT * FROM (VALUES " + ", ".join(f"({i}::INT, '{t}')" for i, t in enumerate(catalog.TYPES)) + ") AS v(ordinal, type)",
+    "document_types": _W + " SELECT ordinal, v.type, count(doc_id) AS n FROM (VALUES " + ", ".join(f"({i}::INT, '{t}')" for i, t in enumerate(catalog.TYPES)) + ") AS v(ordinal, type) LEFT JOIN rendered r ON r.type = v.type GROUP BY ALL",
     "storage_statistics": f"""WITH {_STORED} SELECT count(*) AS n_docs, count(DISTINCT pdf_id) AS n_pdfs, sum(page_count)::BIGINT AS total_pages, round(sum(page_count) / count(*), 6)::DOUBLE AS average_pages, count(*) FILTER (WHERE doc_id % 3 = 0) AS with_embedding,
   min(created) AS earliest, max(created) AS latest, max(created + (doc_id % 5)::INT) FILTER (WHERE doc_id % 4 != 0) AS last_indexed, (SELECT count(DISTINCT doc_id) FROM packets WHERE page_num % 4 = 3) AS with_ocr FROM stored""",
     "saved_tables": rf"""{_P}{_EDGES}, words AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS token FROM rendered)
@@ -409,8 +417,8 @@ SELECT pdf_id, page_num, round(CASE WHEN s > 0.4 AND s < 0.6 AND p < 0.3 AND n <
     "range_violations": f"""WITH {_TRUTH}, m AS (SELECT pdf_id, start_page - (start_page % 5 = 0)::INT AS start_page, end_page + (end_page % 7 = 0)::INT AS end_page FROM truth),
 b AS (SELECT *, lag(end_page) OVER (PARTITION BY pdf_id ORDER BY start_page, end_page) AS before FROM m)
 SELECT pdf_id, start_page, end_page FROM b JOIN totals USING (pdf_id) WHERE start_page < 0 OR start_page > end_page OR end_page >= n_pages OR before >= start_page""",
-    "chunk_votes": """WITH e AS (SELECT user_id, event_type AS label, (((floor(value)::BIGINT % 100) + 100) % 100) / 100.0::DOUBLE AS c FROM events), n AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1),
-s AS (SELECT user_id, label, sum(c) / any_value(n) AS score FROM e JOIN n USING (user_id) GROUP BY user_id, label)
+    "chunk_votes": f"""WITH e AS (SELECT user_id, event_type AS label, (((floor(value)::BIGINT % 100) + 100) % 100) / 100.0::DOUBLE AS c FROM events), n AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1),
+s AS (SELECT user_id, label, {exact_sum('c')} / any_value(n) AS score FROM e JOIN n USING (user_id) GROUP BY user_id, label)
 SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY score DESC, label))::INT AS rank, label, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, label) <= 3""",
     "micro_metrics": f"WITH {_FIXED}, {_METRICS} SELECT sum(n_pred)::BIGINT AS n_pred, sum(n_true)::BIGINT AS n_true, sum(exact)::BIGINT AS exact, round(sum(exact) / sum(n_pred), 6)::DOUBLE AS precision, round(sum(exact) / sum(n_true), 6)::DOUBLE AS recall FROM j",
     "method_comparison": f"SELECT * FROM (WITH {_FIXED}, {_METRICS} {_SUM.format(m='fixed')}) UNION ALL SELECT * FROM (WITH {_PAGES}, {_METRICS} {_SUM.format(m='pages')})",
@@ -420,8 +428,12 @@ k AS (SELECT pdf_id, n, [(ps, -1)] AS preds, [(ts, -1)] AS trues, ps, pe, ts, te
     CASE WHEN list_contains(preds, (c.ps, -1)) OR list_contains(trues, (c.ts, -1)) THEN trues ELSE list_append(trues, (c.ts, -1)) END, c.ps, c.pe, c.ts, c.te, c.iou,
     NOT (list_contains(preds, (c.ps, -1)) OR list_contains(trues, (c.ts, -1))) FROM k JOIN c ON c.pdf_id = k.pdf_id AND c.n = k.n + 1)
 SELECT pdf_id, ps, pe, ts, te, round(iou, 6) AS iou FROM k WHERE taken""",
+    "missing_pages": f"""WITH {_TRUTH}, m AS (SELECT pdf_id, start_page, end_page + CASE start_page % 5 WHEN 0 THEN 2 WHEN 1 THEN -2 ELSE 0 END AS end_page FROM truth WHERE (start_page + pdf_id) % 3 != 0),
+h AS (SELECT DISTINCT pdf_id, unnest(range(start_page, end_page + 1)) AS page_num FROM m),
+p AS (SELECT pdf_id, page_num, h.page_num IS NULL AS open FROM packets LEFT JOIN h USING (pdf_id, page_num))
+SELECT pdf_id, coalesce(string_agg(page_num::VARCHAR, ',' ORDER BY page_num) FILTER (WHERE open), '') AS missing, round(100.0 * count(*) FILTER (WHERE NOT open) / count(*), 4)::DOUBLE AS percent FROM p GROUP BY 1""",
     "label_errors": f"""WITH {_TRUTH}, d AS (SELECT t.*, row_number() OVER (PARTITION BY t.pdf_id ORDER BY start_page) AS n, r.type, {_LABEL.replace('text', 'r.text')} AS label FROM truth t JOIN packets p ON p.pdf_id = t.pdf_id AND p.page_num = start_page JOIN rendered r USING (doc_id))
-SELECT type AS expected, label AS actual, count(*) AS n, type = label AS correct FROM d WHERE n <= 3 GROUP BY ALL""",
+SELECT type AS expected, label AS actual, count(*) AS n, type = label AS correct FROM d GROUP BY ALL""",
     "explained": f"WITH {_TRUTH} SELECT pdf_id, start_page AS page_num, 'Detected using pattern analysis' AS reason FROM truth",
     "fallback_types": f"""{_W}, {_LABELS} SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'letter' WHEN doc_id % 5 = 4 OR score = 0 THEN 'unknown' ELSE label END AS label,
   round(CASE WHEN doc_id % 6 = 0 THEN 0.9 WHEN doc_id % 5 = 4 THEN 0 ELSE least(score, 1) END, 6)::DOUBLE AS confidence, CASE WHEN doc_id % 6 = 0 THEN 'model' WHEN doc_id % 5 = 4 THEN 'none' ELSE 'rules' END AS method FROM best""",

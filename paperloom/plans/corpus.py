@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 KINDS = ("invoice", "rfi", "change_order", "email", "letter", "daily_report")
 
 
+def exact_sum(value: str) -> str:
+    """SQL of a sum of doubles that does not depend on their order, as functions.sums adds them."""
+    return f"round(sum(({value})::DECIMAL(38, 15)), 12)::DOUBLE"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session has cores, where its files have fewer splits; else as it is."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +44,7 @@ def _text() -> Column:
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pdf_id, type, party, created, amount, text: a document for each order."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    orders, customer = spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("o_orderkey") % len(KINDS) + 1).cast("int"))
     return joined.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 500).alias("pdf_id"), kind.alias("type"), F.col("c_name").alias("party"), F.to_date("o_orderdate").alias("created"), F.col("o_totalprice").alias("amount"), _text().alias("text"))

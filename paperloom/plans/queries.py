@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quality, replies
 from ..functions import text as T
 from ..operators import cascade, classify, context, evaluate, library, metadata, pagechain, parties, people, refined, segment, store, strategies
-from .corpus import PACKETS_SQL, RENDERED_SQL, packets, rendered, table
+from .corpus import PACKETS_SQL, RENDERED_SQL, exact_sum, packets, rendered, table
 
 AS_OF = "2024-06-30"
 
@@ -401,21 +401,21 @@ UNION ALL SELECT t.pdf_id, coalesce(last, -1) + 1, n_pages - 1 FROM totals t LEF
     "range_metrics": f"""WITH {_TRUTH}, b AS (SELECT pdf_id, ps, pe, max(iou) AS iou FROM met GROUP BY ALL),
 m AS (SELECT pdf_id, count(*) FILTER (WHERE iou = 1) AS exact, count(*) FILTER (WHERE iou > 0.5) AS partial FROM met GROUP BY pdf_id),
 n AS (SELECT coalesce(p.pdf_id, t.pdf_id) AS pdf_id, coalesce(p.n, 0) AS n_pred, coalesce(t.n, 0) AS n_true FROM (SELECT pdf_id, count(*) AS n FROM pred GROUP BY 1) p FULL JOIN (SELECT pdf_id, count(*) AS n FROM truth GROUP BY 1) t ON p.pdf_id = t.pdf_id),
-j AS (SELECT n.*, coalesce(exact, 0) AS exact, coalesce(partial, 0) AS partial, coalesce(s.iou, 0) AS iou FROM n LEFT JOIN m USING (pdf_id) LEFT JOIN (SELECT pdf_id, sum(iou) AS iou FROM b GROUP BY 1) s USING (pdf_id))
+j AS (SELECT n.*, coalesce(exact, 0) AS exact, coalesce(partial, 0) AS partial, coalesce(s.iou, 0) AS iou FROM n LEFT JOIN m USING (pdf_id) LEFT JOIN (SELECT pdf_id, {exact_sum('iou')} AS iou FROM b GROUP BY 1) s USING (pdf_id))
 SELECT pdf_id, n_pred, n_true, exact, n_true - exact AS missed, n_pred - exact AS extra, partial, round(coalesce(iou / nullif(n_pred, 0), 0), 4)::DOUBLE AS mean_iou,
   round(coalesce(2.0 * exact / nullif(n_pred + n_true, 0), 0), 6)::DOUBLE AS f1 FROM j""",
     "best_overlap": f"""WITH {_TRUTH}, k AS (SELECT *, row_number() OVER (PARTITION BY pdf_id, ts, te ORDER BY shared DESC, ps) AS n FROM met)
 SELECT t.pdf_id, t.start_page AS ts, t.end_page AS te, k.ps, k.pe, k.shared FROM truth t LEFT JOIN k ON t.pdf_id = k.pdf_id AND t.start_page = k.ts AND t.end_page = k.te AND k.n = 1""",
     "page_coverage": f"WITH {_TRUTH}, c AS (SELECT pdf_id, sum(end_page - start_page + 1)::BIGINT AS covered FROM kept_ranges GROUP BY 1) SELECT t.pdf_id, coalesce(covered, 0) AS covered, n_pages - coalesce(covered, 0) AS missing FROM totals t LEFT JOIN c USING (pdf_id)",
     "confusion": f"{_W} SELECT type AS expected, {_LABEL} AS actual, count(*) AS n FROM rendered GROUP BY ALL",
-    "boundary_votes": "WITH e AS (SELECT user_id AS pdf_id, event_id % 50 AS page_num, CASE WHEN event_type = 'error' THEN 1.0 ELSE 1.5 END::DOUBLE AS w, (((floor(value)::BIGINT % 100) + 100) % 100) / 100.0::DOUBLE AS c FROM events), m AS (SELECT pdf_id, page_num, sum(c * w) / sum(w) AS confidence FROM e GROUP BY ALL) SELECT pdf_id, page_num, round(confidence, 6) AS confidence FROM m WHERE confidence >= 0.5 OR page_num = 0",
+    "boundary_votes": f"WITH e AS (SELECT user_id AS pdf_id, event_id % 50 AS page_num, CASE WHEN event_type = 'error' THEN 1.0 ELSE 1.5 END::DOUBLE AS w, (((floor(value)::BIGINT % 100) + 100) % 100) / 100.0::DOUBLE AS c FROM events), m AS (SELECT pdf_id, page_num, {exact_sum('c * w')} / {exact_sum('w')} AS confidence FROM e GROUP BY ALL) SELECT pdf_id, page_num, round(confidence, 6) AS confidence FROM m WHERE confidence >= 0.5 OR page_num = 0",
     "majority_type": "WITH p AS (SELECT user_id, event_type AS label, count(*) AS votes, min(event_id) AS first_seen FROM events GROUP BY ALL) SELECT user_id, label, votes FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, first_seen) = 1",
     "adjacent_cosine": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1",
     "search_filtered": f"{_TOKENS}, m AS (SELECT doc_id FROM postings WHERE token IN ('payment', 'due') GROUP BY doc_id HAVING count(DISTINCT token) = 2) SELECT doc_id, type, created, amount FROM rendered WHERE type IN ('invoice', 'contract') AND created >= DATE '1995-01-01' AND amount >= 1000 AND doc_id IN (SELECT doc_id FROM m) AND doc_id NOT IN (SELECT doc_id FROM postings WHERE token = 'rfi') ORDER BY amount DESC, doc_id LIMIT 50",
     "search_fields": f"""{_TOKENS}, f AS (SELECT doc_id, type, regexp_split_to_array(lower(party), '[^\\p{{L}}\\p{{N}}]+') AS names FROM rendered)
 SELECT doc_id FROM f WHERE type = 'invoice' AND len(list_filter(names, lambda x: starts_with(x, '00000001'))) > 0 AND doc_id IN (SELECT doc_id FROM postings WHERE token = 'payment') OR type = 'contract' AND list_contains(names, 'customer')""",
     "token_index": f"{_TOKENS} SELECT token, count(*) AS df, sum(tf)::BIGINT AS tf FROM postings GROUP BY token",
-    "store_stats": f"{_W} SELECT count(*) AS n_docs, count(DISTINCT pdf_id) AS n_pdfs, round(sum(amount) / count(*), 2) AS mean_amount, min(created) AS first, max(created) AS last FROM rendered",
+    "store_stats": f"{_W} SELECT count(*) AS n_docs, count(DISTINCT pdf_id) AS n_pdfs, round({exact_sum('amount')} / count(*), 2) AS mean_amount, min(created) AS first, max(created) AS last FROM rendered",
     "facet_counts": f"{_W}, y AS (SELECT *, year(created)::VARCHAR AS year FROM rendered) SELECT CASE grouping(type, year) WHEN 1 THEN 'type' WHEN 2 THEN 'year' ELSE 'type_year' END AS facet, concat_ws('/', type, year) AS value, count(*) AS n FROM y GROUP BY GROUPING SETS ((type), (year), (type, year))",
     "upsert": f"{_W} SELECT CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE type END AS type, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END AS seq, count(*) AS n FROM rendered GROUP BY ALL",
     "bulk_delete": f"{_W} SELECT CASE doc_id % 5 WHEN 0 THEN 'deleted' ELSE 'Document not found' END AS outcome, count(*) AS n FROM rendered WHERE doc_id % 5 < 2 GROUP BY ALL",
@@ -434,7 +434,7 @@ s AS (SELECT doc_id, text,
   + CASE WHEN regexp_matches(text, '[A-Z][A-Z\s]{10,}') THEN 15 WHEN regexp_matches(text, '\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}|\$[\d,]+\.?\d*|\d+\.?\d*%') THEN 10 ELSE 0 END
   + CASE WHEN n = 0 THEN 0 WHEN g < 0.1 THEN 15 WHEN g < 0.3 THEN 10 WHEN g < 0.5 THEN 5 ELSE 0 END AS score FROM m)
 SELECT doc_id, score::INT AS score, CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 20 THEN 'UNUSABLE' WHEN score >= 85 THEN 'EXCELLENT' WHEN score >= 65 THEN 'GOOD' WHEN score >= 40 THEN 'POOR' ELSE 'UNUSABLE' END AS grade FROM s""",
-    "cascade_gates": f"""WITH {_TRUTH}, c AS (SELECT pdf_id, count(*) AS n, sum(CASE WHEN end_page > start_page THEN 0.8 ELSE 0.6 END::DOUBLE * (end_page - start_page + 1)) / sum(end_page - start_page + 1) AS mean FROM kept_ranges GROUP BY 1),
+    "cascade_gates": f"""WITH {_TRUTH}, c AS (SELECT pdf_id, count(*) AS n, {exact_sum('CASE WHEN end_page > start_page THEN 0.8 ELSE 0.6 END::DOUBLE * (end_page - start_page + 1)')} / sum(end_page - start_page + 1) AS mean FROM kept_ranges GROUP BY 1),
 b AS (SELECT pdf_id, count(*) FILTER (WHERE length(trim(text)) < 50) >= count(*) * 0.6 AS bare FROM packets WHERE page_num < 5 GROUP BY 1),
 j AS (SELECT t.pdf_id, n_pages::INT AS n_pages, coalesce(n, 0) AS n_docs, mean, coalesce(mean < 0.7, true) OR (n_pages >= 10 AND coalesce(n, 0) > n_pages / 1.5) AS odd, bare FROM totals t LEFT JOIN c USING (pdf_id) LEFT JOIN b USING (pdf_id)),
 k AS (SELECT *, n_pages >= 10 AND (odd OR bare) AS needs_visual FROM j)
