@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import col
+
 #: The control strings of the template. A turn is OPEN role MID text CLOSE.
 OPEN, MID, CLOSE = "<|turn>", "<|says|>", "<|end|>\n"
 #: Texts and roles must not hold what could be taken for control strings of this or other templates: the escape
@@ -147,8 +149,8 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     The one string of a conversation has to fit a task, as any row has to; no more than its turns meet there.
     """
     kind = turns.schema[conv].dataType.simpleString()
-    packed = turns.groupBy(F.col(conv).alias("conv__")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t")))).alias("turns__")
+    packed = turns.groupBy(col(conv).alias("conv__")).agg(
+        F.sort_array(F.collect_list(F.struct(col(turn).alias("n"), F.coalesce(col(role), F.lit("")).alias("r"), F.coalesce(col(text), F.lit("")).alias("t")))).alias("turns__")
     )
     visitor = visitor or PartVisitor()
     packed = packed.select("conv__", F.transform("turns__", lambda x: x.r).alias("roles"), F.transform("turns__", lambda x: x.t).alias("texts"))

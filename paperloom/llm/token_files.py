@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from . import flat
 from .bpe import byte_chars
 from .pretokens import PieceCache
+from .shared import col
 
 
 class ByteBPE:
@@ -85,7 +86,7 @@ def write_tokens(
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sorted_docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     sorted_docs = sorted_docs.withColumn("shard", F.spark_partition_id())

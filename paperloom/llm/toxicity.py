@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .shared import col
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, COMMA, INTENT = range(9)
 KINDS = 9
@@ -321,11 +322,12 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
-    """text, label of at most most_rows labelled, not held-out documents, those whose ids hash lowest."""
+    """text, label of at most most_rows labelled, not held-out documents, those whose ids hash lowest; of rows that share an id, that whose text hashes lowest."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("label"))
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     # most_rows pairs of an id and a label are the bound of what is broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("row")).select("row.text", "row.label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, least_texts: int = 4, least_share: float = 0.01, least_odds: float = 5.5) -> Model:
@@ -394,7 +396,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row, from its whole text alone; null and empty texts match nothing."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
+    slim = docs.select(col(doc_id).alias("doc_id"), held_out(col(doc_id)).alias("held_out"), col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -48,3 +48,24 @@ def test_every_code_point_as_the_library():
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     differ = [t for t, got, w in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), want, strict=True) if got.tolist() != w]
     assert not differ, (len(differ), differ[:3])
+
+
+def test_one_training_row_of_each_id(spark):
+    from paperloom.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"text {k % 3}") for i in range(20) for k in range(100)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20) for _ in range(3)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, 10).collect()
+    assert len(rows) == 10 and len({r.text for r in rows}) == 1
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    from paperloom.llm import chat, token_files, toxicity
+
+    docs = spark.createDataFrame([(1, "a `b`"), (2, None)], "`doc.id` long, `the text` string")
+    token_files.write_tokens(docs, str(tmp_path / "t"), tokenizer("byte_bpe_50k.json"), 2, doc_id="doc.id", text="the text")
+    assert token_files.read_tokens(spark, str(tmp_path / "t")).count() == 2
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(2 * len(toxicity.OUTCOMES) + 1))
+    assert [r.score for r in toxicity.score(docs, model, "doc.id", "the text").collect()] == [0.5, 0.5]
+    turns = spark.createDataFrame([(1, 0, "user", "x")], "`conv.id` long, `a.turn` long, `the role` string, `the text` string")
+    assert chat.format_conversations(turns, "conv.id", "a.turn", "the role", "the text").count() == 1
