@@ -32,7 +32,7 @@ from .pretokens import PieceCache
 from .shared import col, kept, map_columns
 from .token_files import ByteBPE
 
-BLOCK_BYTES, LANE_BYTES = 4 << 20, 1 << 12
+BLOCK_BYTES, LANE_BYTES = 2 << 20, 1 << 12
 #: A group of more pairs than this is counted by the distinct ids of both sides.
 WIDE = 1 << 12
 _Z = np.zeros(0, np.int64)
