@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import kept
-from ..operators import search
+from ..operators import search, vectors
 from .corpus import table
 
 FIELDS = ("lang", "source", "text")
@@ -36,7 +36,35 @@ def phrase_frequencies(spark, sf_dir):
     return met.groupBy("token").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (positional_search, phrase_frequencies)}
+def _asked(spark, sf_dir) -> DataFrame:
+    """The query set of vector searches: every vector whose id is divisible by 50, against all."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+
+
+def vector_search(spark, sf_dir):
+    """Ten nearest vectors by 14 of 32 cells: approximate."""
+    index = vectors.build(table(spark, sf_dir, "embeddings"), 32)
+    return vectors.search(index, _asked(spark, sf_dir), 10, 14).withColumn("score", F.round("score", 6))
+
+
+def vector_neighbours(spark, sf_dir):
+    """Ten nearest vectors, exactly: cells that cannot hold a nearer one are left out."""
+    index = vectors.build(table(spark, sf_dir, "embeddings"), 32)
+    return vectors.search(index, _asked(spark, sf_dir), 10, 4, exact=True).withColumn("score", F.round("score", 6))
+
+
+def hybrid_search(spark, sf_dir):
+    """Documents like a vector and like the first eight words of its text: both scores, weighted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = vectors.build(table(spark, sf_dir, "embeddings"), 32)
+    asked = _asked(spark, sf_dir)
+    words = docs.join(asked.select(F.col("vec_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("query"), F.slice(F.filter(search.tokens_of("text"), lambda w: w != ""), 1, 8).alias("words"))
+    shares = vectors.token_scores(search.postings(docs), words)
+    out = vectors.hybrid(vectors.search(index, asked, 50, 4, exact=True), shares, 10)
+    return out.withColumn("score", F.round("score", 6))
+
+
+QUERIES = {f.__name__: f for f in (positional_search, phrase_frequencies, vector_search, vector_neighbours, hybrid_search)}
 
 _D = r"""d AS (SELECT doc_id, lang, source, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x != '') AS w FROM documents),
 s AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d),
@@ -47,6 +75,10 @@ def _near(a: str, b: str, gap: int) -> str:
     return f"doc_id IN (SELECT x.doc_id FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.token = '{a}' AND y.token = '{b}' AND abs(x.at - y.at) <= {gap + 1})"
 
 
+_COSINES = """x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+c AS (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank
+  FROM (SELECT a.vec_id AS query, b.vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM x a JOIN x b ON a.vec_id % 50 = 0))"""
 _TESTS = (
     "contains(s, ' de la ')", _near("le", "la", 3), "contains(s, ' reau')", "lang = 'fr' AND contains(s, ' que le ') AND NOT contains(s, ' des ')", "contains(s, ' in the ') OR (source = 'src1' AND contains(s, ' des '))",
     "contains(s, ' of th') AND lang != 'es' AND NOT contains(s, ' and the ')", _near("un", "pas", 1) + " AND contains(s, ' que ')", "lang = 'de' OR contains(s, ' 10 30 ')",
@@ -54,4 +86,11 @@ _TESTS = (
 ORACLE_SQL = {
     "positional_search": f"WITH {_D} SELECT query, doc_id, true AS by_index, true AS by_row FROM (" + " UNION ALL ".join(f"SELECT {i}::INT AS query, doc_id FROM s WHERE {t}" for i, t in enumerate(_TESTS)) + ")",
     "phrase_frequencies": f"WITH {_D} SELECT y.token, count(DISTINCT x.doc_id) AS n_docs, count(*) AS n FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.token = 'de' AND y.at = x.at + 1 GROUP BY 1",
+    "vector_neighbours": f"""WITH {_COSINES} SELECT query, rank::INT AS rank, vec_id, round(score, 6) AS score FROM c WHERE rank <= 10""",
+    "hybrid_search": f"""WITH {_COSINES}, {_D},
+q AS (SELECT DISTINCT doc_id AS query, unnest(w[1:8]) AS token FROM d WHERE doc_id IN (SELECT query FROM c)),
+n AS (SELECT query, count(*) AS n FROM q GROUP BY 1), t AS (SELECT DISTINCT doc_id, token FROM p),
+h AS (SELECT query, doc_id, count(*) / any_value(n) * 0.4 AS part FROM q JOIN t USING (token) JOIN n USING (query) GROUP BY ALL),
+u AS (SELECT query, doc_id, round(sum(part), 9) AS score FROM (SELECT query, vec_id AS doc_id, score * 0.6 AS part FROM c WHERE rank <= 50 UNION ALL SELECT * FROM h) GROUP BY ALL)
+SELECT query, (row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id))::INT AS rank, doc_id, round(score, 6) AS score FROM u QUALIFY rank <= 10""",
 }
