@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store
+from . import snapshots, store
 from .search import DELTA_PACKED
 
+#: Writer options of documents: a look-up by id asks each file's bloom filter, and reads the pages of one id of those that may have it.
+BY_ID = {"parquet.bloom.filter.enabled#doc_id": "true", "parquet.page.row.count.limit": "2000"}
 # The document types, in order.
 TYPES = (
     "email", "rfi", "rfp", "change_order", "submittal", "invoice", "contract", "drawing", "specification", "meeting_minutes", "daily_report", "letter", "memorandum",
@@ -85,21 +87,29 @@ def file_sizes(spark: SparkSession, **folders: str) -> DataFrame:
     return empty.join(sums, "kind", "left").na.fill(0)
 
 
-def save(docs: DataFrame, pages: DataFrame, edges: DataFrame, path: str) -> None:
-    """Documents (by type), pages and edges (whose ends exist, each once) and the token index, as tables below path.
+def save(docs: DataFrame, pages: DataFrame, edges: DataFrame, path: str, keep: int = 2) -> str:
+    """Documents (by type, each type's files sorted by id), pages and edges (whose ends exist, each once) and the positional index as a new version of the store at path.
 
-    Edges and the index are read off the documents as written, so a retry after a failure gives the same tables.
+    Edges and the index are read off the documents as written. Readers see the version before until all four tables are there; a failure leaves it as it is.
+    Returns the version's name; the last `keep` versions stay.
     """
-    docs.write.mode("overwrite").partitionBy("type").parquet(f"{path}/documents")
-    written = docs.sparkSession.read.parquet(f"{path}/documents")
-    pages.join(written.select("doc_id"), "doc_id", "left_semi").write.mode("overwrite").parquet(f"{path}/pages")
-    store.related(edges, written).write.mode("overwrite").parquet(f"{path}/edges")
-    store.postings(written).write.options(**DELTA_PACKED).mode("overwrite").parquet(f"{path}/postings")
+    tables = {
+        "documents": snapshots.Table(lambda done: docs.sortWithinPartitions("type", "doc_id"), ("type",), BY_ID),
+        "pages": snapshots.Table(lambda done: pages.join(done["documents"].select("doc_id"), "doc_id", "left_semi")),
+        "edges": snapshots.Table(lambda done: store.related(edges, done["documents"])),
+        "postings": snapshots.Table(lambda done: store.postings(done["documents"]), options=DELTA_PACKED),
+    }
+    return snapshots.publish(docs.sparkSession, path, tables, keep)
 
 
-def saved(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a saved store, by name."""
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("documents", "pages", "edges", "postings")}
+def saved(spark: SparkSession, path: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a saved store's present version, or of one that is kept, by name."""
+    return snapshots.tables(spark, path, version)
+
+
+def reindex(spark: SparkSession, path: str) -> str:
+    """Makes the index of a store anew from its documents; the version before stays as a backup (`snapshots.restore`)."""
+    return snapshots.rebuild(spark, path, "postings", lambda done: store.postings(done["documents"]), **DELTA_PACKED)
 
 
 def remove(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sums import steady_sum
+from . import snapshots
 
 
 def grouped_references(flat: Column) -> Column:
@@ -78,3 +79,15 @@ def cached(pages: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
 def cache_stats(cache: DataFrame) -> DataFrame:
     """One row: items and bytes of text in the cache."""
     return cache.agg(F.count_distinct("cache_key").alias("items"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+
+
+def clear_cache(spark: SparkSession, path: str, before: str | None = None) -> int:
+    """Clears the reading cache at path (a store with a table `cache` of cache_key, text and read_at): all of it, or what was read before a time.
+
+    Returns how many rows went. What is left becomes a new version of the store, so readers of the old one are not disturbed.
+    """
+    cache = snapshots.tables(spark, path)["cache"]
+    stays = cache.where("false") if before is None else cache.where(F.col("read_at") >= F.lit(before).cast("timestamp"))
+    had = cache.count()
+    snapshots.publish(spark, path, {"cache": stays}, keep=1)
+    return had - snapshots.tables(spark, path)["cache"].count()
