@@ -45,25 +45,40 @@ KEYWORDS = (
 )
 
 
-def _all(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), group)
+#: For each reference family, words of which a text with such a reference holds one, in lower case.
+SIGNS = {
+    "RFI": ("rfi",), "Change Order": ("change", "co"), "Invoice": ("invoice",), "Project": ("project",), "Contract": ("contract",), "Submittal": ("submittal",), "Payment Application": ("pay",),
+    "ASI": ("asi",), "RFP": ("rfp",), "PCO": ("pco",),
+}
+_MONTH_SIGNS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
-def _dates(text: Column, pattern: str, year: int, month: int, day: int, named: bool = False) -> Column:
-    """The text is searched once; year, month and day come from each match."""
+def _holds(low: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
 
-    def one(match: Column) -> Column:
-        part = lambda k: F.regexp_extract(match, pattern, k)
-        m = F.initcap(F.substring(part(month), 1, 3)) if named else F.lpad(part(month), 2, "0")
-        spelled = F.concat_ws("-", part(year), m, F.lpad(part(day), 2, "0"))
-        return F.try_to_date(spelled, "yyyy-MMM-dd" if named else "yyyy-MM-dd")
 
-    return F.transform(_all(text, pattern, 0), one)
+def _all(text: Column, pattern: str, group: int, low: Column | None = None, signs: tuple[str, ...] = ()) -> Column:
+    """All matches; given the text in lower case, only texts with one of the signs are searched."""
+    found = F.regexp_extract_all(text, F.lit(pattern), group)
+    return found if low is None else F.when(_holds(low, signs), found).otherwise(F.array().cast("array<string>"))
 
 
-def dates(text: Column) -> Column:
-    """All valid dates of a text, ascending and distinct; no date is guessed from an impossible one."""
-    every = F.concat(_dates(text, US_DATE, 3, 1, 2), _dates(text, ISO_DATE, 1, 2, 3), _dates(text, TEXT_DATE, 3, 1, 2, True), _dates(text, EURO_DATE, 3, 2, 1, True))
+def _dates(found: Column, year: int, month: int, day: int, named: bool = False) -> Column:
+    """Dates of matches, which hold year, month and day between signs."""
+
+    def one(parts: Column) -> Column:
+        m = F.initcap(F.substring(parts[month], 1, 3)) if named else F.lpad(parts[month], 2, "0")
+        d = F.regexp_extract(parts[day], r"^\d+", 0) if named else parts[day]
+        return F.try_to_date(F.concat_ws("-", parts[year], m, F.lpad(d, 2, "0")), "yyyy-MMM-dd" if named else "yyyy-MM-dd")
+
+    return F.transform(F.transform(found, lambda match: F.split(match, r"[^A-Za-z0-9]+")), one)
+
+
+def dates(text: Column, low: Column | None = None) -> Column:
+    """All valid dates of a text, ascending and distinct; no date is guessed from an impossible one. low: the text in lower case, where there is one."""
+    us, iso = _all(text, US_DATE, 0, low, ("/", "-")), _all(text, ISO_DATE, 0, low, ("-",))
+    long, euro = _all(text, TEXT_DATE, 0, low, _MONTH_SIGNS), _all(text, EURO_DATE, 0, low, _MONTH_SIGNS)
+    every = F.concat(_dates(us, 2, 0, 1), _dates(iso, 0, 1, 2), _dates(long, 2, 0, 1, True), _dates(euro, 2, 1, 0, True))
     return F.array_sort(F.array_distinct(F.array_compact(every)))
 
 
@@ -72,9 +87,9 @@ def plausible(found: Column, as_of: Column) -> Column:
     return F.filter(found, lambda d: (F.year(d) >= 1990) & (F.year(d) <= F.year(as_of) + 5))
 
 
-def references(text: Column) -> Column:
+def references(text: Column, low: Column | None = None) -> Column:
     """Map from family to its distinct numbers in order of appearance; families without any are left out."""
-    entries = F.array(*(F.struct(F.lit(k).alias("key"), F.array_distinct(_all(text, p, 1)).alias("value")) for k, p in REFERENCES.items()))
+    entries = F.array(*(F.struct(F.lit(k).alias("key"), F.array_distinct(_all(text, p, 1, low, SIGNS[k])).alias("value")) for k, p in REFERENCES.items()))
     return F.map_from_entries(F.filter(entries, lambda e: F.size(e["value"]) > 0))
 
 
@@ -86,10 +101,10 @@ def flat_references(refs: Column) -> Column:
     return F.flatten(F.transform(F.map_entries(refs), one))
 
 
-def written_amounts(text: Column) -> Column:
+def written_amounts(text: Column, low: Column | None = None) -> Column:
     """Amounts in words before "dollars": a million with one or two, a thousand with a hundred or fifty; others are unknown."""
     words = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
-    found = _all(F.lower(text), rf"\b((?:(?:{words})\s*)++)(?<=\s)dollars?\b", 1)
+    found = _all(F.lower(text) if low is None else low, rf"\b((?:(?:{words})\s*)++)(?<=\s)dollars?\b", 1, low, ("dollar",))
     has = F.contains
 
     def value(s: Column) -> Column:
@@ -100,35 +115,35 @@ def written_amounts(text: Column) -> Column:
     return F.array_compact(F.transform(found, value))
 
 
-def amounts(text: Column) -> Column:
+def amounts(text: Column, low: Column | None = None) -> Column:
     """Distinct positive amounts in digits or words, descending."""
-    found = F.concat(_all(text, DOLLARS, 1), _all(text, USD, 1))
+    found = F.concat(_all(text, DOLLARS, 1, low, ("$",)), _all(text, USD, 1, low, ("usd",)))
     numbers = F.filter(F.transform(found, lambda s: F.replace(s, F.lit(","), F.lit("")).cast("double")), lambda a: a > 0)
-    return F.reverse(F.array_sort(F.array_distinct(F.concat(numbers, written_amounts(text)))))
+    return F.reverse(F.array_sort(F.array_distinct(F.concat(numbers, written_amounts(text, low)))))
 
 
-def emails(text: Column) -> Column:
-    return F.array_distinct(_all(text, EMAIL, 1))
+def emails(text: Column, low: Column | None = None) -> Column:
+    return F.array_distinct(_all(text, EMAIL, 1, low, ("@",)))
 
 
-def role_parties(text: Column) -> Column:
+def role_parties(text: Column, low: Column | None = None) -> Column:
     """(role, name) of labelled lines, by role and then by place. No name can hold another label, so one search finds all."""
     name = r"\s*([A-Z][A-Za-z\s&.,]+?)(?:\n|$)"
-    lines = _all(text, rf"(?m)\b(?:{'|'.join(ROLES)}):{name}", 0)
+    found = _all(text, rf"(?m)\b(?:{'|'.join(ROLES)}):{name}", 0, low, tuple(f"{r.lower()}:" for r in ROLES))
 
-    def one(role: str) -> Column:
+    def one(role: str, lines: Column) -> Column:
         own = F.filter(lines, lambda x: F.startswith(x, F.lit(f"{role}:")))
         return F.transform(own, lambda x: F.struct(F.lit(role.lower()).alias("role"), F.rtrim(F.regexp_extract(x, rf"(?m):{name}", 1)).alias("name")))
 
-    return F.concat(*map(one, ROLES))
+    return let(found, lambda lines: F.concat(*(one(role, lines) for role in ROLES)))
 
 
-def keywords(text: Column, words: tuple[str, ...] = KEYWORDS) -> Column:
+def keywords(text: Column, words: tuple[str, ...] = KEYWORDS, low: Column | None = None) -> Column:
     """The words that a text holds, in any case, in their order. Callers add words of their own field to KEYWORDS."""
-    return let(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(k.lower())), F.lit(k)) for k in words))))
+    return let(F.lower(text) if low is None else low, lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(k.lower())), F.lit(k)) for k in words))))
 
 
-def document_date(text: Column, found: Column) -> Column:
+def document_date(text: Column, found: Column, low: Column | None = None) -> Column:
     """The earliest date with a date sign in the 50 characters before its first mention, else the latest."""
 
     def signed(d: Column, low: Column) -> Column:
@@ -137,7 +152,11 @@ def document_date(text: Column, found: Column) -> Column:
         before = F.substring(low, F.greatest(F.lit(1), at - 50), F.least(F.lit(50), F.greatest(at - 1, F.lit(0))))
         return (at > 0) & reduce(lambda a, b: a | b, (F.contains(before, F.lit(s)) for s in DATE_SIGNS))
 
-    return let(F.lower(text), lambda low: F.coalesce(F.get(F.filter(found, lambda d: signed(d, low)), F.lit(0)), F.array_max(found)))
+    def of(low: Column) -> Column:
+        # the dates of a text without a sign are not looked for again
+        return F.coalesce(F.when(_holds(low, DATE_SIGNS), F.get(F.filter(found, lambda d: signed(d, low)), F.lit(0))), F.array_max(found))
+
+    return let(F.lower(text), of) if low is None else of(low)
 
 
 def project_name(text: Column) -> Column:
@@ -156,12 +175,19 @@ def subject(text: Column, kind: Column, refs: Column) -> Column:
 
 
 def extract(docs: DataFrame, as_of: Column, words: tuple[str, ...] = KEYWORDS) -> DataFrame:
-    """docs(text, type) with a metadata struct; one projection, no shuffle."""
-    text = F.coalesce("text", F.lit(""))
-    staged = docs.withColumns({"dates": plausible(dates(text), as_of), "refs": references(text)})
-    meta = F.struct(
-        subject(text, F.col("type"), F.col("refs")).alias("title"), document_date(text, F.col("dates")).alias("date"), emails(text).alias("emails"), role_parties(text).alias("parties"),
-        flat_references(F.col("refs")).alias("reference_numbers"), amounts(text).alias("amounts"), keywords(text, words).alias("keywords"),
-        F.get(F.try_element_at(F.col("refs"), F.lit("Project")), F.lit(0)).alias("project_number"), project_name(text).alias("project_name"),
-    )
-    return staged.withColumn("metadata", meta).drop("dates", "refs")
+    """docs(text, type) with a metadata struct; projections alone, no shuffle.
+
+    Texts are lower-cased once, and patterns run only over texts that hold a sign of what they look for. Fields are columns until the
+    last step, so those that nobody reads are not computed.
+    """
+    text, low = F.coalesce("text", F.lit("")), F.col("low__")
+    staged = docs.withColumn("low__", F.lower(text))
+    staged = staged.withColumns({"dates__": plausible(dates(text, low), as_of), "refs__": references(text, low)})
+    fields = {
+        "title": subject(text, F.col("type"), F.col("refs__")), "date": document_date(text, F.col("dates__"), low), "emails": emails(text, low), "parties": role_parties(text, low),
+        "reference_numbers": flat_references(F.col("refs__")), "amounts": amounts(text, low), "keywords": keywords(text, words, low),
+        "project_number": F.get(F.try_element_at(F.col("refs__"), F.lit("Project")), F.lit(0)), "project_name": F.when(_holds(low, ("project", "re:")), project_name(text)),
+    }
+    apart = staged.withColumns({f"{k}__": v for k, v in fields.items()})
+    meta = F.struct(*(F.col(f"{k}__").alias(k) for k in fields))
+    return apart.withColumn("metadata", meta).drop("low__", "dates__", "refs__", *(f"{k}__" for k in fields))
