@@ -115,9 +115,12 @@ def best_reading(readings: Column) -> Column:
     return F.when(first["confidence"] > 0.9, F.struct(first["text"].alias("text"), first["confidence"].alias("confidence"))).otherwise(F.struct(best["text"].alias("text"), best["confidence"].alias("confidence")))
 
 
-def page_words(words: DataFrame) -> DataFrame:
-    """(page_id, text, confidence) of recognised words (page_id, ord, text, conf 0 to 100); layout rows have no positive conf."""
-    real = (F.col("conf") > 0) & (strip(F.col("text")) != "")
+def page_words(words: DataFrame, over: float = 0) -> DataFrame:
+    """(page_id, text, confidence) of recognised words (page_id, ord, text, conf 0 to 100); layout rows have no positive conf.
+
+    over: words of this confidence and less are left out; readers of other make than the first are taken over 30.
+    """
+    real = (F.col("conf") > over) & (strip(F.col("text")) != "")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(real, F.struct("ord", "text")))), lambda w: w["text"]), " ")
     return words.groupBy("page_id").agg(text.alias("text"), F.coalesce(F.avg(F.when(real, F.col("conf"))) / 100, F.lit(0.0)).alias("confidence"))
 

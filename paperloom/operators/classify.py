@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quality import let
 from ..functions.sums import steady_sum
 
 # Markers of the ordered keyword classifier, and the phrase lists of the scorer.
@@ -28,6 +29,12 @@ PHRASES = {
     "letter": ("letterhead", "correspondence", "formal letter", "official communication"),
     "meeting_minutes": ("meeting minutes", "attendees", "agenda", "action items", "discussed", "meeting notes", "decisions made"),
 }
+# What counts as a mention of a reference (type, a sign of it in lower case, pattern), and shapes of dates.
+REFERENCE_MENTIONS = (
+    ("rfi", "rfi", r"(?i)\brfi\s*#?\s*(\d+)"), ("change_order", "", r"(?i)\b(?:co|change\s*order)\s*#?\s*(\d+)"), ("invoice", "invoice", r"(?i)\binvoice\s*#?\s*(\d+)"),
+    ("contract", "contract", r"(?i)\bcontract\s*#?\s*(\d+)"),
+)
+DATE_SHAPES = (r"\d{1,2}/\d{1,2}/\d{2,4}", r"\d{1,2}-\d{1,2}-\d{2,4}", r"\b\w+\s+\d{1,2},?\s+\d{4}\b")
 FRACTION_WORDS = {
     "email": ("from:", "to:", "subject:", "sent:", "@", "email", "dear", "sincerely", "regards"),
     "rfi": ("request for information", "rfi", "clarification", "please provide", "response required"),
@@ -80,16 +87,23 @@ def fraction_classifier(docs: DataFrame) -> DataFrame:
     return out.withColumns({"label": best[0]["label"], "confidence": F.least(best[0]["score"] * 2, F.lit(1.0)), "alternatives": F.slice(F.filter(best, lambda e: e["score"] > 0), 1, 3)}).drop("ranked__")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """docs with text_length, word_count and the structural flags of the scorer."""
-    text = F.coalesce("text", F.lit(""))
-    low = F.lower(text)
-    return docs.withColumns({
+def features(docs: DataFrame, n_references: int = 10, n_phrases: int = 20) -> DataFrame:
+    """docs with text_length, word_count, the structural flags of the scorer, reference_numbers (`<type>_<number>`) and key_phrases, the first of each."""
+    text, low = F.coalesce("text", F.lit("")), F.col("low__")
+    numbers = [F.transform(F.when(F.contains(low, F.lit(sign)), F.regexp_extract_all(text, F.lit(p), 1)).otherwise(F.array().cast("array<string>")), _prefixed(kind)) for kind, sign, p in REFERENCE_MENTIONS]
+    words = [F.filter(F.array(*map(F.lit, group)), lambda w: F.contains(low, w)) for group in PHRASES.values()]
+    return _lowered(docs).withColumns({
+        "has_dates": reduce(lambda a, b: a | b, (text.rlike(p) for p in DATE_SHAPES)),
+        "reference_numbers": F.slice(F.concat(*numbers), 1, n_references), "key_phrases": F.slice(F.concat(*words), 1, n_phrases),
         "text_length": F.char_length(text), "word_count": F.regexp_count(text, F.lit(r"\S+")), "has_numbers": text.rlike(r"\d"),
         "has_amounts": text.rlike(r"\$\s*\d"), "has_signature": _any(low, ("signature", "signed", "authorized by", "approved by")),
         "has_forms": _any(low, ("form", "application", "check one", "☐", "□", "yes/no")),
         "has_tables": _any(low, ("table", "|", "\t\t", "column", "row")) | (F.regexp_count(text, F.lit("\n")) > 10),
-    })
+    }).drop("low__")
+
+
+def _prefixed(kind: str):
+    return lambda n: F.concat(F.lit(f"{kind}_"), n)
 
 
 def phrase_scores(text: Column, low: Column) -> dict[str, Column]:
@@ -117,14 +131,37 @@ def phrase_classifier(docs: DataFrame, min_confidence: float = 0.0) -> DataFrame
     return out.withColumns({"label": F.when(sure, best["label"]).otherwise(F.lit("unknown")), "confidence": F.when(sure, F.least(best["score"], F.lit(1.0))).otherwise(F.lit(0.0))}).drop("ranked__")
 
 
+def merged_alternatives(ai: Column, rules: Column, most: int = 3) -> Column:
+    """The `most` best of two arrays of struct(score, label): a label's score is 0.6 of the model's and 0.4 of the rules'; equal ones (to 9 digits) go to the model's, then in order."""
+
+    def weighted(found: Column, weight: float, after: int) -> Column:
+        empty = F.array().cast("array<struct<label:string,score:double,place:int>>")
+        parts = F.transform(found, lambda e, i: F.struct(e["label"].alias("label"), (e["score"] * weight).alias("score"), (i + after).cast("int").alias("place")))
+        return F.coalesce(parts.cast("array<struct<label:string,score:double,place:int>>"), empty)
+
+    def of_label(every: Column, label: Column) -> Column:
+        own = F.filter(every, lambda e: e["label"] == label)
+        return F.struct((-F.round(F.aggregate(own, F.lit(0.0), lambda n, e: n + e["score"]), 9)).alias("minus"), F.array_min(F.transform(own, lambda e: e["place"])).alias("place"), label.alias("label"))
+
+    def best(every: Column) -> Column:
+        labels = F.array_distinct(F.transform(every, lambda e: e["label"]))
+        return F.slice(F.array_sort(F.transform(labels, lambda x: of_label(every, x))), 1, most)
+
+    ranked = let(F.concat(weighted(ai, 0.6, 0), weighted(rules, 0.4, 1_000)), best)
+    return F.transform(ranked, lambda e: F.struct((-e["minus"]).alias("score"), e["label"].alias("label")))
+
+
 def ensemble(both: DataFrame) -> DataFrame:
-    """From rule_label, rule_conf, ai_label, ai_conf: label and confidence by the agreement rules."""
-    agree = F.col("rule_label") == F.col("ai_label")
-    rule, ai = (F.col("rule_conf") > 0.7) & (F.col("ai_conf") < 0.6), F.col("ai_conf") > 0.8
-    mixed_rule, mixed_ai = F.col("rule_conf") * 0.3, F.col("ai_conf") * 0.7
-    label = F.when(agree, F.col("ai_label")).when(rule, F.col("rule_label")).when(ai, F.col("ai_label")).when(mixed_ai >= mixed_rule, F.col("ai_label")).otherwise(F.col("rule_label"))
-    conf = F.when(agree, F.least(F.greatest("rule_conf", "ai_conf") * 1.2, F.lit(1.0))).when(rule, F.col("rule_conf") * 0.9).when(ai, F.col("ai_conf") * 0.9).otherwise(F.greatest(mixed_ai, mixed_rule))
-    return both.withColumns({"label": label, "confidence": conf})
+    """From rule_label, rule_conf, ai_label, ai_conf: label and confidence by the agreement rules; with rule_alternatives and ai_alternatives, alternatives too."""
+    agree, rule_conf, ai_conf = F.col("rule_label") == F.col("ai_label"), F.col("rule_conf"), F.col("ai_conf")
+    rule, ai, more = (rule_conf > 0.7) & (ai_conf < 0.6), ai_conf > 0.8, ai_conf >= rule_conf
+    mixed = F.when(more, ai_conf * 0.7 + rule_conf * 0.3).otherwise(rule_conf * 0.7 + ai_conf * 0.3)
+    label = F.when(agree | (~rule & (ai | more)), F.col("ai_label")).otherwise(F.col("rule_label"))
+    conf = F.when(agree, F.least(ai_conf * 1.2, F.lit(1.0))).when(rule, rule_conf * 0.9).when(ai, ai_conf * 0.9).otherwise(mixed)
+    out = both.withColumns({"label": label, "confidence": conf})
+    if {"rule_alternatives", "ai_alternatives"} <= set(both.columns):
+        out = out.withColumn("alternatives", merged_alternatives(F.col("ai_alternatives"), F.col("rule_alternatives")))
+    return out
 
 
 def fallback(docs: DataFrame, model_label: Column, model_confidence: Column) -> DataFrame:
@@ -146,7 +183,7 @@ def first_signs(text: Column, n_references: int = 10, n_phrases: int = 20) -> Co
     """struct(references, phrases): the first n_references reference mentions and n_phrases listed phrases of a text."""
     refs = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:rfi|invoice|contract|submittal|change order)\s*#?\s*\d+"), 0)
     words = list(dict.fromkeys(w for group in PHRASES.values() for w in group))
-    found = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w))
+    found = let(F.lower(text), lambda low: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)))
     return F.struct(F.slice(refs, 1, n_references).alias("references"), F.slice(found, 1, n_phrases).alias("phrases"))
 
 

@@ -54,6 +54,23 @@ def best_overlap(truth: DataFrame, pred: DataFrame) -> DataFrame:
     return t.join(best, ["pdf_id", "ts", "te"], "left").select("pdf_id", "ts", "te", "b.ps", "b.pe", "b.shared")
 
 
+def close_matches(truth: DataFrame, pred: DataFrame, over: float = 0.8) -> DataFrame:
+    """Per PDF: n_true, n_pred, hits (true ranges of which the best predicted one shares more than `over` of the longer of both), false_positives, precision, recall, f1.
+
+    Of equally good predictions the earlier is the best; a prediction that is the best of several counts as one.
+    """
+    longer = F.greatest(F.col("pe") - F.col("ps"), F.col("te") - F.col("ts")) + 1
+    share = F.col("shared") / longer
+    best = overlaps(pred, truth).groupBy("pdf_id", "ts", "te").agg(F.max(F.struct(share.alias("share"), (-F.col("ps")).alias("minus"), (-F.col("pe")).alias("last"))).alias("b"))
+    hit = best.where(F.col("b.share") > over).groupBy("pdf_id").agg(F.count("*").alias("hits"), F.count_distinct("b.minus", "b.last").alias("used"))
+    n = [t.groupBy("pdf_id").agg(F.count("*").alias(name)) for t, name in ((truth, "n_true"), (pred, "n_pred"))]
+    out = n[0].join(n[1], "pdf_id", "full").join(hit, "pdf_id", "left").na.fill(0)
+    out = out.withColumn("false_positives", F.col("n_pred") - F.col("used"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    p, r = ratio(F.col("hits"), F.col("hits") + F.col("false_positives")), ratio(F.col("hits"), F.col("n_true"))
+    return out.select("pdf_id", "n_true", "n_pred", "hits", "false_positives", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
+
+
 def coverage(ranges: DataFrame, totals: DataFrame) -> DataFrame:
     """(pdf_id, covered, missing): pages that ranges hold. A range that ends before it starts holds none."""
     held = ranges.where("start_page <= end_page").select("pdf_id", F.explode(F.sequence("start_page", "end_page")).alias("page")).groupBy("pdf_id").agg(F.count_distinct("page").alias("covered"))

@@ -185,28 +185,33 @@ GOES_ON = (r"CONTINUATION\s+SHEET", r"Page\s+\d+\s+of\s+\d+", "Continued from pr
 SUBJECT_LINE = r"(?i)Subject:\s*(.+?)(?:\n|$)"
 
 
-def strong_starts(pages: DataFrame, form: Column) -> DataFrame:
+def strong_starts(pages: DataFrame, form: Column, start: Column | None = None) -> DataFrame:
     """(pdf_id, page_num, is_strong): a mail's time stamp after a page without one, a form after a mail, or a jump in the amount of text.
 
-    form: whether a page's text begins a form. Pages are reduced to facts first, so that texts do not pass through the window.
+    form: whether a page's text begins a form; start, given, is kept beside it as is_start. Pages are reduced to facts first, so that texts do not
+    pass through the window.
     """
+    kept = [start.alias("is_start")] if start is not None else []
     text = F.coalesce("text", F.lit(""))
     head = F.substring(text, 1, 500)
     mail = reduce(lambda a, b: a | b, (F.contains(head, F.lit(m)) for m in MAIL_FIELDS))
     facts = F.struct(F.char_length(strip(text)).alias("n"), head.rlike(TIME_STAMP).alias("stamp"), mail.alias("mail"), form.alias("form"))
-    seen = pages.select("pdf_id", "page_num", facts.alias("c"))
+    seen = pages.select("pdf_id", "page_num", facts.alias("c"), *kept)
     p, c = F.lag("c").over(Window.partitionBy("pdf_id").orderBy("page_num")), F.col("c")
     seen = seen.withColumn("p", p)
     p = F.col("p")
     jump = (p["n"] > 50) & (((p["n"] > 1000) & (c["n"] < 200)) | ((p["n"] < 200) & (c["n"] > 1000)))
     strong = (c["stamp"] & ~p["stamp"]) | (p["mail"] & c["form"]) | jump
-    return seen.select("pdf_id", "page_num", (p.isNotNull() & strong).alias("is_strong"))
+    return seen.select("pdf_id", "page_num", (p.isNotNull() & strong).alias("is_strong"), *["is_start"] * len(kept))
 
 
-def driven(starts: DataFrame, strong: DataFrame) -> DataFrame:
-    """Ranges of a detector: a page that starts a document, or has a strong sign of one, ends the document before."""
-    both = starts.select("pdf_id", "page_num", "is_start").join(strong, ["pdf_id", "page_num"])
-    return islands(both.withColumn("is_start", F.col("is_start") | F.col("is_strong")))
+def driven(pages: DataFrame, start: Column, form: Column) -> DataFrame:
+    """Ranges of a detector: a page that starts a document, or has a strong sign of one, ends the document before.
+
+    Texts are read once, for both facts, and pages of a PDF are sorted once, for both windows.
+    """
+    seen = strong_starts(pages, form, start)
+    return islands(seen.withColumn("is_start", F.col("is_start") | F.col("is_strong")))
 
 
 def pair_flags(ranges: DataFrame, pages: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.tables import fresh_path
 from ..operators import cascade, catalog, classify, context, evaluate, library, pagechain, segment, store
 from .corpus import PACKETS_SQL, RENDERED_SQL, exact_sum, packets, rendered, table
-from .queries import AS_OF, segment_pages
+from .queries import _FRACTIONS, AS_OF, segment_pages
 
 LOOKED_UP, SOURCE = 12, 7
 
@@ -150,8 +150,7 @@ def strong_starts(spark, sf_dir):
 
 def driven_ranges(spark, sf_dir):
     pages = _mixed_pages(spark, sf_dir)
-    starts = pages.withColumn("is_start", segment.page_start(F.col("text"), F.col("page_num")))
-    return segment.driven(starts, segment.strong_starts(pages, pagechain.form_start(F.col("text"))))
+    return segment.driven(pages, segment.page_start(F.col("text"), F.col("page_num")), pagechain.form_start(F.col("text")))
 
 
 def joined_pairs(spark, sf_dir):
@@ -210,6 +209,27 @@ def contested_matches(spark, sf_dir):
     return out.withColumn("iou", F.round("iou", 6))
 
 
+def close_matches(spark, sf_dir):
+    """Ranges of segment_pages against the true ones: hits share over 0.8 of the longer range."""
+    out = evaluate.close_matches(segment.islands(packets(spark, sf_dir), "is_first"), segment_pages(spark, sf_dir))
+    return out.select("pdf_id", "n_true", "n_pred", "hits", "false_positives", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def ensemble_labels(spark, sf_dir):
+    """Labels of two scorers of each document, joined: the fraction scorer stands for the model, the phrase scorer for the rules."""
+    docs = classify.fraction_classifier(rendered(spark, sf_dir)).select("doc_id", "text", F.col("label").alias("ai_label"), F.round("confidence", 6).alias("ai_conf"), F.col("alternatives").alias("ai_alternatives"))
+    both = classify.phrase_classifier(docs).select("doc_id", "ai_label", "ai_conf", "ai_alternatives", F.col("label").alias("rule_label"), F.round("confidence", 6).alias("rule_conf"))
+    both = both.withColumn("rule_alternatives", F.array(F.struct(F.lit(0.5).alias("score"), F.col("rule_label").alias("label")), F.struct(F.lit(0.25).alias("score"), F.lit("letter").alias("label"))))
+    out = classify.ensemble(both)
+    return out.select("doc_id", "label", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("alternatives", lambda a: a["label"]), ",").alias("alternatives"))
+
+
+def feature_signs(spark, sf_dir):
+    """Dates, references and phrases among the features of a document."""
+    f = classify.features(rendered(spark, sf_dir))
+    return f.select("doc_id", "has_dates", F.array_join("reference_numbers", ";").alias("refs"), F.array_join("key_phrases", ";").alias("phrases"))
+
+
 def label_errors(spark, sf_dir):
     pages = packets(spark, sf_dir)
     kinds = rendered(spark, sf_dir).select("doc_id", "type", "text")
@@ -258,7 +278,7 @@ def party_name_forms(spark, sf_dir):
 _FUNCTIONS = (
     document_lookup, source_documents, document_list, document_detail, party_list, document_types, storage_statistics, saved_tables, status_updates, orphan_files, missing_pages, single_documents, first_documents,
     resegmented, extracted_pages, blank_before, strong_starts, driven_ranges, joined_pairs, density_jumps, scanned_pdfs, damped_scores, range_violations, chunk_votes, micro_metrics, method_comparison,
-    contested_matches, label_errors, explained, fallback_types, first_signs, phrase_search, routes, party_name_forms,
+    contested_matches, close_matches, ensemble_labels, feature_signs, label_errors, explained, fallback_types, first_signs, phrase_search, routes, party_name_forms,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -428,6 +448,25 @@ k AS (SELECT pdf_id, n, [(ps, -1)] AS preds, [(ts, -1)] AS trues, ps, pe, ts, te
     CASE WHEN list_contains(preds, (c.ps, -1)) OR list_contains(trues, (c.ts, -1)) THEN trues ELSE list_append(trues, (c.ts, -1)) END, c.ps, c.pe, c.ts, c.te, c.iou,
     NOT (list_contains(preds, (c.ps, -1)) OR list_contains(trues, (c.ts, -1))) FROM k JOIN c ON c.pdf_id = k.pdf_id AND c.n = k.n + 1)
 SELECT pdf_id, ps, pe, ts, te, round(iou, 6) AS iou FROM k WHERE taken""",
+    "close_matches": f"""WITH {_PAGES}, x AS (SELECT *, (least(pe, te) - greatest(ps, ts) + 1)::DOUBLE / (greatest(pe - ps, te - ts) + 1) AS share FROM met),
+k AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY pdf_id, ts, te ORDER BY share DESC, ps, pe) = 1),
+h AS (SELECT pdf_id, count(*) AS hits, count(DISTINCT (ps, pe)) AS used FROM k WHERE share > 0.8 GROUP BY 1),
+n AS (SELECT coalesce(t.pdf_id, p.pdf_id) AS pdf_id, coalesce(t.n, 0) AS n_true, coalesce(p.n, 0) AS n_pred FROM (SELECT pdf_id, count(*) AS n FROM truth GROUP BY 1) t FULL JOIN (SELECT pdf_id, count(*) AS n FROM pred GROUP BY 1) p ON t.pdf_id = p.pdf_id),
+j AS (SELECT n.*, coalesce(hits, 0) AS hits, n_pred - coalesce(used, 0) AS false_positives FROM n LEFT JOIN h USING (pdf_id)),
+r AS (SELECT *, coalesce(hits::DOUBLE / nullif(hits + false_positives, 0), 0) AS p, coalesce(hits::DOUBLE / nullif(n_true, 0), 0) AS r FROM j)
+SELECT pdf_id, n_true, n_pred, hits, false_positives, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM r""",
+    "feature_signs": rf"""{_W} SELECT doc_id, {' OR '.join(f"regexp_matches(text, '{p}')" for p in classify.DATE_SHAPES)} AS has_dates,
+  array_to_string(list_concat({', '.join(f"list_transform(regexp_extract_all(text, '{p}', 1), lambda x: '{k}_' || x)" for k, _, p in classify.REFERENCE_MENTIONS)})[1:10], ';') AS refs,
+  array_to_string(list_filter([{', '.join(f"'{w}'" for group in classify.PHRASES.values() for w in group)}], lambda x: contains(lower(text), x))[1:20], ';') AS phrases FROM rendered""",
+    "ensemble_labels": f"""{_W}, {_LABELS}, fr AS ({_FRACTIONS}), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) AS n FROM fr),
+b AS (
+  SELECT f.doc_id, f.label AS ai, round(least(f.score * 2, 1.0), 6)::DOUBLE AS ac, CASE WHEN best.score > 0 THEN best.label ELSE 'unknown' END AS ru, round(CASE WHEN best.score > 0 THEN least(best.score, 1) ELSE 0 END, 6)::DOUBLE AS rc
+  FROM f JOIN best USING (doc_id) WHERE n = 1),
+alts AS (SELECT doc_id, label, score * 0.6 AS s, n FROM f WHERE n <= 3 AND score > 0 UNION ALL SELECT doc_id, ru, 0.5 * 0.4, 1000 FROM b UNION ALL SELECT doc_id, 'letter', 0.25 * 0.4, 1001 FROM b),
+g AS (SELECT doc_id, label, round(sum(s::DECIMAL(38, 15)), 9) AS s, min(n) AS n FROM alts GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, n) AS k FROM g)
+SELECT doc_id, any_value(CASE WHEN ai = ru THEN ai WHEN rc > 0.7 AND ac < 0.6 THEN ru WHEN ac > 0.8 OR ac >= rc THEN ai ELSE ru END) AS label,
+  any_value(round(CASE WHEN ai = ru THEN least(ac * 1.2, 1) WHEN rc > 0.7 AND ac < 0.6 THEN rc * 0.9 WHEN ac > 0.8 THEN ac * 0.9 WHEN ac >= rc THEN ac * 0.7 + rc * 0.3 ELSE rc * 0.7 + ac * 0.3 END, 6))::DOUBLE AS confidence,
+  string_agg(t.label, ',' ORDER BY k) FILTER (WHERE k <= 3) AS alternatives FROM b JOIN t USING (doc_id) GROUP BY doc_id""",
     "missing_pages": f"""WITH {_TRUTH}, m AS (SELECT pdf_id, start_page, end_page + CASE start_page % 5 WHEN 0 THEN 2 WHEN 1 THEN -2 ELSE 0 END AS end_page FROM truth WHERE (start_page + pdf_id) % 3 != 0),
 h AS (SELECT DISTINCT pdf_id, unnest(range(start_page, end_page + 1)) AS page_num FROM m),
 p AS (SELECT pdf_id, page_num, h.page_num IS NULL AS open FROM packets LEFT JOIN h USING (pdf_id, page_num))

@@ -55,10 +55,20 @@ def import_outcomes(pages: DataFrame) -> DataFrame:
     return pages.groupBy("pdf_id").agg(F.count_if(F.col("status") == "ok").cast("int").alias("n_pages"), F.bool_and(F.col("status") == "ok").alias("imported"), F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("reason"))
 
 
+def image_files(spark: SparkSession, path: str, most_bytes: int = 100 << 20) -> DataFrame:
+    """(page_id, content) of the image files below a path, each a page, for `providers.read_images`; content is null over most_bytes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,PNG,jpg,JPG,jpeg,JPEG,tif,TIF,tiff,TIFF,bmp,BMP}").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("page_id"), F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
+
+
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """pdf_id, start_page, end_page from JSON files of {pdf_path, boundaries: [[start, end], ...]}."""
-    rows = spark.read.schema("pdf_path string, boundaries array<array<int>>").json(path, multiLine=True)
-    return rows.select(F.col("pdf_path").alias("pdf_id"), F.explode("boundaries").alias("b")).select("pdf_id", F.col("b")[0].alias("start_page"), F.col("b")[1].alias("end_page"))
+    """pdf_id, start_page, end_page, type, notes from JSON files of {pdf_path, boundaries: [[start, end], ...], document_types: {page: type}, notes}.
+
+    type: what document_types says of the range's first page; null where it says nothing. notes: the PDF's, on each of its ranges.
+    """
+    rows = spark.read.schema("pdf_path string, boundaries array<array<int>>, document_types map<string,string>, notes string").json(path, multiLine=True)
+    ranges = rows.select(F.col("pdf_path").alias("pdf_id"), F.explode("boundaries").alias("b"), "document_types", "notes")
+    return ranges.select("pdf_id", F.col("b")[0].alias("start_page"), F.col("b")[1].alias("end_page"), F.try_element_at("document_types", F.col("b")[0].cast("string")).alias("type"), "notes")
 
 
 def page_range(s) -> F.Column:
