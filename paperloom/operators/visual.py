@@ -72,3 +72,21 @@ def layout_scores(pages: DataFrame) -> DataFrame:
     score = F.when(F.coalesce(F.size("kinds"), F.lit(0)) > 0, score * 0.6 + 0.4).otherwise(score)
     score = F.when(F.col("has_letterhead"), F.greatest(score, F.lit(0.8))).otherwise(score)
     return seen.select("pdf_id", "page_num", F.least(score, F.lit(1.0)).alias("score"), F.when((score > 0.9) | (score < 0.1), 0.9).otherwise(0.7).alias("confidence"))
+
+
+def table_lines(lines: DataFrame, keys: tuple[str, ...] = ("pdf_id", "page_num"), within: float = 2.0) -> DataFrame:
+    """(keys, horizontal, vertical, has_tables) of pages from the straight lines drawn on them (keys, x1, y1, x2, y2).
+
+    A line whose ends differ by less than `within` in y is horizontal, else in x vertical. Pieces of one line, which lie on one another or touch, count once:
+    they are merged along it, lines being told apart by their place to the same accuracy. Over three of both make a table. A line with a null end counts as none.
+    """
+    flat = F.abs(F.col("y1") - F.col("y2")) < within
+    upright = ~flat & (F.abs(F.col("x1") - F.col("x2")) < within)
+    along = lambda a, b: (F.least(a, b).alias("first"), F.greatest(a, b).alias("last"))
+    across = lines.where(flat).select(*keys, F.lit("h").alias("way"), F.round(F.least("y1", "y2") / within).alias("at"), *along("x1", "x2"))
+    down = lines.where(upright).select(*keys, F.lit("v").alias("way"), F.round(F.least("x1", "x2") / within).alias("at"), *along("y1", "y2"))
+    order = Window.partitionBy(*keys, "way", "at").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = across.unionByName(down).where("first is not null and last is not null").withColumn("reach", F.max("last").over(order))
+    new = F.col("reach").isNull() | (F.col("first") > F.col("reach") + within)
+    n = pieces.groupBy(*keys).agg(F.count_if(new & (F.col("way") == "h")).alias("horizontal"), F.count_if(new & (F.col("way") == "v")).alias("vertical"))
+    return n.withColumn("has_tables", (F.col("horizontal") > 3) & (F.col("vertical") > 3))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import quality
 from paperloom.functions.sums import steady_sum
-from paperloom.operators import catalog, classify, evaluate, segment
+from paperloom.operators import catalog, classify, evaluate, segment, visual
 from paperloom.sources import providers, readers
 
 
@@ -109,3 +109,11 @@ def test_words_over_a_confidence(spark, over, text, confidence):
 def test_one_lower_case_for_all_signs(spark):
     s = spark.createDataFrame([("Delay of PAYMENT, invoice #7",)], "text string").select(classify.first_signs(F.col("text")).alias("s")).first().s
     assert s.references == ["invoice #7"] and "payment" in s.phrases
+
+
+def test_table_lines(spark):
+    grid = [("a", 0, 0.0, y, 50.0, y) for y in (0.0, 20.0, 40.0, 60.0)] + [("a", 0, 50.0, y, 99.0, y + 0.5) for y in (0.0, 20.0, 40.0, 60.0)] + [("a", 0, x, 60.0, x, 0.0) for x in (0.0, 30.0, 60.0, 99.0)]
+    other = [("b", 0, 0.0, 0.0, 50.0, 50.0), ("b", 0, 0.0, 0.0, 9.0, 0.0), ("b", 0, 50.0, 0.0, 60.0, 0.0), ("b", 0, None, 0.0, 1.0, 0.0)]
+    lines = spark.createDataFrame(grid + other, "pdf_id string, page_num int, x1 double, y1 double, x2 double, y2 double")
+    got = {r.pdf_id: (r.horizontal, r.vertical, r.has_tables) for r in visual.table_lines(lines).collect()}
+    assert got == {"a": (4, 4, True), "b": (2, 0, False)}
