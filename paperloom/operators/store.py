@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.sums import steady_sum
 from .search import matching, postings, query_test, stemmed
 
-__all__ = ["SearchFilter", "delete", "delete_outcomes", "facets", "matching", "merge", "neighbours", "postings", "query_test", "related", "search", "stats", "stemmed", "with_page_flags"]
+__all__ = ["SearchFilter", "delete", "delete_outcomes", "facets", "matching", "merge", "neighbours", "postings", "query_test", "related", "search", "searched", "stats", "stemmed", "with_page_flags"]
 
 SORTABLE = {"doc_id", "type", "created", "party", "amount", "title", "page_count"}
+#: Columns that a search looks in; lists count as the words of their items.
+SEARCHED = ("title", "type", "party", "parties", "reference_numbers", "text")
 
 
 @dataclass
@@ -59,18 +61,22 @@ class SearchFilter:
         return reduce(lambda a, b: a & b, tests)
 
 
+def searched(docs: DataFrame) -> tuple[str, ...]:
+    """The columns of docs that a search looks in."""
+    return tuple(c for c in SEARCHED if c in docs.columns)
+
+
 def search(docs: DataFrame, f: SearchFilter, index: DataFrame | None = None) -> DataFrame:
     """One page of the documents that pass the filter; ties in the sort column go by doc_id.
 
-    Without an index the query is a test of each row that passes the other filters, in its columns title, type, party and text; with
-    one, a semi-join with its postings. Both find the same where the index holds the same fields.
+    Without an index the query is a test of each row that passes the other filters, in those of SEARCHED that it has; with
+    one, a semi-join with its postings. Both find the same where the index holds the same fields, as `postings(docs, searched(docs))` does.
     """
     if f.sort_by not in SORTABLE:
         raise ValueError(f"cannot sort by {f.sort_by!r}")
     found = docs.where(f.predicate())
     if f.query:
-        fields = tuple(c for c in ("title", "type", "party", "text") if c in docs.columns)
-        found = found.where(query_test(f.query, fields)) if index is None else found.join(matching(index, f.query), "doc_id", "left_semi")
+        found = found.where(query_test(f.query, searched(docs))) if index is None else found.join(matching(index, f.query), "doc_id", "left_semi")
     key = F.col(f.sort_by)
     return found.orderBy(key.desc() if f.descending else key.asc(), "doc_id").offset(f.offset).limit(f.limit)
 

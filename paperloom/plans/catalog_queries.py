@@ -402,7 +402,8 @@ FROM rendered WHERE doc_id = {LOOKED_UP}""",
     "document_types": _W + " SELECT ordinal, v.type, count(doc_id) AS n FROM (VALUES " + ", ".join(f"({i}::INT, '{t}')" for i, t in enumerate(catalog.TYPES)) + ") AS v(ordinal, type) LEFT JOIN rendered r ON r.type = v.type GROUP BY ALL",
     "storage_statistics": f"""WITH {_STORED} SELECT count(*) AS n_docs, count(DISTINCT pdf_id) AS n_pdfs, sum(page_count)::BIGINT AS total_pages, round(sum(page_count) / count(*), 6)::DOUBLE AS average_pages, count(*) FILTER (WHERE doc_id % 3 = 0) AS with_embedding,
   min(created) AS earliest, max(created) AS latest, max(created + (doc_id % 5)::INT) FILTER (WHERE doc_id % 4 != 0) AS last_indexed, (SELECT count(DISTINCT doc_id) FROM packets WHERE page_num % 4 = 3) AS with_ocr FROM stored""",
-    "saved_tables": rf"""{_P}{_EDGES}, words AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS token FROM rendered)
+    "saved_tables": rf"""{_P}{_EDGES}, fields AS (SELECT doc_id, unnest(['type', 'party', 'text']) AS field, unnest([type, party, text]) AS words FROM rendered),
+words AS (SELECT DISTINCT doc_id, field, unnest(regexp_split_to_array(lower(words), '[^\p{{L}}\p{{N}}]+')) AS token FROM fields)
 SELECT name, state, n FROM (
   SELECT 'documents' AS name, count(*) AS saved, count(*) FILTER (WHERE doc_id % 5 != 0) AS removed FROM rendered UNION ALL SELECT 'pages', count(*), count(*) FILTER (WHERE doc_id % 5 != 0) FROM packets
   UNION ALL SELECT 'edges', count(*), count(*) FILTER (WHERE source_id % 5 != 0 AND target_id % 5 != 0) FROM (SELECT DISTINCT * FROM edges) UNION ALL SELECT 'postings', count(*), count(*) FILTER (WHERE doc_id % 5 != 0) FROM words WHERE token != '')

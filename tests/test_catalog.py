@@ -52,9 +52,9 @@ def test_saved_store_and_removal(spark, tmp_path):
     edges = spark.createDataFrame([(1, 2, "related"), (1, 2, "related"), (2, 1, "references"), (1, 7, "related")], "source_id long, target_id long, relationship_type string")
     catalog.save(docs, pages, edges, str(tmp_path / "s"))
     tables = catalog.saved(spark, str(tmp_path / "s"))
-    assert {k: t.count() for k, t in tables.items()} == {"documents": 3, "pages": 3, "edges": 2, "postings": 3}
+    assert {k: t.count() for k, t in tables.items()} == {"documents": 3, "pages": 3, "edges": 2, "postings": 6}
     less = catalog.remove(tables, spark.createDataFrame([(2,), (5,)], "doc_id long"))
-    assert {k: t.count() for k, t in less.items()} == {"documents": 2, "pages": 2, "edges": 0, "postings": 2}
+    assert {k: t.count() for k, t in less.items()} == {"documents": 2, "pages": 2, "edges": 0, "postings": 4}
     found = catalog.by_id(docs, tables["edges"], 1).first()
     assert found.related == [2] and found.references == [] and catalog.by_id(docs, tables["edges"], 8).count() == 0
     with pytest.raises(ValueError, match="document type"):
