@@ -23,6 +23,7 @@ from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,16 +190,16 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = (), stems: bool = False)
     def run(batches):
         for b in batches:
             for i, name in enumerate(named):
-                lists = pa.compute.split_pattern(b.column(i + 1), " ")
+                lists = pc.split_pattern(b.column(i + 1), " ")
                 words, row = lists.flatten(), np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
                 at = np.arange(len(row)) - (lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0])[row]
-                real = pa.compute.not_equal(words, "").to_numpy(zero_copy_only=False)
+                real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
                 coded = words.dictionary_encode()
                 names, code = coded.dictionary, coded.indices.to_numpy()
                 if stems:
                     coded = pa.array([porter(w) for w in names.to_pylist()], pa.string()).dictionary_encode()
                     names, code = coded.dictionary, coded.indices.to_numpy()[code]
-                order = np.lexsort((at, code, row))[: len(row)]
+                order = np.lexsort((at, code, row))
                 order = order[real[order]]
                 row, code, at = row[order], code[order], at[order]
                 head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(row) else np.zeros(0, np.int64)

@@ -60,14 +60,14 @@ def event_sessions(spark, sf_dir):
     return timeline.sessions(e, "3 hours")
 
 
-def open_orders(spark, sf_dir):
+def orders_open(spark, sf_dir):
     """How many orders of a customer are open, from the order to the last shipment of its lines."""
     last = spread(table(spark, sf_dir, "lineitem")).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_date(F.max("l_shipdate")).alias("end"))
     orders = spread(table(spark, sf_dir, "orders")).join(last, "o_orderkey", "left")
     return timeline.open_intervals(orders.select(F.col("o_custkey").alias("subject"), F.to_date("o_orderdate").alias("start"), "end"))
 
 
-QUERIES = {f.__name__: f for f in (payment_matches, reconciliation, running_balances, party_timeline, event_sessions, open_orders)}
+QUERIES = {f.__name__: f for f in (payment_matches, reconciliation, running_balances, party_timeline, event_sessions, orders_open)}
 
 _LEDGER = f"""c AS (SELECT o_orderkey AS claim_id, o_custkey AS party, o_totalprice::DECIMAL(18, 2) AS amount, o_orderdate::DATE AS "at" FROM orders),
 p AS (
@@ -102,7 +102,7 @@ SELECT subject, "at", source, id, label, row_number() OVER (PARTITION BY subject
     "event_sessions": """WITH l AS (SELECT user_id AS subject, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE ts IS NOT NULL),
 s AS (SELECT *, sum((before IS NULL OR ts > before + INTERVAL 3 HOUR)::INT) OVER (PARTITION BY subject ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM l)
 SELECT subject, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY subject, run""",
-    "open_orders": """WITH i AS (SELECT o_custkey AS subject, o_orderdate::DATE AS s, max(l_shipdate)::DATE AS e FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate),
+    "orders_open": """WITH i AS (SELECT o_custkey AS subject, o_orderdate::DATE AS s, max(l_shipdate)::DATE AS e FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate),
 g AS (SELECT * FROM i WHERE e IS NULL OR e >= s),
 c AS (SELECT subject, "at", sum(step) AS step FROM (SELECT subject, s AS "at", 1 AS step FROM g UNION ALL SELECT subject, e + 1, -1 FROM g WHERE e IS NOT NULL) GROUP BY ALL HAVING sum(step) != 0)
 SELECT subject, "at", (sum(step) OVER (PARTITION BY subject ORDER BY "at"))::BIGINT AS n_open FROM c""",
