@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import snapshots, store
-from .search import DELTA_PACKED
+from .search import DELTA_PACKED, clustered
 
 #: Writer options of documents: a look-up by id asks each file's bloom filter, and reads the pages of one id of those that may have it.
 BY_ID = {"parquet.bloom.filter.enabled#doc_id": "true", "parquet.page.row.count.limit": "2000"}
@@ -97,7 +97,7 @@ def save(docs: DataFrame, pages: DataFrame, edges: DataFrame, path: str, keep: i
         "documents": snapshots.Table(lambda done: docs.sortWithinPartitions("type", "doc_id"), ("type",), BY_ID),
         "pages": snapshots.Table(lambda done: pages.join(done["documents"].select("doc_id"), "doc_id", "left_semi")),
         "edges": snapshots.Table(lambda done: store.related(edges, done["documents"])),
-        "postings": snapshots.Table(lambda done: store.postings(done["documents"], store.searched(docs)), options=DELTA_PACKED),
+        "postings": snapshots.Table(lambda done: clustered(store.postings(done["documents"], store.searched(docs))), options=DELTA_PACKED),
     }
     return snapshots.publish(docs.sparkSession, path, tables, keep)
 
@@ -109,7 +109,7 @@ def saved(spark: SparkSession, path: str, version: str | None = None) -> dict[st
 
 def reindex(spark: SparkSession, path: str) -> str:
     """Makes the index of a store anew from its documents; the version before stays as a backup (`snapshots.restore`)."""
-    return snapshots.rebuild(spark, path, "postings", lambda done: store.postings(done["documents"], store.searched(done["documents"])), **DELTA_PACKED)
+    return snapshots.rebuild(spark, path, "postings", lambda done: clustered(store.postings(done["documents"], store.searched(done["documents"]))), **DELTA_PACKED)
 
 
 def remove(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

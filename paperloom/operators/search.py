@@ -212,6 +212,11 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = (), stems: bool = False)
     return index.withColumn("field", F.col("field").alias("field", metadata={"fields": list(fields)})) if fields else index
 
 
+def clustered(index: DataFrame) -> DataFrame:
+    """The index as it should be written: each task's rows by token, so that the files' page indexes leave out all pages but those of a query's words."""
+    return index.sortWithinPartitions("token")
+
+
 #: Writer options for tables of postings: differences of positions, bit-packed.
 DELTA_PACKED = {"parquet.writer.version": "v2", "parquet.enable.dictionary#positions.list.element": "false"}
 

@@ -18,7 +18,7 @@ ASKED = ('"de la"', "NEAR(le la, 3)", "réau*", 'lang:fr "que le" -des', '"in th
 def positional_search(spark, sf_dir):
     """Every query by the index and by the rows' own words: they agree on each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", *FIELDS)
-    index = kept(search.postings(docs, FIELDS), "search-index", **search.DELTA_PACKED)
+    index = kept(search.clustered(search.postings(docs, FIELDS)), "search-index", **search.DELTA_PACKED)
     by_index = reduce(DataFrame.unionByName, (search.matching(index, q).select(F.lit(i).alias("query"), "doc_id", F.lit(True).alias("by_index")) for i, q in enumerate(ASKED)))
     tests = F.array(*(F.when(search.query_test(q, FIELDS), i) for i, q in enumerate(ASKED)))
     by_row = docs.select("doc_id", F.explode(F.array_compact(tests)).alias("query"), F.lit(True).alias("by_row"))
@@ -29,7 +29,7 @@ def positional_search(spark, sf_dir):
 def phrase_frequencies(spark, sf_dir):
     """Documents and occurrences of the words that follow `de`, off the positions alone: the index answers without a text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = kept(search.postings(docs), "search-index", **search.DELTA_PACKED)
+    index = kept(search.clustered(search.postings(docs)), "search-index", **search.DELTA_PACKED)
     first = index.where("token = 'de'").select("doc_id", F.transform("positions", lambda x: x + 1).alias("behind"))
     # only documents with `de` are asked for their words
     met = index.join(first, "doc_id").select("token", "doc_id", F.size(F.array_intersect("positions", "behind")).alias("n")).where("n > 0")

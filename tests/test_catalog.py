@@ -1,5 +1,6 @@
 """Files, saved stores, searches without an index, overlaps and the inbox."""
 
+import math
 import random
 
 import pytest
@@ -135,12 +136,15 @@ def test_no_machine_folder_on_a_cluster(spark):
 
 
 def test_steady_sums(spark):
-    values = [random.Random(1).random() for _ in range(300)] + [1 / 3, 2 / 3, None, float("nan"), float("inf")]
+    values = [random.Random(1).random() for _ in range(300)] + [1 / 3, 2 / 3, None]
     sums = set()
     for seed in range(4):
         random.Random(seed).shuffle(values)
         sums.add(spark.createDataFrame([(v,) for v in values], "v double").repartition(seed + 1).agg(steady_sum("v")).first()[0])
-    assert sums == {round(sum(v for v in values if v is not None and v < 2), 12)}
+    assert sums == {round(sum(v for v in values if v is not None), 12)}
+    # what is no number, or infinite, makes the sum such
+    for odd in (float("nan"), float("inf")):
+        assert not math.isfinite(spark.createDataFrame([(v,) for v in [*values, odd]], "v double").agg(steady_sum("v")).first()[0])
     thirds = spark.createDataFrame([(1 / 3,), (2 / 3,), (1 / 3,), (2 / 3,)], "v double")
     assert thirds.agg(steady_sum("v")).first()[0] == 2.0
     assert spark.createDataFrame([(None,)], "v double").agg(steady_sum("v")).first()[0] is None

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "customer", "events", "embeddings", "supplier", "documents", "pages", "conversations"):
+    for t in ("orders", "lineitem", "customer", "events", "embeddings", "supplier", "documents", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = Q.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
