@@ -29,6 +29,9 @@ from .shared import col, kept, map_columns
 CHUNK_BYTES = 4 << 20
 #: About so many bytes of text fall into a bucket of fingerprints, and at least so many bits choose it.
 BUCKET_BYTES, BUCKET_BITS = 16 << 20, 10
+#: Writer options for tables with a chunk in a row: sizes are looked at after each row, where the writer would hold 100 rows before its first look,
+#: so that neither it nor a reader, who takes a page at once and batches up to a row group, holds more than a few chunks at a time.
+ROW_BY_ROW = {"parquet.block.size": str(4 * CHUNK_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"}
 #: Parts of a language that rank their phrases apart before the first ones meet.
 RANK_PARTS = 64
 _CUT = np.zeros(256, bool)
@@ -62,6 +65,10 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return map_columns(docs.where("length(c1) > 0"), run, StructType.fromDDL("chunk long, langs array<string>, texts array<string>").fields)
 
 
+def _chunk_table(texts: DataFrame) -> DataFrame:
+    return kept(_chunks(texts), "phrase-chunks", compression="zstd", **ROW_BY_ROW)
+
+
 class _Chunk:
     """The words and phrases of a chunk."""
 
@@ -179,7 +186,7 @@ def phrase_counts(docs: DataFrame, least: int = 10, most_words: int = 3, lang: s
     texts = docs.select(F.coalesce(col(lang).cast("string"), F.lit("und")).alias("c0"), col(text).alias("c1"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("c1")), F.lit(0))).first()[0]
     bits = min(32, max(BUCKET_BITS, (size // BUCKET_BYTES).bit_length()))
-    chunks = kept(_chunks(texts), "phrase-chunks", compression="zstd")
+    chunks = _chunk_table(texts)
     often = _frequent(_prints(chunks, bits, most_words, least), least)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -1,11 +1,13 @@
 """Phrase counts and collocations against loops over small tables."""
 
+import hashlib
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from paperloom.llm import flat, phrases
@@ -76,3 +78,14 @@ def test_no_phrases_of_nothing(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     assert not phrases.collocations(empty).collect() and not phrases.phrase_counts(empty).collect()
     assert not phrases.collocations(spark.createDataFrame([("en", None), (None, " ")], "lang string, text string")).collect()
+
+
+def test_row_groups_hold_a_few_chunks(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", 1 << 14)
+    monkeypatch.setitem(phrases.ROW_BY_ROW, "parquet.block.size", str(1 << 16))
+    texts = [" ".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(252)) for i in range(60)]
+    table = phrases._chunk_table(spark.createDataFrame([("en", t) for t in texts], "c0 string, c1 string").coalesce(1))
+    (file,) = table.inputFiles()
+    groups = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert groups.num_rows == 60 and groups.num_row_groups >= 5
+    assert max(groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)) < 1 << 18
