@@ -35,7 +35,7 @@ class SearchFilter:
     sort_by: str = "created"
     descending: bool = True
     offset: int = 0
-    limit: int = 50
+    limit: int | None = 50
 
     def predicate(self) -> Column:
         tests = [F.lit(True)]
@@ -67,7 +67,7 @@ def searched(docs: DataFrame) -> tuple[str, ...]:
 
 
 def search(docs: DataFrame, f: SearchFilter, index: DataFrame | None = None) -> DataFrame:
-    """One page of the documents that pass the filter; ties in the sort column go by doc_id.
+    """One page of the documents that pass the filter (without a limit all behind the offset); ties in the sort column go by doc_id.
 
     Without an index the query is a test of each row that passes the other filters, in those of SEARCHED that it has; with
     one, a semi-join with its postings. Both find the same where the index holds the same fields, as `postings(docs, searched(docs))` does.
@@ -78,7 +78,8 @@ def search(docs: DataFrame, f: SearchFilter, index: DataFrame | None = None) ->
     if f.query:
         found = found.where(query_test(f.query, searched(docs))) if index is None else found.join(matching(index, f.query), "doc_id", "left_semi")
     key = F.col(f.sort_by)
-    return found.orderBy(key.desc() if f.descending else key.asc(), "doc_id").offset(f.offset).limit(f.limit)
+    page = found.orderBy(key.desc() if f.descending else key.asc(), "doc_id").offset(f.offset)
+    return page if f.limit is None else page.limit(f.limit)
 
 
 def with_page_flags(docs: DataFrame, pages: DataFrame) -> DataFrame:
