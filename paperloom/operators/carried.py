@@ -1,24 +1,34 @@
 """Windows of pages read in order by a language model, each with a summary of the one before.
 
-All PDFs step together: round k asks for the k-th window of every PDF that has one, in batches over all executors, and writes
-replies and summaries as a table. The next round reads the summaries from there, so a round is as parallel as there are PDFs,
-state never passes the driver, and a job that fails goes on behind its last whole round when it is started again with the same path.
+All PDFs step together: in each task the k-th windows of all its PDFs are asked in batches before the next ones, which see their
+summaries. A job takes a span of rounds and writes replies and summaries as a table, from which the next job takes the last summaries:
+jobs are few however long the PDFs are, a task holds one round's summaries of its own PDFs, state never passes the driver, and
+a job that fails goes on behind its last whole span when it is started again with the same path.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.files import Files
-from ..functions.tables import fresh_path, kept
-from ..sources.providers import Model, ask
+from ..functions.tables import fresh_path
+from ..sources.providers import Model, answers
 
 #: Characters of a summary that go into the next prompt.
 MOST = 500
+#: Rounds of a job from the eleventh job on; the first jobs have 1, 2, 4, ... rounds.
+SPAN = 1024
+#: PDFs of a task, whose last summaries it holds.
+PDFS = 10_000
+#: Prompts that a model is handed at once.
+BATCH = 16
 
 
 def page_windows(pages: DataFrame, size: int = 3, overlap: int = 1, preview: int = 1000) -> DataFrame:
@@ -38,44 +48,82 @@ def page_windows(pages: DataFrame, size: int = 3, overlap: int = 1, preview: int
     )
 
 
-def boundary_prompt(body: Column, before: Column) -> Column:
+def boundary_prompt(body: str, before: str) -> str:
     """What a window is asked: its pages, and what the window before was about, if there was one."""
-    carried = F.when(F.coalesce(before, F.lit("")) != "", F.concat(F.lit("Before these pages: "), before, F.lit("\n"))).otherwise("")
-    return F.concat(F.lit("Which of these pages start a document? Reply as JSON with boundaries (page, confidence) and window_summary.\n"), carried, body)
+    carried = f"Before these pages: {before}\n" if before else ""
+    return f"Which of these pages start a document? Reply as JSON with boundaries (page, confidence) and window_summary.\n{carried}{body}"
 
 
-def json_summary(reply: Column) -> Column:
+def json_summary(reply: str | None) -> str:
     """The summary that a reply states, clipped; a reply without one, or no reply, carries nothing on."""
-    return F.substring(F.coalesce(F.get_json_object(reply, "$.window_summary"), F.lit("")), 1, MOST)
+    try:
+        said = json.loads(reply or "null")
+    except ValueError:
+        return ""
+    said = said.get("window_summary") if isinstance(said, dict) else None
+    said = "" if said is None else said if isinstance(said, str) else json.dumps(said, ensure_ascii=False, separators=(",", ":"))
+    return said[:MOST]
 
 
-def carried(
-    windows: DataFrame, model: Model, prompt: Callable[[Column, Column], Column] = boundary_prompt, summary: Callable[[Column], Column] = json_summary, path: str | None = None, route: str = "local",
-) -> DataFrame:
+def _span(number: Column) -> Column:
+    """The job that takes a round: round 0, rounds 1 and 2, rounds 3 to 6, and so on up to SPAN rounds."""
+    first = SPAN.bit_length() - 1
+    return F.when(number < SPAN - 1, F.length(F.bin(number + 1)) - 1).otherwise(first + F.floor((number - (SPAN - 1)) / SPAN)).cast("int")
+
+
+def _stepped(now: DataFrame, tasks: int, model: Model, prompt: Callable[[str, str], str], summary: Callable[[str | None], str]) -> DataFrame:
+    """(pdf_id, step, window_start, window_end, round, content, summary) of a span's windows; before: the summary ahead of the span."""
+    names = ["pdf_id", "step", "window_start", "window_end", "round"]
+    kinds = ", ".join(f"`{k}` {now.schema[k].dataType.simpleString()}" for k in names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past, here, at = {}, {}, None
+        for b in batches:
+            contents, summaries = [], []
+            for number, rows in groupby(zip(*(b.column(k).to_pylist() for k in ("round", "pdf_id", "body", "before")), strict=True), lambda r: r[0]):
+                if number != at:
+                    past, here, at = here, {}, number
+                rows = list(rows)
+                for i in range(0, len(rows), BATCH):
+                    part = rows[i : i + BATCH]
+                    said = answers(model, [None if body is None else prompt(body, past.get(pdf, before or "")) for _, pdf, body, before in part])
+                    contents += said
+                    summaries += map(summary, said)
+                    here |= zip((pdf for _, pdf, _, _ in part), summaries[-len(part) :], strict=True)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(contents, pa.string()), pa.array(summaries, pa.string())], names=[*names, "content", "summary"])
+
+    dealt = now.repartition(tasks, "pdf_id").sortWithinPartitions("round", "pdf_id").select(*names, "body", "before")
+    return dealt.mapInArrow(run, f"{kinds}, content string, summary string")
+
+
+def carried(windows: DataFrame, model: Model, prompt: Callable[[str, str], str] = boundary_prompt, summary: Callable[[str | None], str] = json_summary, path: str | None = None) -> DataFrame:
     """(pdf_id, step, window_start, window_end, content, summary) of windows (pdf_id, step, window_start, window_end, body).
 
     Steps of a PDF are taken in ascending order, whatever their numbers; each sees the summary of the one before. path: a folder for the rounds; with
-    one that holds rounds already, those are not asked again. A window whose reply fails has a null content and carries nothing on.
+    one that holds spans of rounds already, those are not asked again. A window whose reply fails has a null content and carries nothing on.
     """
     spark, files = windows.sparkSession, Files(windows.sparkSession)
     path = path or fresh_path(spark, "carried")
     order = Window.partitionBy("pdf_id").orderBy("step")
-    placed = kept(windows.withColumn("round", F.row_number().over(order) - 1), "carried-windows")
-    rounds, k = [], 0
-    most = placed.agg(F.max("round")).first()[0]
-    while most is not None and k <= most:
-        at = f"{path}/round={k}"
-        if not files.exists(f"{at}/_SUCCESS"):
-            now = placed.where(F.col("round") == k)
-            before = rounds[-1].select("pdf_id", F.col("summary").alias("before")) if rounds else None
-            now = now.join(before, "pdf_id", "left") if before is not None else now.withColumn("before", F.lit(None).cast("string"))
-            prompts = now.select("pdf_id", "step", "window_start", "window_end", prompt(F.col("body"), F.col("before")).alias("prompt"), F.lit(route).alias("route"))
-            # models are slow beside shuffles: every core has its share of the PDFs
-            dealt = prompts.repartition(spark.sparkContext.defaultParallelism, "pdf_id")
-            replies = ask(dealt, {route: model}, keys=("pdf_id", "step", "window_start", "window_end"))
-            replies.select("pdf_id", "step", "window_start", "window_end", "content", summary(F.col("content")).alias("summary")).write.mode("overwrite").parquet(at)
-        rounds.append(spark.read.parquet(at))
-        k += 1
-    if not rounds:
+    placed = windows.withColumn("round", F.row_number().over(order) - 1).withColumn("span", _span(F.col("round")))
+    # a folder for each span, so that each window is read once
+    at, schema = fresh_path(spark, "carried-windows"), placed.schema
+    placed.write.partitionBy("span").parquet(at)
+    placed = spark.read.schema(schema).parquet(at)
+    last, n = placed.agg(F.max("span"), F.count_if(F.col("round") == 0)).first()
+    # models are slow beside shuffles: every core has its share of the PDFs
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // PDFS))
+    done = []
+    for k in range(-1 if last is None else last + 1):
+        if not files.exists(f"{path}/span={k}/_SUCCESS"):
+            now = placed.where(F.col("span") == k)
+            if done:
+                before = done[-1].select("pdf_id", (F.col("round") + 1).alias("round"), F.col("summary").alias("before"))
+                now = now.join(before, ["pdf_id", "round"], "left")
+            else:
+                now = now.withColumn("before", F.lit(None).cast("string"))
+            _stepped(now, tasks, model, prompt, summary).write.mode("overwrite").parquet(f"{path}/span={k}")
+        done.append(spark.read.parquet(f"{path}/span={k}"))
+    if not done:
         return placed.select("pdf_id", "step", "window_start", "window_end", F.lit(None).cast("string").alias("content"), F.lit("").alias("summary"))
-    return reduce(DataFrame.unionByName, rounds)
+    return reduce(DataFrame.unionByName, done).drop("round")

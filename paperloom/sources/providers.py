@@ -18,6 +18,17 @@ def routed(prompts: DataFrame, mode: str, local_up: bool, cloud_up: bool, text:
     return prompts.withColumn("route", T.route(F.lit(mode), T.sensitive(F.col(text)), F.lit(local_up), F.lit(cloud_up)))
 
 
+def answers(model: Model, prompts: Sequence[str | None]) -> list[str | None]:
+    """The replies to one batch of prompts; null ones have none, and a batch that fails has none at all."""
+    asked = [p for p in prompts if p is not None]
+    try:
+        said = iter(list(model(asked)) if asked else ())
+        out = [None if p is None else next(said, None) for p in prompts]
+    except (OSError, RuntimeError, ValueError):
+        return [None] * len(prompts)
+    return out
+
+
 def ask(prompts: DataFrame, models: dict[str, Model], batch: int = 16, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """(keys, route, content): replies of models[route] to the prompts of (keys, prompt, route), in batches of at most `batch` prompts.
 
