@@ -5,7 +5,7 @@ Ranges carry pdf_id, start_page, end_page and the mean confidence of their pages
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sums import steady_sum
@@ -13,6 +13,8 @@ from ..functions.sums import steady_sum
 from . import segment
 
 KEYS = ["pdf_id", "start_page", "end_page"]
+#: Pages that smart_windows folds at once.
+BLOCK = 256
 
 
 def with_confidence(ranges: DataFrame) -> DataFrame:
@@ -107,18 +109,32 @@ def explanations(ranges: DataFrame, level: str) -> DataFrame:
 def smart_windows(screened: DataFrame, size: int = 3, least_overlap: int = 1, most_overlap: int = 2) -> DataFrame:
     """(pdf_id, window_start, window_end, priority) over pages (pdf_id, page_num, confidence, needs_deep); denser where unsure.
 
-    The next start depends on the current one, so each PDF is folded over its pages inside one row: unsure pages advance by
-    size - most_overlap, others by size - least_overlap.
+    Unsure pages advance by size - most_overlap, others by size - least_overlap. The next start depends on the current one, so what is
+    carried over pages is how many are left before the next start. Blocks of BLOCK pages say what each such number ahead of them becomes behind
+    them; a PDF's blocks are chained by these short tables, and each block then finds its own starts, so cost grows with the pages.
     """
-    unsure = F.coalesce("needs_deep", F.lit(False)) | (F.col("confidence") < 0.7)
-    flags = screened.groupBy("pdf_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_num", F.coalesce(unsure, F.lit(True)).alias("u")))), lambda x: x["u"]).alias("flags"))
-    n = F.size("flags")
-    empty = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,u:boolean>>").alias("starts"))
-
-    def step(state: Column, i: Column) -> Column:
-        u = F.get(F.col("flags"), i)
-        taken = F.struct((i + F.when(u, size - most_overlap).otherwise(size - least_overlap)).alias("next"), F.concat(state["starts"], F.array(F.struct(i.alias("at"), u.alias("u")))).alias("starts"))
-        return F.when(state["next"] == i, taken).otherwise(state)
-
-    folded = flags.select("pdf_id", n.alias("n"), F.explode(F.aggregate(F.sequence(F.lit(0), n - 1), empty, step, lambda s: s["starts"])).alias("w"))
-    return folded.select("pdf_id", F.col("w.at").alias("window_start"), (F.least(F.col("w.at") + size, F.col("n")) - 1).alias("window_end"), F.when(F.col("w.u"), 2.0).otherwise(1.0).alias("priority"))
+    unsure = F.coalesce(F.coalesce("needs_deep", F.lit(False)) | (F.col("confidence") < 0.7), F.lit(True))
+    steps = F.when(F.col("u"), size - most_overlap).otherwise(size - least_overlap)
+    order = Window.partitionBy("pdf_id").orderBy("page_num", "u")
+    placed = screened.select("pdf_id", "page_num", unsure.alias("u")).withColumn("i", F.row_number().over(order) - 1)
+    page = F.struct("i", "u", steps.alias("steps"))
+    blocks = placed.groupBy("pdf_id", F.floor(F.col("i") / BLOCK).cast("int").alias("block")).agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    most = max(size - most_overlap, size - least_overlap, 1)
+
+    def left(wait: Column, p: Column) -> Column:
+        return F.when(wait == 0, p["steps"] - 1).otherwise(wait - 1)
+
+    behind = F.array(*(F.aggregate("pages", F.lit(w), left) for w in range(most)))
+    chain = blocks.groupBy("pdf_id").agg(F.sum(F.size("pages")).cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("block", behind.alias("behind")))).alias("b"))
+    ahead = F.aggregate("b", F.array(F.lit(0)), lambda done, b: F.concat(done, F.array(F.get(b["behind"], F.element_at(done, -1)))))
+    entered = chain.select("pdf_id", "n", F.posexplode(F.slice(ahead, 1, F.size("b"))).alias("block", "wait"))
+    none = F.array().cast("array<struct<i:int,u:boolean,steps:int>>")
+
+    def found(state: Column, p: Column) -> Column:
+        starts = F.when(state["wait"] == 0, F.concat(state["starts"], F.array(p))).otherwise(state["starts"])
+        return F.struct(left(state["wait"], p).alias("wait"), starts.alias("starts"))
+
+    # what an explode makes of few rows is estimated as few: not broadcast
+    folded = blocks.join(entered.hint("merge"), ["pdf_id", "block"])
+    folded = folded.select("pdf_id", "n", F.explode(F.aggregate("pages", F.struct(F.col("wait"), none.alias("starts")), found, lambda s: s["starts"])).alias("w"))
+    return folded.select("pdf_id", F.col("w.i").alias("window_start"), (F.least(F.col("w.i") + size, F.col("n")) - 1).alias("window_end"), F.when(F.col("w.u"), 2.0).otherwise(1.0).alias("priority"))
