@@ -14,12 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import kept
 
 BLOCK = 20_000
+#: Documents and queries of a block that compares words.
+TEXTS, ASKED = 10_000, 4_096
 #: Scores are compared to so many digits, equal ones by id: a product's last digits depend on where a vector stands in a block.
 DIGITS = 9
 
@@ -176,6 +179,63 @@ def token_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.groupBy("query", "doc_id").agg((F.count("*") / F.max("n")).alias("share"))
 
 
+def best_token_scores(docs: DataFrame, queries: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """(query, doc_id, share): the shares of `token_scores` that can enter the first k of a hybrid search, from docs (doc_id, words) and queries (query, words).
+
+    Those are the shares of what near (query, vec_id) holds, and for each query the first k others, so the most that a query is near to are
+    ranked as well. Blocks of documents and queries meet, each ranks its own, and only first ones are shuffled: no pair of a query and a document is.
+    """
+    docs = docs.select("doc_id", F.array_distinct("words").alias("words"))
+    asked = queries.groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("asked")).where(F.size("asked") > 0)
+    n_docs, n_asked = docs.count(), asked.count()
+    most = k + (near.groupBy("query").count().agg(F.max("count")).first()[0] or 0)
+    parts, turns = max(1, -(-n_docs // TEXTS)), max(1, -(-n_asked // ASKED))
+    left = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    right = asked.withColumn("turn", F.pmod(F.xxhash64("query"), F.lit(turns)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    kinds = f"query {asked.schema['query'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, share double"
+
+    def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        texts, wanted = texts.combine_chunks(), wanted.combine_chunks()
+        lists, words = (t.column(c).combine_chunks() for t, c in ((texts, "words"), (wanted, "asked")))
+        names = words.flatten().unique()
+        ids = texts.column("doc_id").combine_chunks().dictionary_encode()
+        order = pc.sort_indices(ids.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        n = max(len(order), 1)
+        row = np.repeat(place[ids.indices.to_numpy()], pc.list_value_length(lists).fill_null(0).to_numpy()) if len(lists) else np.zeros(0, np.int64)
+        code = pc.index_in(lists.flatten(), value_set=names).fill_null(-1).to_numpy().astype(np.int64)
+        held = np.unique((code * n + row)[code >= 0])
+        edges = np.searchsorted(held, np.arange(len(names) + 1) * n)
+        held %= n
+        asks = pc.index_in(words.flatten(), value_set=names).to_numpy()
+        sizes = pc.list_value_length(words).to_numpy()
+        ends = np.cumsum(sizes)
+        rows, found, shares = [], [], []
+        for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
+            count = np.zeros(n, np.int64)
+            for t in asks[end - size : end].tolist():
+                count[held[edges[t] : edges[t + 1]]] += 1
+            at = np.flatnonzero(count)
+            if len(at) > most:
+                # by count, equal ones by id
+                at = at[np.argpartition(-count[at] * n + at, most - 1)[:most]]
+            rows.append(np.full(len(at), i))
+            found.append(at)
+            shares.append(count[at] / size)
+        none = [np.zeros(0, np.int64)]
+        rows, found, shares = (np.concatenate(x or none) for x in (rows, found, shares))
+        return pa.table([wanted.column("query").take(pa.array(rows)), ids.dictionary.take(order).take(pa.array(found)), pa.array(shares, pa.float64())], names=["query", "doc_id", "share"])
+
+    each = left.groupBy("part", "turn").cogroup(right.groupBy("part", "turn")).applyInArrow(run, kinds)
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("minus"), "doc_id"))), 1, most)
+    first = each.groupBy("query").agg(ranked.alias("best")).select("query", F.explode("best").alias("b")).select("query", "b.doc_id", (-F.col("b.minus")).alias("share"))
+    pairs = near.select("query", F.col("vec_id").alias("doc_id")).distinct().join(asked, "query").join(docs, "doc_id")
+    common = F.array_distinct(F.flatten(F.collect_list(F.array_intersect("words", "asked"))))
+    met = pairs.groupBy("query", "doc_id").agg(F.size(common).alias("n"), F.first("asked").alias("asked")).where("n > 0").select("query", "doc_id", (F.col("n") / F.size("asked")).alias("share"))
+    return first.unionByName(met).dropDuplicates(["query", "doc_id"])
+
+
 def hybrid(by_vector: DataFrame, by_words: DataFrame, k: int = 10, vector_weight: float = 0.6, word_weight: float = 0.4) -> DataFrame:
     """(query, rank, doc_id, score): the first k by the weighted sum of cosine (query, vec_id, score) and share of words (query, doc_id, share).
 

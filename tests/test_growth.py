@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import carried, cascade, evaluate, segment, store
+from paperloom.operators import carried, cascade, evaluate, segment, store, vectors
 
 
 def plan(df):
@@ -70,3 +70,18 @@ def test_greedy_matches_fold_only_what_hangs_together(spark):
     out = evaluate.greedy_matches(spark.createDataFrame(pred, schema), spark.createDataFrame(truth, schema))
     assert sorted((r.ps, r.ts) for r in out.collect()) == sorted((p[1], t[1]) for p, t in zip(pred, truth, strict=True))
     assert "part#" in plan(out)
+
+
+def test_best_word_shares_equal_all_of_them(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TEXTS", 40)
+    monkeypatch.setattr(vectors, "ASKED", 3)
+    rng = random.Random(5)
+    rows = [(i, [rng.choice("abcdefgh") for _ in range(rng.randint(0, 6))]) for i in range(200)] + [(7, ["a", "h"]), (7, ["b"])]
+    docs = spark.createDataFrame(rows, "doc_id long, words array<string>")
+    queries = spark.createDataFrame([(q, [rng.choice("abcdefghz") for _ in range(4)]) for q in range(10)] + [(10, [])], "query long, words array<string>")
+    near = spark.createDataFrame([(q, v, rng.uniform(-1, 1)) for q in range(11) for v in rng.sample(range(200), 12)], "query long, vec_id long, score double")
+    index = docs.select("doc_id", F.explode("words").alias("token"))
+    every = vectors.hybrid(near, vectors.token_scores(index, queries), 5).collect()
+    best = vectors.best_token_scores(docs, queries, near, 5)
+    assert sorted(map(tuple, vectors.hybrid(near, best, 5).collect())) == sorted(map(tuple, every))
+    assert best.groupBy("query").count().agg(F.max("count")).first()[0] <= 5 + 2 * 12
