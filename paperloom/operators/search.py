@@ -177,6 +177,10 @@ def query_test(query: str, fields: tuple[str, ...] = ("text",)) -> Column:
     return F.exists(F.array(F.struct(*spelled)), lambda row: _combined(parts, lambda t: one(row, t)))
 
 
+#: Bytes of text whose words are sorted at once.
+PIECE = 2 << 20
+
+
 def postings(docs: DataFrame, fields: tuple[str, ...] = (), stems: bool = False) -> DataFrame:
     """(token, doc_id, tf, positions) of the words of text; with fields, (field, token, doc_id, tf, positions) of each of these columns.
 
@@ -187,8 +191,16 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = (), stems: bool = False)
     named = fields or ("text",)
     texts = docs.select("doc_id", *(F.array_join(F.filter(tokens_of(f), lambda w: w != ""), " ").alias(f"f{i}") for i, f in enumerate(named)))
 
-    def run(batches):
+    def pieces(batches):
         for b in batches:
+            sizes = sum(np.asarray(pc.binary_length(c)).astype(np.int64) for c in b.columns[1:])
+            # where another PIECE characters have begun
+            edges = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE)) + 1
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+                yield b.slice(i, j - i)
+
+    def run(batches):
+        for b in pieces(batches):
             for i, name in enumerate(named):
                 lists = pc.split_pattern(b.column(i + 1), " ")
                 words, row = lists.flatten(), np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))

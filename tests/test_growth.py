@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import carried, cascade, evaluate, segment, store, vectors
+from paperloom.operators import carried, cascade, evaluate, search, segment, store, vectors
 
 
 def plan(df):
@@ -85,3 +85,10 @@ def test_best_word_shares_equal_all_of_them(spark, monkeypatch):
     best = vectors.best_token_scores(docs, queries, near, 5)
     assert sorted(map(tuple, vectors.hybrid(near, best, 5).collect())) == sorted(map(tuple, every))
     assert best.groupBy("query").count().agg(F.max("count")).first()[0] <= 5 + 2 * 12
+
+
+def test_postings_of_pieces_equal_those_of_whole_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, None if i % 7 == 3 else f"a {i % 5} b{i} a" * (i % 4), f"t{i % 3} a") for i in range(90)], "doc_id int, text string, title string").coalesce(1)
+    whole = sorted(map(str, search.postings(docs, ("title", "text")).collect()))
+    monkeypatch.setattr(search, "PIECE", 40)
+    assert sorted(map(str, search.postings(docs, ("title", "text")).collect())) == whole
