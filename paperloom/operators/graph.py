@@ -1,9 +1,9 @@
 """The evidence graph: claims, documents, facts and parties, and what they support, contradict, reference, respond to or cause.
 
 Edges are rows (source_id, target_id, relationship_type). Walks go in rounds, one for each hop: the frontier of the round before
-meets the edges, and what it finds is written down, so a lost executor costs a round at most and no edge is followed twice for
-one start. Nodes with more than HUB edges are split: their edges are dealt by the hash of the target, and only rows of a
-frontier that stand at such a node are copied to its parts.
+meets the edges, and what it finds is written down, so a lost executor costs a round at most. Nodes with more than HUB edges are
+split: their edges are dealt by the hash of the target, and only rows of a frontier that stand at such a node are copied to its parts.
+`reach` writes only frontiers of nodes from which edges go on; what a walk ends at passes one shuffle, in lists of targets.
 """
 
 from __future__ import annotations
@@ -23,36 +23,58 @@ class _Edges:
     """Distinct edges by source, those of hubs in parts."""
 
     def __init__(self, edges: DataFrame, hub: int):
-        pairs = edges.where("source_id is not null and target_id is not null").select("source_id", "target_id").distinct()
+        pairs = kept(edges.where("source_id is not null and target_id is not null").select("source_id", "target_id").distinct(), "graph-pairs")
         degrees = pairs.groupBy("source_id").agg(F.count("*").alias("degree")).where(F.col("degree") > hub)
         self.hubs = kept(degrees.select("source_id", F.ceil(F.col("degree") / hub).cast("int").alias("parts")), "graph-hubs")
         dealt = pairs.join(self.hubs, "source_id", "left")
         part = F.coalesce(F.pmod(F.xxhash64("target_id"), F.col("parts")), F.lit(0)).cast("int")
         self.pairs = kept(dealt.select("source_id", "target_id", part.alias("part")), "graph-edges")
 
-    def step(self, frontier: DataFrame) -> DataFrame:
-        """The frontier's rows with each target of their node."""
+    def step(self, frontier: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+        """The frontier's rows with each target of their node, or with what `edges` has for (source_id, part)."""
         at = frontier.join(self.hubs.withColumnRenamed("source_id", "node"), "node", "left")
         at = at.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-        return at.join(self.pairs.withColumnRenamed("source_id", "node"), ["node", "part"]).drop("part")
+        return at.join((self.pairs if edges is None else edges).withColumnRenamed("source_id", "node"), ["node", "part"]).drop("part")
+
+
+def _lists(pairs: DataFrame) -> DataFrame:
+    """(source_id, part, base, targets): targets by source and part; of longs the lower halves, base being the upper one."""
+    target, base = F.col("target_id"), F.lit(None).cast("long")
+    if dict(pairs.dtypes)["target_id"] == "bigint":
+        base = F.shiftright(target, 32)
+        target = (target - F.shiftleft(base, 32) - 2**31).cast("int")
+    return pairs.groupBy("source_id", "part", base.alias("base")).agg(F.collect_list(target).alias("targets"))
+
+
+def _unlisted(lists: DataFrame, kind: str) -> DataFrame:
+    """(seed, node, distance) of (seed, base, targets, distance), parted by seed; the null seed has an empty list."""
+    each = lists.repartition("seed").select("seed", "base", F.explode_outer("targets").alias("node"), "distance")
+    return each.withColumn("node", F.shiftleft("base", 32) + F.col("node").cast("long") + 2**31).drop("base") if kind == "bigint" else each.drop("base")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int, kinds: list[str] | None = None, hub: int = HUB) -> DataFrame:
     """(seed, node, distance): all nodes that a walk of at most `hops` edges of these kinds reaches from each seed, itself at 0.
 
-    Semi-naive: a round expands only what the one before found first, and drops what earlier rounds know. Edges with a null end
-    count as none; seeds without edges reach themselves.
+    Semi-naive: a round expands only what the one before found first, and drops what earlier rounds know; of the nodes without
+    edges it keeps nothing, as no round asks for them. All that is found is listed once more in the end, each node at its least
+    distance, and comes parted by seed. Edges with a null end count as none; seeds without edges reach themselves.
     """
     known = _Edges(edges if kinds is None else edges.where(F.col("relationship_type").isin(kinds)), hub)
-    rounds = [kept(seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct().withColumn("distance", F.lit(0)), "graph-reach")]
+    kind = dict(known.pairs.dtypes)["target_id"]
+    inner = kept(known.pairs.join(known.pairs.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi"), "graph-inner")
+    lists, start = kept(_lists(known.pairs), "graph-lists"), seeds.select(F.col("seed").cast(kind).alias("source_id"), F.col("seed").cast(kind).alias("target_id"), F.lit(0).alias("part"))
+    rounds = [kept(seeds.select(F.col("seed"), F.col("seed").cast(kind).alias("node")).distinct(), "graph-reach")]
+    found = [_lists(start.distinct()).select(F.col("source_id").alias("seed"), "base", "targets", F.lit(0).alias("distance"))]
     for hop in range(1, hops + 1):
-        found = known.step(rounds[-1].select("seed", "node")).select("seed", F.col("target_id").alias("node")).distinct()
-        before = reduce(DataFrame.unionByName, rounds)
-        new = kept(found.join(before, ["seed", "node"], "left_anti").withColumn("distance", F.lit(hop)), "graph-reach")
+        found.append(known.step(rounds[-1], lists).select("seed", "base", "targets", F.lit(hop).alias("distance")))
+        if hop == hops:
+            break
+        next_ = known.step(rounds[-1], inner).select("seed", F.col("target_id").alias("node")).distinct()
+        new = kept(next_.join(reduce(DataFrame.unionByName, rounds), ["seed", "node"], "left_anti"), "graph-reach")
         if new.isEmpty():
             break
         rounds.append(new)
-    return reduce(DataFrame.unionByName, rounds)
+    return _unlisted(reduce(DataFrame.unionByName, found), kind).groupBy("seed", "node").agg(F.min("distance").alias("distance"))
 
 
 def chains(edges: DataFrame, seeds: DataFrame, hops: int, kinds: list[str] | None = None, hub: int = HUB) -> DataFrame:

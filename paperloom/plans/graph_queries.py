@@ -15,29 +15,59 @@ from ..operators import graph
 from .corpus import spread, table
 
 
+#: The kinds of nodes; a node in numbers is its key plus its kind's place times SPAN.
+KINDS, SPAN, DIGITS = ("claim", "doc", "fact", "party"), 2**60, 17
+
+
 def _named(kind: str, key: str) -> F.Column:
     return F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
 
 
-def evidence_edges(spark, sf_dir) -> DataFrame:
+def _numbered(kind: str, key: str) -> F.Column:
+    return F.col(key).cast("long") + F.lit(KINDS.index(kind) * SPAN)
+
+
+def _kind(node: F.Column) -> F.Column:
+    return F.shiftright(node + SPAN // 2, 60)
+
+
+def _spelled_order(key: F.Column) -> F.Column:
+    """A long that sorts as the key's digits do, as text: the digits filled up by zeros, then their number; keys of over 17 digits fail."""
+    size = F.char_length(F.abs(key).cast("string"))
+    order = F.when(size <= DIGITS, F.abs(key) * F.element_at(F.array(*(F.lit(10 ** (DIGITS - n)) for n in range(1, DIGITS + 1))), F.least(size, F.lit(DIGITS))) * 20 + size)
+    order = F.when(key.isNotNull() & order.isNull(), F.raise_error(F.lit("keys of nodes have at most 17 digits")).cast("long")).otherwise(order)
+    return F.when(key < 0, order - 20 * 10**DIGITS).otherwise(order)
+
+
+def _of_order(order: F.Column) -> F.Column:
+    """The key of a place in _spelled_order."""
+    size, digits = F.pmod(order, F.lit(20)).cast("int"), F.when(order < 0, order + 20 * 10**DIGITS).otherwise(order)
+    return F.concat(F.when(order < 0, "-").otherwise(""), F.lpad(F.call_function("div", digits, F.lit(20)).cast("string"), DIGITS, "0").substr(F.lit(1), size))
+
+
+def evidence_edges(spark, sf_dir, node=_named) -> DataFrame:
+    """Edges, some of them repeated, of nodes spelled as kind:key, or as `node` has them."""
     orders, lines = spread(table(spark, sf_dir, "orders")), spread(table(spark, sf_dir, "lineitem"))
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    claims = orders.where("o_orderpriority in ('1-URGENT', '2-HIGH')").select(_named("claim", "o_custkey"), _named("doc", "o_orderkey"), F.lit("supports"))
-    replies = orders.select("o_orderkey", before.alias("before")).where("before is not null").select(_named("doc", "o_orderkey"), _named("doc", "before"), F.lit("responds_to"))
+    claims = orders.where("o_orderpriority in ('1-URGENT', '2-HIGH')").select(node("claim", "o_custkey"), node("doc", "o_orderkey"), F.lit("supports"))
+    replies = orders.select("o_orderkey", before.alias("before")).where("before is not null").select(node("doc", "o_orderkey"), node("doc", "before"), F.lit("responds_to"))
     kind = F.when(F.col("l_returnflag") == "A", "supports").when(F.col("l_returnflag") == "R", "contradicts").otherwise("references")
-    facts = lines.select(_named("doc", "l_orderkey"), _named("fact", "l_partkey"), kind).distinct()
-    causes = lines.select(_named("fact", "l_partkey"), _named("party", "l_suppkey"), F.lit("causes")).distinct()
+    facts = lines.select(node("doc", "l_orderkey"), node("fact", "l_partkey"), kind)
+    causes = lines.select(node("fact", "l_partkey"), node("party", "l_suppkey"), F.lit("causes"))
     return reduce(DataFrame.union, (claims, replies, facts, causes)).toDF("source_id", "target_id", "relationship_type")
 
 
-def _claims(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(_named("claim", "c_custkey").alias("seed"))
+def _claims(spark, sf_dir, node=_named) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(node("claim", "c_custkey").alias("seed"))
 
 
 def evidence_reach(spark, sf_dir):
     """How far each claim's evidence goes in four hops: nodes by kind and distance."""
-    found = graph.reach(evidence_edges(spark, sf_dir), _claims(spark, sf_dir), 4)
-    return found.groupBy("seed", F.substring_index("node", ":", 1).alias("kind"), "distance").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    found = graph.reach(evidence_edges(spark, sf_dir, _numbered), _claims(spark, sf_dir, _numbered), 4)
+    kind = _kind(F.col("node"))
+    least = found.groupBy("seed", kind.alias("kind"), "distance").agg(F.count("*").alias("n"), F.min(_spelled_order(F.col("node") - kind * SPAN)).alias("first"))
+    seed, name = F.concat(F.lit("claim:"), F.col("seed").cast("string")), F.element_at(F.array(*map(F.lit, KINDS)), (F.col("kind") + 1).cast("int"))
+    return least.select(seed.alias("seed"), name.alias("kind"), "distance", "n", F.concat(name, F.lit(":"), _of_order(F.col("first"))).alias("first"))
 
 
 def evidence_chains(spark, sf_dir):

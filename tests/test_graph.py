@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.operators import graph
+from paperloom.plans import graph_queries
 
 
 def walks(edges, seeds, hops):
@@ -48,3 +50,26 @@ def test_contradictions_and_gaps(spark):
     nodes = spark.createDataFrame([(x, "doc") for x in "abcd"] + [("e", "claim")], "node string, kind string")
     got = graph.missing_evidence(nodes, edges, {"doc": ["supports", "contradicts"], "claim": ["supports"]}).collect()
     assert sorted(map(tuple, got)) == [("d", "doc", "supports or contradicts"), ("e", "claim", "supports")]
+
+
+@pytest.mark.parametrize("hub", [10_000, 3])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ends_of_walks_are_not_written(spark, monkeypatch, hub, kind):
+    written, keep = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df, name: written.append((name, keep(df, name))) or written[-1][1])
+    big = 2**60
+    rows = [(0, 1), (0, big), (1, big), (1, -7)] + [(big, 2**31 * k - 5) for k in range(20)] + [(-7, big + k) for k in range(1, 20)]
+    edges = spark.createDataFrame([(*r, "x") for r in rows], "source_id long, target_id long, relationship_type string")
+    edges = edges.withColumns({c: edges[c].cast(kind) for c in ("source_id", "target_id")})
+    seeds = spark.createDataFrame([(0,), (-7,)], "seed long").select(F.col("seed").cast(kind))
+    least = {(0, 0): 0, (-7, -7): 0} | {(s, p[-1]): len(p) - 1 for s, p in reversed(walks(rows, [0, -7], 3))}
+    got = graph.reach(edges, seeds, 3, None, hub).collect()
+    assert {(int(r.seed), int(r.node)): r.distance for r in got} == least and len(got) == len(least)
+    assert sum(df.count() for name, df in written if name == "graph-reach") == 5
+
+
+def test_spelled_order_sorts_as_text(spark):
+    keys = [0, 1, 2, 9, 10, 11, 99, 100, -1, -2, -10, 10**16, 10**17 - 1, 12345678901234567]
+    order = graph_queries._spelled_order(F.col("k"))
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", order.alias("o"), graph_queries._of_order(order).alias("text")).collect()
+    assert [r.text for r in sorted(rows, key=lambda r: r.o)] == sorted(map(str, keys)) and all(r.text == str(r.k) for r in rows)
