@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quality import strip
+from ..functions.quality import let, strip
+from ..functions.signs import has_any, with_low
 from . import segment
 
 # Patterns that mark the first page of a document.
@@ -50,8 +51,8 @@ SECTION = r"STRUCTURAL\s+ENGINEERING|HVAC\s+DUCT|SEISMIC\s+BRACING|SHEET\s+\d+"
 RUNNING_LINE = r"\A(Page\s+\d+|.*Project.*|\d{1,2}/\d{1,2}/\d{4})\Z"
 
 
-def _has(s: Column, *patterns: str) -> Column:
-    return s.rlike("(?imd)" + "|".join(f"(?:{p})" for p in patterns))
+def _has(s: Column, *patterns: str, low: Column | None = None) -> Column:
+    return has_any(s, patterns, "imd", low)
 
 
 def _group(s: Column, pattern: str, group: int = 1) -> Column:
@@ -79,8 +80,11 @@ def order_number(text: Column) -> Column:
 
 def form_start(text: Column) -> Column:
     """Two or more form fields in the first 1000 characters."""
-    head = F.substring(text, 1, 1000)
-    return reduce(lambda a, b: a + b, (_has(head, p).cast("int") for p in FORM_SIGNS)) >= 2
+    return with_low(F.substring(text, 1, 1000), _form_start)
+
+
+def _form_start(head: Column, low: Column) -> Column:
+    return reduce(lambda a, b: a + b, (_has(head, p, low=low).cast("int") for p in FORM_SIGNS)) >= 2
 
 
 def opens(text: Column) -> Column:
@@ -91,10 +95,14 @@ def opens(text: Column) -> Column:
 def base_start(text: Column, page_num: Column, min_chars: int = 20) -> Column:
     """Whether a page by itself starts a document: all sign lists, page kinds, title lines and form fields."""
     t = F.coalesce(text, F.lit(""))
-    head = F.substring(t, 1, 1500)
+    return with_low(F.substring(t, 1, 1500), lambda head, low: _base_start(t, page_num, min_chars, head, low))
+
+
+def _base_start(t: Column, page_num: Column, min_chars: int, head: Column, low: Column) -> Column:
+    # a page with a sign starts a document whichever it is, so the cheap rules come first
     rules = [
-        _has(F.substring(t, 1, 800), *EMAIL_SIGNS), _has(F.substring(t, 1, 400), *BASIC_SIGNS) & ((page_num == 0) | opens(t)), segment.page_start(t, page_num, 0),
-        _has(head, *START_PATTERNS), head.rlike(segment.DRAWING_NUMBER), form_start(t),
+        _has(F.substring(t, 1, 400), *BASIC_SIGNS, low=low) & ((page_num == 0) | opens(t)), segment._page_start(t, page_num, 0, head, low), _has(head, *START_PATTERNS, low=low),
+        _has(F.substring(t, 1, 800), *EMAIL_SIGNS, low=low), head.rlike(segment.DRAWING_NUMBER), _form_start(F.substring(t, 1, 1000), low),
     ]
     return (F.char_length(strip(t)) >= min_chars) & reduce(lambda a, b: a | b, rules)
 
@@ -102,18 +110,23 @@ def base_start(text: Column, page_num: Column, min_chars: int = 20) -> Column:
 def facts(text: Column, page_num: Column, min_chars: int = 20) -> Column:
     """struct of all that the chain asks of a page."""
     t = F.coalesce(text, F.lit(""))
+    one = F.struct(t.alias("t"), F.substring(t, 1, 1500).alias("head"), F.lower(F.substring(t, 1, 1500)).alias("low"))
+    return let(one, lambda x: _facts(x["t"], page_num, min_chars, x["head"], x["low"]))
+
+
+def _facts(t: Column, page_num: Column, min_chars: int, head: Column, low: Column) -> Column:
     h200, h500, h1000 = (F.substring(t, 1, n) for n in (200, 500, 1000))
     at_from = F.instr(F.lower(t), "from:")
     asked = {
         "n": F.char_length(t), "quoted": F.regexp_count(t, F.lit(r"(?md)^>+\s*")) > F.size(F.split(t, "\n")) * 0.3, "subject": clean_subject(t),
-        "mail": _has(t, "From:|To:|Subject:"), "header": _has(h1000, EMAIL_HEADER) & (at_from <= 51) & ~_has(h500, QUOTED_MAIL),
+        "mail": _has(t, "From:|To:|Subject:"), "header": _has(h1000, EMAIL_HEADER, low=low) & (at_from <= 51) & ~_has(h500, QUOTED_MAIL, low=low),
         "slip": F.contains(F.upper(t), F.lit("PACKING SLIP")), "slip_head": F.contains(F.upper(h200), F.lit("PACKING SLIP")), "vendor": vendor(t), "order": order_number(t),
-        "drawing": _has(h500, SHEET), "sheet": _group(h500, r"SHEET\s*(\d+)").try_cast("bigint"), "section": _has(h500, SECTION),
-        "rfi": _group(h500, r"RFI[:\s#-]*(\d+)"), "rfi_head": _has(h1000, r"REQUEST\s+FOR\s+INFORMATION.*RFI[:\s#-]*\d+"),
-        "submittal": _has(h500, "SUBMITTAL"), "submittal_no": _group(h500, r"SUBMITTAL.*?(\d+)"), "submittal_head": _has(h500, r"SUBMITTAL\s*(TRANSMITTAL|#|NUMBER)?[:\s]*\d+"), "shop": _has(h500, r"SHOP\s+DRAWING.*SUBMITTAL"),
-        "payment": _has(h500, PAYMENT_LIKE), "g703": _has(h500, r"Document\s+G703.*Continuation\s+Sheet"), "values": _has(h500, r"SCHEDULE\s+OF\s+VALUES"), "more": _has(h500, r"Application\s+No|Period\s+To|ITEM\s+SCHEDULED"),
-        "invoice": _has(h500, INVOICE_LIKE), "invoice_no": _group(h500, r"Invoice\s*#?\s*:?\s*(\d+)"), "cost": _has(h500, r"COST\s+PROPOSAL\s*#?\s*\d+"),
-        "running": (F.char_length(strip(t)) < 100) & strip(t).rlike("(?id)" + RUNNING_LINE), "base": base_start(t, page_num, min_chars),
+        "drawing": _has(h500, SHEET, low=low), "sheet": _group(h500, r"SHEET\s*(\d+)").try_cast("bigint"), "section": _has(h500, SECTION, low=low),
+        "rfi": _group(h500, r"RFI[:\s#-]*(\d+)"), "rfi_head": _has(h1000, r"REQUEST\s+FOR\s+INFORMATION.*RFI[:\s#-]*\d+", low=low),
+        "submittal": _has(h500, "SUBMITTAL", low=low), "submittal_no": _group(h500, r"SUBMITTAL.*?(\d+)"), "submittal_head": _has(h500, r"SUBMITTAL\s*(TRANSMITTAL|#|NUMBER)?[:\s]*\d+", low=low), "shop": _has(h500, r"SHOP\s+DRAWING.*SUBMITTAL", low=low),
+        "payment": _has(h500, PAYMENT_LIKE, low=low), "g703": _has(h500, r"Document\s+G703.*Continuation\s+Sheet", low=low), "values": _has(h500, r"SCHEDULE\s+OF\s+VALUES", low=low), "more": _has(h500, r"Application\s+No|Period\s+To|ITEM\s+SCHEDULED", low=low),
+        "invoice": _has(h500, INVOICE_LIKE, low=low), "invoice_no": _group(h500, r"Invoice\s*#?\s*:?\s*(\d+)"), "cost": _has(h500, r"COST\s+PROPOSAL\s*#?\s*\d+", low=low),
+        "running": (F.char_length(strip(t)) < 100) & strip(t).rlike("(?id)" + RUNNING_LINE), "base": _base_start(t, page_num, min_chars, head, low),
     }
     return F.struct(*(c.alias(k) for k, c in asked.items()))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import let, strip
+from ..functions.signs import has_any
 from . import segment
 
 # Signs of a new document with their labels, of a page that goes on, of quoted mail, weak signs and carriers.
@@ -29,8 +30,8 @@ ATTACHED = r"(?id)(See attached|Attached please find|Attachment)"
 INSTANCES = {"COST_PROPOSAL": r"COST\s+PROPOSAL|Proposal\s*#?\s*\d+", "RFI": r"REQUEST\s+FOR\s+INFORMATION|RFI\s*#?\s*\d+"}
 
 
-def _has(s: Column, patterns: tuple[str, ...], flags: str = "imd") -> Column:
-    return s.rlike(f"(?{flags})" + "|".join(f"(?:{p})" for p in patterns))
+def _has(s: Column, patterns: tuple[str, ...], flags: str = "imd", low: Column | None = None) -> Column:
+    return has_any(s, patterns, flags, low)
 
 
 def _found(s: Column, pattern: str) -> Column:
@@ -43,22 +44,22 @@ def facts(text: Column) -> Column:
 
     The struct is built inside one expression, so that no rule makes the optimizer copy its patterns.
     """
-    return let(F.coalesce(text, F.lit("")), lambda t: let(segment.first_kind(t), lambda kind: _facts(t, kind)))
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.struct(segment.first_kind(t).alias("kind"), F.lower(t).alias("low")), lambda x: _facts(t, x["kind"], x["low"])))
 
 
-def _facts(t: Column, kind: Column) -> Column:
+def _facts(t: Column, kind: Column, low: Column) -> Column:
     head = lambda n: F.substring(t, 1, n)
     subject = F.regexp_replace(_found(head(1000), r"Subject:\s*(.+?)(?:\n|$)"), r"(?i)^(RE:|FW:|Fwd:)\s*", "")
-    low, carrier = F.lower(head(500)), F.lit(None).cast("string")
+    head_low, carrier = F.lower(head(500)), F.lit(None).cast("string")
     for name in CARRIERS:
-        carrier = F.when(F.contains(low, F.lit(name.lower())), F.lit(name)).otherwise(carrier)
-    again = reduce(lambda a, b: a | b, ((kind == k) & _has(head(300), (p,), "id") for k, p in INSTANCES.items()))
+        carrier = F.when(F.contains(head_low, F.lit(name.lower())), F.lit(name)).otherwise(carrier)
+    again = reduce(lambda a, b: a | b, ((kind == k) & _has(head(300), (p,), "id", low) for k, p in INSTANCES.items()))
     asked = {
-        "blank": F.length(strip(t)) < 50, "kind": kind, "strong": F.coalesce(*(F.when(_has(head(1000), (p,)), F.lit(k)) for p, k in START_SIGNS)),
-        "goes_on": _has(t, GOES_ON, "id"), "quoted": _has(t, QUOTES), "page_no": F.regexp_extract(t, r"(?id)Page\s+(\d+)\s+of\s+(\d+)", 1).try_cast("bigint"),
+        "blank": F.length(strip(t)) < 50, "kind": kind, "strong": F.coalesce(*(F.when(_has(head(1000), (p,), low=low), F.lit(k)) for p, k in START_SIGNS)),
+        "goes_on": _has(t, GOES_ON, "id", low), "quoted": _has(t, QUOTES, low=low), "page_no": F.regexp_extract(t, r"(?id)Page\s+(\d+)\s+of\s+(\d+)", 1).try_cast("bigint"),
         "subject": F.lower(strip(subject)), "sent": F.coalesce(_found(head(500), r"Sent:\s*([^\n]+)"), _found(head(500), r"Date:\s*([^\n]+)")),
-        "carrier": carrier, "order_no": _found(head(500), r"Order\s*#?\s*(\d+)"), "slip": _has(head(200), (r"^\s*PACKING\s+SLIP",)), "again": F.coalesce(again, F.lit(False)),
-        "weak": _has(head(200), WEAK_SIGNS), "sheet": _has(t, (r"CONTINUATION\s+SHEET",), "id"), "attached": F.substring(t, -500, 500).rlike(ATTACHED),
+        "carrier": carrier, "order_no": _found(head(500), r"Order\s*#?\s*(\d+)"), "slip": _has(head(200), (r"^\s*PACKING\s+SLIP",), low=low), "again": F.coalesce(again, F.lit(False)),
+        "weak": _has(head(200), WEAK_SIGNS, low=low), "sheet": _has(t, (r"CONTINUATION\s+SHEET",), "id", low), "attached": F.substring(t, -500, 500).rlike(ATTACHED),
     }
     return F.struct(*(v.alias(k) for k, v in asked.items()))
 
