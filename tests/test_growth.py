@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from paperloom.operators import carried, cascade, evaluate, search, segment, store, vectors
+from paperloom.plans import corpus
 
 
 def plan(df):
@@ -92,3 +93,12 @@ def test_postings_of_pieces_equal_those_of_whole_batches(spark, monkeypatch):
     whole = sorted(map(str, search.postings(docs, ("title", "text")).collect()))
     monkeypatch.setattr(search, "PIECE", 40)
     assert sorted(map(str, search.postings(docs, ("title", "text")).collect())) == whole
+
+
+def test_pages_lie_in_as_many_partitions_as_there_are(spark, tmp_path):
+    customers = spark.range(40).select(F.col("id").alias("c_custkey"), F.lit("a").alias("c_name"))
+    orders = spark.range(80).select(F.col("id").alias("o_orderkey"), (F.col("id") % 40).alias("o_custkey"), F.lit("2020-01-01").cast("timestamp").alias("o_orderdate"), F.lit(1.0).alias("o_totalprice"))
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    pages = corpus.packets(spark, str(tmp_path))
+    assert pages.select(F.spark_partition_id()).distinct().count() == 4 and pages.count() == 159
