@@ -31,17 +31,23 @@ def _party(name: Column, role: Column | None = None, email: Column | None = None
     return F.struct(name.alias("name"), (none if role is None else role).alias("role"), (none if email is None else email).alias("email"), F.lit(kind).cast("string").alias("kind"))
 
 
+def _all(text: Column, words: tuple[str, ...], pattern: str) -> Column:
+    """All matches of a pattern that needs one of the words as it is spelled; texts without them are not searched."""
+    some = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)) if len(words) > 1 else F.contains(text, F.lit(words[0]))
+    return F.when(some, F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
+
+
 def found(text: Column) -> Column:
     """Array of (name, role, email, kind) in order of kinds of evidence; each name once, as it was found first. Null is empty."""
     t = F.coalesce(text, F.lit(""))
-    mails = F.regexp_extract_all(t, F.lit(rf"(?:{NAME})(?<![a-zA-Z0-9._%+-]){metadata.EMAIL}"), 0)
+    mails = _all(t, ("@",), rf"(?:{NAME})(?<![a-zA-Z0-9._%+-]){metadata.EMAIL}")
     people = F.transform(mails, lambda m: _party(F.regexp_extract(m, r"\A([A-Z][a-z]+ (?:[A-Z]\. )?[A-Z][a-z]+)", 1), email=F.regexp_extract(m, metadata.EMAIL + r"\z", 1)))
     roles = F.transform(metadata.role_parties(t), lambda r: _party(clean_name(r["name"]), role=F.initcap(r["role"])))
     ends = "|".join(e.replace(".", r"\.") for e in COMPANY_ENDS)
-    whole = F.regexp_extract_all(t, F.lit(rf"\b{CAPITALS}\s+(?:{ends})\b"), 0)
+    whole = _all(t, COMPANY_ENDS, rf"\b{CAPITALS}\s+(?:{ends})\b")
     # between the name and its ending any white space counts as one space
     companies = F.transform(whole, lambda c: _party(F.regexp_replace(c, rf"\s+({ends})$", " $1"), kind="company"))
-    agencies = F.flatten(F.array(*(F.transform(F.regexp_extract_all(t, F.lit(rf"\b{CAPITALS}\s+{e}\b"), 0), lambda a: _party(a, kind="agency")) for e in AGENCY_ENDS)))
+    agencies = F.flatten(F.array(*(F.transform(_all(t, (e,), rf"\b{CAPITALS}\s+{e}\b"), lambda a: _party(a, kind="agency")) for e in AGENCY_ENDS)))
 
     def once(all_of: Column) -> Column:
         names = F.transform(all_of, lambda x: x["name"])

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import carried, cascade, evaluate, search, segment, store, vectors
+from paperloom.operators import carried, cascade, evaluate, people, search, segment, store, vectors
 from paperloom.plans import corpus
 
 
@@ -102,3 +102,11 @@ def test_pages_lie_in_as_many_partitions_as_there_are(spark, tmp_path):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     pages = corpus.packets(spark, str(tmp_path))
     assert pages.select(F.spark_partition_id()).distinct().count() == 4 and pages.count() == 159
+
+
+def test_texts_without_a_word_are_not_searched_for_names(spark):
+    texts = spark.createDataFrame([("nothing here",), ("Lincoln School District; Ann Lee <a@b.org>",)], "text string").coalesce(1)
+    got = texts.select(people.found(F.col("text")).alias("p"))
+    names = [{x.name for x in r.p} for r in got.collect()]
+    assert names[0] == set() and {"Ann Lee", "Lincoln School District"} <= names[1]
+    assert "contains(" in plan(got).lower()
