@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import carried, cascade, evaluate, people, search, segment, store, vectors
+from paperloom.operators import carried, cascade, evaluate, parties, people, search, segment, store, vectors
 from paperloom.plans import corpus
 
 
@@ -110,3 +110,26 @@ def test_texts_without_a_word_are_not_searched_for_names(spark):
     names = [{x.name for x in r.p} for r in got.collect()]
     assert names[0] == set() and {"Ann Lee", "Lincoln School District"} <= names[1]
     assert "contains(" in plan(got).lower()
+
+
+def test_crowded_names_are_compared_with_openers_alone(spark, monkeypatch):
+    rng = random.Random(17)
+    words = ["Harbor", "Harbour", "Light", "Lights", "Marina", "Mar", "Wood", "Woods", "Inc", "Steel", "Stel", "A", "Bay"]
+    names = [(k, i, "Supplier#%09d" % rng.randrange(2000)) for k in (1, 2) for i in range(70)]
+    names += [(k, i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for k in (2, 3) for i in range(200, 250)]
+    names += [(2, i, "long " * 14 + "name of a party " + str(rng.randrange(900))) for i in range(400, 415)]
+    rows = spark.createDataFrame(names, "key int, ord int, name string")
+
+    def groups():
+        return {(r.key, r.canonical, tuple(r.members)) for r in parties.similar_groups(rows).collect()}
+
+    monkeypatch.setattr(parties, "CROWD", 10**9)
+    by_links = groups()
+    pairs, linked = [], parties.similar_links
+    monkeypatch.setattr(parties, "similar_links", lambda nodes, threshold: pairs.append(nodes.count()) or linked(nodes, threshold))
+    for crowd, chunk in ((0, 60), (10, 1 << 15)):
+        monkeypatch.setattr(parties, "CROWD", crowd)
+        monkeypatch.setattr(parties, "CHUNK", chunk)
+        assert groups() == by_links
+    # no pair of crowded names was a row
+    assert pairs[0] == 0
