@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from paperloom.functions import signs
+from paperloom.functions import quality, signs
 from paperloom.operators import pagechain, refined, segment
+from paperloom.plans import corpus
 
 LISTS = {
     **{k: (v, "i") for k, v in segment.GROUPS.items()}, "aggressive": (segment.AGGRESSIVE, "im"), "mail": (pagechain.EMAIL_SIGNS, "imd"), "basic": (pagechain.BASIC_SIGNS, "imd"),
@@ -35,3 +36,28 @@ def test_signs_of_patterns():
     assert signs.signs("(Monday|Tues?day)") == {"monday", "tue"} and signs.signs(r"SUBM[I1]TTAL") == {"subm"}
     assert not signs.signs(r"^[A-Z\s]{10,}$") and not signs.signs("ab?|c*") and not signs.signs(r"(?:RFI)?\s*\d+") and not signs.signs("(?!RE:)")
     assert signs.signs(r"ab{0,2}c{2}") == {"a"}
+
+
+def test_repairs_behind_signs_equal_all_in_turn(spark):
+    rng = random.Random(5)
+    terms = "RFl rf1 RFI C0 CO. co AS1 PC0 ccd SUBMlTTAL INVOlCE lnvoice P0 po DSA D1R pwc GEN3RAL  C0NTRACTOR SUBC0NTRACTOR ARCH1TECT ENGlNEER C0NSTRUCTl0N BU1LDING PR0JECT GENERAL contractor".split(" ")
+    numbers = "O1/ o5- 01- 1O/ 1o- 10/ 2O2O 2o21 2025 2O26 O1/O2/2O24 l2/3l/2O23 1O-l1-24 OO/l/2024 lO/OI/99 O9-lO-2022 O1-02-03-O4 / - l O 202l İ ſ".split(" ")
+    texts = ["".join(rng.choice(rng.choice((terms, numbers))) + rng.choice([" ", " ", "\n", "", "-", "/", "\r\n"]) for _ in range(rng.randint(0, 7))) for _ in range(6000)]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    plain = quality.strip(F.regexp_replace(quality._replaced(quality._replaced(F.col("t"), quality.TERM_REPAIRS, "(?i)"), quality.DATE_REPAIRS, ""), r"\s+", " "))
+    got = quality.repair_terms(F.col("t"))
+    bad = rows.select("t", plain.alias("a"), got.alias("b")).where("not (a <=> b)").limit(5).collect()
+    assert not bad, bad
+
+
+def test_few_texts_are_rendered_by_many_tasks(spark, tmp_path):
+    spark.range(40).selectExpr("id as c_custkey", "'Customer#' || id as c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(400).selectExpr("id as o_orderkey", "id % 40 as o_custkey", "1.5d as o_totalprice", "timestamp'2024-01-02' as o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = corpus.rendered(spark, str(tmp_path)).select("text", F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(texts) == 400 and len({r.part for r in texts}) >= 6
