@@ -11,12 +11,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from ..functions.signs import signs
 from . import metadata
 
 
@@ -42,6 +45,12 @@ PATTERNS = {
 }
 
 
+def possible(text: Column, family: str) -> Column:
+    """Whether a text may have a match of a family: false only without any of the words that each match needs. Other texts need not pass to Python."""
+    words = sorted(signs(PATTERNS[family].pattern))
+    return reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(w)) for w in words)) if words else F.lit(True)
+
+
 class ExtractPatterns:
     """(value, start) of every match of a family of PATTERNS in a text; the value's type is the family's."""
 
@@ -92,6 +101,6 @@ class PageRuns:
 
 
 def register(spark: SparkSession) -> None:
-    """Names the table functions in the session: extract_patterns, by Arrow batches, and page_runs."""
-    spark.udtf.register("extract_patterns", udtf(ExtractPatterns, useArrow=True))
+    """Names the table functions in the session: extract_patterns and page_runs. By Arrow each row's few matches would be a batch of their own."""
+    spark.udtf.register("extract_patterns", udtf(ExtractPatterns))
     spark.udtf.register("page_runs", udtf(PageRuns))

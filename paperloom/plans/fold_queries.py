@@ -24,13 +24,13 @@ def carried_windows(spark, sf_dir):
 def lateral_amounts(spark, sf_dir):
     """Amounts by the table function, from SQL."""
     table_functions.register(spark)
-    docs = rendered(spark, sf_dir).select("doc_id", "text")
+    docs = rendered(spark, sf_dir).select("doc_id", "text").where(table_functions.possible(F.col("text"), "amount"))
     return spark.sql("SELECT doc_id, m.value AS amount FROM {docs}, LATERAL extract_patterns(text, 'amount') AS m", docs=docs)
 
 
 def lateral_references(spark, sf_dir):
     table_functions.register(spark)
-    docs = rendered(spark, sf_dir).select("doc_id", "text")
+    docs = rendered(spark, sf_dir).select("doc_id", "text").where(table_functions.possible(F.col("text"), "reference contract"))
     return spark.sql("SELECT doc_id, m.value AS contract, m.start + 1 AS place FROM {docs}, LATERAL extract_patterns(text, 'reference contract') AS m", docs=docs)
 
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from paperloom.functions import quality, signs
-from paperloom.operators import pagechain, refined, segment
+from paperloom.operators import pagechain, refined, segment, table_functions
 from paperloom.plans import corpus
 
 LISTS = {
@@ -61,3 +61,15 @@ def test_few_texts_are_rendered_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(texts) == 400 and len({r.part for r in texts}) >= 6
+
+
+def test_texts_without_a_sign_have_no_match(spark):
+    table_functions.register(spark)
+    texts = ["CONTRACT No. C-7 and $1,200.00", "Invoice #12 RFI 7 a@b.org", "nothing", "", None, "\u212aontract contract#Z9", "$ 5 Change Order 3 PO 9 Project Number: P-4"]
+    for family in table_functions.PATTERNS:
+        rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("may", table_functions.possible(F.col("text"), family))
+        hit = {r.id for r in spark.sql(f"SELECT id FROM {{rows}}, LATERAL extract_patterns(text, '{family}')", rows=rows).collect()}
+        may = {r.id for r in rows.where("may").collect()}
+        assert hit <= may, family
+        if family in ("amount", "reference contract"):
+            assert hit and 2 not in may and 3 not in may
