@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import let
+from ..functions.signs import signs, with_low
 
 # What begins documents, what ends them, what counts for quality, and words without a topic.
 STRONG = (
@@ -53,26 +54,47 @@ def topic_words(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(*STOPWORDS)))
 
 
+def _topics_differ(a: Column, b: Column) -> Column:
+    return (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)) < 0.3)
+
+
 def topic_change(before: Column, after: Column) -> Column:
     """Under 0.3 of the topic words are common to both; false if one has none."""
+    return let(F.struct(topic_words(before).alias("a"), topic_words(after).alias("b")), lambda pair: _topics_differ(pair["a"], pair["b"]))
+
+
+def page_facts(text: Column) -> Column:
+    """What a text says of a boundary before or after it, each pattern run once and only behind its sign: a struct without the text."""
+
+    def named(part: Column, patterns: tuple, name: str) -> Column:
+        def hits(t: Column, low: Column) -> Column:
+            return F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in sorted(signs(p))] or [F.lit(True)]) & t.rlike(p), F.lit(f"{name}: {p}")) for p in patterns)))
 
-    def judge(pair: Column) -> Column:
-        a, b = pair["a"], pair["b"]
-        return (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)) < 0.3)
+        return with_low(part, hits)
 
-    return let(F.struct(topic_words(before).alias("a"), topic_words(after).alias("b")), judge)
+    chars = F.char_length(text)
+    return F.struct(
+        text.isNotNull().alias("there"), named(F.substring(text, 1, 200), STRONG, "strong_start").alias("starts"), named(F.substring(text, -200, 200), WEAK, "weak_end").alias("ends"),
+        topic_words(text).alias("topics"), chars.alias("chars"), _count(text, r"\S+").alias("words"), (chars - F.char_length(F.translate(text, "\n", ""))).alias("breaks"),
+        _count(text, r"(?<!\S)\p{Lu}").alias("capitals"), (chars - F.char_length(F.translate(text, ".!?,:;", ""))).alias("marks"), _count(text, r"\d+").alias("numbers"),
+        _count(text, SENTENCES).alias("sentences"), _count(text, NAMES).alias("names"),
+    )
 
 
-def _measures(text: Column) -> list[Column]:
+def _measures(f: Column) -> list[Column]:
     """Mean line length, share of capitalised words, punctuation a character, numbers a word."""
-    words, n = _count(text, r"\S+"), F.char_length(text)
-    lines = _count(text, "\n") + 1
-    return [(n - lines + 1) / lines, F.try_divide(_count(text, r"(?<!\S)\p{Lu}"), words), F.try_divide(_count(text, "[.!?,:;]"), n), F.try_divide(_count(text, r"\d+"), words)]
+    lines = f["breaks"] + 1
+    return [(f["chars"] - lines + 1) / lines, F.try_divide(f["capitals"], f["words"]), F.try_divide(f["marks"], f["chars"]), F.try_divide(f["numbers"], f["words"])]
 
 
-def format_change(before: Column, after: Column) -> Column:
+def _formats_differ(b: Column, a: Column) -> Column:
     """Two of the four measures, where both are over 0, differ by over half of the larger."""
-    return _sum([(a > 0) & (b > 0) & (F.abs(a - b) / F.greatest(a, b) > 0.5) for a, b in zip(_measures(before), _measures(after), strict=True)]) >= 2
+    return _sum([(x > 0) & (y > 0) & (F.abs(x - y) / F.greatest(x, y) > 0.5) for x, y in zip(_measures(b), _measures(a), strict=True)]) >= 2
+
+
+def format_change(before: Column, after: Column) -> Column:
+    """Two of the four measures of the texts, where both are over 0, differ by over half of the larger."""
+    return let(F.struct(page_facts(before).alias("b"), page_facts(after).alias("a")), lambda x: _formats_differ(x["b"], x["a"]))
 
 
 def windows(texts: DataFrame, text: str = "text", position: str = "position") -> DataFrame:
@@ -96,17 +118,32 @@ def windows(texts: DataFrame, text: str = "text", position: str = "position") ->
     return staged.withColumns({"before": cut(F.greatest(at - s, F.lit(0)) + 1), "after": cut(F.greatest(at, F.lit(0)) + 1)}).drop("words__", "at__", "size__")
 
 
-def indicators(before: Column, after: Column) -> Column:
-    """Names of what speaks for a boundary: strong starts, weak ends, a change of topic, of format."""
-    head, tail = F.substring(after, 1, 200), F.substring(before, -200, 200)
-    tests = [F.when(head.rlike(p), F.lit(f"strong_start: {p}")) for p in STRONG] + [F.when(tail.rlike(p), F.lit(f"weak_end: {p}")) for p in WEAK]
-    tests += [F.when(topic_change(before, after), F.lit("topic_change")), F.when(format_change(before, after), F.lit("format_change"))]
-    return F.array_compact(F.array(*tests))
+def fact_indicators(b: Column, a: Column) -> Column:
+    """Names of what speaks for a boundary between texts of which b and a are the facts: strong starts, weak ends, a change of topic, of format."""
+    changes = F.array_compact(F.array(F.when(_topics_differ(b["topics"], a["topics"]), F.lit("topic_change")), F.when(_formats_differ(b, a), F.lit("format_change"))))
+    return F.concat(a["starts"], b["ends"], changes)
 
 
-def overall_quality(before: Column, after: Column) -> Column:
+def fact_quality(b: Column, a: Column) -> Column:
     """Mean of the balance of lengths, the sentences of each side (5 are full) and the names of both (10 are full)."""
-    m, n = _count(before, r"\S+"), _count(after, r"\S+")
+    m, n = b["words"], a["words"]
     balance = F.coalesce(F.try_divide(F.least(m, n), F.greatest(m, n)), F.lit(0.0))
     full = lambda x, most: F.least(F.lit(1.0), x / most)
-    return (balance + full(_count(before, SENTENCES), 5.0) + full(_count(after, SENTENCES), 5.0) + full(_count(before, NAMES) + _count(after, NAMES), 10.0)) / 4
+    return (balance + full(b["sentences"], 5.0) + full(a["sentences"], 5.0) + full(b["names"] + a["names"], 10.0)) / 4
+
+
+def indicators(before: Column, after: Column) -> Column:
+    """fact_indicators of two texts."""
+    return let(F.struct(page_facts(before).alias("b"), page_facts(after).alias("a")), lambda x: fact_indicators(x["b"], x["a"]))
+
+
+def overall_quality(before: Column, after: Column) -> Column:
+    """fact_quality of two texts."""
+    return let(F.struct(page_facts(before).alias("b"), page_facts(after).alias("a")), lambda x: fact_quality(x["b"], x["a"]))
+
+
+def page_boundaries(pages: DataFrame) -> DataFrame:
+    """(pdf_id, page_num, indicators, quality) of each page with a page before it whose text is not null. A page's text is read once, before the window."""
+    facts = pages.select("pdf_id", "page_num", page_facts(F.col("text")).alias("a"))
+    pairs = facts.withColumn("b", F.lag("a").over(Window.partitionBy("pdf_id").orderBy("page_num"))).where(F.col("b.there"))
+    return pairs.select("pdf_id", "page_num", fact_indicators(F.col("b"), F.col("a")).alias("indicators"), fact_quality(F.col("b"), F.col("a")).alias("quality"))

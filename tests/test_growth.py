@@ -6,8 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import carried, cascade, evaluate, parties, people, search, segment, store, vectors
-from paperloom.plans import corpus
+from paperloom.operators import carried, cascade, context, evaluate, parties, people, search, segment, store, vectors
+from paperloom.plans import corpus, ledger_queries
 
 
 def plan(df):
@@ -133,3 +133,29 @@ def test_crowded_names_are_compared_with_openers_alone(spark, monkeypatch):
         assert groups() == by_links
     # no pair of crowded names was a row
     assert pairs[0] == 0
+
+
+def test_pages_are_facts_before_the_window(spark):
+    texts = ["From: a@b.org\nDate: 1/2/2024", None, "", "Page 1 of 2. See pumps. Best regards,", "RFI #12\nThe Pump House valves! Sincerely\n", "a === b\f---", "Invoice #9 Bill To: x", "continued on next page"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "pdf_id int, page_num int, text string")
+    out = context.page_boundaries(rows)
+    want = {}
+    for i, (b, a) in enumerate(zip(texts, texts[1:], strict=False), 1):
+        if b is not None:
+            pair = spark.createDataFrame([(b, a)], "b string, a string")
+            heads = [F.when(F.substring("a", 1, 200).rlike(p), F.lit(f"strong_start: {p}")) for p in context.STRONG]
+            tails = [F.when(F.substring("b", -200, 200).rlike(p), F.lit(f"weak_end: {p}")) for p in context.WEAK]
+            changes = [F.when(f(F.col("b"), F.col("a")), F.lit(f.__name__)) for f in (context.topic_change, context.format_change)]
+            want[i] = pair.select(F.array_compact(F.array(*heads, *tails, *changes))).first()[0]
+    assert {r.page_num: r.indicators for r in out.collect()} == want and sum(map(len, want.values())) > 8
+    # no text passes the window
+    window = [line for line in plan(out).split("\n") if "Window [" in line]
+    assert window and not any("text" in line for line in window)
+
+
+def test_lines_are_summed_once_for_the_ledger(spark, tmp_path):
+    spark.range(20).selectExpr("id as o_orderkey", "id % 5 as o_custkey", "100d + id as o_totalprice", "timestamp'2024-01-02' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(40).selectExpr("id % 20 as l_orderkey", "'F' as l_linestatus", "60d as l_extendedprice", "0d as l_discount", "timestamp'2024-01-05' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = ledger_queries.reconciliation(spark, str(tmp_path))
+    assert not any("lineitem.parquet" in f or "orders.parquet" in f for f in out.inputFiles())
+    assert sorted((r.party, r.n_claimed, r.n_paid, r.n_matched) for r in out.collect()) == [(p, 4, 4, 4) for p in range(5)]
