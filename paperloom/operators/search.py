@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quality import let
 from ..functions.stem import porter
 
 TOKEN = r"[^\p{L}\p{N}]+"
@@ -136,32 +137,52 @@ def _combined(parts: list[Part], test) -> Column:
 
 
 def _close(starts: list[Column], sizes: list[int], gap: int) -> Column:
-    """Whether occurrences of all phrases, given by where each starts, lie so close: one of them starts last, and every other ends shortly before."""
+    """Whether occurrences of all phrases, given by where each starts, lie so close: one of them starts last, and every other ends shortly before.
 
-    def one_near(at: Column, n: int, x: Column) -> Column:
-        return F.exists(at, lambda s: (s <= x) & (x - s - n <= gap))
+    Starts of all phrases pass once, in their order, with the last start of each phrase so far: of those before a place it ends nearest.
+    """
 
-    def all_near(x: Column) -> Column:
-        return reduce(and_, (one_near(at, n, x) for at, n in zip(starts, sizes, strict=True)))
+    def marked(i: int) -> Column:
+        return F.transform(starts[i], lambda x: F.struct(x.alias("at"), F.lit(i).alias("phrase")))
 
-    return F.exists(reduce(F.array_union, starts), all_near)
+    passed = F.sort_array(F.concat(*map(marked, range(len(starts)))))
+    none = F.struct(F.lit(False).alias("found"), *(F.lit(None).cast("int").alias(f"s{i}") for i in range(len(starts))))
 
+    def step(seen: Column, x: Column) -> Column:
+        last = [F.when(x["phrase"] == i, x["at"]).otherwise(seen[f"s{i}"]) for i in range(len(starts))]
+        near = reduce(and_, (x["at"] - s - n <= gap for s, n in zip(last, sizes, strict=True)))
+        return F.struct((seen["found"] | F.coalesce(near, F.lit(False))).alias("found"), *(s.alias(f"s{i}") for i, s in enumerate(last)))
 
-def query_test(query: str, fields: tuple[str, ...] = ("text",)) -> Column:
-    """Whether a row matches the query in its own columns `fields`: nothing is exploded or shuffled, and each column is folded once."""
+    return F.aggregate(passed, none, step, lambda seen: seen["found"])
+
+
+def spelled(c: str) -> Column:
+    """The folded words of a column, in order, with one space between them."""
+    return F.trim(F.regexp_replace(folded(F.col(c)), TOKEN, " "))
 
-    def at(spelled: Column, p: Phrase) -> Column:
-        return F.contains(spelled, F.lit(" " + " ".join(p.words) + " " * (not p.prefix)))
+
+def _row(fields: tuple[str, ...]) -> Column:
+    """The words of each field between spaces."""
+    return F.struct(*(F.concat(F.lit(" "), spelled(f), F.lit(" ")).alias(f) for f in fields))
+
+
+def _test_of(query: str, fields: tuple[str, ...], row: Column) -> Column:
+    """Whether a row of words matches the query."""
+
+    def at(text: Column, p: Phrase) -> Column:
+        return F.contains(text, F.lit(" " + " ".join(p.words) + " " * (not p.prefix)))
 
     def starts(words: Column, p: Phrase) -> Column:
+        def is_word(w: Column, k: int) -> Column:
+            return F.startswith(w, F.lit(p.words[k])) if p.prefix and k == len(p.words) - 1 else w == p.words[k]
+
         def here(w: Column, i: Column) -> Column:
-            own = F.slice(words, i + 1, len(p.words))
-            head = F.array_join(own, " ")
-            return F.when(F.startswith(F.concat(head, F.lit("" if p.prefix else " ")), F.lit(" ".join(p.words) + " " * (not p.prefix))) & (F.size(own) == len(p.words)), i)
+            # words behind the end are null
+            return F.when(reduce(and_, (is_word(F.get(words, i + k), k) for k in range(1, len(p.words))), is_word(w, 0)), i)
 
-        return F.filter(F.transform(words, here), lambda i: i.isNotNull())
+        return F.array_compact(F.transform(words, here))
 
-    def one(row: Column, t: Phrase | Near) -> Column:
+    def one(t: Phrase | Near) -> Column:
         if isinstance(t, Phrase):
             return reduce(or_, (at(row[f], t) for f in fields if t.field in (None, f)))
 
@@ -172,9 +193,17 @@ def query_test(query: str, fields: tuple[str, ...] = ("text",)) -> Column:
 
         return reduce(or_, (within(f) for f in fields if t.phrases[0].field in (None, f)))
 
-    parts = parse(query, fields)
-    spelled = [F.concat(F.lit(" "), F.array_join(F.filter(tokens_of(f), lambda w: w != ""), " "), F.lit(" ")).alias(f) for f in fields]
-    return F.exists(F.array(F.struct(*spelled)), lambda row: _combined(parts, lambda t: one(row, t)))
+    return _combined(parse(query, fields), one)
+
+
+def query_test(query: str, fields: tuple[str, ...] = ("text",)) -> Column:
+    """Whether a row matches the query in its own columns `fields`: nothing is exploded or shuffled, and each column is folded once."""
+    return let(_row(fields), lambda row: _test_of(query, fields, row))
+
+
+def queries_met(queries: tuple[str, ...], fields: tuple[str, ...] = ("text",)) -> Column:
+    """The places of the queries that a row matches, as `query_test` tells of each; columns are folded once for all of them."""
+    return let(_row(fields), lambda row: F.array_compact(F.array(*(F.when(_test_of(q, fields, row), i) for i, q in enumerate(queries)))))
 
 
 #: Bytes of text whose words are sorted at once.
@@ -189,7 +218,7 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = (), stems: bool = False)
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = fields or ("text",)
-    texts = docs.select("doc_id", *(F.array_join(F.filter(tokens_of(f), lambda w: w != ""), " ").alias(f"f{i}") for i, f in enumerate(named)))
+    texts = docs.select("doc_id", *(spelled(f).alias(f"f{i}") for i, f in enumerate(named)))
 
     def pieces(batches):
         for b in batches:
@@ -211,13 +240,14 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = (), stems: bool = False)
                 if stems:
                     coded = pa.array([porter(w) for w in names.to_pylist()], pa.string()).dictionary_encode()
                     names, code = coded.dictionary, coded.indices.to_numpy()[code]
-                order = np.lexsort((at, code, row))
+                # by row and word; words lie in the order of their places
+                order = np.argsort(row * len(names) + code, kind="stable")
                 order = order[real[order]]
                 row, code, at = row[order], code[order], at[order]
                 head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(row) else np.zeros(0, np.int64)
                 edges = np.append(head, len(row)).astype(np.int32)
                 columns = [names.take(pa.array(code[head])), b.column(0).take(pa.array(row[head])), pa.array(np.diff(edges), pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(at, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(head), pa.string())] * bool(fields) + columns, names=["field"] * bool(fields) + ["token", "doc_id", "tf", "positions"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(name, len(head))] * bool(fields) + columns, names=["field"] * bool(fields) + ["token", "doc_id", "tf", "positions"])
 
     index = texts.mapInArrow(run, "field string, " * bool(fields) + f"token string, doc_id {kind}, tf long, positions array<int>")
     # the index knows its fields, saved or not
@@ -247,42 +277,49 @@ def matching(index: DataFrame, query: str, stems: bool = False, fields: tuple[st
     A phrase is found by intersecting its words' positions, each shifted to where the phrase begins. stems: the index holds stems, and whole words of
     the query become such. An index without positions answers queries of single words.
     """
-    parts = parse(query, fields or index_fields(index))
-    terms = list(dict.fromkeys(t for p in parts if p.wanted for t in (*p.wanted, *p.banned)))
+    return matching_each(index, (query,), stems, fields).select("doc_id")
+
+
+def matching_each(index: DataFrame, queries: tuple[str, ...], stems: bool = False, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """(query, doc_id): the place of each query and the documents that match it, as `matching` finds them; the index is read once for all queries."""
+    asked = [parse(q, fields or index_fields(index)) for q in queries]
+    terms = list(dict.fromkeys(t for parts in asked for p in parts if p.wanted for t in (*p.wanted, *p.banned)))
     phrases = list(dict.fromkeys(p for t in terms for p in (t.phrases if isinstance(t, Near) else (t,))))
     if not phrases:
-        return index.select("doc_id").where("false")
+        return index.select(F.lit(0).alias("query"), "doc_id").where("false")
     apart = "field" in index.columns
     positional = any(isinstance(t, Near) or len(t.words) > 1 for t in terms)
     if positional and "positions" not in index.columns:
-        raise ValueError(f"{query!r} has phrases, but the index has no positions")
+        raise ValueError(f"{', '.join(map(repr, queries))}: phrases, but the index has no positions")
+
+    def word_of(p: Phrase, k: int) -> tuple[str, bool, str | None]:
+        prefix = p.prefix and k == len(p.words) - 1
+        return (p.words[k] if prefix or not stems else porter(p.words[k])), prefix, p.field if apart else None
 
-    def word_test(p: Phrase, k: int) -> Column:
-        word, prefix = p.words[k], p.prefix and k == len(p.words) - 1
-        test = F.startswith(F.col("token"), F.lit(word)) if prefix else F.col("token") == (porter(word) if stems else word)
-        return test & (F.col("field") == p.field) if p.field and apart else test
+    def word_test(word: str, prefix: bool, field: str | None) -> Column:
+        test = F.startswith(F.col("token"), F.lit(word)) if prefix else F.col("token") == word
+        return test & (F.col("field") == field) if field else test
 
-    # slots: one for each word of each phrase
-    slots = [(p, k) for p in phrases for k in range(len(p.words))]
-    tests = [word_test(p, k) for p, k in slots]
-    hits = index.where(reduce(or_, tests)).repartition("doc_id")
+    # slots: one for each word of the phrases, however many have it
+    slots = {w: word_test(*w) for w in dict.fromkeys(word_of(p, k) for p in phrases for k in range(len(p.words)))}
+    hits = index.where(reduce(or_, slots.values())).repartition("doc_id")
 
     def found_at(test: Column) -> Column:
-        return F.array_sort(F.flatten(F.collect_list(F.when(test, F.col("positions")))))
+        return F.flatten(F.collect_list(F.when(test, F.col("positions"))))
 
-    wanted = [found_at(t) if positional else F.max(t.cast("int")) for t in tests]
+    wanted = [found_at(t) if positional else F.max(t.cast("int")) for t in slots.values()]
     rows = hits.groupBy("doc_id", *["field"] * apart).agg(*(w.alias(f"s{i}") for i, w in enumerate(wanted)))
-    slot = {s: F.col(f"s{i}") for i, s in enumerate(slots)}
+    slot = {w: F.col(f"s{i}") for i, w in enumerate(slots)}
 
     def shifted(at: Column, k: int) -> Column:
         return F.transform(at, lambda x: x - k)
 
     def starts(p: Phrase) -> Column:
-        return reduce(F.array_intersect, (shifted(slot[p, k], k) for k in range(1, len(p.words))), slot[p, 0])
+        return reduce(F.array_intersect, (shifted(slot[word_of(p, k)], k) for k in range(1, len(p.words))), slot[word_of(p, 0)])
 
     def here(t: Phrase | Near) -> Column:
         if not positional:
-            return slot[t, 0] > 0
+            return slot[word_of(t, 0)] > 0
         if isinstance(t, Phrase):
             return F.size(starts(t)) > 0
         at = [starts(p) for p in t.phrases]
@@ -291,7 +328,8 @@ def matching(index: DataFrame, query: str, stems: bool = False, fields: tuple[st
     # a term is found where one of the fields has it
     of_docs = rows.groupBy("doc_id").agg(*(F.coalesce(F.bool_or(here(t)), F.lit(False)).alias(f"t{i}") for i, t in enumerate(terms)))
     flag = {t: F.col(f"t{i}") for i, t in enumerate(terms)}
-    return of_docs.where(_combined(parts, flag.__getitem__)).select("doc_id")
+    met = F.array(*(F.when(_combined(parts, flag.__getitem__), i) for i, parts in enumerate(asked)))
+    return of_docs.select(F.explode(F.array_compact(met)).alias("query"), "doc_id")
 
 
 def stemmed(index: DataFrame) -> DataFrame:

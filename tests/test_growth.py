@@ -1,6 +1,7 @@
 """Steps whose cost has to grow no faster than their input, on inputs that show how they grow."""
 
 import hashlib
+import itertools
 import os
 import random
 
@@ -159,3 +160,33 @@ def test_lines_are_summed_once_for_the_ledger(spark, tmp_path):
     out = ledger_queries.reconciliation(spark, str(tmp_path))
     assert not any("lineitem.parquet" in f or "orders.parquet" in f for f in out.inputFiles())
     assert sorted((r.party, r.n_claimed, r.n_paid, r.n_matched) for r in out.collect()) == [(p, 4, 4, 4) for p in range(5)]
+
+
+def test_several_searches_read_the_index_once(spark, tmp_path):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, rng.choice(["fr", None]), " ".join(rng.choices("aé b, c d e".split(), k=rng.randint(0, 40)))) for i in range(60)], "doc_id long, lang string, text string")
+    queries = ("NEAR(ae b, 0)", "", 'NEAR("ae b" c d, 2)', "lang:fr NEAR(b ae, 1) -\"c d\"", "NEAR(c c, 0) OR \"e e e\"", "NEAR(a* e, 0) -d*", "b")
+    queries = tuple(q.replace("ae", "ae" if i % 2 else "aé") for i, q in enumerate(queries))
+    fields = ("lang", "text")
+    path = str(tmp_path / "index")
+    search.postings(docs, fields).write.parquet(path)
+    index = spark.read.parquet(path)
+    each = search.matching_each(index, queries)
+    assert each._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    met = docs.select("doc_id", F.explode(search.queries_met(queries, fields)).alias("query"))
+    # each column is folded once
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("translate(lower(") == len(fields)
+    expected = {(q, r.doc_id) for q, query in enumerate(queries) for r in docs.where(search.query_test(query, fields)).collect()}
+    assert {(r["query"], r.doc_id) for r in each.collect()} == {(r["query"], r.doc_id) for r in met.collect()} == expected and len({q for q, _ in expected}) == 6
+
+
+def test_near_passes_starts_once(spark):
+    rng = random.Random(8)
+    rows = [(sorted(rng.sample(range(30), rng.randint(0, 6))), sorted(rng.sample(range(30), rng.randint(0, 6))), sorted(rng.sample(range(30), rng.randint(1, 6)))) for _ in range(200)]
+    sizes, gap = [1, 2, 1], 3
+    want = [any(max(s) - min(x + n for x, n in zip(s, sizes, strict=True)) <= gap for s in itertools.product(*r)) for r in rows]
+    test = search._close([F.col("a"), F.col("b"), F.col("c")], sizes, gap)
+    df = spark.createDataFrame(rows, "a array<int>, b array<int>, c array<int>").coalesce(1)
+    assert [r.near for r in df.select(test.alias("near")).collect()] == want and 20 < sum(want) < 180
+    long = spark.range(1).select(F.sequence(F.lit(0), F.lit(40000)).alias("a"), F.sequence(F.lit(100000), F.lit(140000)).alias("b"))
+    assert long.select(search._close([F.col("a"), F.col("b")], [1, 1], 5).alias("near")).first().near is False
