@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from paperloom.operators import carried, cascade, context, evaluate, parties, people, search, segment, store, vectors
-from paperloom.plans import corpus, ledger_queries
+from paperloom.plans import corpus, ledger_queries, queries
 
 
 def plan(df):
@@ -190,3 +190,19 @@ def test_near_passes_starts_once(spark):
     assert [r.near for r in df.select(test.alias("near")).collect()] == want and 20 < sum(want) < 180
     long = spark.range(1).select(F.sequence(F.lit(0), F.lit(40000)).alias("a"), F.sequence(F.lit(100000), F.lit(140000)).alias("b"))
     assert long.select(search._close([F.col("a"), F.col("b")], [1, 1], 5).alias("near")).first().near is False
+
+
+def test_detected_ranges_are_read_from_tables(spark, tmp_path):
+    customers = spark.range(40).select(F.col("id").alias("c_custkey"), F.concat(F.lit("Customer"), F.col("id").cast("string")).alias("c_name"))
+    orders = spark.range(400).select(F.col("id").alias("o_orderkey"), (F.col("id") % 40).alias("o_custkey"), F.lit("2020-01-01").cast("timestamp").alias("o_orderdate"), F.lit(1.0).alias("o_totalprice"))
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    # texts are reduced to flags before pages are sorted and numbered
+    window = queries.starts(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(pdf_id")[0]
+    assert "Window" in window and "text" not in window
+    pages = corpus.packets(spark, str(tmp_path))
+    found, true = queries.detected(spark, str(tmp_path))
+    assert "orders" not in plan(found) + plan(true) and "Window" not in plan(found) + plan(true)
+    flagged = pages.withColumn("is_start", segment.page_start(F.col("text"), F.col("page_num")))
+    for got, want in ((found, segment.islands(flagged)), (true, segment.islands(pages, "is_first"))):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
