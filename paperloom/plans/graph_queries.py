@@ -61,12 +61,23 @@ def _claims(spark, sf_dir, node=_named) -> DataFrame:
     return table(spark, sf_dir, "customer").select(node("claim", "c_custkey").alias("seed"))
 
 
+def _digits(node: F.Column) -> F.Column:
+    """How many digits a node's key has; of nodes with as many and the same sign, the first or last number is the first as text."""
+    return F.char_length(F.abs(node - _kind(node) * SPAN).cast("string"))
+
+
 def evidence_reach(spark, sf_dir):
     """How far each claim's evidence goes in four hops: nodes by kind and distance."""
-    found = graph.reach(evidence_edges(spark, sf_dir, _numbered), _claims(spark, sf_dir, _numbered), 4)
-    kind = _kind(F.col("node"))
-    least = found.groupBy("seed", kind.alias("kind"), "distance").agg(F.count("*").alias("n"), F.min(_spelled_order(F.col("node") - kind * SPAN)).alias("first"))
-    seed, name = F.concat(F.lit("claim:"), F.col("seed").cast("string")), F.element_at(F.array(*map(F.lit, KINDS)), (F.col("kind") + 1).cast("int"))
+    found = graph.reached(evidence_edges(spark, sf_dir, _numbered), _claims(spark, sf_dir, _numbered), 4, by=_digits)
+    # lists are summed up first: expressions of their ends would each look through the whole list again
+    ends = found.groupBy("seed", "base", "by", "distance").agg(F.sum(F.size("nodes")).alias("n"), F.min(F.array_min("nodes")).alias("low"), F.max(F.array_max("nodes")).alias("high"))
+    ends = ends.select("seed", "distance", "n", *(graph.whole("base", F.col(end)).alias(end) for end in ("low", "high")))
+    kind = _kind(F.col("low"))
+    first = F.least(*(_spelled_order(F.col(end) - kind * SPAN) for end in ("low", "high")))
+    least = ends.groupBy("seed", kind.alias("kind"), "distance").agg(F.sum("n").alias("n"), F.min(first).alias("first"))
+    # element_at takes a null place for one of the array's
+    name = F.when(F.col("kind").isNotNull(), F.element_at(F.array(*map(F.lit, KINDS)), (F.col("kind") + 1).cast("int")))
+    seed = F.concat(F.lit("claim:"), F.col("seed").cast("string"))
     return least.select(seed.alias("seed"), name.alias("kind"), "distance", "n", F.concat(name, F.lit(":"), _of_order(F.col("first"))).alias("first"))
 
 

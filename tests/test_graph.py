@@ -73,3 +73,62 @@ def test_spelled_order_sorts_as_text(spark):
     order = graph_queries._spelled_order(F.col("k"))
     rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", order.alias("o"), graph_queries._of_order(order).alias("text")).collect()
     assert [r.text for r in sorted(rows, key=lambda r: r.o)] == sorted(map(str, keys)) and all(r.text == str(r.k) for r in rows)
+
+
+@pytest.mark.parametrize("crowd", [1_000, 2])
+@pytest.mark.parametrize("hub", [10_000, 3])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_lists_of_walks_have_each_node_once(spark, hub, crowd, kind):
+    rng, big = random.Random(2), 2**60
+    pairs = [(rng.randint(0, 9), rng.randint(0, 14)) for _ in range(40)] + [(k, big - 3 + k) for k in range(9)] + [(big, -(2**40)), (4, 4)]
+    edges = spark.createDataFrame([(*p, "x") for p in pairs * 3], "source_id long, target_id long, relationship_type string")
+    edges = edges.withColumns({c: edges[c].cast(kind) for c in ("source_id", "target_id")})
+    seeds = [0, 1, 7, 7, 99, None]
+    seed_rows = spark.createDataFrame([(s,) for s in seeds], "seed long").select(F.col("seed").cast(kind))
+    least = {(None, None): 0} | {(s, s): 0 for s in seeds}
+    for s, p in reversed(walks(set(pairs), [s for s in seeds if s is not None], 3)):
+        least[s, p[-1]] = min(least.get((s, p[-1]), 9), len(p) - 1)
+    found = graph.reached(edges, seed_rows, 3, None, hub, lambda node: F.length(node.cast("string")), crowd)
+    node = graph.whole("base", F.col("low")) if kind == "long" else F.col("low")
+    got = found.select("seed", "by", "distance", F.explode("nodes").alias("low"), "base").select("seed", "by", "distance", node.alias("node")).collect()
+    number = lambda x: None if x is None else int(x)
+    assert {(number(r.seed), number(r.node)): r.distance for r in got} == least and len(got) == len(least)
+    assert all(r.by == (None if r.node is None else len(str(r.node))) for r in got)
+    for hops in (0, 1):
+        rows = graph.reach(edges, seed_rows, hops, None, hub, crowd).collect()
+        want = {k: d for k, d in least.items() if d <= hops}
+        assert {(number(r.seed), number(r.node)): r.distance for r in rows} == want and len(rows) == len(want)
+
+
+def made(plan):
+    """Rows that each operator of a plan that has run made."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    rows = plan.metrics().get("numOutputRows")
+    children = plan.children()
+    return ([rows.get().value()] if rows.isDefined() else []) + [n for p in inner + [children.apply(i) for i in range(children.size())] for n in made(p)]
+
+
+def test_no_row_is_made_for_a_seed_and_an_end(spark):
+    found = graph_queries.evidence_reach(spark, "/root/testdata/sf0.01")
+    reached = sum(r.n for r in found.collect())
+    assert max(made(found._jdf.queryExecution().executedPlan())) < reached
+
+
+def test_first_nodes_of_odd_keys(spark, tmp_path):
+    keys = [-1, -2, -12, -9, 0, 3, 10, 7, 70, 700, 2**33, 2**33 + 1, 10**16, None]
+    orders = [(o, k, f"1998-01-{i + 1:02}", "1-URGENT" if i % 3 else "5-LOW") for i, (o, k) in enumerate(zip(keys, [5, 5, None, -5, -5, 5, -5, 5, 40, 40, 5, -5, 5, 40], strict=True))]
+    lines = [(o, p, s, "ANR"[(i + j) % 3]) for i, o in enumerate(keys) for j, (p, s) in enumerate(zip(keys[i:] + keys[:3], keys[::-1], strict=False))]
+    spark.createDataFrame([(5,), (-5,), (40,), (40,), (6,), (None,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines * 2, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = [tuple(r)[:2] for r in graph_queries.evidence_edges(spark, str(tmp_path)).collect() if None not in tuple(r)]
+    seeds = ["claim:5", "claim:-5", "claim:40", "claim:6"]
+    least = {(None, None): 0} | {(s, s): 0 for s in seeds}
+    for s, p in reversed(walks(set(edges), seeds, 4)):
+        least[s, p[-1]] = min(least.get((s, p[-1]), 9), len(p) - 1)
+    want = {}
+    for (s, n), d in least.items():
+        want.setdefault((s, n and n.split(":")[0], d), []).append(n)
+    got = graph_queries.evidence_reach(spark, str(tmp_path)).collect()
+    assert {(r.seed, r.kind, r.distance): (r.n, r.first) for r in got} == {k: (len(v), min(v, key=str) if v != [None] else None) for k, v in want.items()}
